@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handed to a Python helper at once; a single longer text is handed over alone.
@@ -30,6 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillwork_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = tempfile.mkdtemp()  # the driver's file server reads it for as long as the application runs
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    shutil.copytree(package, f"{at}/{package.name}/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(f"{at}/{package.name}", "zip", f"{at}/{package.name}"))
+    sc._quillwork_shipped = True
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, ddl)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: cuts the lineage and survives the loss of any executor."""
     spark = df.sparkSession
@@ -42,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
     """Cuts Arrow batches by bytes of text: (rows, their texts with null as empty)."""
     for batch in batches:
         n, start, held = batch.num_rows, 0, 0
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for i, size in enumerate(sizes):
             if held and held + size > BATCH_BYTES:
                 part = batch.slice(start, i - start)
@@ -52,7 +75,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         if start < n:
             part = batch.slice(start)
             yield part, [t or "" for t in part.column(column).to_pylist()]
-
-
-def of_table(table: pa.Table | dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(table, schema=schema)

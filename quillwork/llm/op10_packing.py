@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import bpe
-from quillwork.llm.common import documents, slices
+from quillwork.llm.common import documents, mapped, slices
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens in a step group.
@@ -175,7 +175,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, tiers: tuple[int, ...] = TI
             yield flush(doc_ids, raws)
 
     ddl = ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return mapped(docs.select("doc_id", "text"), run, ddl)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

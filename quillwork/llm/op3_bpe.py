@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import bpe
-from quillwork.llm.common import documents, slices
+from quillwork.llm.common import documents, mapped, slices
 
 
 def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -30,7 +30,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
@@ -43,7 +43,7 @@ def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
             texts = [coder.decode(ids or []) for ids in rows.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, vocab_path: str) -> DataFrame:
@@ -60,7 +60,7 @@ def round_trip_digests(docs: DataFrame, vocab_path: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(coder.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

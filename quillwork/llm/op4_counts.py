@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import bpe
-from quillwork.llm.common import documents, slices
+from quillwork.llm.common import documents, mapped, slices
 
 #: Texts beyond this are split at safe boundaries.
 SEGMENT_CHARS = 1 << 16
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int) -> DataFrame:
                 [rows.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])], schema=schema
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
