@@ -11,7 +11,8 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Text handed to a Python helper at once; a single longer text is handed over alone.
 BATCH_BYTES = 4 << 20
@@ -61,6 +62,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def within(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def rows_kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``decisions`` (doc_id, h, kept) keep, with all their columns. A row is
+    known by its doc_id and the hash of its text; of repeated rows one is kept."""
+    keys = decisions.groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept")
+    keys = keys.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("n").alias("_n"))
+    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_h"))
+    once = docs.join(keys.filter("_n = 1").hint("shuffle_hash"), same, "left_semi")
+    several = keys.filter("_n > 1")
+    if several.isEmpty():
+        return once
+    # Repeated rows are few or alike; the window sees only those whose id and text occur again.
+    place = F.row_number().over(Window.partitionBy("_doc", "_h").orderBy(F.lit(1)))
+    again = docs.join(several, same).withColumn("_place", place).filter("_place = 1")
+    return once.unionByName(again.select(*docs.columns))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cuts Arrow batches by bytes of text: (rows, their texts with null as empty)."""
     for batch in batches:

@@ -160,7 +160,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """A row per input row: row, doc_id, n_shingles, component_id and kept."""
+    """A row per input row: row, doc_id, h, n_shingles, component_id and kept."""
     need = needed(SIMILARITY[0] / SIMILARITY[1])
     sigs = written(signatures(docs), "signatures")
     held = sigs.filter("set_key is not null")
@@ -190,14 +190,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
             roots = components(links)
     member = held.join(nodes.select("set_key", "node"), "set_key").select("row", "node")
     member = member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select(F.col("row").alias("r2"), F.coalesce("root", "node").alias("root"))
-    rows = sigs.select("row", "doc_id", "n_shingles").join(member, F.col("row") == F.col("r2"), "left").withColumn("root", F.coalesce("root", "row"))
-    rows = written(rows.select("row", "doc_id", "n_shingles", "root"), "members")
+    rows = sigs.select("row", "doc_id", "h", "n_shingles").join(member, F.col("row") == F.col("r2"), "left").withColumn("root", F.coalesce("root", "row"))
+    rows = written(rows.select("row", "doc_id", "h", "n_shingles", "root"), "members")
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n"))
     several = least.filter("n > 1").withColumnRenamed("root", "r2")
     return rows.join(several, F.col("root") == F.col("r2"), "left").select(
-        "row", "doc_id", "n_shingles", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (F.col("n").isNull() | (F.col("row") == F.col("least.row"))).alias("kept")
+        "row", "doc_id", "h", "n_shingles", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (F.col("n").isNull() | (F.col("row") == F.col("least.row"))).alias("kept")
     )
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(documents(spark, sf_dir)).drop("row")
+    return near_groups(documents(spark, sf_dir)).drop("row", "h")

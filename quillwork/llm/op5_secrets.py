@@ -12,7 +12,6 @@ row; long texts are scanned whole; an empty table or ledger is fine; further col
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import documents, mapped, slices, written
+from quillwork.llm.common import documents, mapped, slices, within, written
 
 BASE = ("assign", "access", "hex")
 
@@ -111,13 +110,13 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
 
 
 def report(found: DataFrame) -> DataFrame:
-    """Counts by base kind, a digest of the base spans, and all spans in words."""
+    """Counts by base kind, a digest of the base spans, all spans in words, and the blob."""
     count = [F.expr(f"cast(coalesce(size(filter(found, x -> x.kind = '{k}')), 0) as long)").alias(f"n_{k}") for k in BASE]
     said = "concat(x.kind, ':', x.start, ':', x.stop)"
     base = F.expr(f"coalesce(array_join(transform(filter(found, x -> x.kind in {BASE}), x -> {said}), ','), '')")
     spans = F.expr(f"coalesce(array_join(transform(found, x -> {said}), ','), '')")
     return found.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<start:int,order:int,kind:string,stop:int>>)"))).select(
-        "doc_id", *count, F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans")
+        "doc_id", *count, F.sha2(base.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), "blob"
     )
 
 
@@ -133,6 +132,29 @@ def redact(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, reported: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """``docs`` with every span of ``reported`` (doc_id, blob, spans) replaced by its kind; n_chars, if
+    there is one, follows. Texts with a finding are few, so their spans are broadcast while their
+    number is bounded by ``most_rows``."""
+    spans = reported.filter("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct()
+    blob = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            texts, found = rows.column("text").to_pylist(), rows.column("_spans").to_pylist()
+            hit = [s is not None for s in found]
+            columns = {n: rows.column(n) for n in names}
+            if any(hit):
+                texts = [redact(t, s) if s else t for t, s in zip(texts, found, strict=True)]
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if "n_chars" in columns:
+                    columns["n_chars"] = pa.array([len(t) if h else n for t, h, n in zip(texts, hit, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return mapped(docs.join(within(spans, most_rows), blob == F.col("_blob"), "left").drop("_blob"), run, docs.schema)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, ledger = extend_ledger(documents(spark, sf_dir))
-    return report(findings(paths, ledger))
+    return report(findings(paths, ledger)).drop("blob")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm.common import documents, mapped, slices, written
@@ -56,10 +56,11 @@ def cuts(data: bytes) -> list[int]:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """A row per input row: row (its place), doc_id, n_code_points, text_sha256 and its chunks."""
-    ddl = "row long, doc_id long, n_code_points long, text_sha256 string, fast binary, strong array<binary>"
+    """A row per input row: row (its place), doc_id, h (hash of the text), n_code_points, text_sha256
+    and its chunks."""
+    ddl = "row long, doc_id long, h long, n_code_points long, text_sha256 string, fast binary, strong array<binary>"
     schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("n_code_points", pa.int64()), ("text_sha256", pa.string()), ("fast", pa.binary()), ("strong", pa.list_(pa.binary()))]
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("n_code_points", pa.int64()), ("text_sha256", pa.string()), ("fast", pa.binary()), ("strong", pa.list_(pa.binary()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,19 +75,19 @@ def recipes(docs: DataFrame) -> DataFrame:
                 fast.append(b"".join(map(xxhash.xxh3_64_digest, chunks)))
                 strong.append([hashlib.sha256(c).digest() for c in chunks])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(fast, pa.binary()), pa.array(strong, schema.field("strong").type)], schema=schema
+                [*(rows.column(c) for c in ("row", "doc_id", "h")), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(fast, pa.binary()), pa.array(strong, schema.field("strong").type)], schema=schema
             )
 
-    return mapped(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), run, ddl)
+    return mapped(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text"), run, ddl)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """A row per input row: row, doc_id, keep_id, group_size, kept, text_sha256."""
+    """A row per input row: row, doc_id, h, keep_id, group_size, kept, text_sha256."""
     found = written(recipes(docs), "recipes")
     chunks = found.select(F.posexplode("strong").alias("at", "strong"), "fast").select(F.expr("substring(fast, at * 8 + 1, 8)").alias("id"), "strong")
     clashes = chunks.groupBy("id").agg(F.min("strong").alias("a"), F.max("strong").alias("b")).filter("a <> b")
     recipe = F.col("fast") if clashes.isEmpty() else F.expr("cast(concat_ws('', transform(strong, c -> hex(c))) as binary)")
-    rows = found.select("row", "doc_id", "n_code_points", "text_sha256", recipe.alias("recipe"))
+    rows = found.select("row", "doc_id", "h", "n_code_points", "text_sha256", recipe.alias("recipe"))
     order = F.struct((-F.col("n_code_points")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     shared = groups.filter("group_size > 1").select(F.col("recipe").alias("shared_recipe"), "group_size", "best")
@@ -95,6 +96,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return joined.select(
         "row",
         "doc_id",
+        "h",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("row") == F.col("best.row"))).alias("kept"),
@@ -102,21 +104,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_row_each(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept_ids`` (doc_id, n: how many rows carry it), one of
-    repeated rows. Only ids that several input rows carry need a window over their rows."""
-    same = docs["doc_id"].eqNullSafe(kept_ids["doc_id"])
-    once = docs.join(kept_ids.filter("n = 1"), same, "left_semi")
-    several = kept_ids.filter("n > 1")
-    if several.isEmpty():
-        return once
-    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
-    again = docs.join(several, same, "left_semi").withColumn("_place", F.row_number().over(first))
-    return once.unionByName(again.filter("_place = 1").drop("_place"))
-
-
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(documents(spark, sf_dir)).drop("row")
+    return exact_groups(documents(spark, sf_dir)).drop("row", "h")
 
 
 #: The same rows: the group is the normalised text.

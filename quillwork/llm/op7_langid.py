@@ -153,6 +153,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are in some language, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in slices(batches):
+            yield rows.filter(pa.array([model.predict(t)[0] != UNKNOWN for t in texts], pa.bool_()))
+
+    return mapped(docs, run, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = predict(docs, train(docs, ~held_out()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillwork.llm import op6_exact
+from quillwork.llm.op1_shards import op1_training_order
 from quillwork.llm.op2_minhash import op2_minhash_near_dedup
 from quillwork.llm.op3_bpe import op3_bpe_round_trip
 from quillwork.llm.op4_counts import op4_token_counts
@@ -13,6 +14,7 @@ from quillwork.llm.op9_lm import op9_lm_scores
 from quillwork.llm.op10_packing import op10_packing
 
 QUERIES = {
+    "op1_training_order": op1_training_order,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_counts": op4_token_counts,
