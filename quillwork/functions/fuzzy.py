@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def osa(a: str, b: str) -> int:
@@ -21,7 +22,7 @@ def osa(a: str, b: str) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
@@ -47,11 +48,11 @@ def partial(a: str, b: str) -> float:
     return max(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(token_set(x or "", y or ""), 2) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([round(partial(x or "", y or ""), 2) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 _TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
@@ -34,7 +35,7 @@ def digits_in(text: str) -> str:
     return _RUN.sub(lambda m: m[0] if m[0].lower() in _KEEP else str(number_of(m[0])), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def digits(text: pd.Series) -> pd.Series:
     """Number words as digits: a small grammar, so a vectorised function."""
     return text.map(digits_in, na_action="ignore")

@@ -52,7 +52,7 @@ def nested_versions(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey").join(per, "c_custkey", "left").fillna("", "versions")
 
 
-@queries("E7 O5", """SELECT o_custkey, string_agg(o_orderkey || '[' || lines || ']', ';' ORDER BY o_orderkey) AS reports FROM (SELECT o_custkey, o_orderkey, string_agg(l_linenumber || l_linestatus, ',' ORDER BY l_linenumber) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY o_custkey""")
+@queries("E7 O5", """SELECT o_custkey, string_agg(o_orderkey || '[' || lines || ']', ';' ORDER BY o_orderkey) AS reports FROM (SELECT o_custkey, o_orderkey, string_agg(l_linenumber || l_linestatus, ',' ORDER BY l_linenumber, l_linestatus) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY o_custkey""")
 def doubly_nested(t: Tables) -> DataFrame:
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_linestatus"))).alias("lines"))
     said = F.array_join(F.transform("lines", lambda x: F.concat(x["l_linenumber"], x["l_linestatus"])), ",")

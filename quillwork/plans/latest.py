@@ -112,7 +112,8 @@ def best_classes(t: Tables) -> DataFrame:
 @queries("G11 J5", """WITH s AS (SELECT conv_id, trim(unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), chr(10)))) AS s FROM conversations)
 SELECT conv_id, s, rank FROM (SELECT conv_id, s, row_number() OVER (PARTITION BY conv_id ORDER BY length(s) DESC, s) AS rank FROM (SELECT DISTINCT conv_id, s FROM s WHERE s <> '')) WHERE rank <= 3""".replace("\\\\", "\\"))
 def longest_sentences(t: Tables) -> DataFrame:
-    sentences = t.conversations.select("conv_id", F.trim(F.explode(F.split("text", r"(?<=[.!?])\s+|\n"))).alias("s")).filter("s <> ''").distinct()
+    split = t.conversations.select("conv_id", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("s"))
+    sentences = split.select("conv_id", F.trim("s").alias("s")).filter("s <> ''").distinct()
     return ranked(sentences, ["conv_id"], [F.desc(F.length("s")), F.col("s")], "rank").filter("rank <= 3").select("conv_id", "s", "rank")
 
 

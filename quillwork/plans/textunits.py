@@ -109,7 +109,8 @@ def substantive_turns(t: Tables) -> DataFrame:
 @queries("M14", r"""WITH s AS (SELECT doc_id, sha256(trim(s)) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) WHERE length(trim(s)) > 20), g AS (SELECT h, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM s GROUP BY h HAVING count(*) > 1)
 SELECT s.doc_id, count(*) AS repeats, count(*) FILTER (WHERE g.n_docs > 1) AS across FROM s JOIN g ON s.h = g.h GROUP BY s.doc_id""")
 def repeated_sentences(t: Tables) -> DataFrame:
-    s = t.documents.select("doc_id", F.trim(F.explode(F.split("text", "\n"))).alias("s")).filter(F.length("s") > 20).select("doc_id", F.sha2("s", 256).alias("h"))
+    s = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("s")).select("doc_id", F.trim("s").alias("s"))
+    s = s.filter(F.length("s") > 20).select("doc_id", F.sha2("s", 256).alias("h"))
     # Counted by (line, document) first, so that a line of many documents isn't one task's.
     per = s.groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     lines = per.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n_docs")).filter("total > 1")
