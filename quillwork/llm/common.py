@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillwork.shipping import ship
+
 #: Text handed to a Python helper at once; a single longer text is handed over alone.
 BATCH_BYTES = 4 << 20
 
@@ -35,19 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillwork_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    at = tempfile.mkdtemp()  # the driver's file server reads it for as long as the application runs
-    atexit.register(shutil.rmtree, at, ignore_errors=True)
-    shutil.copytree(package, f"{at}/{package.name}/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(f"{at}/{package.name}", "zip", f"{at}/{package.name}"))
-    sc._quillwork_shipped = True
-
-
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
@@ -67,20 +53,32 @@ def within(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it one that ``df`` lacks."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def rows_kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of ``docs`` that ``decisions`` (doc_id, h, kept) keep, with all their columns. A row is
     known by its doc_id and the hash of its text; of repeated rows one is kept."""
-    keys = decisions.groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept")
-    keys = keys.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("n").alias("_n"))
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_h"))
-    once = docs.join(keys.filter("_n = 1").hint("shuffle_hash"), same, "left_semi")
-    several = keys.filter("_n > 1")
+    doc, h, n, place = free(docs, "key_doc", "key_hash", "key_rows", "key_place")
+    keys = decisions.groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias(n)).filter("kept")
+    keys = keys.select(F.col("doc_id").alias(doc), F.col("h").alias(h), n)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(h))
+    once = docs.join(keys.filter(F.col(n) == 1).hint("shuffle_hash"), same, "left_semi")
+    several = keys.filter(F.col(n) > 1)
     if several.isEmpty():
         return once
     # Repeated rows are few or alike; the window sees only those whose id and text occur again.
-    place = F.row_number().over(Window.partitionBy("_doc", "_h").orderBy(F.lit(1)))
-    again = docs.join(several, same).withColumn("_place", place).filter("_place = 1")
-    return once.unionByName(again.select(*docs.columns))
+    nth = F.row_number().over(Window.partitionBy(doc, h).orderBy(F.lit(1)))
+    again = docs.join(several, same).withColumn(place, nth).filter(F.col(place) == 1)
+    return once.unionByName(again.select(*[f"`{c}`" for c in docs.columns]))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:

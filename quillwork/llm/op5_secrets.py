@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import documents, mapped, slices, within, written
+from quillwork.llm.common import documents, free, mapped, slices, within, written
 
 BASE = ("assign", "access", "hex")
 
@@ -136,13 +136,14 @@ def redacted(docs: DataFrame, reported: DataFrame, most_rows: int = 50_000) -> D
     """``docs`` with every span of ``reported`` (doc_id, blob, spans) replaced by its kind; n_chars, if
     there is one, follows. Texts with a finding are few, so their spans are broadcast while their
     number is bounded by ``most_rows``."""
-    spans = reported.filter("spans <> ''").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).distinct()
-    blob = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
+    at, said = free(docs, "at_blob", "at_spans")
+    spans = reported.filter("spans <> ''").select(F.col("blob").alias(at), F.col("spans").alias(said)).distinct()
+    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
-            texts, found = rows.column("text").to_pylist(), rows.column("_spans").to_pylist()
+            texts, found = rows.column("text").to_pylist(), rows.column(said).to_pylist()
             hit = [s is not None for s in found]
             columns = {n: rows.column(n) for n in names}
             if any(hit):
@@ -152,7 +153,7 @@ def redacted(docs: DataFrame, reported: DataFrame, most_rows: int = 50_000) -> D
                     columns["n_chars"] = pa.array([len(t) if h else n for t, h, n in zip(texts, hit, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return mapped(docs.join(within(spans, most_rows), blob == F.col("_blob"), "left").drop("_blob"), run, docs.schema)
+    return mapped(docs.join(within(spans, most_rows), blob == F.col(at), "left").drop(at), run, docs.schema)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
