@@ -9,11 +9,14 @@ a chance below ``MISS``. The joins that find them avoid most of the postings:
   other values is skipped at once, which is nearly every text without a near copy;
 * prefix: with values in order of frequency, rarest first, two classes that share ``needed`` of
   them share one among all but the last ``needed`` - 1 of either, so only that prefix is joined;
-* merge: the first class of a posting list is compared with the list's others (a list of m gives
-  m - 1 pairs, not m * m), collisions are counted on both whole signatures, and pairs that match
-  often enough are confirmed on their full sets. Lists that are not one component yet are gone
-  through again: with both distances to the list's first class known, the triangle inequality of
-  the Hamming distance rules out most pairs of the list, and pairs within a component are skipped.
+* merge: the pivot of a posting list, its class of the most widely shared values, is compared with
+  the list's others (a list of m gives m - 1 pairs, not m * m). Collisions are counted on both whole
+  signatures, and pairs that match often enough are confirmed on their full sets;
+* skip again: what is left are pairs of a list's members of which one at least is in another
+  component than the pivot. Two sets as similar as asked share a shingle among the first quarter
+  of either, in any order common to both. In the order that puts the shingles that many members
+  hold last, a member far from the others has few of those in its quarter, so pairs that have no
+  more in common than what all members have are never made; the rest are counted and confirmed.
 
 Returned are components of confirmed links. A list of copies never makes all of its pairs.
 
@@ -43,6 +46,8 @@ WORDS = 5
 SIMILARITY = (75, 100)
 #: Chance that a pair at the threshold shares fewer values than ``needed``.
 MISS = 1e-6
+#: A shingle is common in a group if more than one in so many members has it.
+COMMON = 4
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(4242)).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -91,12 +96,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame, need: int) -> DataFrame:
-    """node, value: each class's prefix, rarest value first, of classes that may have a link."""
+    """node, value, spread: each class's prefix, rarest value first, of classes that may have a link, and
+    how many other classes hold its values in all."""
     posted = classes.select("node", F.explode("sig").alias("value"))
     shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("value", "shared_value")
     common = posted.join(shared, F.col("value") == F.col("shared_value"))
-    held = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("held")).filter(F.size("held") >= need)
-    return held.select("node", F.explode(F.slice("held", F.lit(1), F.size("held") - (need - 1))).alias("post")).select("node", F.col("post.value").alias("value"))
+    held = common.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("held"), F.sum("n").alias("spread")).filter(F.size("held") >= need)
+    return held.select("node", "spread", F.explode(F.slice("held", F.lit(1), F.size("held") - (need - 1))).alias("post")).select("node", F.col("post.value").alias("value"), "spread")
 
 
 def matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -107,20 +113,30 @@ def matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", F.size(F.array_intersect("sig_a", "sig_b")).alias("matches"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough. A class's text is found by doc_id and hash."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct().join(classes.select(F.col("node").alias("a"), "holder"), "a")
-    ids = ids.select(F.col("a").alias("node"), F.col("holder.doc_id").alias("node_doc"), F.col("holder.h").alias("node_h"))
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and found, its full set, of these nodes. A class's text is found by doc_id and hash."""
+    ids = nodes.join(classes.select("node", "holder"), "node").select("node", F.col("holder.doc_id").alias("node_doc"), F.col("holder.h").alias("node_h"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     schema = pa.schema([("node", pa.int64()), ("found", pa.binary())])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, batch in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in shingles(batch)], pa.binary())], schema=schema)
 
     wanted = texts.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("node_doc")) & (F.col("h") == F.col("node_h")))
     # Repeated rows hold one set.
-    found = written(mapped(wanted.select("node", "text"), sets, "node long, found binary"), "sets").dropDuplicates(["node"])
+    return mapped(wanted.select("node", "text"), run, "node long, found binary").dropDuplicates(["node"])
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with set_a and set_b."""
+    left = sets.select(F.col("node").alias("a"), F.col("found").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("found").alias("set_b"))
+    return pairs.join(right, "b").join(left, "a")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar enough."""
     link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     same, of = SIMILARITY
 
@@ -135,9 +151,76 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], schema=link)
 
-    left = found.select(F.col("node").alias("a"), F.col("found").alias("set_a"))
-    right = found.select(F.col("node").alias("b"), F.col("found").alias("set_b"))
-    return mapped(pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b"), compare, "a long, b long")
+    return mapped(with_sets(pairs.select("a", "b"), sets).select("a", "b", "set_a", "set_b"), compare, "a long, b long")
+
+
+def common_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members: g (group), b. For each g: shingles that over a share of 1 / COMMON of its members hold,
+    rarest first (at most COMMON times a mean set), and the size of its smallest set."""
+    schema = pa.schema([("g", pa.int64()), ("shingle", pa.int64())])
+    held = members.join(sets.withColumnRenamed("node", "b"), "b").select("g", "found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for start in range(0, rows.num_rows, 256):
+                part = rows.slice(start, 256)
+                found = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("found")]
+                g = np.repeat(part.column("g").to_numpy(), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.concatenate(found))], schema=schema)
+
+    counts = mapped(held, run, "g long, shingle long").groupBy("g", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = held.groupBy(F.col("g").alias("of")).agg(F.count(F.lit(1)).alias("m"), F.min(F.octet_length("found") / 8).cast("int").alias("least"))
+    common = counts.join(sizes, F.col("g") == F.col("of")).filter(F.col("n") * COMMON > F.col("m")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("c"))
+    return sizes.join(common, F.col("g") == F.col("of"), "left").select("of", "least", F.coalesce("c.shingle", F.array().cast("array<long>")).alias("common"))
+
+
+def first_quarter(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """members: g (group), b, root and far (whether b is in another component than g). A row per
+    shingle that b may share first with a similar set of its group, its place, and b's size."""
+    schema = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("root", pa.int64()), ("far", pa.bool_()), ("shingle", pa.int64()), ("place", pa.int32()), ("size", pa.int32())])
+    same, of = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for start in range(0, rows.num_rows, 256):  # a few hundred sets' quarters at once
+                part = rows.slice(start, 256)
+                firsts = []
+                for x, common, least in zip(part.column("found"), part.column("common"), part.column("least").to_pylist(), strict=True):
+                    own, late = np.frombuffer(x.as_buffer(), np.int64), common.values.to_numpy()
+                    n, late = len(own), late[np.isin(late, own)]
+                    ordered = np.concatenate([own[~np.isin(own, late)], late])
+                    # What it must share with the smallest set that can be similar.
+                    share = max(-(-same * n // of), -(-same * (n + min(n, least)) // (of + same)))
+                    firsts.append((ordered[: n - share + 1], n))
+                times = np.array([len(q) for q, _ in firsts])
+                kept = [pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), times), schema.field(c).type) for c in ("g", "b", "root", "far")]
+                shingle = np.concatenate([q for q, _ in firsts])
+                place = np.concatenate([np.arange(len(q), dtype=np.int32) for q, _ in firsts])
+                size = np.repeat(np.array([n for _, n in firsts], np.int32), times)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(shingle), pa.array(place), pa.array(size)], schema=schema)
+
+    held = members.join(common_shingles(members, sets), F.col("g") == F.col("of")).join(sets.withColumnRenamed("node", "b"), "b")
+    return mapped(held.select("g", "b", "root", "far", "found", "common", "least"), run, "g long, b long, root long, far boolean, shingle long, place int, size int")
+
+
+def pairs_apart(star: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: pairs that may be similar enough of classes in one list, one of them at least apart from
+    the list's pivot. Lists whose pivots are in one component are one group."""
+    root = roots.select(F.col("node").alias("n2"), "root")
+    known = star.join(root, F.col("b") == F.col("n2"), "left").select("a", "b", F.coalesce("root", "b").alias("root"))
+    known = known.join(root.withColumnRenamed("root", "root_a"), F.col("a") == F.col("n2"), "left")
+    known = known.select(F.coalesce("root_a", "a").alias("g"), "b", "root").distinct().withColumn("far", F.col("root") != F.col("g"))
+    several = known.groupBy("g").agg(F.max("far").alias("any"), F.count(F.lit(1)).alias("n")).filter("any and n > 1").select(F.col("g").alias("open"))
+    members = written(known.join(several, F.col("g") == F.col("open"), "left_semi"), "members")
+    posts = written(first_quarter(members, sets), "quarters")
+    left = posts.filter("far").select("g", "shingle", *[F.col(c).alias(f"u_{c}") for c in ("b", "root", "place", "size")])
+    right = posts.select("g", "shingle", "far", *[F.col(c).alias(f"v_{c}") for c in ("b", "root", "place", "size")])
+    same, of = SIMILARITY
+    # What two sets may share from a common shingle on, against what they must share.
+    enough = F.least(F.col("u_size") - F.col("u_place"), F.col("v_size") - F.col("v_place")) * (of + same) >= same * (F.col("u_size") + F.col("v_size"))
+    once = (F.col("u_b") < F.col("v_b")) | (~F.col("far") & (F.col("u_b") != F.col("v_b")))
+    both = left.join(right, ["g", "shingle"]).filter((F.col("u_root") != F.col("v_root")) & once & enough)
+    return both.select(F.least("u_b", "v_b").alias("a"), F.greatest("u_b", "v_b").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,28 +249,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     held = sigs.filter("set_key is not null")
     nodes = written(held.groupBy("set_key").agg(F.min("row").alias("node"), F.min(F.struct("row", "doc_id", "h")).alias("holder"), F.min_by("sig", "row").alias("sig")), "classes")
     posts = written(postings(nodes, need), "postings")
-    first = posts.groupBy("value").agg(F.min("node").alias("a")).withColumnRenamed("value", "list")
-    firsts = posts.join(first, F.col("value") == F.col("list"))
-    pairs = firsts.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    near = written(matches(pairs, nodes), "matches")
-    links = written(confirmed(near.filter(F.col("matches") >= need), nodes, docs), "links")
+    pivot = posts.groupBy("value").agg(F.max_by("node", F.struct("spread", "node")).alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1").withColumnRenamed("value", "list")
+    star = posts.join(pivot, F.col("value") == F.col("list")).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    star = written(star, "star")
+    sets = written(full_sets(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), nodes, docs), "sets")
+    links = written(confirmed(matches(star, nodes).filter(F.col("matches") >= need), sets), "links")
     roots = components(links)
-    # What is left of each list: classes of several components, and pairs that their distances to
-    # the list's first class don't rule out.
-    place = firsts.join(near.select(F.col("a").alias("a2"), F.col("b").alias("b2"), "matches"), (F.col("a") == F.col("a2")) & (F.col("node") == F.col("b2")), "left")
-    place = place.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
-    place = place.select("value", "node", F.coalesce("root", "node").alias("root"), F.coalesce("matches", F.lit(COORDINATES)).alias("matches"), (F.col("node") == F.col("a")).alias("is_first"))
-    several = place.groupBy("value").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("n")).filter("r1 <> r2 and n > 2").select(F.col("value").alias("list"))
-    rest = written(place.filter("not is_first").join(several, F.col("value") == F.col("list"), "left_semi"), "rest")
-    if not rest.isEmpty():
-        x = rest.select("value", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("matches").alias("m_a"))
-        y = rest.select("value", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("matches").alias("m_b"))
-        more = x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.abs(F.col("m_a") - F.col("m_b")) <= COORDINATES - need))
-        more = more.select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
-        near2 = written(matches(more, nodes).filter(F.col("matches") >= need), "matches2")
-        if not near2.isEmpty():
-            links = links.union(written(confirmed(near2, nodes, docs), "links2"))
-            roots = components(links)
+    more = written(matches(pairs_apart(star, roots, sets), nodes).filter(F.col("matches") >= need), "apart")
+    if not more.isEmpty():
+        links = links.union(written(confirmed(more, sets), "links"))
+        roots = components(links)
     member = held.join(nodes.select("set_key", "node"), "set_key").select("row", "node")
     member = member.join(roots.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select(F.col("row").alias("r2"), F.coalesce("root", "node").alias("root"))
     rows = sigs.select("row", "doc_id", "h", "n_shingles").join(member, F.col("row") == F.col("r2"), "left").withColumn("root", F.coalesce("root", "row"))
