@@ -14,9 +14,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -33,6 +34,9 @@ _L = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 _N = "0-9²³¹¼½¾"
 #: A text with any other character is split by the library, which knows all of Unicode.
 _ODD = re.compile("[^\\t\\n\\r\\x20-\\x7e¡-įı-ſ]")
+#: Marks at the end of a run that a letter stands before: a word of their own, so that a word and the
+#: same word before a comma are one key of the cache.
+_TAIL = re.compile(f"[.,;:!?]+(?<=[{_L}][.,;:!?])(?=\\s|\\Z)")
 _SPLIT = {
     "lower_words": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+"),
     "byte_level": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+"),
@@ -111,7 +115,7 @@ class Bpe:
         self._bytes = {c: b for b, c in chars.items()}
         self._library = Tokenizer.from_file(path)
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self._cache: dict[str, bytes] = {}
+        self._forget()
 
     # -- splitting ---------------------------------------------------------------------------
 
@@ -129,38 +133,40 @@ class Bpe:
                 text = self._library.normalizer.normalize_str(text)
             pieces = self._library.pre_tokenizer.pre_tokenize_str(text)
             return ["\0" + bytes(map(self._bytes.__getitem__, p)).decode("utf-8", "surrogateescape") for p, _ in pieces]
-        return text.lower().split() if self.lower else self.split.findall(text)
+        return _TAIL.sub(r" \g<0>", text.lower()).split() if self.lower else self.split.findall(text)
 
     def _words_of(self, key: str) -> list[str]:
         if key[0] == "\0" and len(key) > 1:
             return [key[1:]]
         return self.split.findall(key) if self.lower else [key]
 
-    def parts(self, text: str) -> list[list[str] | int]:
-        """Runs of words, and the ids of special strings between them."""
+    def keys(self, text: str) -> list[str]:
+        """The keys of a whole text; ``\\2`` stands before a special string."""
         if not any(s in text for s in self.special):
-            return [self.words(text)]
-        return [self.special[s] if s in self.special else self.words(s) for s in self._marks.split(text) if s]
+            return self.words(text)
+        parts = [[f"\2{s}"] if s in self.special else self.words(s) for s in self._marks.split(text) if s]
+        return list(chain.from_iterable(parts))
 
     # -- merging -----------------------------------------------------------------------------
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
-        out: dict[str, bytes] = {}
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            raw = w.encode("utf-8", "surrogateescape")
-            if len(raw) == 1:
-                out[w] = int(self.last[raw[0]]).to_bytes(4, "little")
-            elif len(raw) > LONG_WORD:
-                out[w] = self._merge_long(raw).astype("<u4").tobytes()
-            else:
-                by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append((w, raw))
-        for width, group in by_width.items():
+        raws = [w.encode("utf-8", "surrogateescape") for w in words]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        out = [b""] * len(raws)
+        for i in np.flatnonzero(sizes == 1).tolist():
+            out[i] = int(self.last[raws[i][0]]).to_bytes(4, "little")
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[i] = self._merge_long(raws[i]).astype("<u4").tobytes()
+        width = 2
+        while width < 2 * LONG_WORD:
+            rows = np.flatnonzero((sizes > width // 2) & (sizes <= min(width, LONG_WORD))).tolist()
             step = max(1, (1 << 18) // width)
-            for i in range(0, len(group), step):
-                part = group[i : i + step]
-                out.update(zip((w for w, _ in part), self._merge_many([r for _, r in part], width), strict=True))
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                for i, ids in zip(part, self._merge_many([raws[i] for i in part], width), strict=True):
+                    out[i] = ids
+            width *= 2
         return out
 
     def _symbols(self, raw: bytes) -> np.ndarray:
@@ -277,30 +283,39 @@ class Bpe:
 
     # -- texts -------------------------------------------------------------------------------
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The cache, with these words in it: word to its ids as little-endian unsigned 32-bit."""
-        new = words.difference(self._cache)
-        if len(self._cache) + len(new) > CACHE_WORDS:
-            self._cache.clear()
-            new = words
-        if new:
-            plain = {key for key in new if key.isalpha()} if self.lower else set()
-            parts = {key: self._words_of(key) for key in new - plain}
-            ids = self.encode_words(plain.union(*parts.values()))
-            self._cache.update({key: ids[key] for key in plain})
-            self._cache.update({key: b"".join(map(ids.__getitem__, ws)) for key, ws in parts.items()})
-        return self._cache
+    def _forget(self) -> None:
+        """An empty cache: key to its place, and each place's run of ids in one array."""
+        self._places: defaultdict[str, int] = defaultdict()
+        self._places.default_factory = self._places.__len__
+        self._ids, self._starts, self._sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds the ids of these keys, which have the next places."""
+        plain = [key.isalpha() if self.lower else False for key in new]
+        words = [[key] if p else [] if key[0] == "\2" else self._words_of(key) for key, p in zip(new, plain, strict=True)]
+        several = list(dict.fromkeys(chain.from_iterable(words)))
+        ids = dict(zip(several, self.encode_words(several), strict=True))
+        runs = [self.special[key[1:]].to_bytes(4, "little") if key[0] == "\2" else ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for key, ws in zip(new, words, strict=True)]
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        self._starts = np.append(self._starts, len(self._ids) + np.cumsum(sizes) - sizes)
+        self._sizes = np.append(self._sizes, sizes)
+        self._ids = np.append(self._ids, np.frombuffer(b"".join(runs), "<u4"))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [self.parts(t) for t in texts]
-        cache = self.learn(set(chain.from_iterable(w for parts in split for w in parts if not isinstance(w, int))))
-        get = cache.__getitem__
-        for parts in split:
-            if len(parts) == 1 and not isinstance(parts[0], int):
-                yield b"".join(map(get, parts[0]))
-            else:
-                yield b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(get, p)) for p in parts)
+        if len(self._places) > CACHE_WORDS:
+            self._forget()
+        place, known = self._places.__getitem__, len(self._places)
+        found = []
+        for text in texts:
+            keys = self.keys(text)
+            found.append(np.fromiter(map(place, keys), np.int64, len(keys)))
+        self._learn([*islice(reversed(self._places), len(self._places) - known)][::-1])
+        for at in found:
+            sizes = self._sizes[at]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            yield self._ids[np.repeat(self._starts[at] - ends + sizes, sizes) + np.arange(total)].tobytes()
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids, special tokens kept."""
