@@ -68,6 +68,16 @@ def rewritten_phrases(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", phrases.team_voice(phrases.pounds(dates.plain_dates(said))).alias("s"))
 
 
+@queries("I13", """WITH t AS (SELECT o_orderkey, CAST(day(o_orderdate) % 28 + 1 AS INT) AS a, CAST(day(o_orderdate) * 7 % 28 + 1 AS INT) AS b, month(o_orderdate) AS m FROM orders)
+SELECT o_orderkey, CASE WHEN a <= b THEN make_date(2024, m, a) ELSE CAST(make_date(2024, m, 1) - INTERVAL 1 MONTH AS DATE) + (a - 1) END AS range_start, make_date(2024, m, b) AS range_end FROM t""")
+def day_ranges(t: Tables) -> DataFrame:
+    """Both ends of ranges such as '27 to 7 August'."""
+    first, last = F.day("o_orderdate") % 28 + 1, F.day("o_orderdate") * 7 % 28 + 1
+    month = F.date_format(F.make_date(F.lit(2024), F.month("o_orderdate"), F.lit(1)), "MMMM")
+    start, end = dates.expand_range(F.concat(first, F.lit(" to "), last, F.lit(" "), month), 2024)
+    return t.orders.select("o_orderkey", start.alias("range_start"), end.alias("range_end"))
+
+
 @queries("I15", r"""SELECT event_id, CASE WHEN contains(w, 'every') OR contains(w, 'weekly') THEN 'recurrence' WHEN contains(w, 'between') THEN 'range' WHEN contains(w, 'by ') THEN 'bound' WHEN contains(w, 'next') OR contains(w, 'this') THEN 'period' WHEN regexp_matches(w, '\d{4}-\d{2}-\d{2}') THEN 'specific' ELSE 'none' END AS kind
 FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'every Friday' WHEN 1 THEN 'between May and June' WHEN 2 THEN 'by Monday' WHEN 3 THEN 'next quarter' WHEN 4 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE '' END AS w FROM events)""")
 def timing_kinds(t: Tables) -> DataFrame:

@@ -35,10 +35,11 @@ def vector_top_k(t: Tables) -> DataFrame:
 @queries("L5")
 def celled_search(t: Tables) -> DataFrame:
     """Nearest rows by a coarse index: every row is in the cell of its nearest of 16 fitted centres,
-    and a query looks into the nearest 8 cells; rows whose id is divisible by 20 are the queries."""
+    and a query looks into the nearest 12; rows whose id is divisible by 20 are the queries. Of the true
+    ten nearest rows 0.95 are found (0.81 with 8 cells): these vectors hardly cluster."""
     centres = centroids(t.embeddings, 16)
     index = cells(t.embeddings, centres, 1)
-    asked = cells(t.embeddings.filter("vec_id % 20 = 0"), centres, 8)
+    asked = cells(t.embeddings.filter("vec_id % 20 = 0"), centres, 12)
     scored = scored_by_cell(asked, index)
     return ranked(scored, ["q"], [F.desc("score"), F.col("vec_id")]).filter("place <= 10").select("q", "vec_id", F.round("score", 4).alias("score"))
 

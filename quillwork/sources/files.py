@@ -31,7 +31,8 @@ def docx_text(data: bytes) -> str | None:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, text, unsupported: text and CSV files as they are, Word documents as their paragraphs."""
+    """path, text, unsupported: text and CSV files as they are, Word documents as their paragraphs.
+    Files of no bytes aren't listed by Spark's reader and give no row."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
