@@ -4,9 +4,11 @@ One pass measures every whole text. For each (lang, source) and each ratio a ske
 of logarithmic bins, so quantiles have a relative error of ``BIN - 1`` at most and two sketches
 merge by adding counts, in any order and with the same result each time. A group of too few
 documents takes the merged sketch of its language, then that of all documents. A ratio fails
-beyond a far fence (its median plus ``FENCE`` interquartile ranges) and never below a floor, so a
-source of clean prose loses nothing however even it is. Thresholds are joined back to the
-documents on (lang, source, salt): a hot source is spread over ``SALTS`` tasks.
+beyond a far fence: the median of its group plus ``FENCE`` interquartile ranges, or plus ``SLACK``
+where those are less, so a source of clean prose loses nothing however even it is. A fence ends at
+``MOST``, so a source with much junk can't switch a rule off: a fixed share for the ratios up to 1,
+a multiple of the group's median for the length of words, which differs by script. Thresholds are
+joined back to the documents on (lang, source, salt): a hot source is spread over ``SALTS`` tasks.
 
 Edge cases: a null or empty text has no words, no lines and no ratios, and fails the base rule;
 null lang or source is a group of its own; repeated rows each count and give a row; an empty table
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 from quillwork.llm.common import documents, mapped, slices, written
 from quillwork.llm.textscan import LEAD, SPACE, Words, mix
 
-#: Ratio: least value at which it may fail a text.
-FLOORS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.20, "word_length": 16.0}
+#: Ratio: least distance from its group's median at which it may fail a text.
+SLACK = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.20, "word_length": 1.0}
+#: Ratio: share at which a fence ends; of ``word_length``, medians of its group.
+MOST = {"symbol_ratio": 0.30, "dup_line_ratio": 0.60, "repeat_ratio": 0.30, "word_length": 1.5}
 BIN = 1.02
 FENCE = 8.0
 LEAST_GROUP = 200
@@ -94,8 +98,8 @@ def ratios(measured: DataFrame) -> DataFrame:
 
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, ratio, bin, n: texts with a word only; bin null holds the zeros."""
-    pairs = ", ".join(f"'{r}', {r}" for r in FLOORS)
-    rows = ratios(measured).filter("n_words > 0").selectExpr("lang", "source", f"stack({len(FLOORS)}, {pairs}) as (ratio, value)")
+    pairs = ", ".join(f"'{r}', {r}" for r in SLACK)
+    rows = ratios(measured).filter("n_words > 0").selectExpr("lang", "source", f"stack({len(SLACK)}, {pairs}) as (ratio, value)")
     place = F.when(F.col("value") > 0, F.ceil(F.log("value") / math.log(BIN))).cast("int")
     return rows.groupBy("lang", "source", "ratio", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -113,11 +117,14 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """lang, source and a column of each ratio: the value beyond which a text of that group fails."""
-    limit = F.col("q50") + FENCE * (F.col("q75") - F.col("q25"))
+    of = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("ratio")]
+    fence = F.col("q50") + F.greatest(FENCE * (F.col("q75") - F.col("q25")), of(SLACK))
+    end = F.when(F.col("ratio") == "word_length", F.greatest(F.col("q50") * of(MOST), F.col("q50") + of(SLACK))).otherwise(of(MOST))
+    limit = F.least(fence, end)
 
     def limits(keys: list[str], name: str, least: int) -> DataFrame:
         own = quantiles(sketch, keys).filter(F.col("n_docs") >= least).withColumn("limit", limit)
-        return own.groupBy(*keys).agg(*[F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(f"{name}_{r}") for r in FLOORS])
+        return own.groupBy(*keys).agg(*[F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(f"{name}_{r}") for r in SLACK])
 
     groups = sketch.select("lang", "source").distinct()
     by_source = limits(["lang", "source"], "s", LEAST_GROUP).withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
@@ -125,18 +132,18 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     out = groups.join(by_source, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
     out = out.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
     # Of all documents there is one number a ratio.
-    overall = FLOORS | {r["ratio"]: r["limit"] for r in quantiles(sketch, []).withColumn("limit", limit).collect()}
-    return out.select("lang", "source", *[F.greatest(F.coalesce(f"s_{r}", f"l_{r}", F.lit(overall[r])), F.lit(FLOORS[r])).alias(f"max_{r}") for r in FLOORS])
+    overall = SLACK | {r["ratio"]: r["limit"] for r in quantiles(sketch, []).withColumn("limit", limit).collect()}
+    return out.select("lang", "source", *[F.coalesce(f"s_{r}", f"l_{r}", F.lit(overall[r])).alias(f"max_{r}") for r in SLACK])
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """A row per input row: doc_id, the counts, base_failed, kept and the rules that failed it."""
     measured = written(measure(docs), "measures")
     limits = thresholds(written(sketches(measured), "sketches"))
-    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{r}" for r in FLOORS], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
+    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{r}" for r in SLACK], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
     salted = ratios(measured).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int"))
     same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt"))
-    failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in FLOORS]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in SLACK]), lambda x: x.isNotNull())
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return salted.join(limits, same, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(failed) <= 0)).alias("kept"), F.array_join(failed, ",").alias("failed_rules")

@@ -185,6 +185,27 @@ def test_sketches_merge_and_are_near_true_quantiles(spark):
             assert abs(v - true) <= true * (op8_quality.BIN - 1)
 
 
+def test_the_sketch_of_a_source_sets_its_thresholds_and_verdicts(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n, letters: " ".join("".join(rng.choice(list("abcdefghijklmnop"), max(1, letters + rng.integers(-2, 3)))) for _ in range(n))
+    marked = lambda share: " ".join(w + "#" * (i % 10 < share) for i, w in enumerate(prose(60, 5).split()))
+    rows = [(i, prose(60, 5), "en", "short") for i in range(240)] + [(1000 + i, prose(60, 10), "en", "long") for i in range(240)]
+    # Two in five are mostly symbols: the quartiles are far apart.
+    rows += [(2000 + i, " ".join(w + "####" for w in prose(60, 5).split()) if i % 5 < 2 else prose(60, 5), "en", "dirty") for i in range(240)]
+    # A text of long words and one of some symbols, in each source.
+    rows += [(3000, prose(60, 10), "en", "short"), (3001, prose(60, 10), "en", "long"), (3002, marked(8), "en", "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r.source: r for r in op8_quality.thresholds(op8_quality.sketches(op8_quality.measure(docs))).collect()}
+    assert limits["short"].max_word_length < 9 < 10.5 < limits["long"].max_word_length
+    found = {r.doc_id: r for r in op8_quality.quality(docs).collect()}
+    assert (found[3000].kept, found[3000].failed_rules) == (False, "word_length")
+    assert (found[3001].kept, found[3001].failed_rules) == (True, "")
+    assert found[3002].failed_rules == "symbol_ratio"
+    assert all(found[i].kept for i in [*range(240), *range(1000, 1240)])
+    for i in range(240):  # junk doesn't pass for being common
+        assert ("symbol_ratio" in found[2000 + i].failed_rules) == (i % 5 < 2)
+
+
 # -- operator 9 ----------------------------------------------------------------------------------
 
 
