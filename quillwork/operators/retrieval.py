@@ -1,16 +1,23 @@
-"""A coarse-celled vector index: an inverted file as columns."""
+"""Vector search: exact by blocks, and a coarse-celled index (an inverted file as columns)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.vectors import dot
+from quillwork.operators.latest import ranked
 
 #: Rows that centres are fitted on at most.
 FIT_ROWS = 5000
+#: Vectors of a block: a product of two blocks is of 1024 by 2048 scores.
+ASKED_BLOCK, ROWS_BLOCK = 1024, 2048
+#: Queries whose best rows a task holds before it hands them on.
+HELD_ASKED = 1 << 16
 
 
 def centroids(vectors: DataFrame, k: int, steps: int = 8) -> np.ndarray:
@@ -43,3 +50,69 @@ def scored_by_cell(asked: DataFrame, index: DataFrame) -> DataFrame:
     """q, vec_id and score of all index rows in the cells that a query looks into."""
     q = asked.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "cell")
     return index.join(q, "cell").select("q", "vec_id", dot(F.col("v"), F.col("embedding")).alias("score"))
+
+
+def blocks(vectors: DataFrame, most: int, prefix: str) -> DataFrame:
+    """Rows of up to ``most`` vectors of one partition and one size: ids, their matrix, and that size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple]] = {}
+
+        def block(size: int) -> pd.DataFrame:
+            ids, rows = zip(*held.pop(size), strict=True)
+            return pd.DataFrame({f"{prefix}_ids": [np.array(ids, np.int64).tobytes()], f"{prefix}_matrix": [np.array(rows, np.float64).tobytes()], f"{prefix}_size": [size]})
+
+        for pdf in frames:
+            for i, v in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                held.setdefault(len(v), []).append((i, v))
+                if len(held[len(v)]) >= most:
+                    yield block(len(v))
+        for size in list(held):
+            yield block(size)
+
+    known = vectors.filter("vec_id is not null and size(embedding) > 0").select("vec_id", "embedding")
+    return known.mapInPandas(run, f"{prefix}_ids binary, {prefix}_matrix binary, {prefix}_size int")
+
+
+def best_rows(asked: DataFrame, vectors: DataFrame, k: int, digits: int = 4) -> DataFrame:
+    """q, vec_id and score of the k best rows of ``vectors`` for each row of ``asked``, exact: every
+    query block meets every row block, and a task hands on the k best of what it saw. The order is by
+    the rounded score, then by vec_id."""
+    n = max(1, -(-asked.count() // ASKED_BLOCK))
+    pairs = blocks(vectors, ROWS_BLOCK, "r").crossJoin(blocks(asked.select("vec_id", "embedding").repartition(n), ASKED_BLOCK, "q"))
+
+    def best(ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best columns of each row."""
+        if scores.shape[1] > 4 * k:  # whatever ties with the k-th best stays in
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            at = [np.flatnonzero(row >= m) for row, m in zip(scores, least, strict=True)]
+        else:
+            at = [np.arange(scores.shape[1])] * len(scores)
+        at = np.stack([a[np.lexsort((i[a], -row[a]))][:k] for a, i, row in zip(at, ids, scores, strict=True)])
+        return np.take_along_axis(ids, at, 1), np.take_along_axis(scores, at, 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def hand_on() -> Iterator[pd.DataFrame]:
+            for q_ids, (ids, scores) in held.items():
+                yield pd.DataFrame({"q": np.repeat(np.frombuffer(q_ids, np.int64), ids.shape[1]), "vec_id": ids.ravel(), "score": scores.ravel()})
+            held.clear()
+
+        for pdf in frames:
+            for r_ids, r, size, q_ids, q, q_size in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                if size != q_size:  # told here: as a join condition, one size would be the only key
+                    continue
+                exact = np.frombuffer(q, np.float64).reshape(-1, size) @ np.frombuffer(r, np.float64).reshape(-1, size).T
+                scores = np.copysign(np.floor(np.abs(exact) * 10**digits + 0.5), exact) / 10**digits + 0.0
+                ids = np.broadcast_to(np.frombuffer(r_ids, np.int64), scores.shape)
+                found = best(ids, scores)
+                if q_ids in held:
+                    found = best(*(np.concatenate(x, axis=1) for x in zip(held[q_ids], found, strict=True)))
+                held[q_ids] = found
+                if 8 * HELD_ASKED < sum(map(len, held)):
+                    yield from hand_on()
+        yield from hand_on()
+
+    scored = pairs.mapInPandas(run, "q long, vec_id long, score double")
+    return ranked(scored, ["q"], [F.desc("score"), F.col("vec_id")]).filter(F.col("place") <= k).select("q", "vec_id", "score")

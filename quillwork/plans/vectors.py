@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.vectors import cosine, dot
 from quillwork.operators.latest import ranked
-from quillwork.operators.retrieval import cells, centroids, scored_by_cell
+from quillwork.operators.retrieval import best_rows, cells, centroids, scored_by_cell
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
 
@@ -26,10 +26,13 @@ def neighbour_cosines(t: Tables) -> DataFrame:
 @queries("L4", f"""SELECT q, vec_id, score FROM (SELECT q.vec_id AS q, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) DESC, e.vec_id) AS rn FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q) WHERE rn <= 8""")
 def vector_top_k(t: Tables) -> DataFrame:
     """Five stated query vectors against all rows; each task keeps its own best before the shuffle."""
-    asked = t.embeddings.filter("vec_id < 5").select(F.collect_list(F.struct(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))).alias("asked")).first()["asked"]
-    query = F.array(*[F.struct(F.lit(r["q"]).cast("long").alias("q"), F.array(*[F.lit(float(x)) for x in r["v"]]).alias("v")) for r in sorted(asked)])
-    scored = t.embeddings.select("vec_id", "embedding", F.explode(query).alias("a")).select(F.col("a.q").alias("q"), "vec_id", F.round(dot(F.col("a.v"), F.col("embedding")), 4).alias("score"))
-    return ranked(scored, ["q"], [F.desc("score"), F.col("vec_id")]).filter("place <= 8").select("q", "vec_id", "score")
+    return best_rows(t.embeddings.filter("vec_id < 5"), t.embeddings, 8)
+
+
+@queries("L4")
+def vector_top_k_all(t: Tables) -> DataFrame:
+    """The same search for every row whose id is divisible by 20."""
+    return best_rows(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, 8)
 
 
 @queries("L5")
@@ -84,3 +87,15 @@ def top_k_prototypes(t: Tables) -> DataFrame:
     best = s.groupBy("vec_id", "label").agg(F.max("score").alias("score")).filter("score > 0")
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
     return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("vec_id", "label", "rank", F.round("score", 3).alias("score"))
+
+
+@queries("G7")
+def top_k_label_prototypes(t: Tables) -> DataFrame:
+    """The same with prototypes of every label of the table: its two rows of the least ids."""
+    first = ranked(t.embeddings, ["label"], [F.col("vec_id")]).filter("place <= 2").groupBy("label").agg(F.collect_list("embedding").alias("vectors"))
+    # As many as there are labels, which are few: one array for all rows.
+    prototypes = first.agg(F.collect_list(F.struct("label", "vectors")).alias("prototypes"))
+    scores = F.transform("prototypes", lambda p: F.struct(F.array_max(F.transform(p["vectors"], lambda v: dot(F.col("embedding"), v))).alias("score"), (-p["label"]).alias("low")))
+    best = F.slice(F.sort_array(F.filter(scores, lambda s: s["score"] > 0), asc=False), 1, 3)
+    top = t.embeddings.crossJoin(F.broadcast(prototypes)).select("vec_id", F.posexplode(best).alias("at", "top"))
+    return top.select("vec_id", (-F.col("top.low")).alias("label"), (F.col("at") + 1).alias("rank"), F.round("top.score", 3).alias("score"))
