@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """A step's result in the folder that all executors share."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillwork"
@@ -22,13 +22,13 @@ def connected(links: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of every node with a link (a, b); nodes of any ordered
     type. Every node takes the least root around it, then its root's root, until none changes: long
     chains take a logarithmic number of rounds, and each round is a few joins of the links' size."""
-    both = _written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         around = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         near = roots.join(around, "node").select("node", "root", F.least("root", "r").alias("next"))
         jump = near.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = _written(near.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next")))
+        new = written(near.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next")))
         done = new.filter("root <> next").isEmpty()
         roots = new.select("node", F.col("next").alias("root"))
         if done:

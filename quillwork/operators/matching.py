@@ -1,11 +1,21 @@
-"""Pairs of rows by shared tokens, and one-to-one matches among them."""
+"""Pairs of rows by shared tokens, one-to-one matches among them, and nearest names."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.fuzzy import osa_distance
+from quillwork.operators.components import written
+
+#: Edits that are looked up by variants with letters left out; more go by segments.
+VARIANT_EDITS = 2
+#: A name's postings are spread over so many tasks.
+SALTS = 16
+
 
 def pairs_sharing(rows: DataFrame, group: list[str], place: str, tokens: str) -> DataFrame:
     """Pairs a < b of a group that share a token, the number shared, and both sizes. An inverted
@@ -29,3 +39,72 @@ def greedy_pairs(pairs: DataFrame, group: str) -> DataFrame:
     """One-to-one matches of each group: best score first, ties by a then b, each side used once.
     The fold is sequential, so a group is one task's; groups are conversations or reports."""
     return pairs.groupBy(group).applyInPandas(_greedy, pairs.schema)
+
+
+def allowed_edits(length: int) -> int:
+    """A fifth of the letters, 1 at least."""
+    return max(1, length // 5)
+
+
+def _variants(name: str, edits: int) -> list[tuple]:
+    """The name with 0 to ``edits`` letters left out: names within that distance share one."""
+    return [(edits, 0, 0, v) for v in {"".join(x) for k in range(min(edits, len(name)) + 1) for x in combinations(name, len(name) - k)}]
+
+
+def _bounds(length: int, edits: int) -> list[int]:
+    """Of 2 * edits + 1 segments; an edit, even a swap, spoils two at most, so one segment is left whole."""
+    n = 2 * edits + 1
+    return [length * i // n for i in range(n + 1)]
+
+
+def _known_segments(name: str) -> list[tuple]:
+    n, out = len(name), []
+    for edits in {e for m in range(2 * n + 6) if abs(m - n) <= (e := allowed_edits(m)) and e > VARIANT_EDITS}:
+        at = _bounds(n, edits)
+        out += [(edits, n, i, name[a:b]) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True))]
+    return out
+
+
+def _asked_segments(name: str) -> list[tuple]:
+    edits, out = allowed_edits(len(name)), set()
+    if edits > VARIANT_EDITS:
+        for n in range(len(name) - edits, len(name) + edits + 1):
+            at = _bounds(n, edits)
+            for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                out |= {(edits, n, i, name[a + d : b + d]) for d in range(-edits, edits + 1) if 0 <= a + d and b + d <= len(name)}
+    return list(out)
+
+
+def _postings(keys, column: str) -> Column:
+    @F.pandas_udf("array<struct<edits:int,length:int,at:int,part:string>>")
+    def made(names: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("edits", "length", "at", "part"), k, strict=True)) for k in keys(x)] for x in names])
+
+    return made(column)
+
+
+def nearest_names(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked, resolved and distance of the rows of ``asked`` (asked, said) that are within their allowed
+    edits of a name of ``known`` (id, name); a tie for the least distance resolves to no one.
+
+    Candidates come from exact filters, the cheapest first: whoever is within one edit of a name needs
+    no look at names further away, and so on. A row of ``asked`` is one of distinct ``asked``."""
+    asked, known = asked.filter("said is not null"), known.filter("name is not null")
+    found = None
+    for step in range(1, VARIANT_EDITS + 2):
+        by_variant = step <= VARIANT_EDITS
+        ours, theirs = ((lambda x, e=step: _variants(x, e),) * 2) if by_variant else (_asked_segments, _known_segments)
+        most = F.greatest(F.lit(1), F.floor(F.length("said") / 5))
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        a = asked.filter(most >= step).withColumn("k", F.explode(_postings(ours, "said"))).select("asked", "said", "k", F.explode(salts).alias("salt"))
+        b = known.select("id", "name", F.explode(_postings(theirs, "name")).alias("k"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+        pairs = a.join(b, ["k", "salt"]).select("asked", "said", "id", "name").distinct()
+        near = pairs.withColumn("distance", osa_distance("said", "name")).filter(F.col("distance") <= (F.lit(step) if by_variant else most))
+        # Counted by distance before the least is taken, so no row's candidates meet in one task.
+        at = near.groupBy("asked", "distance").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+        best = at.groupBy("asked").agg(F.min(F.struct("distance", "id", "n")).alias("b"))
+        new = best.select("asked", F.when(F.col("b.n") == 1, F.col("b.id")).alias("resolved"), F.col("b.distance").alias("distance"))
+        new = written(new)
+        found = new if found is None else found.unionByName(new)
+        asked = asked.join(new.select("asked"), "asked", "left_anti")
+    return found

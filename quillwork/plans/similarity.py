@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwork.functions.fuzzy import osa_distance, partial_ratio, token_set_ratio
+from quillwork.functions.fuzzy import partial_ratio, token_set_ratio
 from quillwork.functions.text import ascii_only, jaccard, overlap, overlap_of_larger, stem, words
 from quillwork.operators.latest import ranked
-from quillwork.operators.matching import pairs_sharing
+from quillwork.operators.matching import nearest_names, pairs_sharing
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
 
@@ -51,13 +51,7 @@ def nearest_supplier_name(t: Tables) -> DataFrame:
     """Misspelt names (two letters swapped) resolved to the one supplier within the allowed distance."""
     n = F.length("s_name")
     swapped = F.concat(F.substr("s_name", F.lit(1), n - 2), F.substr("s_name", n, F.lit(1)), F.substr("s_name", n - 1, F.lit(1)))
-    asked = t.supplier.select(F.col("s_suppkey").alias("asked"), swapped.alias("said"), F.substring("s_name", 1, 12).alias("block"))
-    known = t.supplier.select("s_suppkey", "s_name", F.substring("s_name", 1, 12).alias("block"))
-    near = asked.join(known, "block").withColumn("distance", osa_distance("said", "s_name")).filter(F.col("distance") <= F.greatest(F.lit(1), F.floor(0.2 * F.length("said"))))
-    # A tie for the least distance resolves to no one.
-    best = near.withColumn("least", F.min("distance").over(Window.partitionBy("asked"))).filter("distance = least")
-    one = best.groupBy("asked").agg(F.min("s_suppkey").alias("resolved"), F.count(F.lit(1)).alias("n"), F.min("distance").alias("distance"))
-    return one.select("asked", F.when(F.col("n") == 1, F.col("resolved")).alias("resolved"), "distance")
+    return nearest_names(t.supplier.select(F.col("s_suppkey").alias("asked"), swapped.alias("said")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
 @queries("K8 V4")
