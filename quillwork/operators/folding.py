@@ -1,13 +1,16 @@
 """Order-dependent consolidation: folds over the rows of one group, a group to a task.
 
-Groups are conversations, reports or labels. The folds depend on input order by definition, so they
+Groups are conversations, reports or labels; of labels, which grow, rows are streamed. The folds depend on input order by definition, so they
 aren't set operations; each sorts its group by an explicit key first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,25 +38,35 @@ def seed_groups(items: DataFrame, least: float) -> DataFrame:
 
 
 def online_centroids(vectors: DataFrame, least: float, bonus: float) -> DataFrame:
-    """Joins the nearest running centre if near enough; the last cluster joined gets a bonus."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        sums, out, last = [], [], -1
-        for v in pdf["embedding"]:
-            v = np.asarray(v, np.float64)
-            scores = [float(v @ s / (np.linalg.norm(s) * np.linalg.norm(v) or 1)) + bonus * (i == last) for i, s in enumerate(sums)]
-            best = int(np.argmax(scores)) if scores else -1
-            if best >= 0 and scores[best] >= least:
-                sums[best] = sums[best] + v
-            else:
-                best = len(sums)
-                sums.append(v)
-            last = best
-            out.append(best)
-        return pd.DataFrame({"label": pdf["label"], "vec_id": pdf["vec_id"], "cluster": out})
-
-    return vectors.groupBy("label").applyInPandas(run, "label int, vec_id long, cluster long")
+    """Joins the nearest running centre if near enough; the last cluster joined gets a bonus.
+
+    The fold of a label is in order of vec_id, so one task does it, but rows stream through: of a label
+    a worker holds the centres, not the vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, sums, norms, n, last = object(), np.zeros((0, 0)), np.zeros(0), 0, -1
+        for rows in batches:
+            out = []
+            for g, v in zip(rows.column("label").to_pylist(), rows.column("embedding").to_pylist(), strict=True):
+                v = np.asarray(v, np.float64)
+                if g != label:
+                    label, sums, norms, n, last = g, np.zeros((8, len(v))), np.zeros(8), 0, -1
+                size = np.linalg.norm(v)
+                scores = sums[:n] @ v / np.where(norms[:n] * size > 0, norms[:n] * size, 1)
+                scores[last : last + 1] += bonus if n else 0
+                best = int(np.argmax(scores)) if n else -1
+                if best < 0 or scores[best] < least:
+                    if n == len(sums):  # room doubles
+                        sums, norms = np.vstack([sums, np.zeros_like(sums)]), np.concatenate([norms, np.zeros_like(norms)])
+                    best, n = n, n + 1
+                sums[best] += v
+                norms[best] = np.linalg.norm(sums[best])
+                last = best
+                out.append(best)
+            yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("vec_id"), pa.array(out, pa.int64())], names=["label", "vec_id", "cluster"])
+
+    dealt = vectors.select(F.col("label").cast("int"), F.col("vec_id").cast("long"), "embedding").repartition("label").sortWithinPartitions("label", "vec_id")
+    return dealt.mapInArrow(run, "label int, vec_id long, cluster long")
 
 
 def merge_by_distance(items: DataFrame, near: float, far: float, reach: int) -> DataFrame:

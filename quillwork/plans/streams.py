@@ -10,6 +10,8 @@ from quillwork.sources.tables import Tables
 from quillwork.streaming import queue
 
 queries = Book()
+#: Ids of a range that is numbered by one task.
+ID_RANGE = 10_000
 
 
 @queries("R1 R2", """WITH j AS (SELECT event_id, event_type, ts, user_id % 4 AS attempts FROM events WHERE event_type IN ('click', 'view') AND ts < TIMESTAMP '2024-01-20'), d AS (SELECT * FROM j WHERE attempts < 3)
@@ -21,8 +23,13 @@ def dispatch_plan(t: Tables) -> DataFrame:
 
 @queries("R3", """SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 20) AS BIGINT) AS batch, source FROM documents""")
 def embedding_batches(t: Tables) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return t.documents.select("doc_id", F.floor((F.row_number().over(w) - 1) / 20).alias("batch"), "source")
+    # Numbered within ranges of ids, to which the counts of the ranges before are added: a hot source is many tasks'.
+    docs = t.documents.select("doc_id", "source", F.floor(F.col("doc_id") / ID_RANGE).alias("range"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = docs.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("source", "range").orderBy("doc_id"))
+    numbered = docs.withColumn("place", place).join(counts, F.col("source").eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("at")))
+    return numbered.select("doc_id", F.floor((F.col("offset") + F.col("place") - 1) / 20).alias("batch"), "source")
 
 
 @queries("R4 R5 R6")
