@@ -5,7 +5,7 @@ length. A keyed Feistel network over the least even number of bits, walked on wh
 range, maps the sequences' numbers 0..N-1 to the slots 0..N-1 of the training order. Shard k holds
 the slots from k * shard_records on, in order, in records of one stride, so slot s is at byte
 (s % shard_records) * stride of shard s // shard_records: a reader that knows how far it came
-resumes by a seek, and reads on in sequence.
+(``read_from``) skips whole shards, starts at that byte, and reads on in sequence.
 
 A record is the ids as little-endian unsigned integers of 2 bytes (4 for a large vocabulary),
 padded with 0, the number of ids in 3 bytes, and a line feed. Shards are written by Spark's text
@@ -172,6 +172,31 @@ def read_shards(spark: SparkSession, folder: str, layout: Layout) -> DataFrame:
     return mapped(files.select(shard, "content"), run, "slot long, n_tokens long, seq_crc32 long")
 
 
+def read_from(spark: SparkSession, folder: str, layout: Layout, first_slot: int = 0) -> DataFrame:
+    """slot and ids of the records from ``first_slot`` on, each shard in sequence. Shards before it
+    aren't opened, records before it in its shard aren't decoded."""
+    schema = pa.schema([("slot", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    first_shard, first_record = divmod(first_slot, layout.shard_records)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                shard, data = rows.column("shard")[i].as_py(), memoryview(rows.column("content")[i].as_buffer())
+                n, at = len(data) // layout.stride, first_record if shard == first_shard else 0
+                for start in range(at, n, 256):
+                    slots = range(start, min(start + 256, n))
+                    ids = [layout.ids(bytes(data[k * layout.stride : (k + 1) * layout.stride])).astype(np.int32) for k in slots]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard * layout.shard_records + k for k in slots], pa.int64()), pa.array(ids, schema.field("ids").type)], schema=schema)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int")
+    paths = [r["path"] for r in files.filter("length > 0").filter(shard >= first_shard).select("path").collect()]  # one a shard
+    if not paths:
+        return spark.createDataFrame([], "slot long, ids array<int>")
+    wanted = spark.read.format("binaryFile").load(paths).select(shard.alias("shard"), "content")
+    return mapped(wanted, run, "slot long, ids array<int>")
+
+
 def materialise(docs: DataFrame, vocab_path: str, layout: Layout | None = None, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """Writes shards of all documents; returns a row per piece of a document: where it starts there,
     its length and checksum, its sequence's slot, shard and record, its offset in the record, and

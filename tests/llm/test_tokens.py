@@ -189,6 +189,21 @@ def test_shards_hold_every_sequence_at_its_slot(spark, docs, rows):
     assert held == {k: sum(map(len, v)) for k, v in texts.items()}
 
 
+def test_a_resumed_read_is_the_tail_of_a_full_read(spark, docs, empty):
+    layout = op1_shards.Layout(length=256, shard_records=50)
+    folder = shared_dir(spark)
+    pieces = op1_shards.materialise(docs, WORD, layout, folder=folder).collect()
+    read = lambda first: {r.slot: r.ids for r in op1_shards.read_from(spark, folder, layout, first).collect()}
+    full = read(0)
+    n = len(full)
+    assert n > 120 and sorted(full) == list(range(n)) == sorted({r.slot for r in pieces})
+    for r in pieces:
+        assert len(full[r.slot]) == r.record_tokens
+        assert zlib.crc32(np.array(full[r.slot][r.offset : r.offset + r.length], "<u2").tobytes()) == r.ids_crc32
+    for first in (1, 50, 77, n - 1, n, n + 500):
+        assert read(first) == {k: v for k, v in full.items() if k >= first}
+
+
 def test_empty_tables(empty):
     assert op3_bpe.round_trip_digests(empty, WORD).collect() == []
     assert op4_counts.token_counts(empty, BYTE, 5).collect() == []
