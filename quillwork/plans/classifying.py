@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.plans.book import Book
@@ -49,13 +49,17 @@ def usefulness_model(t: Tables) -> DataFrame:
     return model.transform(x.filter("test")).select("doc_id", "label", F.round(p, 4).alias("probability"), F.when(p <= 0.1, "remove").otherwise("keep").alias("decision"))
 
 
+def status_of(text: Column) -> Column:
+    """Blocked, complete, awaiting, in progress or not started; a negated or future cue doesn't count."""
+    said = F.lower(F.coalesce(text, F.lit("")))
+    cue = lambda words: said.rlike(rf"(?<!not )(?<!never )(?<!will be )\b({words})\b")
+    return F.when(said.rlike(r"\bnot started\b"), "not_started").when(cue("blocked|stuck"), "blocked").when(cue("done|complete|finished"), "complete").when(cue("waiting|awaiting"), "awaiting").otherwise("in_progress")
+
+
 @queries("N5")
 def status_from_text(t: Tables) -> DataFrame:
-    """Blocked, complete, awaiting, in progress or not started; a negated or future cue doesn't count."""
-    said = F.element_at(F.array(*[F.lit(s) for s in ("work is blocked by access", "not blocked, work continues", "all done", "will be done later", "waiting for sign-off", "has not started")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    cue = lambda words: said.rlike(rf"(?<!not )(?<!never )\b({words})\b") & ~said.rlike(rf"\bwill be ({words})\b")
-    status = F.when(said.rlike(r"not started"), "not_started").when(cue("blocked|stuck"), "blocked").when(cue("done|complete|finished"), "complete").when(cue("waiting|awaiting"), "awaiting").otherwise("in_progress")
-    return t.orders.select("o_orderkey", status.alias("status"))
+    """The status that each turn of a conversation tells of."""
+    return t.conversations.select("conv_id", "turn", status_of(F.col("text")).alias("status"))
 
 
 @queries("N6 N7 N8", """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'deteriorating' WHEN l_returnflag = 'A' THEN 'improving' ELSE 'stable' END AS trend, round(least(1.0, greatest(l_discount * 5, l_tax * 5) + least(0.45, l_quantity / 200) + CASE WHEN l_linestatus = 'O' THEN 0.16 ELSE 0 END), 4) AS priority,
