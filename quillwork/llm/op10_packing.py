@@ -6,7 +6,8 @@ longest rests first, into the window whose gap fits best. What a window of a tie
 filled from shorter tiers, the longest piece that fits first, the last one cut to size. Windows
 that the shorter tiers can't fill are laid end to end and cut; what is left at the shortest tier
 goes out as the longest context, padded, and all other windows are full. Windows of
-a tier are dealt to step groups that each hold the same number of tokens.
+a tier are dealt to step groups that each hold the same number of tokens, but for the last group of
+a tier in a run, which may hold fewer.
 
 Packing is local to a run of ``RUN_DOCS`` documents of one partition, so nothing is shuffled and
 no key can be hot; a run pads one window at most. sequence_id is unique over all partitions.
