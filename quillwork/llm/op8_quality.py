@@ -1,14 +1,18 @@
 """Operator 8, quality rules (method: adaptive thresholds from mergeable quantile sketches).
 
-One pass measures every whole text. For each (lang, source) and each ratio a sketch is kept: counts
-of logarithmic bins, so quantiles have a relative error of ``BIN - 1`` at most and two sketches
-merge by adding counts, in any order and with the same result each time. A group of too few
-documents takes the merged sketch of its language, then that of all documents. A ratio fails
-beyond a far fence: the median of its group plus ``FENCE`` interquartile ranges, or plus ``SLACK``
-where those are less, so a source of clean prose loses nothing however even it is. A fence ends at
-``MOST``, so a source with much junk can't switch a rule off: a fixed share for the ratios up to 1,
-a multiple of the group's median for the length of words, which differs by script. Thresholds are
-joined back to the documents on (lang, source, salt): a hot source is spread over ``SALTS`` tasks.
+One pass measures every whole text. For each (lang, source) and each ratio and size a sketch is kept:
+counts of logarithmic bins, so quantiles have a relative error of ``BIN - 1`` at most and two sketches
+merge by adding counts, in any order and with the same result each time.
+
+A group's limit of a ratio is its median plus the larger of ``FENCE`` spreads and its least step.
+The spread is twice the distance from the lower quartile to the median: junk raises a ratio and never
+lowers it, so a source of two fifths junk has the limit of its clean part and can't switch a rule
+off. The least step is what ``EVENTS`` symbols, repeated lines or repeated words are in a text of
+the group's median size; it stands for the spread where most texts have none of them. A group's limit
+is blended with its language's, which counts as ``PRIOR`` documents, and that one with the limit of
+all documents likewise, so there is no size at which a group's threshold is switched on. A text fails
+a rule beyond its group's limit, if it has as many as ``EVENTS`` of what the rule counts. Thresholds
+are joined back to the documents on (lang, source, salt): a hot source is spread over ``SALTS`` tasks.
 
 Edge cases: a null or empty text has no words, no lines and no ratios, and fails the base rule;
 null lang or source is a group of its own; repeated rows each count and give a row; an empty table
@@ -22,19 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwork.llm.common import documents, mapped, slices, written
 from quillwork.llm.textscan import LEAD, SPACE, Words, mix
 
-#: Ratio: least distance from its group's median at which it may fail a text.
-SLACK = {"symbol_ratio": 0.10, "dup_line_ratio": 0.30, "repeat_ratio": 0.20, "word_length": 1.0}
-#: Ratio: share at which a fence ends; of ``word_length``, medians of its group.
-MOST = {"symbol_ratio": 0.30, "dup_line_ratio": 0.60, "repeat_ratio": 0.30, "word_length": 1.5}
+#: Ratio: what it counts, over which size, and the least count at which a text may fail.
+RATIOS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+EVENTS = {"symbol_ratio": 8, "dup_line_ratio": 3, "repeat_ratio": 48, "word_length": 0}
+SIZES = ("word_chars", "n_lines", "n_words")
 BIN = 1.02
 FENCE = 8.0
-LEAST_GROUP = 200
+PRIOR = 50
 SALTS = 16
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -91,59 +95,71 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def ratios(measured: DataFrame) -> DataFrame:
     over = lambda a, b: F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0))
-    return measured.withColumns(
-        {"symbol_ratio": over("n_symbols", "word_chars"), "dup_line_ratio": over("n_dup_lines", "n_lines"), "repeat_ratio": over("n_repeat_words", "n_words"), "word_length": over("word_chars", "n_words")}
-    )
+    return measured.withColumns({r: over(*of) for r, of in RATIOS.items()})
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang, source, ratio, bin, n: texts with a word only; bin null holds the zeros."""
-    pairs = ", ".join(f"'{r}', {r}" for r in SLACK)
-    rows = ratios(measured).filter("n_words > 0").selectExpr("lang", "source", f"stack({len(SLACK)}, {pairs}) as (ratio, value)")
+    """lang, source, measure (a ratio or a size), bin, n: texts with a word only; bin null holds the zeros."""
+    pairs = ", ".join(f"'{m}', double({m})" for m in (*RATIOS, *SIZES))
+    rows = ratios(measured).filter("n_words > 0").selectExpr("lang", "source", f"stack({len(RATIOS) + len(SIZES)}, {pairs}) as (measure, value)")
     place = F.when(F.col("value") > 0, F.ceil(F.log("value") / math.log(BIN))).cast("int")
-    return rows.groupBy("lang", "source", "ratio", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("lang", "source", "measure", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """n_docs, q25, q50 and q75 of each group and ratio of a sketch merged to ``keys``."""
-    by = [*keys, "ratio"]
+    """n_docs, q25 and q50 of each group and measure of a sketch merged to ``keys``."""
+    by = [*keys, "measure"]
     merged = sketch.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by)
     upto = group.orderBy(F.col("bin").asc_nulls_first())
     ranked = merged.withColumns({"upto": F.sum("n").over(upto), "n_docs": F.sum("n").over(group), "value": F.coalesce(F.pow(F.lit(BIN), F.col("bin") - 0.5), F.lit(0.0))})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n_docs"), F.col("value"))).alias(f"q{int(q * 100)}")
-    return ranked.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), at(0.25), at(0.5), at(0.75))
+    return ranked.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), at(0.25), at(0.5))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and a column of each ratio: the value beyond which a text of that group fails."""
-    of = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("ratio")]
-    fence = F.col("q50") + F.greatest(FENCE * (F.col("q75") - F.col("q25")), of(SLACK))
-    end = F.when(F.col("ratio") == "word_length", F.greatest(F.col("q50") * of(MOST), F.col("q50") + of(SLACK))).otherwise(of(MOST))
-    limit = F.least(fence, end)
+def _levels(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """A row per group: its number of documents and each ratio's median, spread and least step."""
+    found = quantiles(sketch, keys)
+    of = lambda measure, q: F.max(F.when(F.col("measure") == measure, F.col(q)))
+    columns = [F.max("n_docs").alias(f"{name}_n")]
+    for r, (_, size) in RATIOS.items():
+        columns += [of(r, "q50").alias(f"{name}_mid_{r}"), (2 * (of(r, "q50") - of(r, "q25"))).alias(f"{name}_spread_{r}")]
+        columns += [(F.lit(float(EVENTS[r])) / of(size, "q50")).alias(f"{name}_step_{r}")]
+    return found.groupBy(*[F.col(k).alias(f"{name}_{k}") for k in keys]).agg(*columns)
+
 
-    def limits(keys: list[str], name: str, least: int) -> DataFrame:
-        own = quantiles(sketch, keys).filter(F.col("n_docs") >= least).withColumn("limit", limit)
-        return own.groupBy(*keys).agg(*[F.max(F.when(F.col("ratio") == r, F.col("limit"))).alias(f"{name}_{r}") for r in SLACK])
+def _limit(r: str, name: str, spread: Column, wider: Column | None = None) -> Column:
+    """A group's limit, blended with the limit of the wider group that it's part of."""
+    own = F.col(f"{name}_mid_{r}") + F.greatest(FENCE * spread, F.col(f"{name}_step_{r}"))
+    return own if wider is None else (F.col(f"{name}_n") * own + PRIOR * wider) / (F.col(f"{name}_n") + PRIOR)
 
-    groups = sketch.select("lang", "source").distinct()
-    by_source = limits(["lang", "source"], "s", LEAST_GROUP).withColumnsRenamed({"lang": "s_lang", "source": "s_source"})
-    by_lang = limits(["lang"], "l", LEAST_GROUP).withColumnRenamed("lang", "l_lang")
-    out = groups.join(by_source, F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")), "left")
-    out = out.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-    # Of all documents there is one number a ratio.
-    overall = SLACK | {r["ratio"]: r["limit"] for r in quantiles(sketch, []).withColumn("limit", limit).collect()}
-    return out.select("lang", "source", *[F.coalesce(f"s_{r}", f"l_{r}", F.lit(overall[r])).alias(f"max_{r}") for r in SLACK])
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """lang, source and a column of each ratio: the value beyond which a text of that group fails."""
+    groups, langs = _levels(sketch, ["lang", "source"], "s"), _levels(sketch, ["lang"], "l")
+    out = groups.join(langs, F.col("s_lang").eqNullSafe(F.col("l_lang")))
+    # Of all documents there is one row of numbers.
+    every = _levels(sketch, [], "a").first().asDict()
+    out = out.withColumns({c: F.lit(v).cast("double") for c, v in every.items()})
+    limits = []
+    for r in RATIOS:
+        # However even its texts, a group may spread half as far as the wider one.
+        spread_a = F.col(f"a_spread_{r}")
+        spread_l = F.greatest(F.col(f"l_spread_{r}"), spread_a / 2)
+        spread_s = F.greatest(F.col(f"s_spread_{r}"), spread_l / 2)
+        limits.append(_limit(r, "s", spread_s, _limit(r, "l", spread_l, _limit(r, "a", spread_a))).alias(f"max_{r}"))
+    return out.select(F.col("s_lang").alias("lang"), F.col("s_source").alias("source"), *limits)
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """A row per input row: doc_id, the counts, base_failed, kept and the rules that failed it."""
     measured = written(measure(docs), "measures")
     limits = thresholds(written(sketches(measured), "sketches"))
-    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{r}" for r in SLACK], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
+    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{r}" for r in RATIOS], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"))
     salted = ratios(measured).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words"), F.lit(SALTS)).cast("int"))
     same = F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("salt") == F.col("t_salt"))
-    failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in SLACK]), lambda x: x.isNotNull())
+    beyond = lambda r: (F.col(r) > F.col(f"max_{r}")) & (F.col(RATIOS[r][0]) >= EVENTS[r])
+    failed = F.filter(F.array(*[F.when(beyond(r), F.lit(r)) for r in RATIOS]), lambda x: x.isNotNull())
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return salted.join(limits, same, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & (F.size(failed) <= 0)).alias("kept"), F.array_join(failed, ",").alias("failed_rules")

@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -25,8 +25,9 @@ PIECES = bpe.vocabulary("piece_bpe_32k.model")
 
 
 def base_spans(text: str) -> list[tuple]:
+    """Either case of the letters a-z and A-Z: the long s and the Kelvin sign are other characters."""
     kinds = {
-        "assign": [m for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12],
+        "assign": [m for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12],
         "access": [m for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18],
         "hex": [m for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16],
     }
@@ -55,7 +56,10 @@ def test_secrets_of_edge_cases_and_the_small_table(spark, docs, rows, small, sam
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["token", "TOKEN", "api_key", "apikey", "=", ": ", "'", '"', "abcdef012345", "AKIA", "ABCD1234EFGH5678", " ", "\n", "é", "ſecret", "toKen", "."]), max_size=14).map("".join))
+@given(st.lists(st.sampled_from(["token", "TOKEN", "api_key", "apikey", "=", ": ", "'", '"', "abcdef012345", "AKIA", "ABCD1234EFGH5678", " ", "\n", "é", "ſecret", "to\u212aen", "toKen", "."]), max_size=14).map("".join))
+@example("ſecret=tokentokentoken")
+@example("to\u212aen=tokentokentoken")
+@example("api_\u212aey: tokentokentoken ToKeN='tokentokentoken")
 def test_base_rules_on_any_text(text):
     spans = sorted((a, i, r.kind, b) for i, r in enumerate(op5_secrets.RULES[:3]) for a, b in op5_secrets.scanner(r)(text, text.lower()))
     assert spans == base_spans(text)
@@ -178,30 +182,79 @@ def test_sketches_merge_and_are_near_true_quantiles(spark):
     measured = spark.createDataFrame([("en", f"s{i % 3}", 1000, 5000, 0, 0, int(v), 10) for i, v in enumerate(values)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
     parts = [op8_quality.sketches(measured.filter(f"source {how} 's1'")) for how in ("=", "<>")]
     for sketch in (op8_quality.sketches(measured), parts[0].unionByName(parts[1])):
-        got = {r.ratio: r for r in op8_quality.quantiles(sketch, ["lang"]).collect()}["repeat_ratio"]
+        got = {r.measure: r for r in op8_quality.quantiles(sketch, ["lang"]).collect()}["repeat_ratio"]
         assert got.n_docs == 4000
-        for q, v in ((25, got.q25), (50, got.q50), (75, got.q75)):
+        for q, v in ((25, got.q25), (50, got.q50)):
             true = np.quantile(values / 1000, q / 100, method="inverted_cdf")
             assert abs(v - true) <= true * (op8_quality.BIN - 1)
 
 
+def expected_verdicts(rows: list[tuple]) -> list[tuple]:
+    """(kept, failed rules) of (lang, source, text), by plain sorting and counting: a second reading of the rules."""
+    bin_of = lambda v: math.ceil(math.log(v) / math.log(1.02)) if v > 0 else None
+    middle = lambda b: 0.0 if b is None else 1.02 ** (b - 0.5)
+    measured = []
+    for lang, source, text in rows:
+        n_words, chars, symbols, dups, repeats, failed = expected_quality(text)
+        n_lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        counts = {"symbol_ratio": (symbols, chars, 8), "dup_line_ratio": (dups, n_lines, 3), "repeat_ratio": (repeats, n_words, 48), "word_length": (chars, n_words, 0)}
+        measured.append((lang, source, n_words, failed, counts))
+
+    def level(members: list, ratio: str) -> tuple[int, float, float, float]:
+        part = lambda values, q: middle(sorted((bin_of(v) for v in values), key=lambda b: -math.inf if b is None else b)[max(0, math.ceil(q * len(values)) - 1)])
+        values, sizes = [m[4][ratio][0] / m[4][ratio][1] for m in members], [m[4][ratio][1] for m in members]
+        mid = part(values, 0.5)
+        return len(members), mid, 2 * (mid - part(values, 0.25)), members[0][4][ratio][2] / part(sizes, 0.5)
+
+    worded = [m for m in measured if m[2]]
+    by_lang, by_source = {}, {}
+    for m in worded:
+        by_lang.setdefault(m[0], []).append(m)
+        by_source.setdefault(m[:2], []).append(m)
+    limits = {}
+    for ratio in op8_quality.RATIOS:
+        _, mid, spread_a, step = level(worded, ratio)
+        all_limit = mid + max(8 * spread_a, step)
+        for key, members in by_source.items():
+            n_l, mid_l, spread_l, step_l = level(by_lang[key[0]], ratio)
+            spread_l = max(spread_l, spread_a / 2)
+            lang_limit = (n_l * (mid_l + max(8 * spread_l, step_l)) + 50 * all_limit) / (n_l + 50)
+            n, mid, spread, step = level(members, ratio)
+            limits[key, ratio] = (n * (mid + max(8 * max(spread, spread_l / 2), step)) + 50 * lang_limit) / (n + 50)
+    out = []
+    for lang, source, n_words, failed, counts in measured:
+        beyond = [r for r, (n, size, least) in counts.items() if n_words and n >= least and n / size > limits[(lang, source), r]]
+        out.append((not failed and not beyond, ",".join(beyond)))
+    return out
+
+
+def test_verdicts_of_edge_cases_and_the_small_table(spark, docs, rows, small, sample_rows):
+    verdict = lambda found: sorted((str(r.doc_id), r.n_words, r.word_chars, r.kept, r.failed_rules) for r in found)
+    want = lambda rows: sorted((str(i), *expected_quality(t)[:2], *v) for (i, _, _, t), v in zip(rows, expected_verdicts([r[1:] for r in rows]), strict=True))
+    assert verdict(op8_quality.quality(docs).collect()) == want([(r[0], r[2], r[3], r[1]) for r in rows])
+    whole = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "source", "text").collect()
+    assert verdict(op8_quality.op8_quality_rules(spark, small).collect()) == want([tuple(r) for r in whole])
+
+
 def test_the_sketch_of_a_source_sets_its_thresholds_and_verdicts(spark):
     rng = np.random.default_rng(8)
     prose = lambda n, letters: " ".join("".join(rng.choice(list("abcdefghijklmnop"), max(1, letters + rng.integers(-2, 3)))) for _ in range(n))
-    marked = lambda share: " ".join(w + "#" * (i % 10 < share) for i, w in enumerate(prose(60, 5).split()))
+    marked = lambda text, of: " ".join(w + "#" * (i % 10 < of) for i, w in enumerate(text.split()))
     rows = [(i, prose(60, 5), "en", "short") for i in range(240)] + [(1000 + i, prose(60, 10), "en", "long") for i in range(240)]
-    # Two in five are mostly symbols: the quartiles are far apart.
+    # Two in five are mostly symbols: the limit is that of the rest.
     rows += [(2000 + i, " ".join(w + "####" for w in prose(60, 5).split()) if i % 5 < 2 else prose(60, 5), "en", "dirty") for i in range(240)]
+    # Source code: symbols are its usual text. And a group of one text, which has its language's limit.
+    rows += [(4000 + i, marked(prose(60, 5), 4 + i % 3), "en", "code") for i in range(240)] + [(5000, prose(60, 5), "en", "single")]
     # A text of long words and one of some symbols, in each source.
-    rows += [(3000, prose(60, 10), "en", "short"), (3001, prose(60, 10), "en", "long"), (3002, marked(8), "en", "short")]
+    some = marked(prose(60, 5), 6)
+    rows += [(3000, prose(60, 10), "en", "short"), (3001, prose(60, 10), "en", "long"), (3002, some, "en", "short"), (3003, some, "en", "code")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     limits = {r.source: r for r in op8_quality.thresholds(op8_quality.sketches(op8_quality.measure(docs))).collect()}
-    assert limits["short"].max_word_length < 9 < 10.5 < limits["long"].max_word_length
+    assert limits["short"].max_symbol_ratio < 0.1 < limits["code"].max_symbol_ratio
     found = {r.doc_id: r for r in op8_quality.quality(docs).collect()}
-    assert (found[3000].kept, found[3000].failed_rules) == (False, "word_length")
-    assert (found[3001].kept, found[3001].failed_rules) == (True, "")
-    assert found[3002].failed_rules == "symbol_ratio"
-    assert all(found[i].kept for i in [*range(240), *range(1000, 1240)])
+    assert {i: (r.kept, r.failed_rules) for i, r in found.items()} == {r[0]: v for r, v in zip(rows, expected_verdicts([(x[2], x[3], x[1]) for x in rows]), strict=True)}
+    assert found[3002].failed_rules == "symbol_ratio" and found[3003].kept  # the same text
+    assert all(found[i].kept for i in [*range(240), *range(1000, 1240), *range(4000, 4240), 5000])
     for i in range(240):  # junk doesn't pass for being common
         assert ("symbol_ratio" in found[2000 + i].failed_rules) == (i % 5 < 2)
 
