@@ -113,6 +113,10 @@ class Bpe:
         self.split = _SPLIT["lower_words" if self.lower else "byte_level"]
         self.joined_by_space = spec.get("decoder") is None
         self._bytes = {c: b for b, c in chars.items()}
+        spaced = [f"{t} ".encode() for t in self.tokens]
+        self._token_bytes = np.frombuffer(b"".join(spaced), np.uint8)
+        self._token_sizes = np.fromiter(map(len, spaced), np.int64, len(spaced))
+        self._token_starts = np.cumsum(self._token_sizes) - self._token_sizes
         self._library = Tokenizer.from_file(path)
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self._forget()
@@ -301,8 +305,8 @@ class Bpe:
         self._sizes = np.append(self._sizes, sizes)
         self._ids = np.append(self._ids, np.frombuffer(b"".join(runs), "<u4"))
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def _looked_up(self, texts: list[str]) -> list[np.ndarray]:
+        """The places of each text's keys in the cache, which holds the ids of all of them."""
         if len(self._places) > CACHE_WORDS:
             self._forget()
         place, known = self._places.__getitem__, len(self._places)
@@ -311,17 +315,33 @@ class Bpe:
             keys = self.keys(text)
             found.append(np.fromiter(map(place, keys), np.int64, len(keys)))
         self._learn([*islice(reversed(self._places), len(self._places) - known)][::-1])
-        for at in found:
+        return found
+
+    def count_batch(self, texts: list[str]) -> list[int]:
+        """Each text's number of ids."""
+        return [int(self._sizes[at].sum()) for at in self._looked_up(texts)]
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        for at in self._looked_up(texts):
             sizes = self._sizes[at]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
             yield self._ids[np.repeat(self._starts[at] - ends + sizes, sizes) + np.arange(total)].tobytes()
 
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The text of ids in UTF-8, special tokens kept, of a vocabulary whose tokens are joined by spaces."""
+        ids = np.asarray(ids, np.int64)
+        sizes = self._token_sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self._token_bytes[np.repeat(self._token_starts[ids] - ends + sizes, sizes) + np.arange(total)].tobytes()[:-1]
+
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids, special tokens kept."""
-        tokens = map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)
         if self.joined_by_space:
-            return " ".join(tokens)
+            return self.decode_bytes(ids).decode()
+        tokens = map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)
         special, out, raw = set(self.special), [], bytearray()
         for t in tokens:
             if t in special:

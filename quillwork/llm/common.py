@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwork.shipping import ship
@@ -48,9 +48,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def within(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def within(df: DataFrame, most_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows are of so many bytes at most, strings
+    and arrays of any length included; else as it is, for a shuffled join."""
+    size = sum((F.octet_length(F.col(c).cast("string")) if kind in ("string", "binary") or kind.startswith("array") else F.lit(8) for c, kind in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most_bytes else df
+
+
+def salted(many: DataFrame, few: DataFrame, spread_by: Column, salts: int) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides of a join with a column more, by whose name they join as well: a hot key of ``many`` is
+    spread over ``salts`` tasks, and ``few`` is there once for each."""
+    (name,) = free(few, *free(many, "salt_of_join"))
+    return many.withColumn(name, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")), few.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), name
 
 
 def free(df: DataFrame, *names: str) -> list[str]:
@@ -64,11 +73,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def rows_kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``decisions`` (doc_id, h, kept) keep, with all their columns. A row is
+def rows_kept(docs: DataFrame, decisions: DataFrame, by: str = "kept") -> DataFrame:
+    """Rows of ``docs`` that ``decisions`` (doc_id, h, a flag ``by``) keep, with all their columns. A row is
     known by its doc_id and the hash of its text; of repeated rows one is kept."""
     doc, h, n, place = free(docs, "key_doc", "key_hash", "key_rows", "key_place")
-    keys = decisions.groupBy("doc_id", "h").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias(n)).filter("kept")
+    keys = decisions.groupBy("doc_id", "h").agg(F.max(by).alias("kept"), F.count(F.lit(1)).alias(n)).filter("kept")
     keys = keys.select(F.col("doc_id").alias(doc), F.col("h").alias(h), n)
     same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(h))
     once = docs.join(keys.filter(F.col(n) == 1).hint("shuffle_hash"), same, "left_semi")

@@ -6,8 +6,9 @@ longest rests first, into the window whose gap fits best. What a window of a tie
 filled from shorter tiers, the longest piece that fits first, the last one cut to size. Windows
 that the shorter tiers can't fill are laid end to end and cut; what is left at the shortest tier
 goes out as the longest context, padded, and all other windows are full. Windows of
-a tier are dealt to step groups that each hold the same number of tokens, but for the last group of
-a tier in a run, which may hold fewer.
+a tier are dealt to step groups that each hold ``STEP_TOKENS``, over all runs of a partition; windows
+wait until their group is full. What waits at a partition's end, less than a group of each tier, is
+dealt to groups of mixed lengths, longest first, so a partition has one group at most that holds fewer.
 
 Packing is local to a run of ``RUN_DOCS`` documents of one partition, so nothing is shuffled and
 no key can be hot; a run pads one window at most. sequence_id is unique over all partitions.
@@ -21,7 +22,6 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,23 +143,48 @@ def pack_documents(docs: DataFrame, vocab_path: str, tiers: tuple[int, ...] = TI
         end = end_id.to_bytes(4, "little")
         first = TaskContext.get().partitionId() << 33
         made, steps = 0, 0
-
-        def flush(doc_ids: list, raws: list[bytes]) -> pa.RecordBatch:
-            nonlocal made, steps
-            rows, at_tier, groups = [], Counter(), {}
+        waiting: dict[int, list[list[tuple]]] = {t: [] for t in tiers}  # rows of windows whose group isn't full
+
+        def emit(windows: list[list[tuple]]) -> Iterator[tuple]:
+            """The rows of a step group."""
+            nonlocal steps
+            for rows in windows:
+                for row in rows:
+                    yield (*row[:8], first + steps, *row[8:])
+            steps += 1
+
+        def flush(doc_ids: list, raws: list[bytes]) -> Iterator[tuple]:
+            nonlocal made
             for tier, window in pack([len(r) // 4 for r in raws], tiers):
-                key = (tier, at_tier[tier] * tier // STEP_TOKENS)
-                at_tier[tier] += 1
-                group = groups.setdefault(key, steps + len(groups))
-                offset = 0
+                rows, offset = [], 0
                 for doc, start, length in window:
                     raw = raws[doc][4 * start : 4 * (start + length)]
-                    row = (doc_ids[doc], start, length, zlib.crc32(raw), len(raws[doc]) // 4, first + made, offset, tier, first + group)
+                    row = (doc_ids[doc], start, length, zlib.crc32(raw), len(raws[doc]) // 4, first + made, offset, tier)
                     rows.append((*row, np.frombuffer(raw, "<i4")) if with_ids else row)
                     offset += length
                 made += 1
-            steps += len(groups)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                waiting[tier].append(rows)
+                if len(waiting[tier]) * tier >= STEP_TOKENS:
+                    yield from emit(waiting[tier])
+                    waiting[tier] = []
+
+        def rest() -> Iterator[tuple]:
+            group, room = [], STEP_TOKENS
+            # Tiers divide each other: windows from the longest on fill a group without a gap.
+            for tier in reversed(tiers):
+                for rows in waiting[tier]:
+                    group.append(rows)
+                    room -= tier
+                    if room <= 0:
+                        yield from emit(group)
+                        group, room = [], STEP_TOKENS
+            if group:
+                yield from emit(group)
+
+        def batch_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            columns = list(zip(*rows, strict=True))
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         doc_ids: list = []
         raws: list[bytes] = []
@@ -170,10 +195,11 @@ def pack_documents(docs: DataFrame, vocab_path: str, tiers: tuple[int, ...] = TI
                 raws.append(raw + end)
                 held += len(raw)
                 if len(raws) >= RUN_DOCS or held >= 4 * RUN_TOKENS:
-                    yield flush(doc_ids, raws)
+                    yield from batch_of(flush(doc_ids, raws))
                     doc_ids, raws, held = [], [], 0
         if raws:
-            yield flush(doc_ids, raws)
+            yield from batch_of(flush(doc_ids, raws))
+        yield from batch_of(rest())
 
     ddl = ", ".join(f"{n} long" for n in names) + ", ids array<int>" * with_ids
     return mapped(docs.select("doc_id", "text"), run, ddl)

@@ -7,8 +7,8 @@ the slots from k * shard_records on, in order, in records of one stride, so slot
 (s % shard_records) * stride of shard s // shard_records: a reader that knows how far it came
 (``read_from``) skips whole shards, starts at that byte, and reads on in sequence.
 
-A record is the ids as little-endian unsigned integers of 2 bytes (4 for a large vocabulary),
-padded with 0, the number of ids in 3 bytes, and a line feed. Shards are written by Spark's text
+A record is the ids as little-endian unsigned integers of 2 bytes (4 for a vocabulary of more than
+65536 ids; ``layout_for`` chooses, and a width that can't hold every id is refused), padded with 0, the number of ids in 3 bytes, and a line feed. Shards are written by Spark's text
 writer, whose commit protocol keeps a lost or repeated task from leaving half a shard, on any file
 system that Spark writes to. Numbering needs the count of sequences of each input partition only;
 sequences are written first, so a lost executor can't renumber them.
@@ -63,6 +63,11 @@ class Layout:
     width: int = 2
     key: int = 20240607
 
+    def check(self, ids: int) -> None:
+        """Raises if this layout can't hold each of so many ids."""
+        if ids > 1 << (8 * self.width):
+            raise ValueError(f"{ids} ids don't fit into {self.width} bytes each")
+
     @property
     def stride(self) -> int:
         return self.length * self.width + 4
@@ -75,6 +80,11 @@ class Layout:
         return np.frombuffer(record[: n * self.width], f"<u{self.width}")
 
 
+def layout_for(vocab_path: str, **how) -> Layout:
+    """A layout whose ids are as wide as the vocabulary needs."""
+    return Layout(width=2 if len(bpe.load(vocab_path).tokens) <= 1 << 16 else 4, **how)
+
+
 def sequences(docs: DataFrame, vocab_path: str, layout: Layout, end_id: int) -> DataFrame:
     """part, place (number within the part), n_tokens, ids and the pieces of documents in them."""
     piece = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length", "offset", "ids_crc32")]))
@@ -83,6 +93,7 @@ def sequences(docs: DataFrame, vocab_path: str, layout: Layout, end_id: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(vocab_path)
+        layout.check(max(len(coder.tokens), end_id + 1))
         end = np.array([end_id], kind).tobytes()
         part, made = TaskContext.get().partitionId(), 0
         held, pieces = bytearray(), []
@@ -115,12 +126,18 @@ def sequences(docs: DataFrame, vocab_path: str, layout: Layout, end_id: int) ->
     return mapped(docs.select("doc_id", "text"), run, f"part int, place long, n_tokens int, ids binary, pieces {PIECES}")
 
 
-def with_slots(found: DataFrame, layout: Layout, columns: list[str], pack: bool = False) -> DataFrame:
-    """slot, shard and the given columns (ids packed for the shuffle if asked for)."""
+def numbering(found: DataFrame) -> tuple[dict[int, int], int]:
+    """The number of the first sequence of each input partition, and how many sequences there are."""
     counts = {r["part"]: r["n"] for r in found.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     base, total = {}, 0
     for part in sorted(counts):
         base[part], total = total, total + counts[part]
+    return base, total
+
+
+def with_slots(found: DataFrame, layout: Layout, numbers: tuple[dict[int, int], int], columns: list[str], pack: bool = False) -> DataFrame:
+    """slot, shard and the given columns (ids packed for the shuffle if asked for)."""
+    base, total = numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
@@ -134,12 +151,12 @@ def with_slots(found: DataFrame, layout: Layout, columns: list[str], pack: bool
 
     kinds = dict(found.dtypes)
     ddl = "sequence long, slot long, shard int, " + ", ".join(f"{c} {kinds[c]}" for c in columns)
-    return mapped(found.select("part", "place", *columns), run, ddl), total
+    return mapped(found.select("part", "place", *columns), run, ddl)
 
 
-def write_shards(found: DataFrame, layout: Layout, folder: str) -> int:
-    """Writes the sequences to ``folder``: file part-k is shard k. Returns the number of sequences."""
-    placed, total = with_slots(found, layout, ["ids"], pack=True)
+def write_shards(found: DataFrame, layout: Layout, folder: str, numbers: tuple[dict[int, int], int]) -> None:
+    """Writes the sequences to ``folder``: file part-k is shard k."""
+    placed, total = with_slots(found, layout, numbers, ["ids"], pack=True), numbers[1]
     schema = pa.schema([("record", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,25 +168,22 @@ def write_shards(found: DataFrame, layout: Layout, folder: str) -> int:
     shards = max(1, -(-total // layout.shard_records))
     dealt = placed.select("slot", "shard", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     mapped(dealt.select("ids"), run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(folder)
-    return total
 
 
 def read_shards(spark: SparkSession, folder: str, layout: Layout) -> DataFrame:
-    """slot, n_tokens and ids_crc32 of every record of the shards, read in sequence."""
-    schema = pa.schema([("slot", pa.int64()), ("n_tokens", pa.int64()), ("seq_crc32", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i in range(rows.num_rows):
-                shard, data = rows.column("shard")[i].as_py(), memoryview(rows.column("content")[i].as_buffer())
-                n = len(data) // layout.stride
-                ids = [layout.ids(bytes(data[k * layout.stride : (k + 1) * layout.stride])) for k in range(n)]
-                slots = shard * layout.shard_records + np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], schema=schema)
-
+    """slot, n_tokens and seq_crc32 of every record of the shards: SQL functions cut the records out of a
+    shard, so that no shard is copied to a Python worker."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).filter("length > 0")
     shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("shard")
-    return mapped(files.select(shard, "content"), run, "slot long, n_tokens long, seq_crc32 long")
+    at = f"k * {layout.stride} + 1"
+    # The size is of three bytes, the lowest first, before the line feed.
+    byte = lambda i: f"cast(conv(hex(substring(content, {at} + {layout.length * layout.width + i}, 1)), 16, 10) as int)"
+    size = f"({byte(0)} + 256 * {byte(1)} + 65536 * {byte(2)})"
+    one = f"named_struct('k', k, 'n_tokens', {size}, 'seq_crc32', crc32(substring(content, {at}, {layout.width} * {size})))"
+    records = F.expr(f"transform(sequence(0, cast(length(content) / {layout.stride} as int) - 1), k -> {one})")
+    found = files.select(shard, F.explode(records).alias("r"))
+    slot = F.col("shard").cast("long") * layout.shard_records + F.col("r.k")
+    return found.select(slot.alias("slot"), F.col("r.n_tokens").cast("long").alias("n_tokens"), F.col("r.seq_crc32").alias("seq_crc32"))
 
 
 def read_from(spark: SparkSession, folder: str, layout: Layout, first_slot: int = 0) -> DataFrame:
@@ -201,11 +215,12 @@ def materialise(docs: DataFrame, vocab_path: str, layout: Layout | None = None,
     """Writes shards of all documents; returns a row per piece of a document: where it starts there,
     its length and checksum, its sequence's slot, shard and record, its offset in the record, and
     the record's size and checksum as read back from the shard."""
-    spark, layout = docs.sparkSession, layout or Layout()
+    spark, layout = docs.sparkSession, layout or layout_for(vocab_path)
     found = written(sequences(docs, vocab_path, layout, end_id), "sequences")
+    numbers = numbering(found)
     folder = folder or f"{shared_dir(spark)}/shards"
-    write_shards(found, layout, folder)
-    placed, _ = with_slots(found, layout, ["pieces"])
+    write_shards(found, layout, folder, numbers)
+    placed = with_slots(found, layout, numbers, ["pieces"])
     back = read_shards(spark, folder, layout).withColumnRenamed("slot", "at_slot")
     rows = placed.join(back, F.col("slot") == F.col("at_slot"), "left").select("*", F.inline("pieces"))
     record = (F.col("slot") % layout.shard_records).alias("record")

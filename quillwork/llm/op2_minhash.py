@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import documents, mapped, slices, written
+from quillwork.llm.common import documents, mapped, salted, slices, written
 from quillwork.llm.textscan import Words, mix
 
 COORDINATES = 64
@@ -48,6 +48,7 @@ SIMILARITY = (75, 100)
 MISS = 1e-6
 #: A shingle is common in a group if more than one in so many members has it.
 COMMON = 4
+SALTS = 16
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(4242)).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -170,7 +171,10 @@ def common_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     counts = mapped(held, run, "g long, shingle long").groupBy("g", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sizes = held.groupBy(F.col("g").alias("of")).agg(F.count(F.lit(1)).alias("m"), F.min(F.octet_length("found") / 8).cast("int").alias("least"))
-    common = counts.join(sizes, F.col("g") == F.col("of")).filter(F.col("n") * COMMON > F.col("m")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("c"))
+    sizes = written(sizes, "sizes")
+    many, few, salt = salted(counts, sizes, F.col("shingle"), SALTS)
+    counts = many.join(few.withColumnRenamed(salt, "of_salt"), (F.col("g") == F.col("of")) & (F.col(salt) == F.col("of_salt")))
+    common = counts.filter(F.col("n") * COMMON > F.col("m")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("c"))
     return sizes.join(common, F.col("g") == F.col("of"), "left").select("of", "least", F.coalesce("c.shingle", F.array().cast("array<long>")).alias("common"))
 
 
@@ -199,7 +203,8 @@ def first_quarter(members: DataFrame, sets: DataFrame) -> DataFrame:
                 size = np.repeat(np.array([n for _, n in firsts], np.int32), times)
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(shingle), pa.array(place), pa.array(size)], schema=schema)
 
-    held = members.join(common_shingles(members, sets), F.col("g") == F.col("of")).join(sets.withColumnRenamed("node", "b"), "b")
+    many, few, salt = salted(members, common_shingles(members, sets), F.col("b"), SALTS)
+    held = many.join(few.withColumnRenamed(salt, "of_salt"), (F.col("g") == F.col("of")) & (F.col(salt) == F.col("of_salt"))).join(sets.withColumnRenamed("node", "b"), "b")
     return mapped(held.select("g", "b", "root", "far", "found", "common", "least"), run, "g long, b long, root long, far boolean, shingle long, place int, size int")
 
 
@@ -211,7 +216,9 @@ def pairs_apart(star: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     known = known.join(root.withColumnRenamed("root", "root_a"), F.col("a") == F.col("n2"), "left")
     known = known.select(F.coalesce("root_a", "a").alias("g"), "b", "root").distinct().withColumn("far", F.col("root") != F.col("g"))
     several = known.groupBy("g").agg(F.max("far").alias("any"), F.count(F.lit(1)).alias("n")).filter("any and n > 1").select(F.col("g").alias("open"))
-    members = written(known.join(several, F.col("g") == F.col("open"), "left_semi"), "members")
+    many, few, salt = salted(known, several, F.col("b"), SALTS)
+    open_groups = many.join(few.withColumnRenamed(salt, "open_salt"), (F.col("g") == F.col("open")) & (F.col(salt) == F.col("open_salt")), "left_semi")
+    members = written(open_groups.select("g", "b", "root", "far"), "members")
     posts = written(first_quarter(members, sets), "quarters")
     left = posts.filter("far").select("g", "shingle", *[F.col(c).alias(f"u_{c}") for c in ("b", "root", "place", "size")])
     right = posts.select("g", "shingle", "far", *[F.col(c).alias(f"v_{c}") for c in ("b", "root", "place", "size")])
@@ -227,6 +234,9 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the least node reachable) of every node with a link, by alternating large-star and
     small-star steps; each step is written, and the number of steps is logarithmic."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    # Edges are distinct, so two sets of them with one digest are the same.
+    digest = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
+    before = digest(edges)
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
@@ -236,14 +246,16 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         joined = large.join(least, F.col("u") == F.col("k"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        new = written(small, "edges")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = new
+        edges = written(small, "edges")
+        now = digest(edges)
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = now
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """A row per input row: row, doc_id, h, n_shingles, component_id and kept."""
+    """A row per input row: row, doc_id, h, n_shingles, component_id, kept (doc_id is the component's) and
+    kept_row, which of repeated rows of that doc_id holds for one."""
     need = needed(SIMILARITY[0] / SIMILARITY[1])
     sigs = written(signatures(docs), "signatures")
     held = sigs.filter("set_key is not null")
@@ -265,9 +277,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = written(rows.select("row", "doc_id", "h", "n_shingles", "root"), "members")
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n"))
     several = least.filter("n > 1").withColumnRenamed("root", "r2")
-    return rows.join(several, F.col("root") == F.col("r2"), "left").select(
-        "row", "doc_id", "h", "n_shingles", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (F.col("n").isNull() | (F.col("row") == F.col("least.row"))).alias("kept")
-    )
+    many, few, salt = salted(rows, several, F.col("row"), SALTS)
+    joined = many.join(few.withColumnRenamed(salt, "r2_salt"), (F.col("root") == F.col("r2")) & (F.col(salt) == F.col("r2_salt")), "left")
+    component = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return joined.select("row", "doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), (F.col("n").isNull() | (F.col("row") == F.col("least.row"))).alias("kept_row"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

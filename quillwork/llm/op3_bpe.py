@@ -57,7 +57,7 @@ def round_trip_digests(docs: DataFrame, vocab_path: str) -> DataFrame:
             for raw in coder.encode_batch(texts):
                 sizes.append(len(raw) // 4)
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest())
+                text_sha.append(hashlib.sha256(coder.decode_bytes(np.frombuffer(raw, "<u4")) if coder.joined_by_space else coder.decode(np.frombuffer(raw, "<u4")).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], schema=schema)
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,17 +1,17 @@
 """Operator 4, token counts (method: batch encoding in Arrow functions that return lengths only).
 
-Batches are balanced by bytes of text, and a long text is split before single spaces that no word
-spans, so a task's memory doesn't grow with its longest text. Edge cases: a null or empty text has
-0 bytes and 0 tokens; special strings inside a text count as one token each, as in the library;
-every row gives a row; further input columns are ignored.
+A batch is encoded as a whole: every word it has not met before is merged once (``bpe.py``), and a
+text's count is the sum of its words' lengths; no ids leave the function. Batches are balanced by
+bytes of text, and a long text is split at its special strings and before single spaces that no word
+spans, so a task's memory doesn't grow with its longest text.
+
+Edge cases: a null or empty text has 0 bytes and 0 tokens; special strings inside a text count as one
+token each, as in the library; every row gives a row; further input columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,35 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from quillwork.llm import bpe
 from quillwork.llm.common import documents, mapped, slices
 
-#: Texts beyond this are split at safe boundaries.
-SEGMENT_CHARS = 1 << 16
-
-
-@lru_cache(maxsize=4)
-def _library(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task: the cores are Spark's
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
 
 def token_counts(docs: DataFrame, vocab_path: str, limit: int) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit): tokens of every whole text under a byte-level vocabulary."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _library(vocab_path)
-        marks = re.compile("|".join(re.escape(t.content) for t in coder.get_added_tokens_decoder().values()) or r"(?!)")
+        coder = bpe.load(vocab_path)
         for rows, texts in slices(batches):
-            parts, owner = [], []
-            for i, text in enumerate(texts):
-                # A special string has no space, so a cut before a space never falls into one.
-                cut = list(bpe.segments(text, SEGMENT_CHARS)) if len(text) > SEGMENT_CHARS and not marks.search(text) else [text]
-                parts += cut
-                owner += [i] * len(cut)
-            counts = [0] * len(texts)
-            for i, e in zip(owner, coder.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-                counts[i] += len(e)
+            counts = coder.count_batch(texts)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts])], schema=schema
             )

@@ -3,11 +3,13 @@
 Every version of a text is addressed by the SHA-256 of its content. The ledger holds a row for
 each (blob, rule, rule version) that has been scanned, with the spans found. A run scans only the
 blobs and rules that the ledger lacks, each blob once however many paths or versions hold it, and
-joins the ledger's findings back to all of them. Raising a rule's version makes it run anew.
+joins the ledger's findings back to all of them. Raising a rule's version makes it run anew. The
+ledger is a folder that every run appends to; the query itself takes the table in two increments.
 
 Spans are code points with the end exclusive, leftmost and without overlap per kind. Edge cases: a
 null text counts as empty and has no spans; equal texts share one scan; repeated rows each give a
-row; long texts are scanned whole; an empty table or ledger is fine; further columns are ignored.
+row; long texts are scanned whole; an empty table or ledger is fine; further columns are ignored. Letters
+are those of ASCII: the long s or the Kelvin sign is no letter of "secret" or "token".
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import documents, free, mapped, slices, within, written
+from quillwork.llm.common import documents, free, mapped, salted, shared_dir, slices, within, written
 
 BASE = ("assign", "access", "hex")
+LEDGER = "blob binary, kind string, version int, spans string"
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,6 @@ def scanner(rule: Rule) -> Callable[[str, str], list[tuple[int, int]]]:
 
 def scan_unseen(unseen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """unseen: blob, text, kinds (those to run). Ledger rows: blob, kind, version, spans ('start:end,...')."""
-    ddl = "blob binary, kind string, version int, spans string"
     schema = pa.schema([("blob", pa.binary()), ("kind", pa.string()), ("version", pa.int32()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,23 +80,35 @@ def scan_unseen(unseen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return mapped(unseen.select("blob", "text", "kinds"), run, ddl)
+    return mapped(unseen.select("blob", "text", "kinds"), run, LEDGER)
 
 
-def extend_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """versions: doc_id (the path) and text. Returns (blob of each version, the rows the ledger lacked)."""
-    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    paths = written(versions.select("doc_id", blob.alias("blob")), "paths")
-    todo = paths.groupBy("blob").agg(F.min("doc_id").alias("holder")).withColumn("kinds", F.array(*[F.lit(r.kind) for r in rules]))
-    if ledger is not None:
-        known = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        pairs = todo.select("blob", "holder", F.inline(known)).join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-        todo = pairs.groupBy("blob", "holder").agg(F.collect_set("kind").alias("kinds"))
+def content_address(text: str = "text") -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def extend_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """versions: doc_id (the path) and text. Scans the pairs of blob and rule version that the ledger in
+    ``folder`` lacks, and appends them to it. Returns doc_id and blob of each version. A run that is
+    lost before its rows are committed leaves the ledger as it was, and its pairs are scanned again."""
+    spark = versions.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(folder)  # the first run finds a ledger too
+    paths = written(versions.select("doc_id", content_address().alias("blob")), "paths")
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"))
+    known = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    seen = read_ledger(spark, folder).select("blob", F.struct("kind", "version").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("pairs"))
+    lacking = F.transform(F.array_except(known, F.coalesce("pairs", F.array().cast("array<struct<kind:string,version:int>>"))), lambda p: p["kind"])
+    todo = blobs.join(seen, "blob", "left").select(F.col("blob").alias("todo_blob"), "holder", lacking.alias("kinds")).filter(F.size("kinds") > 0)
     # A blob's text comes from one version that holds it; both keys, so a blob of many copies isn't one task.
-    todo = todo.select(F.col("blob").alias("todo_blob"), "holder", "kinds")
-    texts = versions.select("doc_id", "text", blob.alias("blob"))
+    texts = versions.select("doc_id", "text", content_address().alias("blob"))
     unseen = texts.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("holder")))
-    return paths, written(scan_unseen(unseen, rules), "ledger").dropDuplicates(["blob", "kind", "version"])
+    # Repeated rows of a holder are scanned with it.
+    scan_unseen(unseen, rules).dropDuplicates(["blob", "kind", "version"]).write.option("compression", "zstd").mode("append").parquet(folder)
+    return paths
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -106,7 +121,9 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULE
     ends = F.split("span", ":")
     one = F.struct(ends[0].cast("int").alias("start"), order[F.col("kind")].alias("order"), "kind", ends[1].cast("int").alias("stop"))
     found = spans.groupBy(F.col("blob").alias("found_blob")).agg(F.sort_array(F.collect_list(one)).alias("found"))
-    return paths.join(found, F.col("blob") == F.col("found_blob"), "left").select("doc_id", "blob", "found")
+    many, few, salt = salted(paths, found, F.col("doc_id"), SALTS)
+    few = few.withColumnRenamed(salt, "found_salt")
+    return many.join(few, (F.col("blob") == F.col("found_blob")) & (F.col(salt) == F.col("found_salt")), "left").select("doc_id", "blob", "found")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -132,13 +149,11 @@ def redact(text: str, spans: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(docs: DataFrame, reported: DataFrame, most_rows: int = 50_000) -> DataFrame:
+def redacted(docs: DataFrame, reported: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with every span of ``reported`` (doc_id, blob, spans) replaced by its kind; n_chars, if
-    there is one, follows. Texts with a finding are few, so their spans are broadcast while their
-    number is bounded by ``most_rows``."""
+    there is one, follows. The spans are broadcast while they have no more than ``most_bytes``."""
     at, said = free(docs, "at_blob", "at_spans")
-    spans = reported.filter("spans <> ''").select(F.col("blob").alias(at), F.col("spans").alias(said)).distinct()
-    blob = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    spans = written(reported.filter("spans <> ''").select(F.col("blob").alias(at), F.col("spans").alias(said)).distinct(), "spans")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +168,13 @@ def redacted(docs: DataFrame, reported: DataFrame, most_rows: int = 50_000) -> D
                     columns["n_chars"] = pa.array([len(t) if h else n for t, h, n in zip(texts, hit, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return mapped(docs.join(within(spans, most_rows), blob == F.col(at), "left").drop(at), run, docs.schema)
+    return mapped(docs.join(within(spans, most_bytes), content_address() == F.col(at), "left").drop(at), run, docs.schema)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, ledger = extend_ledger(documents(spark, sf_dir))
-    return report(findings(paths, ledger)).drop("blob")
+    """All documents, in two increments as they might arrive; the second finds the first one's ledger and
+    scans what that lacks."""
+    docs, folder = documents(spark, sf_dir), f"{shared_dir(spark)}/ledger"
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    first, second = (extend_ledger(docs.filter(half == k), folder) for k in (0, 1))
+    return report(findings(first.unionByName(second), read_ledger(spark, folder))).drop("blob")

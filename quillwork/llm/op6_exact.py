@@ -23,11 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import documents, mapped, slices, written
+from quillwork.llm.common import documents, mapped, salted, slices, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Chunk sizes in bytes: no cut before the least, a cut one in MEAN bytes after it, one at the most.
 LEAST, MEAN, MOST = 2 << 10, 8 << 10, 64 << 10
+SALTS = 16
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -91,7 +92,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     order = F.struct((-F.col("n_code_points")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     shared = groups.filter("group_size > 1").select(F.col("recipe").alias("shared_recipe"), "group_size", "best")
-    joined = rows.join(shared, F.col("recipe") == F.col("shared_recipe"), "left")
+    many, few, salt = salted(rows, shared, F.col("row"), SALTS)
+    joined = many.join(few.withColumnRenamed(salt, "shared_salt"), (F.col("recipe") == F.col("shared_recipe")) & (F.col(salt) == F.col("shared_salt")), "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "row",

@@ -3,7 +3,9 @@
 Each language has a codeword of +1 and -1 bits, far from all others. One linear classifier per bit,
 over hashed letter trigrams of the whole text, predicts that bit; the language is the codeword of
 the least loss, each bit weighted by its classifier's accuracy, so a few wrong bits are corrected.
-A text whose two nearest codewords are about as near is flagged as ambiguous.
+A text whose two nearest codewords are about as near is flagged as ambiguous; if it is also much farther
+from both than texts of the sample are from their nearest, each left out of the fit for that, and has
+letters enough to tell, it is in none of the languages and ``accepted`` rejects it.
 
 The classifiers are fitted (ridge regression) on a bounded sample: at most ``PER_LANG`` labelled
 rows of each language and ``SAMPLE_ROWS`` in all, those with the least hash of doc_id among the rows
@@ -11,13 +13,15 @@ that may be learned from. Everything else covers all rows, and texts are read wh
 
 Edge cases: a text that is null, empty or without a letter is 'und' with score 0; with no labelled
 row at all every text is; rows of null lang are predicted but not learned from; repeated rows each
-give a row; an empty table gives no row; further input columns are ignored.
+give a row; an empty table gives no row; further input columns are ignored. Where no language could be
+learned, ``accepted`` keeps every text with a letter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,10 @@ DIMS = 1 << 13
 RIDGE = 1e-3
 #: A gap between the two least losses, as a share of a bit's weight, below which a text is ambiguous.
 AMBIGUOUS = 0.05
+#: About the loss of a text on which no bit is decided; nearer texts are never said to be far.
+UNDECIDED = 0.9
+#: A text of fewer letters is never said to be in no language.
+LETTERS = 20
 UNKNOWN = "und"
 
 # Bytes of letters (lower-cased) stay, others are a space; bytes of other code points stay.
@@ -57,6 +65,10 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def has_letters(text: str) -> bool:
+    return len(list(islice(filter(str.isalpha, text), LETTERS))) == LETTERS
+
+
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n rows of +1 and -1 at a large distance from each other; every column has both signs."""
     if n <= 1:
@@ -74,43 +86,59 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+def _losses(code: np.ndarray, trust: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Of each codeword, for each row of predicted bits."""
+    return (np.exp(-np.clip(2 * code * f[..., None, :], -8, 8)) * trust).sum(-1)
+
+
 @dataclass(frozen=True)
 class Model:
     langs: list[str]
     code: np.ndarray  # languages by bits
     weights: np.ndarray  # (DIMS + 1) by bits, the last row is the bias
     trust: np.ndarray  # of each bit; its sum is 1
+    far: float = np.inf  # loss beyond which the nearest codeword is farther than a learned text's would be
 
     def losses(self, text: str) -> np.ndarray:
-        f = features(text) @ self.weights[:-1] + self.weights[-1]
-        return (np.exp(-np.clip(2 * self.code * f, -8, 8)) * self.trust).sum(1)
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score and whether it's ambiguous."""
-        if not text or not self.langs or not has_letter(text):
-            return UNKNOWN, 0.0, True
+        return _losses(self.code, self.trust, features(text) @ self.weights[:-1] + self.weights[-1])
+
+    def judge(self, text: str | None) -> tuple[str, float, bool, bool]:
+        """Language, score, whether it's ambiguous, and whether it's in none of the languages."""
+        if not text or not has_letter(text):
+            return UNKNOWN, 0.0, True, True
+        if not self.langs:
+            return UNKNOWN, 0.0, True, False
         loss = self.losses(text)
         near = np.argsort(loss, kind="stable")
         odds = np.exp(-4 * (loss - loss[near[0]]))
-        close = len(near) > 1 and loss[near[1]] - loss[near[0]] < AMBIGUOUS
-        return self.langs[near[0]], float(odds[near[0]] / odds.sum()), bool(close)
+        close = len(near) > 1 and bool(loss[near[1]] - loss[near[0]] < AMBIGUOUS)
+        none = close and bool(loss[near[0]] > self.far) and has_letters(text)
+        return self.langs[near[0]], float(odds[near[0]] / odds.sum()), close, none
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        return self.judge(text)[:3]
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
-    langs = sorted({lang for lang, _ in rows})
+def fit(rows: list[tuple[str, np.ndarray, bool]]) -> Model:
+    """rows: language, features, and whether the text has letters enough to be far from all."""
+    langs = sorted({lang for lang, *_ in rows})
     if not langs:
         return Model([], np.zeros((0, 1)), np.zeros((DIMS + 1, 1)), np.ones(1))
     code = codewords(len(langs))
-    x = np.stack([v for _, v in rows]).astype(np.float32)
-    label = np.array([langs.index(lang) for lang, _ in rows])
+    x = np.stack([v for _, v, _ in rows]).astype(np.float32)
+    label = np.array([langs.index(lang) for lang, *_ in rows])
     y = code[label]
     centre = y.mean(0)
     # Ridge regression in its dual form: one system of the sample's size for all bits.
-    alpha = np.linalg.solve(x @ x.T + np.float32(RIDGE * len(rows)) * np.eye(len(rows), dtype=np.float32), y - centre)
+    inverse = np.linalg.inv((x @ x.T).astype(np.float64) + RIDGE * len(rows) * np.eye(len(rows)))
+    alpha = inverse @ (y - centre)
     weights = np.vstack([x.T @ alpha, centre]).astype(np.float32)
     right = (np.sign(x @ weights[:-1] + centre) == y).mean(0)
     trust = np.log((right + 0.01) / (1.01 - right)).clip(0.05)
-    return Model(langs, code, weights, trust / trust.sum())
+    trust /= trust.sum()
+    left_out = y - alpha / np.diag(inverse)[:, None]
+    nearest = _losses(code, trust, left_out).min(1)[[long for *_, long in rows]]
+    return Model(langs, code, weights, trust, max(UNDECIDED, float(nearest.mean() + 6 * nearest.std())) if len(nearest) else np.inf)
 
 
 def sample(docs: DataFrame, may_learn: Column) -> DataFrame:
@@ -127,14 +155,14 @@ def sample(docs: DataFrame, may_learn: Column) -> DataFrame:
 
 
 def train(docs: DataFrame, may_learn: Column) -> Model:
-    schema = pa.schema([("lang", pa.string()), ("vector", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("vector", pa.binary()), ("long", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array([features(t).astype(np.float16).tobytes() for t in texts], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column("lang"), pa.array([features(t).astype(np.float16).tobytes() for t in texts], pa.binary()), pa.array(map(has_letters, texts), pa.bool_())], schema=schema)
 
-    rows = mapped(sample(docs, may_learn), run, "lang string, vector binary").collect()
-    return fit(sorted(((r["lang"], np.frombuffer(bytes(r["vector"]), np.float16)) for r in rows), key=lambda r: (r[0], r[1].tobytes())))
+    rows = mapped(sample(docs, may_learn), run, "lang string, vector binary, long boolean").collect()
+    return fit([(lang, np.frombuffer(vector, np.float16), long) for lang, vector, long in sorted((r["lang"], bytes(r["vector"]), r["long"]) for r in rows)])
 
 
 def held_out() -> Column:
@@ -158,7 +186,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
-            yield rows.filter(pa.array([model.predict(t)[0] != UNKNOWN for t in texts], pa.bool_()))
+            yield rows.filter(pa.array([not model.judge(t)[3] for t in texts], pa.bool_()))
 
     return mapped(docs, run, docs.schema)
 

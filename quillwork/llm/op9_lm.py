@@ -36,6 +36,8 @@ BLOCK_BYTES = 8 << 20
 #: The end of a text, which no word is.
 END = b""
 SMOOTHING = 0.1
+#: Distinct words of a task: the work is the lattice's, which the bytes of a word don't show.
+TASK_WORDS = 1 << 16
 
 
 def blocks(docs: DataFrame, training: Column) -> DataFrame:
@@ -141,8 +143,9 @@ def score_texts(docs: DataFrame, training: Column, vocab_path: str) -> DataFrame
     found = written(blocks(docs, training), "blocks")
     in_block = found.filter("idx is not null").select("block", "idx", "word", "n")
     words = written(in_block.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, True))).first()
-    scored = score_words(words, vocab_path, piece_weights(words, vocab_path))
+    total, kinds, every = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, True)), F.count(F.lit(1))).first()
+    dealt = words.repartition(max(1, -(-every // TASK_WORDS)), "word")
+    scored = score_words(dealt, vocab_path, piece_weights(dealt, vocab_path))
     back = in_block.drop("n").join(scored, "word").select("block", "idx", "n", "logp")
     texts = found.filter("payload is not null").select(F.col("block").alias("of"), "payload")
     schema = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

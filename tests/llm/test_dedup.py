@@ -51,8 +51,9 @@ def check_near(found: list, rows: list[tuple]) -> None:
     least = {root: min((i for i in v if i is not None), default=None) for root, v in ids.items()}
     want = sorted((r[0] is None, r[0] or 0, n, least[root] is None, least[root] or 0) for r, n, root in zip(rows, sizes, roots, strict=True))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id is None, r.component_id or 0) for r in found) == want
-    assert sum(r.kept for r in found) == len(ids)  # one row of each component, also where its ids repeat
-    assert all(r.doc_id == r.component_id for r in found if r.kept)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+    assert sum(r.kept_row for r in found) == len(ids)  # one row of each component, also where its ids repeat
+    assert all(r.kept for r in found if r.kept_row)
 
 
 def test_components_of_edge_cases(docs, rows):
@@ -140,10 +141,10 @@ def test_chunks_follow_the_content():
     assert len(moved & chunks(data)) >= len(ends) - 3  # an insertion changes the chunks around it only
 
 
-@pytest.mark.parametrize("groups", [op6_exact.exact_groups, op2_minhash.near_groups])
-def test_empty_tables_and_rows_kept(docs, empty, groups, rows):
+@pytest.mark.parametrize(("groups", "by"), [(op6_exact.exact_groups, "kept"), (op2_minhash.near_groups, "kept_row")])
+def test_empty_tables_and_rows_kept(docs, empty, groups, by, rows):
     assert groups(empty).collect() == []
     decided = groups(docs)
-    kept = rows_kept(docs, decided)
+    kept = rows_kept(docs, decided, by)
     assert kept.columns == docs.columns
-    assert kept.count() == decided.filter("kept").count()
+    assert kept.count() == decided.filter(by).count()

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.llm import bpe, lattice, op5_secrets, op7_langid, op8_quality, op9_lm, textscan
@@ -41,10 +42,15 @@ def expected_secrets(text: str | None) -> tuple:
     return n["assign"], n["access"], n["hex"], hashlib.sha256(said.encode()).hexdigest()
 
 
-def test_secrets_of_edge_cases_and_the_small_table(spark, docs, rows, small, sample_rows):
+def reported(docs, folder) -> DataFrame:
+    paths = op5_secrets.extend_ledger(docs, folder)
+    return op5_secrets.report(op5_secrets.findings(paths, op5_secrets.read_ledger(docs.sparkSession, folder)))
+
+
+def test_secrets_of_edge_cases_and_the_small_table(spark, docs, rows, small, sample_rows, empty, tmp_path):
     columns = ["n_assign", "n_access", "n_hex", "base_sha256"]
-    paths, ledger = op5_secrets.extend_ledger(docs)
-    found = op5_secrets.report(op5_secrets.findings(paths, ledger))
+    assert reported(empty, f"file://{tmp_path}/none").collect() == []
+    found = reported(docs, f"file://{tmp_path}/ledger")
     assert sorted(tuple(r) for r in found.select(columns).collect()) == sorted(expected_secrets(r[1]) for r in rows)
     got = op5_secrets.op5_secret_scan(spark, small).collect()
     assert {r.doc_id: tuple(r[c] for c in columns) for r in got} == {r.doc_id: expected_secrets(r.text) for r in sample_rows}
@@ -65,21 +71,39 @@ def test_base_rules_on_any_text(text):
     assert spans == base_spans(text)
 
 
-def test_the_ledger_scans_unseen_pairs_only(spark):
+def test_the_ledger_scans_unseen_pairs_only(spark, tmp_path):
+    folder, rules = f"file://{tmp_path}/ledger", len(op5_secrets.RULES)
+    ledger = lambda: op5_secrets.read_ledger(spark, folder)
     first = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "plain"), (3, "token=abcdefghijkl")], "doc_id long, text string")
-    _, one = op5_secrets.extend_ledger(first)
-    assert one.count() == 2 * len(op5_secrets.RULES)  # two blobs
+    op5_secrets.extend_ledger(first, folder)
+    assert ledger().count() == 2 * rules  # two blobs
+    op5_secrets.extend_ledger(first, folder)
+    assert ledger().count() == 2 * rules  # nothing new
     more = first.union(spark.createDataFrame([(4, "0123456789abcdef")], "doc_id long, text string"))
-    paths, two = op5_secrets.extend_ledger(more, one)
-    assert two.count() == len(op5_secrets.RULES) and two.select("blob").distinct().count() == 1
+    op5_secrets.extend_ledger(more, folder)
+    assert ledger().count() == 3 * rules and ledger().select("blob").distinct().count() == 3
     raised = tuple(op5_secrets.Rule(r.kind, 2 if r.kind == "hex" else r.version, r.pattern, r.hints, r.flags, r.group, r.least) for r in op5_secrets.RULES)
-    whole = one.unionByName(two)
-    paths, three = op5_secrets.extend_ledger(more, whole, raised)
-    assert {r.kind for r in three.collect()} == {"hex"} and three.count() == 3
-    found = op5_secrets.report(op5_secrets.findings(paths, whole.unionByName(three), raised))
+    paths = op5_secrets.extend_ledger(more, folder, raised)
+    assert [(r.kind, r.n) for r in ledger().filter("version = 2").groupBy("kind").agg(F.count("*").alias("n")).collect()] == [("hex", 3)]
+    assert ledger().count() == 3 * rules + 3
+    found = op5_secrets.report(op5_secrets.findings(paths, ledger(), raised))
     assert {r.doc_id: r.spans for r in found.collect()} == {1: "assign:0:18", 2: "", 3: "assign:0:18", 4: "hex:0:16"}
 
 
+def test_the_querys_second_increment_scans_what_the_first_lacks(spark, docs, rows, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    blobs, total = set(), 0
+    for k in (0, 1):
+        part = docs.filter(half == k)
+        op5_secrets.extend_ledger(part, folder)
+        now = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in part.select("text").collect()}
+        total += len(op5_secrets.RULES) * len(now - blobs)
+        assert now & blobs or not blobs  # some texts of the second increment are old
+        blobs |= now
+        assert op5_secrets.read_ledger(spark, folder).count() == total
+
+
 def test_redaction():
     text = "é token=abcdefghijkl and AKIAABCDEFGHIJKLMN."
     spans = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(text))
@@ -87,10 +111,9 @@ def test_redaction():
     assert op5_secrets.redact("abcdef", "a:1:4,b:2:3,c:3:5") == "a[a]f"
 
 
-@pytest.mark.parametrize("most_rows", [50_000, 0])
-def test_redacted_keeps_every_row_and_column(docs, rows, most_rows):
-    paths, ledger = op5_secrets.extend_ledger(docs)
-    out = op5_secrets.redacted(docs, op5_secrets.report(op5_secrets.findings(paths, ledger)), most_rows)
+@pytest.mark.parametrize("most_bytes", [32 << 20, 0])
+def test_redacted_keeps_every_row_and_column(docs, rows, most_bytes, tmp_path):
+    out = op5_secrets.redacted(docs, reported(docs, f"file://{tmp_path}/ledger"), most_bytes)
     found = out.collect()
     assert out.columns == docs.columns and len(found) == len(rows)
     assert sorted(r.text for r in found if r.text and not base_spans(r.text) and "[" not in r.text) == sorted(r[1] for r in rows if r[1] and not base_spans(r[1]) and "PRIVATE" not in r[1])
@@ -123,7 +146,83 @@ def test_language_of_edge_cases(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(not no_letter(r[1]) for r in rows)
     assert op7_langid.predict(empty, op7_langid.train(empty, F.lit(True))).collect() == []
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
-    assert {r.lang_pred for r in op7_langid.predict(docs, op7_langid.train(unlabelled, F.lit(True))).collect()} == {"und"}
+    untaught = op7_langid.train(unlabelled, F.lit(True))
+    assert {r.lang_pred for r in op7_langid.predict(docs, untaught).collect()} == {"und"}
+    assert op7_langid.accepted(docs, untaught).count() == kept.count()
+
+
+PROSE = {
+    "en": ["the river and the stone are in the valley of the old king", "where is the house that they built on the hill", "she said that nothing of the kind was there"],
+    "de": ["der fluss und der stein sind im tal des alten königs", "wo ist das haus das sie auf dem hügel bauten", "sie sagte dass nichts dergleichen da war"],
+    "fr": ["la rivière et la pierre sont dans la vallée du vieux roi", "où est la maison qu'ils ont bâtie sur la colline", "elle a dit que rien de tel n'était là"],
+    "it": ["il fiume e la pietra sono nella valle del vecchio re", "dove si trova la casa che hanno costruito sulla collina", "disse che non c'era niente di simile"],
+    "fi": ["joki ja kivi ovat vanhan kuninkaan laaksossa", "missä on talo jonka he rakensivat mäelle", "hän sanoi ettei mitään sellaista ollut"],
+    "pl": ["rzeka i kamień są w dolinie starego króla", "gdzie jest dom który zbudowali na wzgórzu", "powiedziała że niczego takiego tam nie było"],
+}
+
+
+def plain_trigrams(text: str) -> list[float]:
+    """Damped counts of hashed trigrams, character by character."""
+    data = []
+    for b in f" {text} ".encode():
+        c = b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
+        if not (c == 0x20 and data and data[-1] == 0x20):
+            data.append(c)
+    counts = [0.0] * op7_langid.DIMS
+    for x, y, z in zip(data, data[1:], data[2:], strict=False):
+        counts[((x << 16 | y << 8 | z) * 0x9E3779B1 % (1 << 32)) >> 19] += 1
+    norm = math.sqrt(sum(counts))
+    return [math.sqrt(c) / norm for c in counts]
+
+
+@pytest.mark.parametrize("langs", [["en"], ["en", "de"], ["en", "de", "fr"], list(PROSE)])
+def test_bits_losses_and_flags_against_plain_loops(langs):
+    rows = [(lang, t) for lang in langs for t in PROSE[lang]]
+    model = op7_langid.fit([(lang, op7_langid.features(t), True) for lang, t in rows])
+    names = sorted(langs)
+    code, x = model.code.tolist(), [plain_trigrams(t) for _, t in rows]
+    n, bits = len(rows), len(code[0])
+    target = [[code[names.index(lang)][k] for k in range(bits)] for lang, _ in rows]
+    centre = [sum(t[k] for t in target) / n for k in range(bits)]
+    gram = np.array([[sum(a * b for a, b in zip(u, v, strict=True)) + (op7_langid.RIDGE * n if i == j else 0) for j, v in enumerate(x)] for i, u in enumerate(x)])
+    alpha = np.linalg.solve(gram, np.array(target) - np.array(centre))
+    kernel = lambda t: [sum(a * b for a, b in zip(plain_trigrams(t), u, strict=True)) for u in x]
+    bit = lambda t: [centre[k] + sum(s * alpha[i][k] for i, s in enumerate(kernel(t))) for k in range(bits)]
+    right = [sum((f[k] > 0) == (y[k] > 0) for f, y in zip(map(bit, (t for _, t in rows)), target, strict=True)) / n for k in range(bits)]
+    trust = [max(0.05, math.log((r + 0.01) / (1.01 - r))) for r in right]
+    loss = lambda f: [sum(w / sum(trust) * math.exp(-min(8, max(-8, 2 * c * v))) for w, c, v in zip(trust, word, f, strict=True)) for word in code]
+    nearest = []
+    for i in range(n):  # each text left out of the fit, which is then done anew
+        rest = [j for j in range(n) if j != i]
+        a = np.linalg.solve(gram[np.ix_(rest, rest)], (np.array(target) - np.array(centre))[rest])
+        k = [gram[i][j] for j in rest]
+        nearest.append(min(loss([centre[b] + sum(s * a[m][b] for m, s in enumerate(k)) for b in range(bits)])))
+    far = max(op7_langid.UNDECIDED, np.mean(nearest) + 6 * np.std(nearest))
+    assert math.isclose(model.far, far, rel_tol=1e-3)
+    for text in ["the old house on the hill", "das alte haus", "où est le roi", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "Avec.", *(t for _, t in rows)]:
+        f = bit(text)
+        losses = loss(f)
+        assert np.allclose(model.losses(text), losses, rtol=1e-3, atol=1e-4)
+        ordered = sorted(range(len(names)), key=lambda i: losses[i])
+        lang, score, ambiguous, none = model.judge(text)
+        assert lang == names[ordered[0]] and math.isclose(score, 1 / sum(math.exp(-4 * (v - losses[ordered[0]])) for v in losses), rel_tol=1e-2)
+        close = len(names) > 1 and losses[ordered[1]] - losses[ordered[0]] < op7_langid.AMBIGUOUS
+        assert ambiguous == close
+        assert none == (close and losses[ordered[0]] > far and sum(map(str.isalpha, text)) >= 20)
+
+
+def test_junk_is_in_no_language_and_short_texts_stay(spark):
+    rng = np.random.default_rng(4)
+    mixed = [(lang, " ".join(rng.choice(" ".join(PROSE[lang]).split(), 14))) for lang in PROSE for _ in range(20)]
+    rows = [(200 + i, t, lang) for i, (lang, t) in enumerate(mixed)] + [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in PROSE for t in PROSE[lang])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op7_langid.train(docs, F.lit(True))
+    assert model.langs == sorted(PROSE)  # six languages, so the codewords are random ones
+    more = docs.union(spark.createDataFrame([(100, "zzqqxxjj" * 40, None), (101, "zq", None), (102, "12 + 3", None)], docs.schema))
+    kept = {r.doc_id for r in op7_langid.accepted(more, model).collect()}
+    assert kept == {r[0] for r in rows} | {101}
+    flags = {r.doc_id: r.ambiguous for r in op7_langid.predict(more, model).collect()}
+    assert flags[100] and not any(flags[r[0]] for r in rows)
 
 
 def test_a_prediction_uses_the_text_alone(docs):

@@ -130,10 +130,30 @@ def test_packing_holds_every_id_once(docs, rows):
         assert at <= tier <= 2048 and {r.tier for r in pieces} == {tier} and len({r.step_group for r in pieces}) == 1
         padding += tier - at
     assert padding <= 3 * 2048  # one window a partition at most
-    groups = defaultdict(int)
-    for pieces in windows.values():
-        groups[pieces[0].step_group, pieces[0].tier] += pieces[0].tier
-    assert max(groups.values()) <= op10_packing.STEP_TOKENS and len({g for g, _ in groups}) == len(groups)
+    step_groups(found, parts=3)
+
+
+def step_groups(found: list, parts: int) -> None:
+    """Every step group holds the same tokens, but for one a partition, and is of one tier but for the last ones."""
+    groups = defaultdict(list)
+    for r in {r.sequence_id: r for r in found}.values():
+        groups[r.step_group].append(r.tier)
+    short = [g for g, tiers in groups.items() if sum(tiers) != op10_packing.STEP_TOKENS]
+    assert len(short) <= parts and all(sum(groups[g]) < op10_packing.STEP_TOKENS for g in short)
+    assert sum(len(set(t)) > 1 for t in groups.values()) <= 4 * parts
+
+
+def test_step_groups_and_windows_over_many_runs(docs, rows, monkeypatch):
+    monkeypatch.setattr(op10_packing, "RUN_DOCS", 10)
+    one = docs.coalesce(1)
+    found = op10_packing.pack_documents(one, WORD).collect()
+    whole(found, rows)
+    step_groups(found, parts=1)
+    monkeypatch.setattr(op10_packing, "RUN_DOCS", 4096)
+    monkeypatch.setattr(op10_packing, "RUN_TOKENS", 3000)  # the long documents are beyond a run each
+    found = op10_packing.pack_documents(one, WORD).collect()
+    whole(found, rows)
+    step_groups(found, parts=1)
 
 
 @settings(max_examples=100, deadline=None)
@@ -204,6 +224,32 @@ def test_a_resumed_read_is_the_tail_of_a_full_read(spark, docs, empty):
         assert read(first) == {k: v for k, v in full.items() if k >= first}
 
 
+def test_ids_that_a_layout_cannot_hold_are_refused(docs):
+    assert op1_shards.layout_for(WORD).width == 2
+    op1_shards.Layout(width=2).check(1 << 16)
+    op1_shards.Layout(width=4).check(1 << 17)
+    with pytest.raises(ValueError, match="65537 ids"):
+        op1_shards.Layout(width=2).check((1 << 16) + 1)
+    with pytest.raises(Exception, match="ids don't fit into 1 bytes"):
+        op1_shards.sequences(docs, WORD, op1_shards.Layout(width=1), 1).collect()
+
+
+def test_shards_of_wide_ids(spark, docs):
+    layout = op1_shards.Layout(length=100, shard_records=64, width=4)
+    folder = shared_dir(spark)
+    pieces = op1_shards.materialise(docs, WORD, layout, folder=folder).collect()
+    full = {r.slot: r.ids for r in op1_shards.read_from(spark, folder, layout).collect()}
+    for r in pieces:
+        assert r.record_tokens == len(full[r.slot]) and r.record_crc32 == zlib.crc32(raw(full[r.slot]))
+        assert r.ids_crc32 == zlib.crc32(raw(full[r.slot][r.offset : r.offset + r.length]))
+
+
+def test_counts_of_texts_longer_than_a_segment(monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT_CHARS", 50)
+    texts = ["ab cd  ef\n gh " * 40 + "<|endoftext|>" + "x" * 300 + " y" * 90, "word " * 100 + "<|endoftext|> after" * 9, "日本語 x " * 60]
+    assert bpe.load(BYTE).count_batch(texts) == [len(ids_of(t, BYTE)) for t in texts]
+
+
 def test_empty_tables(empty):
     assert op3_bpe.round_trip_digests(empty, WORD).collect() == []
     assert op4_counts.token_counts(empty, BYTE, 5).collect() == []
