@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import bpe, op2_minhash, op5_secrets, op6_exact, op7_langid, op10_packing
-from quillwork.llm.common import documents, rows_kept, written
+from quillwork.llm.common import documents, rows_kept, shared_dir, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language: null, empty, or without a letter."""
+    """Drops texts in no language: null, empty, without a letter, or far from every language learned."""
     return op7_langid.accepted(docs, op7_langid.train(docs, ~op7_langid.held_out()))
 
 
@@ -26,13 +26,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest doc_id of each component of near copies."""
-    return rows_kept(docs, op2_minhash.near_groups(docs))
+    return rows_kept(docs, op2_minhash.near_groups(docs), "kept_row")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every row, with secrets replaced by their kind."""
-    paths, ledger = op5_secrets.extend_ledger(docs)
-    return op5_secrets.redacted(docs, op5_secrets.report(op5_secrets.findings(paths, ledger)))
+    folder = f"{shared_dir(spark)}/ledger"
+    paths = op5_secrets.extend_ledger(docs, folder)
+    return op5_secrets.redacted(docs, op5_secrets.report(op5_secrets.findings(paths, op5_secrets.read_ledger(spark, folder))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
