@@ -3,9 +3,10 @@
 Each language has a codeword of +1 and -1 bits, far from all others. One linear classifier per bit,
 over hashed letter trigrams of the whole text, predicts that bit; the language is the codeword of
 the least loss, each bit weighted by its classifier's accuracy, so a few wrong bits are corrected.
-A text whose two nearest codewords are about as near is flagged as ambiguous; if it is also much farther
-from both than texts of the sample are from their nearest, each left out of the fit for that, and has
-letters enough to tell, it is in none of the languages and ``accepted`` rejects it.
+A text whose two nearest codewords are about as near is flagged as ambiguous. One that is as far from its
+nearest codeword as a text without any known trigram, and much farther than texts of the sample are
+from theirs (each left out of the fit for that), is in none of the languages if it has letters enough
+to tell, and ``accepted`` rejects it.
 
 The classifiers are fitted (ridge regression) on a bounded sample: at most ``PER_LANG`` labelled
 rows of each language and ``SAMPLE_ROWS`` in all, those with the least hash of doc_id among the rows
@@ -36,8 +37,8 @@ DIMS = 1 << 13
 RIDGE = 1e-3
 #: A gap between the two least losses, as a share of a bit's weight, below which a text is ambiguous.
 AMBIGUOUS = 0.05
-#: About the loss of a text on which no bit is decided; nearer texts are never said to be far.
-UNDECIDED = 0.9
+#: Share of the loss of a text without known trigrams; nearer texts are never said to be far.
+UNDECIDED = 0.93
 #: A text of fewer letters is never said to be in no language.
 LETTERS = 20
 UNKNOWN = "und"
@@ -112,7 +113,7 @@ class Model:
         near = np.argsort(loss, kind="stable")
         odds = np.exp(-4 * (loss - loss[near[0]]))
         close = len(near) > 1 and bool(loss[near[1]] - loss[near[0]] < AMBIGUOUS)
-        none = close and bool(loss[near[0]] > self.far) and has_letters(text)
+        none = bool(loss[near[0]] > self.far) and has_letters(text)
         return self.langs[near[0]], float(odds[near[0]] / odds.sum()), close, none
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -138,7 +139,8 @@ def fit(rows: list[tuple[str, np.ndarray, bool]]) -> Model:
     trust /= trust.sum()
     left_out = y - alpha / np.diag(inverse)[:, None]
     nearest = _losses(code, trust, left_out).min(1)[[long for *_, long in rows]]
-    return Model(langs, code, weights, trust, max(UNDECIDED, float(nearest.mean() + 6 * nearest.std())) if len(nearest) else np.inf)
+    unknown = UNDECIDED * _losses(code, trust, centre).min()
+    return Model(langs, code, weights, trust, float(max(unknown, nearest.mean() + 6 * nearest.std())) if len(nearest) else np.inf)
 
 
 def sample(docs: DataFrame, may_learn: Column) -> DataFrame:

@@ -161,18 +161,19 @@ PROSE = {
 }
 
 
-def plain_trigrams(text: str) -> list[float]:
+def plain_trigrams(text: str) -> dict[int, float]:
     """Damped counts of hashed trigrams, character by character."""
     data = []
     for b in f" {text} ".encode():
         c = b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
         if not (c == 0x20 and data and data[-1] == 0x20):
             data.append(c)
-    counts = [0.0] * op7_langid.DIMS
-    for x, y, z in zip(data, data[1:], data[2:], strict=False):
-        counts[((x << 16 | y << 8 | z) * 0x9E3779B1 % (1 << 32)) >> 19] += 1
-    norm = math.sqrt(sum(counts))
-    return [math.sqrt(c) / norm for c in counts]
+    counts = Counter(((x << 16 | y << 8 | z) * 0x9E3779B1 % (1 << 32)) >> 19 for x, y, z in zip(data, data[1:], data[2:], strict=False))
+    return {k: math.sqrt(c / counts.total()) for k, c in counts.items()}
+
+
+def dot(u: dict, v: dict) -> float:
+    return sum(a * v[k] for k, a in u.items() if k in v)
 
 
 @pytest.mark.parametrize("langs", [["en"], ["en", "de"], ["en", "de", "fr"], list(PROSE)])
@@ -184,9 +185,9 @@ def test_bits_losses_and_flags_against_plain_loops(langs):
     n, bits = len(rows), len(code[0])
     target = [[code[names.index(lang)][k] for k in range(bits)] for lang, _ in rows]
     centre = [sum(t[k] for t in target) / n for k in range(bits)]
-    gram = np.array([[sum(a * b for a, b in zip(u, v, strict=True)) + (op7_langid.RIDGE * n if i == j else 0) for j, v in enumerate(x)] for i, u in enumerate(x)])
+    gram = np.array([[dot(u, v) + (op7_langid.RIDGE * n if i == j else 0) for j, v in enumerate(x)] for i, u in enumerate(x)])
     alpha = np.linalg.solve(gram, np.array(target) - np.array(centre))
-    kernel = lambda t: [sum(a * b for a, b in zip(plain_trigrams(t), u, strict=True)) for u in x]
+    kernel = lambda t: [dot(plain_trigrams(t), u) for u in x]
     bit = lambda t: [centre[k] + sum(s * alpha[i][k] for i, s in enumerate(kernel(t))) for k in range(bits)]
     right = [sum((f[k] > 0) == (y[k] > 0) for f, y in zip(map(bit, (t for _, t in rows)), target, strict=True)) / n for k in range(bits)]
     trust = [max(0.05, math.log((r + 0.01) / (1.01 - r))) for r in right]
@@ -197,7 +198,7 @@ def test_bits_losses_and_flags_against_plain_loops(langs):
         a = np.linalg.solve(gram[np.ix_(rest, rest)], (np.array(target) - np.array(centre))[rest])
         k = [gram[i][j] for j in rest]
         nearest.append(min(loss([centre[b] + sum(s * a[m][b] for m, s in enumerate(k)) for b in range(bits)])))
-    far = max(op7_langid.UNDECIDED, np.mean(nearest) + 6 * np.std(nearest))
+    far = max(0.93 * min(loss(centre)), np.mean(nearest) + 6 * np.std(nearest))
     assert math.isclose(model.far, far, rel_tol=1e-3)
     for text in ["the old house on the hill", "das alte haus", "où est le roi", "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx", "Avec.", *(t for _, t in rows)]:
         f = bit(text)
@@ -208,7 +209,7 @@ def test_bits_losses_and_flags_against_plain_loops(langs):
         assert lang == names[ordered[0]] and math.isclose(score, 1 / sum(math.exp(-4 * (v - losses[ordered[0]])) for v in losses), rel_tol=1e-2)
         close = len(names) > 1 and losses[ordered[1]] - losses[ordered[0]] < op7_langid.AMBIGUOUS
         assert ambiguous == close
-        assert none == (close and losses[ordered[0]] > far and sum(map(str.isalpha, text)) >= 20)
+        assert none == (losses[ordered[0]] > far and sum(map(str.isalpha, text)) >= 20)
 
 
 def test_junk_is_in_no_language_and_short_texts_stay(spark):
@@ -221,15 +222,12 @@ def test_junk_is_in_no_language_and_short_texts_stay(spark):
     more = docs.union(spark.createDataFrame([(100, "zzqqxxjj" * 40, None), (101, "zq", None), (102, "12 + 3", None)], docs.schema))
     kept = {r.doc_id for r in op7_langid.accepted(more, model).collect()}
     assert kept == {r[0] for r in rows} | {101}
-    flags = {r.doc_id: r.ambiguous for r in op7_langid.predict(more, model).collect()}
-    assert flags[100] and not any(flags[r[0]] for r in rows)
-
-
-def test_a_prediction_uses_the_text_alone(docs):
-    model = op7_langid.train(docs, ~op7_langid.held_out())
-    changed = docs.withColumns({"lang": F.lit("zz"), "source": F.lit("zz"), "doc_id": F.col("doc_id") + 1000})
-    one = sorted((r.lang_pred, r.score) for r in op7_langid.predict(docs, model).collect())
-    assert one == sorted((r.lang_pred, r.score) for r in op7_langid.predict(changed, model).collect())
+    assert not any(model.judge(t)[2] for _, t, _ in rows)
+    for bias, ambiguous in ((0.0, True), (0.01, True), (-0.02, False), (1.0, False)):
+        weights = np.zeros((op7_langid.DIMS + 1, 1), np.float32)
+        weights[-1] = bias
+        flagged = op7_langid.Model(["a", "b"], np.array([[1.0], [-1.0]]), weights, np.ones(1)).judge("word")
+        assert flagged[0] == ("b" if bias < 0 else "a") and flagged[2] == ambiguous
 
 
 @pytest.mark.parametrize("n", [2, 3, 5, 8, 20])
