@@ -116,3 +116,22 @@ def best_rows(asked: DataFrame, vectors: DataFrame, k: int, digits: int = 4) ->
 
     scored = pairs.mapInPandas(run, "q long, vec_id long, score double")
     return ranked(scored, ["q"], [F.desc("score"), F.col("vec_id")]).filter(F.col("place") <= k).select("q", "vec_id", "score")
+
+
+def rows_above(asked: DataFrame, vectors: DataFrame, least: float, digits: int = 4) -> DataFrame:
+    """q, vec_id and score of all rows of ``vectors`` whose rounded score with a row of ``asked`` is ``least``
+    or more, exact: every query block meets every row block."""
+    n = max(1, -(-asked.count() // ASKED_BLOCK))
+    pairs = blocks(vectors, ROWS_BLOCK, "r").crossJoin(blocks(asked.select("vec_id", "embedding").repartition(n), ASKED_BLOCK, "q"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r_ids, r, size, q_ids, q, q_size in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                if size != q_size:
+                    continue
+                exact = np.frombuffer(q, np.float64).reshape(-1, size) @ np.frombuffer(r, np.float64).reshape(-1, size).T
+                scores = np.copysign(np.floor(np.abs(exact) * 10**digits + 0.5), exact) / 10**digits + 0.0
+                i, j = np.nonzero(scores >= least)
+                yield pd.DataFrame({"q": np.frombuffer(q_ids, np.int64)[i], "vec_id": np.frombuffer(r_ids, np.int64)[j], "score": scores[i, j]})
+
+    return pairs.mapInPandas(run, "q long, vec_id long, score double")
