@@ -36,6 +36,8 @@ from quillwork.llm.common import documents, mapped, shared_dir, slices, written
 from quillwork.llm.textscan import mix
 
 ROUNDS = 6
+#: Records of a shard that are decoded at once.
+READ_RECORDS = 256
 _U = np.uint64
 PIECES = "array<struct<doc_id:long,start:long,length:long,offset:long,ids_crc32:long>>"
 
@@ -59,7 +61,7 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Layout:
     length: int = 2048
-    shard_records: int = 4096
+    shard_records: int = 2048
     width: int = 2
     key: int = 20240607
 
@@ -171,19 +173,23 @@ def write_shards(found: DataFrame, layout: Layout, folder: str, numbers: tuple[d
 
 
 def read_shards(spark: SparkSession, folder: str, layout: Layout) -> DataFrame:
-    """slot, n_tokens and seq_crc32 of every record of the shards: SQL functions cut the records out of a
-    shard, so that no shard is copied to a Python worker."""
+    """slot, n_tokens and seq_crc32 of every record of the shards, read in sequence; a shard stays one
+    buffer, of which some records are looked at a time."""
+    schema = pa.schema([("slot", pa.int64()), ("n_tokens", pa.int64()), ("seq_crc32", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                shard, data = rows.column("shard")[i].as_py(), memoryview(rows.column("content")[i].as_buffer())
+                n = len(data) // layout.stride
+                for start in range(0, n, READ_RECORDS):
+                    slots = range(start, min(start + READ_RECORDS, n))
+                    ids = [layout.ids(bytes(data[k * layout.stride : (k + 1) * layout.stride])) for k in slots]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard * layout.shard_records + k for k in slots], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], schema=schema)
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).filter("length > 0")
     shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("shard")
-    at = f"k * {layout.stride} + 1"
-    # The size is of three bytes, the lowest first, before the line feed.
-    byte = lambda i: f"cast(conv(hex(substring(content, {at} + {layout.length * layout.width + i}, 1)), 16, 10) as int)"
-    size = f"({byte(0)} + 256 * {byte(1)} + 65536 * {byte(2)})"
-    one = f"named_struct('k', k, 'n_tokens', {size}, 'seq_crc32', crc32(substring(content, {at}, {layout.width} * {size})))"
-    records = F.expr(f"transform(sequence(0, cast(length(content) / {layout.stride} as int) - 1), k -> {one})")
-    found = files.select(shard, F.explode(records).alias("r"))
-    slot = F.col("shard").cast("long") * layout.shard_records + F.col("r.k")
-    return found.select(slot.alias("slot"), F.col("r.n_tokens").cast("long").alias("n_tokens"), F.col("r.seq_crc32").alias("seq_crc32"))
+    return mapped(files.select(shard, "content"), run, "slot long, n_tokens long, seq_crc32 long")
 
 
 def read_from(spark: SparkSession, folder: str, layout: Layout, first_slot: int = 0) -> DataFrame:
@@ -197,8 +203,8 @@ def read_from(spark: SparkSession, folder: str, layout: Layout, first_slot: int
             for i in range(rows.num_rows):
                 shard, data = rows.column("shard")[i].as_py(), memoryview(rows.column("content")[i].as_buffer())
                 n, at = len(data) // layout.stride, first_record if shard == first_shard else 0
-                for start in range(at, n, 256):
-                    slots = range(start, min(start + 256, n))
+                for start in range(at, n, READ_RECORDS):
+                    slots = range(start, min(start + READ_RECORDS, n))
                     ids = [layout.ids(bytes(data[k * layout.stride : (k + 1) * layout.stride])).astype(np.int32) for k in slots]
                     yield pa.RecordBatch.from_arrays([pa.array([shard * layout.shard_records + k for k in slots], pa.int64()), pa.array(ids, schema.field("ids").type)], schema=schema)
 

@@ -49,6 +49,8 @@ MISS = 1e-6
 #: A shingle is common in a group if more than one in so many members has it.
 COMMON = 4
 SALTS = 16
+#: A group of more members is dealt to SALTS tasks.
+GROUP = 1024
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(4242)).integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -156,10 +158,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def common_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """members: g (group), b. For each g: shingles that over a share of 1 / COMMON of its members hold,
+    """members: g (group), b. For each g: its number of members m, shingles that over a share of 1 / COMMON of its members hold,
     rarest first (at most COMMON times a mean set), and the size of its smallest set."""
     schema = pa.schema([("g", pa.int64()), ("shingle", pa.int64())])
-    held = members.join(sets.withColumnRenamed("node", "b"), "b").select("g", "found")
+    held = members.join(sets.withColumnRenamed("node", "b"), "b").select("g", "m", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -169,13 +171,12 @@ def common_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
                 g = np.repeat(part.column("g").to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.concatenate(found))], schema=schema)
 
-    counts = mapped(held, run, "g long, shingle long").groupBy("g", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = held.groupBy(F.col("g").alias("of")).agg(F.count(F.lit(1)).alias("m"), F.min(F.octet_length("found") / 8).cast("int").alias("least"))
-    sizes = written(sizes, "sizes")
+    counts = mapped(held.select("g", "found"), run, "g long, shingle long").groupBy("g", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = written(held.groupBy(F.col("g").alias("of"), "m").agg(F.min(F.octet_length("found") / 8).cast("int").alias("least")), "sizes")
     many, few, salt = salted(counts, sizes, F.col("shingle"), SALTS)
     counts = many.join(few.withColumnRenamed(salt, "of_salt"), (F.col("g") == F.col("of")) & (F.col(salt) == F.col("of_salt")))
     common = counts.filter(F.col("n") * COMMON > F.col("m")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("c"))
-    return sizes.join(common, F.col("g") == F.col("of"), "left").select("of", "least", F.coalesce("c.shingle", F.array().cast("array<long>")).alias("common"))
+    return sizes.join(common, F.col("g") == F.col("of"), "left").select("of", F.col("m").alias("of_m"), "least", F.coalesce("c.shingle", F.array().cast("array<long>")).alias("common"))
 
 
 def first_quarter(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,8 +204,12 @@ def first_quarter(members: DataFrame, sets: DataFrame) -> DataFrame:
                 size = np.repeat(np.array([n for _, n in firsts], np.int32), times)
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(shingle), pa.array(place), pa.array(size)], schema=schema)
 
-    many, few, salt = salted(members, common_shingles(members, sets), F.col("b"), SALTS)
-    held = many.join(few.withColumnRenamed(salt, "of_salt"), (F.col("g") == F.col("of")) & (F.col(salt) == F.col("of_salt"))).join(sets.withColumnRenamed("node", "b"), "b")
+    common = common_shingles(members, sets)
+    # A group's shingles go once to each of its tasks, and only a large group has more than one.
+    tasks = lambda m: F.when(F.col(m) > GROUP, SALTS).otherwise(1)
+    few = common.select("of", "least", "common", F.explode(F.sequence(F.lit(0), tasks("of_m") - 1)).alias("of_salt"))
+    many = members.withColumn("salt", F.pmod(F.xxhash64("b"), tasks("m")).cast("int"))
+    held = many.join(few, (F.col("g") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).join(sets.withColumnRenamed("node", "b"), "b")
     return mapped(held.select("g", "b", "root", "far", "found", "common", "least"), run, "g long, b long, root long, far boolean, shingle long, place int, size int")
 
 
@@ -215,10 +220,10 @@ def pairs_apart(star: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame
     known = star.join(root, F.col("b") == F.col("n2"), "left").select("a", "b", F.coalesce("root", "b").alias("root"))
     known = known.join(root.withColumnRenamed("root", "root_a"), F.col("a") == F.col("n2"), "left")
     known = known.select(F.coalesce("root_a", "a").alias("g"), "b", "root").distinct().withColumn("far", F.col("root") != F.col("g"))
-    several = known.groupBy("g").agg(F.max("far").alias("any"), F.count(F.lit(1)).alias("n")).filter("any and n > 1").select(F.col("g").alias("open"))
+    several = known.groupBy("g").agg(F.max("far").alias("any"), F.count(F.lit(1)).alias("n")).filter("any and n > 1").select(F.col("g").alias("open"), F.col("n").alias("m"))
     many, few, salt = salted(known, several, F.col("b"), SALTS)
-    open_groups = many.join(few.withColumnRenamed(salt, "open_salt"), (F.col("g") == F.col("open")) & (F.col(salt) == F.col("open_salt")), "left_semi")
-    members = written(open_groups.select("g", "b", "root", "far"), "members")
+    open_groups = many.join(few.withColumnRenamed(salt, "open_salt"), (F.col("g") == F.col("open")) & (F.col(salt) == F.col("open_salt")))
+    members = written(open_groups.select("g", "b", "root", "far", "m"), "members")
     posts = written(first_quarter(members, sets), "quarters")
     left = posts.filter("far").select("g", "shingle", *[F.col(c).alias(f"u_{c}") for c in ("b", "root", "place", "size")])
     right = posts.select("g", "shingle", "far", *[F.col(c).alias(f"v_{c}") for c in ("b", "root", "place", "size")])
@@ -277,8 +282,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = written(rows.select("row", "doc_id", "h", "n_shingles", "root"), "members")
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n"))
     several = least.filter("n > 1").withColumnRenamed("root", "r2")
-    many, few, salt = salted(rows, several, F.col("row"), SALTS)
-    joined = many.join(few.withColumnRenamed(salt, "r2_salt"), (F.col("root") == F.col("r2")) & (F.col(salt) == F.col("r2_salt")), "left")
+    joined = rows.join(several, F.col("root") == F.col("r2"), "left")
     component = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return joined.select("row", "doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), (F.col("n").isNull() | (F.col("row") == F.col("least.row"))).alias("kept_row"))
 
