@@ -5,17 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under ``spark.checkpoint.dir``, which the driver and all executors see; a local
+    temporary folder only where a local session has no such setting, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/quillwork"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """A step's result in the folder that all executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillwork"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ conversation are sequential and run per conversation; a conversation's turns are
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -59,28 +60,39 @@ def _at_words(text: str, most: int) -> list[str]:
     return [*out, held] if held else out
 
 
-def chunk_text(text: str, size: int, overlap: int) -> list[str]:
-    """Windows of a text with an overlap. A window ends at a paragraph, else at a sentence, if one
-    ends beyond 55 % of it; else at its size."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            window = text[start:end]
-            at = max(window.rfind("\n\n"), -1)
-            if at <= 0.55 * size:
-                at = max(window.rfind(m) + 1 for m in (". ", "! ", "? ", "\n"))
-            if at > 0.55 * size:
-                end = start + at
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= n:
+#: Where a text may be cut: before an empty line; behind a mark before a space, or behind a line.
+_CUTS = (re.compile(r"(?=\n\n)"), re.compile(r"[.!?](?= )|\n"))
+#: A window ends at a paragraph or sentence only beyond this share of it.
+LEAST_SHARE = 0.55
+
+
+def window_ends(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of each window: it ends at the last paragraph that ends late enough in it, else at the
+    last such sentence, else when it is full; the next one starts ``overlap`` before that end."""
+    # Of paragraphs, then of sentences: places that a window must reach, and the cuts there.
+    paragraphs = [(m.end() + 2, m.end()) for m in _CUTS[0].finditer(text)]
+    kinds = [paragraphs, [(m.end() + (m[0] != "\n"), m.end()) for m in _CUTS[1].finditer(text)]]
+    out: list[tuple[int, int]] = []
+    start = 0
+    while start < len(text):
+        full = start + size
+        if full >= len(text):
+            out.append((start, len(text)))
             break
-        start = max(end - overlap, start + 1)
+        late = start + LEAST_SHARE * size
+        last = (cuts[at - 1][1] for cuts in kinds if (at := bisect_right(cuts, (full, full))))
+        ends = [cut for cut in last if cut > late]
+        out.append((start, ends[0] if ends else full))
+        start = max(out[-1][1] - overlap, start + 1)
     return out
 
 
+def chunk_text(text: str, size: int, overlap: int) -> list[str]:
+    """What stands in the windows of a text, less white space at their ends; blank windows go."""
+    said = (text[a:b].strip() for a, b in window_ends(text, size, overlap))
+    return [s for s in said if s]
+
+
 def _lists(f: Callable[[str], list[str]]) -> Callable[[Column], Column]:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: f(x or ""))

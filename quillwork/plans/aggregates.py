@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.text import words
 from quillwork.operators.latest import latest_per
+from quillwork.operators.ranks import nearest_rank, ranked_values
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
 
@@ -77,18 +78,20 @@ def conditional_counters(t: Tables) -> DataFrame:
 
 @queries("E11", """SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.95) AS p95, min(value) AS least, max(value) AS most, count(value) AS n FROM events GROUP BY event_type""")
 def nearest_rank_percentiles(t: Tables) -> DataFrame:
-    p = lambda q: F.expr(f"percentile_disc({q}) within group (order by value)").alias(f"p{int(q * 100)}")
-    return t.events.groupBy("event_type").agg(p(0.5), p(0.9), p(0.95), F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
+    p = ranked_values(t.events, ["event_type"], "value", {f"p{int(q * 100)}": nearest_rank(q) for q in (0.5, 0.9, 0.95)}).withColumnRenamed("event_type", "of")
+    ends = t.events.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.count("value").alias("n"))
+    return ends.join(p, F.col("event_type").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @queries("E12 E13", """SELECT event_type AS stage, CAST(json_extract_string(props, '$.k') AS INT) % 3 AS pass, count(*) AS calls, count(*) FILTER (WHERE value > 50) AS slow, CAST(sum(greatest(0, CAST(json_extract_string(props, '$.k') AS INT) - 1)) AS BIGINT) AS retries, quantile_disc(value, 0.5) AS p50, count(DISTINCT user_id) AS journeys FROM events GROUP BY 1, 2""")
 def performance_summary(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     e = t.events.select(F.col("event_type").alias("stage"), (k % 3).alias("pass"), k.alias("k"), "value", "user_id")
-    return e.groupBy("stage", "pass").agg(
-        F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("value") > 50, True)).alias("slow"), F.sum(F.greatest(F.lit(0), F.col("k") - 1)).alias("retries"),
-        F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.countDistinct("user_id").alias("journeys"),
-    )
+    # Journeys are counted once they are one row each; no group's rows or values meet in one task.
+    by_user = e.groupBy("stage", "pass", "user_id").agg(F.count(F.lit(1)).alias("calls"), F.count(F.when(F.col("value") > 50, True)).alias("slow"), F.sum(F.greatest(F.lit(0), F.col("k") - 1)).alias("retries"))
+    sums = by_user.groupBy("stage", "pass").agg(*[F.sum(c).alias(c) for c in ("calls", "slow", "retries")], F.count("user_id").alias("journeys"))
+    p50 = ranked_values(e, ["stage", "pass"], "value", {"p50": nearest_rank(0.5)}).withColumnsRenamed({"stage": "s", "pass": "p"})
+    return sums.join(p50, F.col("stage").eqNullSafe(F.col("s")) & F.col("pass").eqNullSafe(F.col("p")), "left").drop("s", "p")
 
 
 @queries("E14", """WITH t AS (SELECT source, unnest(list_distinct([lang, source, lang])) AS tag FROM documents) SELECT tag, count(*) AS n, count(*) FILTER (WHERE source = 'src0') AS n_open FROM t GROUP BY tag""")
@@ -134,7 +137,9 @@ def transcript_health(t: Tables) -> DataFrame:
 
 @queries("E22", "SELECT event_type, round(median(value), 6) AS middle FROM events GROUP BY event_type")
 def median_value(t: Tables) -> DataFrame:
-    return t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("middle"))
+    n = F.col("n")
+    two = ranked_values(t.events, ["event_type"], "value", {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1})
+    return two.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("middle"))
 
 
 @queries("E23 Q6", """SELECT l_suppkey, round(sum(l_discount * l_quantity) / sum(l_quantity), 4) AS score, round(sum(l_discount * l_quantity) / sum(l_quantity), 4) >= 0.05 AS passed FROM lineitem GROUP BY l_suppkey""")

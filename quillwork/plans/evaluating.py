@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.text import words
 from quillwork.operators.matching import pairs_sharing
+from quillwork.operators.ranks import nearest_rank, ranked_values
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
 
@@ -59,7 +60,9 @@ def reviewer_burden(t: Tables) -> DataFrame:
 SELECT a.event_type, round((a.p50 - b.p50) / a.p50, 4) AS improvement, (a.p50 - b.p50) / a.p50 >= 0.3 AND b.p50 <= 120 AND b.n >= a.n * 0.9 AS passed FROM a JOIN b USING (event_type)""")
 def release_gate(t: Tables) -> DataFrame:
     def summary(where: str, p50: str, n: str) -> DataFrame:
-        return t.events.filter(where).groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias(p50), F.count(F.lit(1)).alias(n))
+        part = t.events.filter(where)
+        middle = ranked_values(part, ["event_type"], "value", {p50: nearest_rank(0.5)})
+        return part.groupBy("event_type").agg(F.count(F.lit(1)).alias(n)).join(middle, "event_type")
 
     j = summary("ts < timestamp_ntz '2024-01-15 00:00:00'", "p_a", "n_a").join(summary("ts >= timestamp_ntz '2024-01-15 00:00:00'", "p_b", "n_b"), "event_type")
     gain = (F.col("p_a") - F.col("p_b")) / F.col("p_a")
