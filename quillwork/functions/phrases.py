@@ -71,11 +71,17 @@ def pounds(text: Column) -> Column:
     return F.regexp_replace(s, rf"\b{amount} pounds?\b", "£$1")
 
 
+#: A verb in the plural and the same of one team; fixed values.
+VERBS_OF_ONE = {"are": "is", "have": "has"}
+
+
 def team_voice(text: Column) -> Column:
-    """First person plural as the team."""
-    for said, written in ((r"\bWe are\b", "The team is"), (r"\bwe are\b", "the team is"), (r"\bWe have\b", "The team has"), (r"\bwe have\b", "the team has"), (r"\bWe\b", "The team"), (r"\bwe\b", "the team"), (r"\bour\b", "the team's")):
-        text = F.regexp_replace(text, said, written)
-    return text
+    """First person plural as the team, with its verb: 'we are' as 'the team is'."""
+    for verb, of_one in [*VERBS_OF_ONE.items(), ("", "")]:
+        tail, written = (f" {verb}", f" {of_one}") if verb else ("", "")
+        for letter in "Tt":
+            text = F.regexp_replace(text, rf"\b{'W' if letter == 'T' else 'w'}e{tail}\b", f"{letter}he team{written}")
+    return F.regexp_replace(text, r"\bour\b", "the team's")
 
 
 def json_object_in(text: Column, schema: str) -> Column:

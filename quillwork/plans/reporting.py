@@ -121,7 +121,7 @@ def grounded_owners(t: Tables) -> DataFrame:
     return asked.join(known, "s_suppkey", "left").select("o_orderkey", owner.alias("owner"))
 
 
-@queries("P4")
+@queries("P4", r"""WITH c AS (SELECT conv_id, turn, regexp_matches(text, '(?i)\b(not|never|no|nicht|pas)\b') AS n, contains(text, '?') AS q, list_sort(list_distinct(regexp_extract_all(text, '\d+'))) AS f FROM conversations), l AS (SELECT *, lag(n) OVER w AS n0, lag(q) OVER w AS q0, lag(f) OVER w AS f0 FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, n = n0 AND q = q0 AND f = f0 AS compatible FROM l WHERE n0 IS NOT NULL""")
 def claim_compatibility(t: Tables) -> DataFrame:
     """Two neighbouring turns claim the same only if polarity, question form and figures agree."""
     w = Window.partitionBy("conv_id").orderBy("turn")

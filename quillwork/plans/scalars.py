@@ -50,7 +50,7 @@ def word_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", word_count(F.col("text")).alias("n"))
 
 
-@queries("I9")
+@queries("I9", r"""SELECT conv_id, turn, s FROM (SELECT conv_id, turn, regexp_extract(text, '^(.*\S)\s+((?:\S+\s+){1,5}\S*\?)$', 1) AS s FROM conversations) WHERE s <> '' AND len(string_split_regex(s, '\s+')) >= 4""")
 def trailing_questions(t: Tables) -> DataFrame:
     c = t.conversations.select("conv_id", "turn", phrases.without_trailing_question(F.col("text")).alias("s"))
     return c.filter("s is not null")
@@ -151,7 +151,7 @@ def timestamps_in_seconds(t: Tables) -> DataFrame:
     return t.events.select("event_id", dates.clock_seconds(said).alias("seconds"))
 
 
-@queries("I28")
+@queries("I28", r"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(text, '\bthing of\b', 'item of', 'g'), '\bthing\b', 'item', 'g'), '\bthe\b', 'The', 'g') AS s FROM benchmark""")
 def glossary_replaced(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", replace_words(F.col("text"), {"thing of": "item of", "thing": "item", "the": "The"}).alias("s"))
 

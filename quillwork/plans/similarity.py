@@ -31,7 +31,10 @@ def turn_overlaps(t: Tables) -> DataFrame:
     return _next_turn(t).select("conv_id", "turn", F.round(overlap(a, b), 4).alias("overlap"), F.round(overlap_of_larger(a, b), 4).alias("of_larger"), F.round(jaccard(a, b), 4).alias("jaccard"))
 
 
-@queries("K2")
+_STEM = "list_distinct(list_transform({x}, lambda w: regexp_replace(w, '^([a-z0-9]{{3,}}?)(?:ing|ed|es|s)$', '\\1')))"
+
+
+@queries("K2", f"""{_PAIRS}, st AS (SELECT conv_id, turn, {_STEM.format(x='a')} AS a, {_STEM.format(x='b')} AS b FROM p WHERE b IS NOT NULL) SELECT conv_id, turn, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b)) / least(len(a), len(b)) ELSE 0 END, 4) AS score FROM st""")
 def stemmed_overlap(t: Tables) -> DataFrame:
     stems = lambda c: F.array_distinct(F.transform(F.col(c), stem))
     return _next_turn(t).select("conv_id", "turn", F.round(overlap(stems("a"), stems("b")), 4).alias("score"))
