@@ -20,10 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a written folder deleted when the application ends, which reads it until then."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """A step's result in the folder that all executors share."""
+    """A step's result in the folder that all executors share, for as long as the application runs."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -75,6 +75,16 @@ def _asked_segments(name: str) -> list[tuple]:
     return list(out)
 
 
+def left_out(column: str, edits: int) -> Column:
+    """A name with 0 to ``edits`` letters left out: names within that distance have one in common."""
+
+    @F.pandas_udf("array<string>")
+    def made(names: pd.Series) -> pd.Series:
+        return pd.Series([[v for *_, v in _variants(x, edits)] for x in names])
+
+    return made(column)
+
+
 def _postings(keys, column: str) -> Column:
     @F.pandas_udf("array<struct<edits:int,length:int,at:int,part:string>>")
     def made(names: pd.Series) -> pd.Series:

@@ -14,6 +14,8 @@ from quillwork.operators.latest import ranked
 
 #: Rows that centres are fitted on at most.
 FIT_ROWS = 5000
+#: Rows of the index for which each cell has one task more.
+CELL_ROWS = 1 << 16
 #: Vectors of a block: a product of two blocks is of 1024 by 2048 scores.
 ASKED_BLOCK, ROWS_BLOCK = 1024, 2048
 #: Queries whose best rows a task holds before it hands them on.
@@ -46,10 +48,13 @@ def cells(vectors: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
     return vectors.select("vec_id", "embedding", F.explode(nearest("embedding")).alias("cell"))
 
 
-def scored_by_cell(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """q, vec_id and score of all index rows in the cells that a query looks into."""
-    q = asked.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "cell")
-    return index.join(q, "cell").select("q", "vec_id", dot(F.col("v"), F.col("embedding")).alias("score"))
+def scored_by_cell(asked: DataFrame, index: DataFrame, rows: int) -> DataFrame:
+    """q, vec_id and score of all index rows in the cells that a query looks into. A cell is dealt to as
+    many tasks as ``rows``, the size of the whole index, asks for; a query goes to each of them."""
+    tasks = max(1, -(-rows // CELL_ROWS))
+    q = asked.select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"), "cell", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("part"))
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(tasks)).cast("int"))
+    return dealt.join(q, ["cell", "part"]).select("q", "vec_id", dot(F.col("v"), F.col("embedding")).alias("score"))
 
 
 def blocks(vectors: DataFrame, most: int, prefix: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillwork.functions.fuzzy import partial_ratio, token_set_ratio
 from quillwork.functions.text import ascii_only, jaccard, overlap, overlap_of_larger, stem, words
 from quillwork.operators.latest import ranked
-from quillwork.operators.matching import nearest_names, pairs_sharing
+from quillwork.operators.matching import left_out, nearest_names, pairs_sharing
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
 
@@ -49,6 +49,18 @@ def close_names(t: Tables) -> DataFrame:
     return near.filter("distance >= 0").select("a", "b", "distance")
 
 
+@queries("K6", r"""WITH n AS (SELECT regexp_replace(p_name, '[^\x00-\x7F]', '', 'g') AS name, count(*) AS parts FROM part GROUP BY 1) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance, a.parts * b.parts AS pairs FROM n a JOIN n b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 2""")
+def close_distinct_names(t: Tables) -> DataFrame:
+    """All pairs of distinct names within two edits: both have a variant with up to two letters left out in
+    common, so only such pairs are compared; and how many pairs of parts bear them."""
+    names = t.part.groupBy(ascii_only(F.col("p_name")).alias("name")).agg(F.count(F.lit(1)).alias("parts"))
+    posted = names.select("name", "parts", F.explode(left_out("name", 2)).alias("variant"))
+    a = posted.select("variant", F.col("name").alias("a"), F.col("parts").alias("n_a"))
+    b = posted.select("variant", F.col("name").alias("b"), F.col("parts").alias("n_b"))
+    pairs = a.join(b, "variant").filter("a < b").select("a", "b", (F.col("n_a") * F.col("n_b")).alias("pairs")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b", 2)).filter("distance >= 0").select("a", "b", "distance", "pairs")
+
+
 @queries("K7 K10 K11")
 def nearest_supplier_name(t: Tables) -> DataFrame:
     """Misspelt names (two letters swapped) resolved to the one supplier within the allowed distance."""

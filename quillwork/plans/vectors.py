@@ -43,7 +43,7 @@ def celled_search(t: Tables) -> DataFrame:
     centres = centroids(t.embeddings, 16)
     index = cells(t.embeddings, centres, 1)
     asked = cells(t.embeddings.filter("vec_id % 20 = 0"), centres, 12)
-    scored = scored_by_cell(asked, index)
+    scored = scored_by_cell(asked, index, t.embeddings.count())
     return ranked(scored, ["q"], [F.desc("score"), F.col("vec_id")]).filter("place <= 10").select("q", "vec_id", F.round("score", 4).alias("score"))
 
 
