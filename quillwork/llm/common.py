@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,8 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillwork.operators.components import gone_at_exit
+from quillwork.operators.components import shared_folder as shared_dir
 from quillwork.shipping import ship
 
+__all__ = ["documents", "free", "gone_at_exit", "mapped", "rows_kept", "salted", "shared_dir", "slices", "within", "written"]
+
 #: Text handed to a Python helper at once; a single longer text is handed over alone.
 BATCH_BYTES = 4 << 20
 
@@ -21,19 +23,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which the driver and all executors see.
-
-    Only where that setting is missing (a local session in a test) a local temporary folder serves.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/quillwork"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
@@ -41,10 +30,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: cuts the lineage and survives the loss of any executor."""
+    """``df`` as a written table: cuts the lineage, survives the loss of any executor, and is deleted when the
+    application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    folder = shared_dir(spark)
+    path = f"{folder}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    gone_at_exit(spark, folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import bpe
-from quillwork.llm.common import documents, mapped, shared_dir, slices, written
+from quillwork.llm.common import documents, gone_at_exit, mapped, shared_dir, slices, written
 from quillwork.llm.textscan import mix
 
 ROUNDS = 6
@@ -224,8 +224,11 @@ def materialise(docs: DataFrame, vocab_path: str, layout: Layout | None = None,
     spark, layout = docs.sparkSession, layout or layout_for(vocab_path)
     found = written(sequences(docs, vocab_path, layout, end_id), "sequences")
     numbers = numbering(found)
+    kept = folder is not None
     folder = folder or f"{shared_dir(spark)}/shards"
     write_shards(found, layout, folder, numbers)
+    if not kept:
+        gone_at_exit(spark, folder)
     placed = with_slots(found, layout, numbers, ["pieces"])
     back = read_shards(spark, folder, layout).withColumnRenamed("slot", "at_slot")
     rows = placed.join(back, F.col("slot") == F.col("at_slot"), "left").select("*", F.inline("pieces"))

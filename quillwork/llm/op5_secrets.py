@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import documents, free, mapped, salted, shared_dir, slices, within, written
+from quillwork.llm.common import documents, free, gone_at_exit, mapped, salted, shared_dir, slices, within, written
 
 BASE = ("assign", "access", "hex")
 LEDGER = "blob binary, kind string, version int, spans string"
@@ -177,4 +177,5 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = documents(spark, sf_dir), f"{shared_dir(spark)}/ledger"
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     first, second = (extend_ledger(docs.filter(half == k), folder) for k in (0, 1))
+    gone_at_exit(spark, folder)  # a ledger that is to last has a folder of its own
     return report(findings(first.unionByName(second), read_ledger(spark, folder))).drop("blob")
