@@ -9,8 +9,8 @@ from quillwork.functions.text import words
 from quillwork.operators.latest import ranked
 from quillwork.operators.matching import pairs_sharing
 from quillwork.plans.book import Book
-from quillwork.plans.discourse import _TURNS, _turns
-from quillwork.plans.merging import _groups, _links, _LINKS, _TOKENS
+from quillwork.plans.discourse import TURNS, cued_turns
+from quillwork.plans.merging import groups_of, like_turns, LIKE_TURNS, TOKENS
 from quillwork.sources.tables import Tables
 
 queries = Book()
@@ -46,21 +46,21 @@ def commitment_verdicts(t: Tables) -> DataFrame:
     return p.select("conv_id", "a", "b", verdict.otherwise("distinct").alias("verdict"))
 
 
-@queries("M10", f"""WITH RECURSIVE {_TOKENS}, {_LINKS.format(least=0.3, more='')}, s AS (SELECT k.*, len(w.t) AS size FROM k JOIN w USING (conv_id, turn)), f AS (SELECT *, first_value(turn) OVER (PARTITION BY conv_id, grp ORDER BY size DESC, turn) AS kept FROM s) SELECT conv_id, kept, count(*) AS members, max(owner) AS owner, string_agg(CASE WHEN turn <> kept THEN turn || '->' || kept END, ',' ORDER BY turn) AS trail FROM f GROUP BY conv_id, kept""")
+@queries("M10", f"""WITH RECURSIVE {TOKENS}, {LIKE_TURNS.format(least=0.3, more='')}, s AS (SELECT k.*, len(w.t) AS size FROM k JOIN w USING (conv_id, turn)), f AS (SELECT *, first_value(turn) OVER (PARTITION BY conv_id, grp ORDER BY size DESC, turn) AS kept FROM s) SELECT conv_id, kept, count(*) AS members, max(owner) AS owner, string_agg(CASE WHEN turn <> kept THEN turn || '->' || kept END, ',' ORDER BY turn) AS trail FROM f GROUP BY conv_id, kept""")
 def merged_with_trail(t: Tables) -> DataFrame:
     """Of each group of like turns the fullest stays; the owner and the trail of what went into it stay with it."""
-    k = _groups(t, _links(t, 0.3)).join(t.conversations.select("conv_id", "turn", F.size(F.array_distinct(words(F.col("text"), 4))).alias("size")), ["conv_id", "turn"])
+    k = groups_of(t, like_turns(t, 0.3)).join(t.conversations.select("conv_id", "turn", F.size(F.array_distinct(words(F.col("text"), 4))).alias("size")), ["conv_id", "turn"])
     kept = k.groupBy("conv_id", "grp").agg(F.max_by("turn", F.struct("size", -F.col("turn"))).alias("kept"))
     gone = F.when(F.col("turn") != F.col("kept"), F.struct("turn", F.concat_ws("->", "turn", "kept").alias("said")))
     trail = F.nullif(F.array_join(F.transform(F.sort_array(F.collect_list(gone)), lambda x: x["said"]), ","), F.lit(""))
     return k.join(kept, ["conv_id", "grp"]).groupBy("conv_id", "kept").agg(F.count(F.lit(1)).alias("members"), F.max("owner").alias("owner"), trail.alias("trail"))
 
 
-@queries("M11", f"""WITH RECURSIVE {_TOKENS}, {_LINKS.format(least=0.2, more=" AND (score >= 0.75 OR (b - a = 1 AND score >= 0.25))")} SELECT conv_id, turn, grp FROM k""")
+@queries("M11", f"""WITH RECURSIVE {TOKENS}, {LIKE_TURNS.format(least=0.2, more=" AND (score >= 0.75 OR (b - a = 1 AND score >= 0.25))")} SELECT conv_id, turn, grp FROM k""")
 def consolidated_topics(t: Tables) -> DataFrame:
     """Turns of one topic: very alike anywhere in a conversation, or somewhat alike and next to each other."""
-    links = _links(t, 0.2).filter((F.col("score") >= 0.75) | ((F.col("b") - F.col("a") == 1) & (F.col("score") >= 0.25)))
-    return _groups(t, links).select("conv_id", "turn", "grp")
+    links = like_turns(t, 0.2).filter((F.col("score") >= 0.75) | ((F.col("b") - F.col("a") == 1) & (F.col("score") >= 0.25)))
+    return groups_of(t, links).select("conv_id", "turn", "grp")
 
 
 @queries("M17", """WITH d AS (SELECT user_id, event_type AS topic, event_id, ts, CASE WHEN value > 50 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END AS strength FROM events), w AS (SELECT *, first_value(event_id) OVER (PARTITION BY user_id, topic ORDER BY strength DESC, ts DESC, event_id DESC) AS winner, first_value(strength) OVER (PARTITION BY user_id, topic ORDER BY strength DESC, ts DESC, event_id DESC) AS best FROM d)
@@ -94,7 +94,7 @@ def contract_errors(t: Tables) -> DataFrame:
     return r.join(twice, "id", "left").join(known, "cust", "left").select("o_orderkey", errors.alias("errors")).filter("errors <> ''")
 
 
-@queries("P3", f"""WITH {_TURNS}, x AS (SELECT *, (['Maria', 'Jonas', 'Ann'])[1 + (conv_id + turn) % 3] AS claimed, coalesce(lag(said) OVER w, '') || ' ' || said || ' ' || coalesce(lead(said) OVER w, '') AS evidence, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+@queries("P3", f"""WITH {TURNS}, x AS (SELECT *, (['Maria', 'Jonas', 'Ann'])[1 + (conv_id + turn) % 3] AS claimed, coalesce(lag(said) OVER w, '') || ' ' || said || ' ' || coalesce(lead(said) OVER w, '') AS evidence, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, CASE WHEN contains(evidence, claimed) THEN claimed ELSE '' END AS owner, regexp_extract(lower(evidence), '\\b(?:monday|friday|tomorrow)\\b') AS deadline, CASE WHEN turn + 3 <= last_turn THEN 2 ELSE 1 END AS refs FROM x WHERE verbs > 0 OR commits = 1""")
 def grounded_attributions(t: Tables) -> DataFrame:
     """Owner and deadline of an action stay where the turns around it name them; references to turns that
@@ -102,7 +102,7 @@ def grounded_attributions(t: Tables) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     evidence = F.concat_ws(" ", F.coalesce(F.lag("said").over(w), F.lit("")), "said", F.coalesce(F.lead("said").over(w), F.lit("")))
     claimed = F.get(F.array(*map(F.lit, ("Maria", "Jonas", "Ann"))), ((F.col("conv_id") + F.col("turn")) % 3).cast("int"))
-    x = _turns(t).withColumns({"claimed": claimed, "evidence": evidence, "last_turn": F.max("turn").over(Window.partitionBy("conv_id"))}).filter("verbs > 0 or commits = 1")
+    x = cued_turns(t).withColumns({"claimed": claimed, "evidence": evidence, "last_turn": F.max("turn").over(Window.partitionBy("conv_id"))}).filter("verbs > 0 or commits = 1")
     owner = F.when(F.contains("evidence", "claimed"), F.col("claimed")).otherwise("")
     return x.select("conv_id", "turn", owner.alias("owner"), F.regexp_extract(F.lower("evidence"), r"\b(?:monday|friday|tomorrow)\b", 0).alias("deadline"), F.when(F.col("turn") + 3 <= F.col("last_turn"), 2).otherwise(1).alias("refs"))
 
@@ -111,12 +111,12 @@ def grounded_attributions(t: Tables) -> DataFrame:
 CLAIM = {"negated": _NEG, "asks": _ASK, "qualified": r"\b(?:maybe|some|most|only|unclear)\b", "conditional": r"\b(?:if|unless|once|when)\b", "bounded": r"\b(?:at least|at most|before|by|until)\b", "phase": r"\b(?:done|finished|will|going to)\b"}
 
 
-@queries("P4", f"""WITH {_TURNS}, c AS (SELECT conv_id, turn, {', '.join(f"regexp_matches(low, '{p}') AS {n}" for n, p in CLAIM.items())}, list_distinct(regexp_extract_all(said, '[A-Z][a-z]+')) AS names FROM turns), l AS (SELECT *, {', '.join(f'lead({n}) OVER w AS {n}_2' for n in [*CLAIM, 'names'])} FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+@queries("P4", f"""WITH {TURNS}, c AS (SELECT conv_id, turn, {', '.join(f"regexp_matches(low, '{p}') AS {n}" for n, p in CLAIM.items())}, list_distinct(regexp_extract_all(said, '[A-Z][a-z]+')) AS names FROM turns), l AS (SELECT *, {', '.join(f'lead({n}) OVER w AS {n}_2' for n in [*CLAIM, 'names'])} FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
 SELECT conv_id, turn, concat_ws(',', {', '.join(f"CASE WHEN {n} <> {n}_2 THEN '{n}' END" for n in CLAIM)}, CASE WHEN len(list_filter(names, lambda x: list_contains(names_2, x))) >= 2 AND list_filter(names, lambda x: list_contains(names_2, x)) <> list_filter(names_2, lambda x: list_contains(names, x)) THEN 'order' END) AS differs FROM l WHERE names_2 IS NOT NULL""")
 def claims_compared(t: Tables) -> DataFrame:
     """In what the claims of neighbouring turns differ; two are compatible where that is nothing."""
     names = F.array_distinct(F.regexp_extract_all("said", F.lit("[A-Z][a-z]+"), F.lit(0)))
-    c = _turns(t).select("conv_id", "turn", *[F.col("low").rlike(p).alias(n) for n, p in CLAIM.items()], names.alias("names"))
+    c = cued_turns(t).select("conv_id", "turn", *[F.col("low").rlike(p).alias(n) for n, p in CLAIM.items()], names.alias("names"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     both = c.select("*", *[F.lead(n).over(w).alias(f"{n}_2") for n in [*CLAIM, "names"]]).filter("names_2 is not null")
     ours, theirs = F.array_intersect("names", "names_2"), F.array_intersect("names_2", "names")
@@ -229,22 +229,22 @@ def carried_rows(t: Tables) -> DataFrame:
     return known.unionByName(new.select(F.lit(None).cast("long").alias("k"), "taken", F.lit("new").alias("how")))
 
 
-@queries("O12", f"""WITH {_TURNS}, e AS (SELECT conv_id, turn, role, said, CASE WHEN risky = 1 THEN 'risk' WHEN commits = 1 THEN 'action' WHEN accepts = 1 THEN 'decision' ELSE 'note' END AS kind, risky = 1 AND dated = 0 AS attention, contains(low, 'budget') AS hit FROM turns) SELECT kind, role, count(*) AS entries, count(DISTINCT conv_id) AS meetings, count(*) FILTER (WHERE attention) AS attention, count(*) FILTER (WHERE hit) AS hits, string_agg(DISTINCT CASE WHEN hit THEN said END, '|' ORDER BY CASE WHEN hit THEN said END) AS found FROM e GROUP BY kind, role""")
+@queries("O12", f"""WITH {TURNS}, e AS (SELECT conv_id, turn, role, said, CASE WHEN risky = 1 THEN 'risk' WHEN commits = 1 THEN 'action' WHEN accepts = 1 THEN 'decision' ELSE 'note' END AS kind, risky = 1 AND dated = 0 AS attention, contains(low, 'budget') AS hit FROM turns) SELECT kind, role, count(*) AS entries, count(DISTINCT conv_id) AS meetings, count(*) FILTER (WHERE attention) AS attention, count(*) FILTER (WHERE hit) AS hits, string_agg(DISTINCT CASE WHEN hit THEN said END, '|' ORDER BY CASE WHEN hit THEN said END) AS found FROM e GROUP BY kind, role""")
 def insight_facets(t: Tables) -> DataFrame:
     """Entries of all conversations by kind and role, those that need attention, and what a search for a word finds."""
     kind = F.when(F.col("risky") == 1, "risk").when(F.col("commits") == 1, "action").when(F.col("accepts") == 1, "decision").otherwise("note")
     hit = F.contains("low", F.lit("budget"))
     n = lambda c, name: F.count(F.when(c, True)).alias(name)
     found = F.nullif(F.array_join(F.sort_array(F.collect_set(F.when(hit, F.col("said")))), "|"), F.lit(""))
-    return _turns(t).groupBy(kind.alias("kind"), "role").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("conv_id").alias("meetings"), n((F.col("risky") == 1) & (F.col("dated") == 0), "attention"), n(hit, "hits"), found.alias("found"))
+    return cued_turns(t).groupBy(kind.alias("kind"), "role").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("conv_id").alias("meetings"), n((F.col("risky") == 1) & (F.col("dated") == 0), "attention"), n(hit, "hits"), found.alias("found"))
 
 
-@queries("U7", f"""WITH {_TURNS}, c AS (SELECT *, s.sample, CAST(floor((turn + s.sample) / 3) AS BIGINT) AS chunk FROM turns, (VALUES (0), (1), (2)) s(sample)), x AS (SELECT conv_id, sample, chunk, said, min(turn) AS turn, max(commits) AS committed FROM c WHERE (verbs > 0 OR commits = 1) AND (chunk + sample) % 4 <> 3 GROUP BY 1, 2, 3, 4), m AS (SELECT conv_id, said, count(DISTINCT sample) AS support, min(turn) AS first_turn, max(committed) AS committed FROM x GROUP BY 1, 2)
+@queries("U7", f"""WITH {TURNS}, c AS (SELECT *, s.sample, CAST(floor((turn + s.sample) / 3) AS BIGINT) AS chunk FROM turns, (VALUES (0), (1), (2)) s(sample)), x AS (SELECT conv_id, sample, chunk, said, min(turn) AS turn, max(commits) AS committed FROM c WHERE (verbs > 0 OR commits = 1) AND (chunk + sample) % 4 <> 3 GROUP BY 1, 2, 3, 4), m AS (SELECT conv_id, said, count(DISTINCT sample) AS support, min(turn) AS first_turn, max(committed) AS committed FROM x GROUP BY 1, 2)
 SELECT conv_id, said, support, first_turn, CASE WHEN support * 2 >= 4 THEN 1 WHEN committed = 1 THEN 2 ELSE 3 END AS tier FROM m""")
 def sampled_actions(t: Tables) -> DataFrame:
     """Extraction end to end: three ways to cut a conversation, what each finds in its chunks (some chunks
     give no answer), merged by wording, with a tier by how many agree."""
-    c = _turns(t).withColumn("sample", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("chunk", F.floor((F.col("turn") + F.col("sample")) / 3))
+    c = cued_turns(t).withColumn("sample", F.explode(F.array(*map(F.lit, (0, 1, 2))))).withColumn("chunk", F.floor((F.col("turn") + F.col("sample")) / 3))
     x = c.filter("(verbs > 0 or commits = 1) and (chunk + sample) % 4 <> 3").groupBy("conv_id", "sample", "chunk", "said").agg(F.min("turn").alias("turn"), F.max("commits").alias("committed"))
     m = x.groupBy("conv_id", "said").agg(F.countDistinct("sample").alias("support"), F.min("turn").alias("first_turn"), F.max("committed").alias("committed"))
     return m.select("conv_id", "said", "support", "first_turn", F.when(F.col("support") * 2 >= 4, 1).when(F.col("committed") == 1, 2).otherwise(3).alias("tier"))

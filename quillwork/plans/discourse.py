@@ -31,7 +31,9 @@ CUES = {
 VERBS = r"\b(?:send|call|ask|finish|close|release|take)\b"
 
 
-def _turns(t: Tables) -> DataFrame:
+def cued_turns(t: Tables) -> DataFrame:
+    """Turns with their sentence, its lower case, a 0 or 1 for each of ``CUES``, and its counts of words,
+    distinct words and verbs of action."""
     at = ((F.col("conv_id") * 5 + F.col("turn")) % len(SAID)).cast("int")
     low = F.lower(F.col("said"))
     tokens = F.regexp_extract_all("low", F.lit("[a-z0-9']+"), F.lit(0))
@@ -41,7 +43,8 @@ def _turns(t: Tables) -> DataFrame:
 
 
 _quote = lambda p: "'" + p.replace("'", "''") + "'"
-_TURNS = (
+#: The same rows, as two tables of a WITH clause.
+TURNS = (
     f"t0 AS (SELECT conv_id, turn, role, said, lower(said) AS low FROM (SELECT conv_id, turn, role, ({_LIST})[1 + (conv_id * 5 + turn) % {len(SAID)}] AS said FROM conversations)), "
     f"turns AS (SELECT *, {', '.join(f'CAST(regexp_matches(low, {_quote(p)}) AS INT) AS {name}' for name, p in CUES.items())}, len(regexp_extract_all(low, '[a-z0-9'']+')) AS n, len(list_distinct(regexp_extract_all(low, '[a-z0-9'']+'))) AS kinds, len(regexp_extract_all(low, {_quote(VERBS)})) AS verbs FROM t0)"
 )
@@ -57,7 +60,7 @@ SCORES = (
     ("discussion", "greatest(0.0, least(0.95, least(0.9, 0.14 * kinds + 0.25 * topical) - navigation * 0.7 - low_content * 0.55))"),
 )
 _NAMES = [name for name, _ in SCORES]
-_SCORED = _TURNS
+_SCORED = TURNS
 _at = "turns"
 for _i, (_name, _formula) in enumerate(SCORES):
     _SCORED += f", s{_i} AS (SELECT *, CAST({_formula} AS DOUBLE) AS {_name} FROM {_at})"
@@ -66,7 +69,7 @@ _round = lambda x: f"round({x} + 1e-9, 2)"
 
 
 def _scored(t: Tables) -> DataFrame:
-    rows = _turns(t)
+    rows = cued_turns(t)
     for name, formula in SCORES:
         rows = rows.withColumn(name, F.expr(formula).cast("double"))
     return rows
@@ -109,7 +112,7 @@ PATTERNS = (
 )
 
 
-@queries("F7", f"""WITH {_TURNS}, l AS (SELECT *, {', '.join(f'lead({c}) OVER w AS {c}_1, lead({c}, 2) OVER w AS {c}_2' for c in CUES)} FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) """
+@queries("F7", f"""WITH {TURNS}, l AS (SELECT *, {', '.join(f'lead({c}) OVER w AS {c}_1, lead({c}, 2) OVER w AS {c}_2' for c in CUES)} FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) """
     + " UNION ALL ".join(f"SELECT conv_id, turn, '{name}' AS pattern FROM l WHERE {' AND '.join(f'{c}{s} = 1' for cues, s in ((a, ''), (b, '_1'), (c3, '_2')) for c in cues)}" for name, a, b, c3 in PATTERNS))
 def turn_window_patterns(t: Tables) -> DataFrame:
     """Every pattern that starts at a turn."""
@@ -122,19 +125,19 @@ def turn_window_patterns(t: Tables) -> DataFrame:
         return all_of
 
     found = F.array(*[F.when(hit(a, 0) & hit(b, 1) & hit(c, 2), F.lit(name)) for name, a, b, c in PATTERNS])
-    rows = _turns(t).select("conv_id", "turn", found.alias("found"))
+    rows = cued_turns(t).select("conv_id", "turn", found.alias("found"))
     return rows.select("conv_id", "turn", F.explode(F.filter("found", lambda x: x.isNotNull())).alias("pattern"))
 
 
 _ASSIGNS, _CONFIRMS, _SELF, _CLOSES, _MARKER = r"^[a-z]+, you are\b", r"^(?:yes|yeah|agreed),? ", r"\bi am doing\b", r"\bthanks everyone\b|\bsee you\b", r"\b(?:quick|final) recap\b"
 
 
-@queries("N14", rf"""WITH {_TURNS}, m AS (SELECT conv_id, min(turn) AS marker FROM turns WHERE regexp_matches(low, '{_MARKER}') GROUP BY 1), e AS (SELECT m.conv_id, any_value(marker) AS marker, coalesce(min(t.turn) FILTER (WHERE t.turn > marker AND regexp_matches(low, '{_CLOSES}')) - 1, least(max(t.turn), any_value(marker) + 24)) AS stop FROM m JOIN turns t ON t.conv_id = m.conv_id AND t.turn <= marker + 24 GROUP BY m.conv_id),
+@queries("N14", rf"""WITH {TURNS}, m AS (SELECT conv_id, min(turn) AS marker FROM turns WHERE regexp_matches(low, '{_MARKER}') GROUP BY 1), e AS (SELECT m.conv_id, any_value(marker) AS marker, coalesce(min(t.turn) FILTER (WHERE t.turn > marker AND regexp_matches(low, '{_CLOSES}')) - 1, least(max(t.turn), any_value(marker) + 24)) AS stop FROM m JOIN turns t ON t.conv_id = m.conv_id AND t.turn <= marker + 24 GROUP BY m.conv_id),
 c AS (SELECT e.conv_id, marker, stop, count(*) FILTER (WHERE regexp_matches(low, '{_ASSIGNS}')) AS assigned, count(*) FILTER (WHERE regexp_matches(low, '{_CONFIRMS}')) AS confirmed, count(*) FILTER (WHERE regexp_matches(low, '{_SELF}')) AS own FROM e JOIN turns t ON t.conv_id = e.conv_id AND t.turn BETWEEN marker AND stop GROUP BY 1, 2, 3)
 SELECT d.conv_id, marker, stop, round(CASE WHEN stop IS NULL THEN 1.0 ELSE least(0.99, 0.45 + 0.13 * assigned + 0.04 * confirmed + 0.08 * own) END, 4) AS confidence, CASE WHEN assigned >= 2 AND least(0.99, 0.45 + 0.13 * assigned + 0.04 * confirmed + 0.08 * own) >= 0.72 THEN 'distributed_recap' ELSE 'standard' END AS mode FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN c USING (conv_id)""")
 def recap_topologies(t: Tables) -> DataFrame:
     """Whether a conversation ends in a recap: from its first marker to a closing, 24 turns at most."""
-    turns = _turns(t).select("conv_id", "turn", "low")
+    turns = cued_turns(t).select("conv_id", "turn", "low")
     first = turns.groupBy("conv_id").agg(F.min(F.when(F.col("low").rlike(_MARKER), F.col("turn"))).alias("marker"))
     near = turns.join(first, "conv_id").filter(F.col("turn").between(F.col("marker"), F.col("marker") + 24))
     stops = near.groupBy("conv_id").agg(F.coalesce(F.min(F.when((F.col("turn") > F.col("marker")) & F.col("low").rlike(_CLOSES), F.col("turn"))) - 1, F.max("turn")).alias("stop"))
@@ -146,11 +149,11 @@ def recap_topologies(t: Tables) -> DataFrame:
     return out.select("conv_id", "marker", "stop", F.round(F.coalesce(F.when(F.col("stop").isNotNull(), score), F.lit(1.0)), 4).alias("confidence"), mode.alias("mode"))
 
 
-@queries("N9", f"""WITH {_TURNS}, z AS (SELECT conv_id, count(*) AS all_turns FROM turns GROUP BY 1), f AS (SELECT conv_id, role, count(*) AS n, count(DISTINCT said) AS speakers, max(turn) - min(turn) AS span, sum(greatest(risky, commits)) AS weighty, max(topical) AS titled, min(turn) AS opens, max(turn) AS ends, max(proposes) AS purpose FROM turns GROUP BY 1, 2)
+@queries("N9", f"""WITH {TURNS}, z AS (SELECT conv_id, count(*) AS all_turns FROM turns GROUP BY 1), f AS (SELECT conv_id, role, count(*) AS n, count(DISTINCT said) AS speakers, max(turn) - min(turn) AS span, sum(greatest(risky, commits)) AS weighty, max(topical) AS titled, min(turn) AS opens, max(turn) AS ends, max(proposes) AS purpose FROM turns GROUP BY 1, 2)
 SELECT conv_id, role, round(least(n, 8) * 0.55 + least(speakers, 4) * 0.35 + least(span / greatest(all_turns, 1), 0.5) * 1.4 + weighty * 0.32 + titled * 0.45 + CASE WHEN opens <= greatest(8, round(all_turns * 0.12)) THEN 0.45 ELSE 0 END + CASE WHEN ends >= round(all_turns * 0.82) THEN 0.25 ELSE 0 END + purpose * 0.4 + 1e-9, 3) AS salience FROM f JOIN z USING (conv_id)""")
 def stream_salience(t: Tables) -> DataFrame:
     """Weight of each role's turns: density, breadth, continuity, consequence, title, opening and closing, purpose."""
-    turns = _turns(t)
+    turns = cued_turns(t)
     size = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("all_turns"))
     f = turns.groupBy("conv_id", "role").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("said").alias("speakers"), (F.max("turn") - F.min("turn")).alias("span"), F.sum(F.greatest("risky", "commits")).alias("weighty"),
@@ -162,22 +165,22 @@ def stream_salience(t: Tables) -> DataFrame:
     return f.join(size, "conv_id").select("conv_id", "role", F.round(score + 1e-9, 3).alias("salience"))
 
 
-@queries("N10", f"""WITH {_TURNS}, a AS (SELECT conv_id, said, count(DISTINCT turn % 3) AS support, max(commits) AS committed FROM turns WHERE verbs > 0 OR commits = 1 GROUP BY 1, 2) SELECT conv_id, said, support, CASE WHEN support * 2 >= 4 THEN 1 ELSE 2 END AS tier FROM a WHERE support * 2 >= 4 OR committed = 1""")
+@queries("N10", f"""WITH {TURNS}, a AS (SELECT conv_id, said, count(DISTINCT turn % 3) AS support, max(commits) AS committed FROM turns WHERE verbs > 0 OR commits = 1 GROUP BY 1, 2) SELECT conv_id, said, support, CASE WHEN support * 2 >= 4 THEN 1 ELSE 2 END AS tier FROM a WHERE support * 2 >= 4 OR committed = 1""")
 def tiers_of_actions(t: Tables) -> DataFrame:
     """Actions that most of three samples agree on are of tier 1, those of a direct commitment of tier 2; others go."""
     samples = 3
-    a = _turns(t).filter("verbs > 0 or commits = 1").groupBy("conv_id", "said").agg(F.countDistinct(F.col("turn") % samples).alias("support"), F.max("commits").alias("committed"))
+    a = cued_turns(t).filter("verbs > 0 or commits = 1").groupBy("conv_id", "said").agg(F.countDistinct(F.col("turn") % samples).alias("support"), F.max("commits").alias("committed"))
     most = F.col("support") * 2 >= samples + 1
     return a.filter(most | (F.col("committed") == 1)).select("conv_id", "said", "support", F.when(most, 1).otherwise(2).alias("tier"))
 
 
-@queries("E18", f"""WITH {_TURNS}, b AS (SELECT conv_id, turn, said, CASE WHEN risky = 1 THEN 'risk' WHEN commits = 1 THEN 'action' WHEN accepts = 1 THEN 'decision' ELSE 'discussion' END AS bucket FROM turns) SELECT conv_id, bucket, count(*) AS n, string_agg(turn || ':' || said, '|' ORDER BY turn) AS entries FROM b GROUP BY 1, 2""")
+@queries("E18", f"""WITH {TURNS}, b AS (SELECT conv_id, turn, said, CASE WHEN risky = 1 THEN 'risk' WHEN commits = 1 THEN 'action' WHEN accepts = 1 THEN 'decision' ELSE 'discussion' END AS bucket FROM turns) SELECT conv_id, bucket, count(*) AS n, string_agg(turn || ':' || said, '|' ORDER BY turn) AS entries FROM b GROUP BY 1, 2""")
 def bucket_scorecard(t: Tables) -> DataFrame:
     """Count and entries of each bucket of a conversation, in order; a conversation's turns are bounded."""
     bucket = F.when(F.col("risky") == 1, "risk").when(F.col("commits") == 1, "action").when(F.col("accepts") == 1, "decision").otherwise("discussion")
     one = F.struct("turn", F.concat_ws(":", "turn", "said").alias("entry"))
     entries = F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["entry"]), "|")
-    return _turns(t).withColumn("bucket", bucket).groupBy("conv_id", "bucket").agg(F.count(F.lit(1)).alias("n"), entries.alias("entries"))
+    return cued_turns(t).withColumn("bucket", bucket).groupBy("conv_id", "bucket").agg(F.count(F.lit(1)).alias("n"), entries.alias("entries"))
 
 
 @queries("J7", rf"""WITH l AS (SELECT conv_id, turn, line_at - 1 AS line_no, trim(lines[line_at]) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations), LATERAL (SELECT unnest(generate_series(1, len(lines))) AS line_at)), u AS (SELECT conv_id, turn, line_no, unit_at - 1 AS unit_no, units[unit_at] AS unit FROM (SELECT *, list_filter(list_transform(string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS units FROM l), LATERAL (SELECT unnest(generate_series(1, len(units))) AS unit_at)),
@@ -227,3 +230,32 @@ def sorted_pages(t: Tables) -> DataFrame:
     """The third page of twelve in each of the permitted orders."""
     pages = [page(t.events.select("event_id", "ts", "event_type"), s, 24, 12).select(F.lit(s).alias("sort"), "event_id") for s in SORTS]
     return pages[0].union(pages[1]).union(pages[2]).union(pages[3])
+
+
+#: Phrases that are often misheard, in the order in which they are put right; fixed values.
+MISHEARD = (("quick recap", "short recap"), ("short recap of the actions", "recap of actions"), ("the board", "the Board"), ("other approach", "alternative"))
+
+
+@queries("I30", f"""WITH {TURNS} SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(said, '(?i)\\b{MISHEARD[0][0]}\\b', '{MISHEARD[0][1]}', 'g'), '(?i)\\b{MISHEARD[1][0]}\\b', '{MISHEARD[1][1]}', 'g'), '(?i)\\b{MISHEARD[2][0]}\\b', '{MISHEARD[2][1]}', 'g'), '(?i)\\b{MISHEARD[3][0]}\\b', '{MISHEARD[3][1]}', 'g') AS said FROM turns""")
+def corrected_phrases(t: Tables) -> DataFrame:
+    """Misheard phrases put right one after another, so a later rule sees what an earlier one wrote."""
+    said = F.col("said")
+    for wrong, right in MISHEARD:
+        said = F.regexp_replace(said, rf"(?i)\b{wrong}\b", right)
+    return cued_turns(t).select("conv_id", "turn", said.alias("said"))
+
+
+MILESTONES = ("budget", "audit", "release", "report", "approach", "option")
+
+
+@queries("O9", f"""WITH {TURNS}, w AS (SELECT *, coalesce(lag(low) OVER x, '') || ' ' || low || ' ' || coalesce(lead(low) OVER x, '') AS around FROM turns WINDOW x AS (PARTITION BY conv_id ORDER BY turn)), m AS (SELECT conv_id, turn, k, CASE WHEN regexp_matches(around, '\\b(?:blocked|problem|risk)\\b') THEN 'blocked' WHEN regexp_matches(around, '\\b(?:agreed|fine|close)\\b') THEN 'complete' ELSE 'in_progress' END AS status FROM w, (SELECT unnest({list(MILESTONES)}) AS k) WHERE regexp_matches(low, '\\b' || k || '\\b'))
+SELECT conv_id, k AS milestone, min(turn) AS first_turn, arg_min(status, turn) AS status, count(*) AS mentions FROM m GROUP BY 1, 2""")
+def milestones_mentioned(t: Tables) -> DataFrame:
+    """Milestones that a conversation names, with the status that the sentence and its neighbours tell of at the first mention."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    around = F.concat_ws(" ", F.coalesce(F.lag("low").over(w), F.lit("")), "low", F.coalesce(F.lead("low").over(w), F.lit("")))
+    rows = cued_turns(t).select("conv_id", "turn", "low", around.alias("around"))
+    status = F.when(F.col("around").rlike(r"\b(?:blocked|problem|risk)\b"), "blocked").when(F.col("around").rlike(r"\b(?:agreed|fine|close)\b"), "complete").otherwise("in_progress")
+    named = F.filter(F.array(*[F.when(F.col("low").rlike(rf"\b{k}\b"), F.lit(k)) for k in MILESTONES]), lambda k: k.isNotNull())
+    m = rows.select("conv_id", "turn", status.alias("status"), F.explode(named).alias("milestone"))
+    return m.groupBy("conv_id", "milestone").agg(F.min("turn").alias("first_turn"), F.min_by("status", "turn").alias("status"), F.count(F.lit(1)).alias("mentions"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.fuzzy import partial_ratio
 from quillwork.functions.text import overlap, words
 from quillwork.operators.components import connected
 from quillwork.operators.latest import ranked
 from quillwork.operators.matching import greedy_pairs, pairs_sharing
 from quillwork.operators.retrieval import rows_above
 from quillwork.plans.book import Book
+from quillwork.plans.discourse import cued_turns
 from quillwork.sources.tables import Tables
 
 queries = Book()
@@ -23,10 +26,10 @@ def _items(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", owner.alias("owner"), "text", F.array_distinct(words(F.col("text"), 4)).alias("tokens"))
 
 
-_TOKENS = f"w AS (SELECT conv_id, turn, {_OWNER} AS owner, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS t FROM conversations), e AS (SELECT conv_id, turn, owner, len(t) AS n, unnest(t) AS tok FROM w)"
+TOKENS = f"w AS (SELECT conv_id, turn, {_OWNER} AS owner, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS t FROM conversations), e AS (SELECT conv_id, turn, owner, len(t) AS n, unnest(t) AS tok FROM w)"
 
 
-@queries("M12", f"""WITH {_TOKENS}, f AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS tok FROM w), tf AS (SELECT conv_id, turn, tok, count(*) AS c FROM f GROUP BY 1, 2, 3), nm AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS norm FROM tf GROUP BY 1, 2),
+@queries("M12", f"""WITH {TOKENS}, f AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}')) AS tok FROM w), tf AS (SELECT conv_id, turn, tok, count(*) AS c FROM f GROUP BY 1, 2, 3), nm AS (SELECT conv_id, turn, sqrt(sum(c * c)) AS norm FROM tf GROUP BY 1, 2),
 d AS (SELECT a.conv_id, a.turn, sum(a.c * b.c) AS dot, count(*) AS shared FROM tf a JOIN tf b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.tok = b.tok GROUP BY 1, 2), s AS (SELECT d.conv_id, d.turn, dot / (x.norm * y.norm) AS cosine, shared / least(len(p.t), len(q.t)) AS lexical FROM d JOIN nm x ON x.conv_id = d.conv_id AND x.turn = d.turn JOIN nm y ON y.conv_id = d.conv_id AND y.turn = d.turn + 1 JOIN w p ON p.conv_id = d.conv_id AND p.turn = d.turn JOIN w q ON q.conv_id = d.conv_id AND q.turn = d.turn + 1)
 SELECT conv_id, turn, round(cosine, 4) AS cosine, round(lexical, 4) AS lexical, (round(cosine, 4) >= 0.70 AND round(lexical, 4) >= 0.35) OR round(lexical, 4) >= 0.82 AS restated FROM s""")
 def adjacent_restatements(t: Tables) -> DataFrame:
@@ -42,7 +45,7 @@ def adjacent_restatements(t: Tables) -> DataFrame:
     return s.withColumn("restated", ((F.col("cosine") >= 0.70) & (F.col("lexical") >= 0.35)) | (F.col("lexical") >= 0.82))
 
 
-def _links(t: Tables, least: float) -> DataFrame:
+def like_turns(t: Tables, least: float) -> DataFrame:
     """conv_id, a, b (a < b) and score of turns whose words overlap so far, with both owners."""
     items = _items(t)
     pairs = pairs_sharing(items, ["conv_id"], "turn", "tokens").withColumn("score", F.round(F.col("shared") / F.least("n_a", "n_b"), 6)).filter(F.col("score") >= least)
@@ -50,25 +53,25 @@ def _links(t: Tables, least: float) -> DataFrame:
     return pairs.join(own("a"), ["conv_id", "a"]).join(own("b"), ["conv_id", "b"]).select("conv_id", "a", "b", "score", "owner_a", "owner_b")
 
 
-def _groups(t: Tables, links: DataFrame) -> DataFrame:
+def groups_of(t: Tables, links: DataFrame) -> DataFrame:
     """conv_id, turn, owner and grp: the least turn that links lead to."""
     node = lambda c: F.struct("conv_id", F.col(c).alias("turn"))
     roots = connected(links.select(node("a").alias("a"), node("b").alias("b"))).select("node.conv_id", "node.turn", F.col("root.turn").alias("grp"))
     return _items(t).select("conv_id", "turn", "owner").join(roots, ["conv_id", "turn"], "left").withColumn("grp", F.coalesce("grp", "turn"))
 
 
-_LINKS = """p AS (SELECT conv_id, a, b, score, owner_a, owner_b FROM (SELECT a.conv_id, a.turn AS a, b.turn AS b, a.owner AS owner_a, b.owner AS owner_b, round(count(*) / least(a.n, b.n), 6) AS score FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.tok = b.tok AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn, a.owner, b.owner, a.n, b.n) WHERE score >= {least}{more}),
+LIKE_TURNS = """p AS (SELECT conv_id, a, b, score, owner_a, owner_b FROM (SELECT a.conv_id, a.turn AS a, b.turn AS b, a.owner AS owner_a, b.owner AS owner_b, round(count(*) / least(a.n, b.n), 6) AS score FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.tok = b.tok AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn, a.owner, b.owner, a.n, b.n) WHERE score >= {least}{more}),
 g AS (SELECT conv_id, a AS x, b AS y FROM p UNION ALL SELECT conv_id, b, a FROM p), r AS (SELECT conv_id, turn, turn AS root FROM conversations UNION SELECT g.conv_id, g.y, r.root FROM r JOIN g ON g.conv_id = r.conv_id AND g.x = r.turn), k AS (SELECT w.conv_id, w.turn, w.owner, min(root) AS grp FROM r JOIN w ON w.conv_id = r.conv_id AND w.turn = r.turn GROUP BY 1, 2, 3)"""
 
 
-@queries("M2", f"""WITH RECURSIVE {_TOKENS}, {_LINKS.format(least=0.3, more='')}, o AS (SELECT conv_id, grp, count(DISTINCT owner) AS owners, max(owner) AS any_owner FROM k GROUP BY 1, 2),
+@queries("M2", f"""WITH RECURSIVE {TOKENS}, {LIKE_TURNS.format(least=0.3, more='')}, o AS (SELECT conv_id, grp, count(DISTINCT owner) AS owners, max(owner) AS any_owner FROM k GROUP BY 1, 2),
 l AS (SELECT conv_id, a AS turn, b AS other, score, owner_b AS partner FROM p UNION ALL SELECT conv_id, b, a, score, owner_a FROM p), best AS (SELECT conv_id, turn, partner FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, other) AS rn FROM l WHERE partner IS NOT NULL) WHERE rn = 1)
 SELECT k.conv_id, k.turn, k.grp, coalesce(k.owner, CASE WHEN owners = 1 THEN any_owner WHEN owners > 1 THEN partner END) AS cluster_owner FROM k JOIN o USING (conv_id, grp) LEFT JOIN best ON best.conv_id = k.conv_id AND best.turn = k.turn""")
 def owner_split_groups(t: Tables) -> DataFrame:
     """Groups of like turns, split by named owners; a turn of no owner goes with the only owner, else
     with the owner of its best link, and stays alone without one."""
-    links = _links(t, 0.3)
-    k = _groups(t, links)
+    links = like_turns(t, 0.3)
+    k = groups_of(t, links)
     owners = k.groupBy("conv_id", "grp").agg(F.countDistinct("owner").alias("owners"), F.max("owner").alias("any_owner"))
     either = links.select("conv_id", F.col("a").alias("turn"), F.col("b").alias("other"), "score", F.col("owner_b").alias("partner")).union(links.select("conv_id", "b", "a", "score", "owner_a"))
     best = either.filter("partner is not null").groupBy("conv_id", "turn").agg(F.max_by("partner", F.struct("score", -F.col("other"))).alias("partner"))
@@ -77,12 +80,12 @@ def owner_split_groups(t: Tables) -> DataFrame:
     return joined.select("conv_id", "turn", "grp", F.coalesce("owner", given).alias("cluster_owner"))
 
 
-@queries("M5", f"""WITH RECURSIVE {_TOKENS}, {_LINKS.format(least=0.4, more=" AND (owner_a IS NULL OR owner_b IS NULL OR owner_a = owner_b)")} SELECT conv_id, grp, count(*) AS members, count(DISTINCT turn % 3) AS support, string_agg(turn, ',' ORDER BY turn) AS evidence FROM k GROUP BY 1, 2""")
+@queries("M5", f"""WITH RECURSIVE {TOKENS}, {LIKE_TURNS.format(least=0.4, more=" AND (owner_a IS NULL OR owner_b IS NULL OR owner_a = owner_b)")} SELECT conv_id, grp, count(*) AS members, count(DISTINCT turn % 3) AS support, string_agg(turn, ',' ORDER BY turn) AS evidence FROM k GROUP BY 1, 2""")
 def samples_of_one_meaning(t: Tables) -> DataFrame:
     """Rows of several samples merged where their words overlap and their owners don't differ; support is the number of samples."""
-    links = _links(t, 0.4).filter("owner_a is null or owner_b is null or owner_a = owner_b")
+    links = like_turns(t, 0.4).filter("owner_a is null or owner_b is null or owner_a = owner_b")
     evidence = F.array_join(F.sort_array(F.collect_list("turn")).cast("array<string>"), ",")
-    return _groups(t, links).groupBy("conv_id", "grp").agg(F.count(F.lit(1)).alias("members"), F.countDistinct(F.col("turn") % 3).alias("support"), evidence.alias("evidence"))
+    return groups_of(t, links).groupBy("conv_id", "grp").agg(F.count(F.lit(1)).alias("members"), F.countDistinct(F.col("turn") % 3).alias("support"), evidence.alias("evidence"))
 
 
 @queries("M6", """SELECT l_partkey, l_suppkey, count(*) AS rows, min(l_orderkey * 10 + l_linenumber) AS first_row, arg_min(l_returnflag, l_orderkey * 10 + l_linenumber) FILTER (WHERE l_returnflag <> 'N') AS owner, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS evidence FROM lineitem GROUP BY 1, 2""")
@@ -185,7 +188,7 @@ def claim_support(t: Tables) -> DataFrame:
     return c.select("conv_id", "turn", F.when(missing, 0.0).otherwise(score).alias("support"), F.arrays_overlap(found(claim, anchors), found(evidence, anchors)).alias("anchored"))
 
 
-@queries("K13", f"""WITH {_TOKENS}, df AS (SELECT tok, count(*) AS df FROM e GROUP BY tok), z AS (SELECT count(*) AS n FROM conversations), rare AS (SELECT e.conv_id, e.turn, e.n, e.tok, 1.0 / df AS weight FROM e JOIN df USING (tok), z WHERE df BETWEEN 2 AND greatest(3, ceil(0.04 * z.n))), own AS (SELECT conv_id, turn, sum(weight) AS whole FROM rare GROUP BY 1, 2),
+@queries("K13", f"""WITH {TOKENS}, df AS (SELECT tok, count(*) AS df FROM e GROUP BY tok), z AS (SELECT count(*) AS n FROM conversations), rare AS (SELECT e.conv_id, e.turn, e.n, e.tok, 1.0 / df AS weight FROM e JOIN df USING (tok), z WHERE df BETWEEN 2 AND greatest(3, ceil(0.04 * z.n))), own AS (SELECT conv_id, turn, sum(weight) AS whole FROM rare GROUP BY 1, 2),
 h AS (SELECT a.conv_id, a.turn, b.turn AS other, sum(a.weight) AS hit FROM rare a JOIN rare b ON a.conv_id = b.conv_id AND a.tok = b.tok AND a.turn <> b.turn GROUP BY 1, 2, 3), base AS (SELECT a.conv_id, a.turn, b.turn AS other, count(*) / least(a.n, b.n) AS base FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.tok = b.tok AND a.turn <> b.turn GROUP BY a.conv_id, a.turn, b.turn, a.n, b.n),
 s AS (SELECT conv_id, turn, other, round(0.25 * base + 0.75 * hit / whole + 1e-9, 4) AS score FROM h JOIN own USING (conv_id, turn) JOIN base USING (conv_id, turn, other)) SELECT conv_id, turn, other, score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, other) AS rn FROM s) WHERE rn <= 2""")
 def evidence_resolved(t: Tables) -> DataFrame:
@@ -241,3 +244,45 @@ def jaccard_matches_used_once(t: Tables) -> DataFrame:
     p = side(True, "a").join(side(False, "b"), ["grp", "tok"]).groupBy("grp", "a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
     p = p.select("grp", "a", "b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), 6).alias("score"))
     return greedy_pairs(p.filter("score >= 0.38"), "grp")
+
+
+@queries("V4")
+def best_phrases(t: Tables) -> DataFrame:
+    """Each part's label given to the name of its brand and size that it most resembles: 100 where that stands
+    in the label, none where no word is shared, else the best window's ratio; below 85 no name."""
+    label = F.lower(F.concat_ws(" ", F.substring("p_type", 1, 4), "p_name"))
+    parts = t.part.select("p_partkey", F.concat_ws("/", "p_brand", "p_size").alias("grp"), label.alias("label"), F.lower("p_name").alias("name"))
+    asked = parts.filter("p_partkey % 2 = 0").select("p_partkey", "grp", "label", F.explode(F.array_distinct(words(F.col("label")))).alias("tok"))
+    names = parts.filter("p_partkey % 2 = 1").select("grp", "name").distinct().withColumn("tok", F.explode(F.array_distinct(words(F.col("name")))))
+    pairs = asked.join(names, ["grp", "tok"]).select("p_partkey", "label", "name").distinct()
+    scored = pairs.select("p_partkey", "name", F.when(F.contains("label", "name"), 100.0).otherwise(partial_ratio("label", "name")).alias("score")).filter("score >= 85")
+    best = scored.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("b"))
+    return best.select("p_partkey", F.col("b.name").alias("name"), (-F.col("b.low")).alias("score"))
+
+
+def _tallied(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One conversation's made turns against its expected ones, in order, each expected one used once."""
+    rows = sorted(zip(pdf["turn"], pdf["role"], map(set, pdf["tokens"]), strict=True), key=lambda r: r[0])
+    open_ones = {turn: s for turn, role, s in rows if role == "user"}
+    made, expected = [s for _, role, s in rows if role != "user"], dict(open_ones)
+    likeness = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else 0.0
+    counts = {"matched": 0, "strict": 0, "repeats": 0, "noise": 0}
+    for s in made:
+        score, turn = max(((likeness(s, e), -k) for k, e in open_ones.items()), default=(0.0, 0))
+        if score >= 0.55:
+            counts["matched"] += 1
+            counts["strict"] += score >= 0.70
+            del open_ones[-turn]
+        elif max((likeness(s, e) for e in expected.values()), default=0.0) >= 0.55:
+            counts["repeats"] += 1
+        else:
+            counts["noise"] += 1
+    share = lambda n, of: round(n / of, 4) if of else 1.0
+    return pd.DataFrame([{"conv_id": int(pdf["conv_id"].iloc[0]), "recall": share(counts["matched"], len(expected)), "strict_recall": share(counts["strict"], len(expected)), "precision": share(counts["matched"], len(made)), "repeats": counts["repeats"], "noise": counts["noise"]}])
+
+
+@queries("Q3")
+def scored_runs(t: Tables) -> DataFrame:
+    """Recall at two thresholds, precision, repeats and noise of what others said against what the user asked for."""
+    turns = cued_turns(t).select("conv_id", "turn", "role", F.array_distinct(words(F.col("said"), 3)).alias("tokens"))
+    return turns.groupBy("conv_id").applyInPandas(_tallied, "conv_id long, recall double, strict_recall double, precision double, repeats long, noise long")

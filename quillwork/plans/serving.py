@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillwork.operators import external, publishing, transcripts
 from quillwork.operators.components import shared_folder
 from quillwork.plans.book import Book
-from quillwork.plans.discourse import _TURNS, _turns
+from quillwork.plans.discourse import TURNS, cued_turns
 from quillwork.sources import files
 from quillwork.sources.tables import Tables
 
@@ -91,11 +91,11 @@ def transcript_turns(t: Tables) -> DataFrame:
     return transcripts.turns_of(text, "conv_id", "text")
 
 
-@queries("V19", f"""WITH {_TURNS} SELECT conv_id, count(DISTINCT role) AS participants, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE commits = 1) AS actions, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE accepts = 1) AS decisions, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE risky = 1) AS risks FROM turns GROUP BY conv_id""")
+@queries("V19", f"""WITH {TURNS} SELECT conv_id, count(DISTINCT role) AS participants, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE commits = 1) AS actions, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE accepts = 1) AS decisions, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE risky = 1) AS risks FROM turns GROUP BY conv_id""")
 def evidence_ledger(t: Tables) -> DataFrame:
     """Who took part in a conversation, and the turns of its actions, decisions and risks."""
     listed = lambda c: F.nullif(F.array_join(F.sort_array(F.collect_list(F.when(F.col(c) == 1, F.col("turn")))).cast("array<string>"), ","), F.lit(""))
-    return _turns(t).groupBy("conv_id").agg(F.countDistinct("role").alias("participants"), listed("commits").alias("actions"), listed("accepts").alias("decisions"), listed("risky").alias("risks"))
+    return cued_turns(t).groupBy("conv_id").agg(F.countDistinct("role").alias("participants"), listed("commits").alias("actions"), listed("accepts").alias("decisions"), listed("risky").alias("risks"))
 
 
 _SCRIPT = "import json, sys; print(json.dumps([len(t.split(' ')) for t in json.load(sys.stdin)]))"
@@ -134,10 +134,10 @@ def first_failed_call(t: Tables) -> DataFrame:
     return external.first_error(external.answered(rows, "text", _extract), "at")
 
 
-@queries("U4", f"""WITH {_TURNS} SELECT conv_id, turn, 'actions' AS specialist, said FROM turns WHERE commits = 1 UNION ALL SELECT conv_id, turn, 'decisions', said FROM turns WHERE accepts = 1 UNION ALL SELECT conv_id, turn, 'risks', said FROM turns WHERE risky = 1""")
+@queries("U4", f"""WITH {TURNS} SELECT conv_id, turn, 'actions' AS specialist, said FROM turns WHERE commits = 1 UNION ALL SELECT conv_id, turn, 'decisions', said FROM turns WHERE accepts = 1 UNION ALL SELECT conv_id, turn, 'risks', said FROM turns WHERE risky = 1""")
 def specialists(t: Tables) -> DataFrame:
     """Three readers of the same turns, independent of each other, as one table."""
-    turns = _turns(t)
+    turns = cued_turns(t)
     part = lambda name, cue: turns.filter(F.col(cue) == 1).select("conv_id", "turn", F.lit(name).alias("specialist"), "said")
     return part("actions", "commits").unionByName(part("decisions", "accepts")).unionByName(part("risks", "risky"))
 

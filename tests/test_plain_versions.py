@@ -242,3 +242,48 @@ def test_celled_search_at_two_scales(spark, small, sf):
         best = set(ids[np.argsort(-(x @ x[i]) / np.linalg.norm(x, axis=1), kind="stable")[:10]].tolist())
         hits, total = hits + len(best & found[int(ids[i])]), total + len(best)
     assert set(found) == set(ids[ids % 20 == 0].tolist()) and hits / total >= 0.9
+
+
+def test_best_phrases(spark, small):
+    folder = small.rsplit("/", 1)[0] + "/sf0.01"
+    asked, names = [], defaultdict(set)
+    for r in spark.read.parquet(f"{folder}/part.parquet").collect():
+        grp, name = (r.p_brand, r.p_size), r.p_name.lower()
+        if r.p_partkey % 2:
+            names[grp].add(name)
+        else:
+            asked.append((r.p_partkey, grp, f"{r.p_type[:4]} {r.p_name}".lower()))
+    want = {}
+    for key, grp, label in asked:
+        scores = []
+        for name in names[grp]:
+            short, long = sorted((label, name), key=len)
+            windows = [long[i : i + len(short)] for i in range(len(long) - len(short) + 1)]
+            score = 100.0 if name in label else round(max(100 * SequenceMatcher(None, short, w, autojunk=False).ratio() for w in windows), 2) if set(label.split()) & set(name.split()) else 0.0
+            scores.append((-score, name))
+        if scores and min(scores)[0] <= -85:
+            want[key] = (min(scores)[1], -min(scores)[0])
+    assert {r.p_partkey: (r.name, r.score) for r in registry.QUERIES["best_phrases"](spark, folder).collect()} == want and want
+
+
+def test_scored_runs(turns, run):
+    from quillwork.plans.discourse import SAID
+
+    found = {r.conv_id: tuple(r)[1:] for r in run("scored_runs")}
+    for conv, rows in turns.items():
+        said = [(r.turn, r.role, tokens(SAID[(conv * 5 + r.turn) % len(SAID)], 3)) for r in rows]
+        expected, used = [(t, s) for t, role, s in said if role == "user"], set()
+        matched = strict = repeats = noise = 0
+        for _, role, s in said:
+            if role == "user":
+                continue
+            ranked = sorted((-overlap(s, e), t) for t, e in expected if t not in used)
+            if ranked and ranked[0][0] <= -0.55:
+                used.add(ranked[0][1])
+                matched, strict = matched + 1, strict + (ranked[0][0] <= -0.70)
+            elif any(overlap(s, e) >= 0.55 for _, e in expected):
+                repeats += 1
+            else:
+                noise += 1
+        n, m = len(expected), sum(role != "user" for _, role, _ in said)
+        assert found[conv] == (round(matched / n, 4) if n else 1.0, round(strict / n, 4) if n else 1.0, round(matched / m, 4) if m else 1.0, repeats, noise)
