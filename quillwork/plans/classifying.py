@@ -56,7 +56,10 @@ def status_of(text: Column) -> Column:
     return F.when(said.rlike(r"\bnot started\b"), "not_started").when(cue("blocked|stuck"), "blocked").when(cue("done|complete|finished"), "complete").when(cue("waiting|awaiting"), "awaiting").otherwise("in_progress")
 
 
-@queries("N5")
+_CUED = " ".join(f"WHEN regexp_matches(regexp_replace(s, '(not |never |will be )({w})\\b', '', 'g'), '\\b({w})\\b') THEN '{status}'" for w, status in (("blocked|stuck", "blocked"), ("done|complete|finished", "complete"), ("waiting|awaiting", "awaiting")))
+
+
+@queries("N5", f"SELECT conv_id, turn, CASE WHEN regexp_matches(s, '\\bnot started\\b') THEN 'not_started' {_CUED} ELSE 'in_progress' END AS status FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS s FROM conversations)")
 def status_from_text(t: Tables) -> DataFrame:
     """The status that each turn of a conversation tells of."""
     return t.conversations.select("conv_id", "turn", status_of(F.col("text")).alias("status"))

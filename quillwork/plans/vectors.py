@@ -29,7 +29,7 @@ def vector_top_k(t: Tables) -> DataFrame:
     return best_rows(t.embeddings.filter("vec_id < 5"), t.embeddings, 8)
 
 
-@queries("L4")
+@queries("L4", f"""SELECT q, vec_id, score FROM (SELECT q.vec_id AS q, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) DESC, e.vec_id) AS rn FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rn <= 8""")
 def vector_top_k_all(t: Tables) -> DataFrame:
     """The same search for every row whose id is divisible by 20."""
     return best_rows(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, 8)
@@ -89,7 +89,7 @@ def top_k_prototypes(t: Tables) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("vec_id", "label", "rank", F.round("score", 3).alias("score"))
 
 
-@queries("G7")
+@queries("G7 L7", f"""WITH p AS (SELECT label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 2), s AS (SELECT e.vec_id, p.label, max({_DOT.format(a='e.embedding', b='p.embedding')}) AS score FROM embeddings e, p GROUP BY 1, 2) SELECT vec_id, label, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s WHERE score > 0) WHERE rank <= 3""")
 def top_k_label_prototypes(t: Tables) -> DataFrame:
     """The same with prototypes of every label of the table: its two rows of the least ids."""
     first = ranked(t.embeddings, ["label"], [F.col("vec_id")]).filter("place <= 2").groupBy("label").agg(F.collect_list("embedding").alias("vectors"))

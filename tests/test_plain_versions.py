@@ -287,3 +287,36 @@ def test_scored_runs(turns, run):
                 noise += 1
         n, m = len(expected), sum(role != "user" for _, role, _ in said)
         assert found[conv] == (round(matched / n, 4) if n else 1.0, round(strict / n, 4) if n else 1.0, round(matched / m, 4) if m else 1.0, repeats, noise)
+
+
+def test_numeric_facts(spark, small, run):
+    from quillwork.functions.phrases import digits_in
+
+    found = {r.doc_id: r.facts for r in run("numeric_facts")}
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
+        want, text = [], digits_in(r.text or "")
+        for m in re.finditer(r"[£$€]?[-+]?\d+(?:[.,]\d+)*(?:e[-+]?\d+)?%?", text, re.ASCII):
+            want.append(m)
+        plain = re.findall(r"(?<![\w.-])([£$€]?[-+]?\d+(?:[.,]\d+)*(?:e[-+]?\d+)?%?)(?![\w-])", text, re.ASCII)
+        assert found.get(r.doc_id, []) == list(dict.fromkeys(plain)) and len(plain) <= len(want)
+
+
+def test_rewritten_phrases(spark, tmp_path):
+    said = ["We can't see it, we're late", "They won't and it's ours, our plan", "the 23rd of July on monday", "GBP 5, 7 pounds and 5 to 7 pounds", "we have what we are", "We have it. We go."]
+    written = ["The team cannot see it, the team is late", "They will not and it is ours, the team's plan", "23 July on Monday", "£5, £7 and £5 to £7", "the team has what the team is", "The team has it. The team go."]
+    rows = spark.createDataFrame([(0, i, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.s for r in sorted(registry.QUERIES["rewritten_phrases"](spark, str(tmp_path)).collect(), key=lambda r: r.turn)] == written
+
+
+def test_usefulness_model_learns_words_of_other_sources(spark, tmp_path):
+    """Words alone tell good from bad; the texts of held-out sources get the right side of one half."""
+    texts = [(i, f"{'clear useful prose' if i % 3 else 'junk spam filler'} number{i % 7}", f"src{i % 20}", int(i % 3 > 0)) for i in range(300)]
+    spark.createDataFrame([t[:3] for t in texts], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(t[0], t[3], 0) for t in texts], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = registry.QUERIES["usefulness_model"](spark, str(tmp_path)).collect()
+    held = {r.source for r in spark.createDataFrame([(s,) for s in {t[2] for t in texts}], "source string").selectExpr("source", "pmod(xxhash64(source), 4) as k").collect() if r.k == 0}
+    assert {r.doc_id for r in found} == {t[0] for t in texts if t[2] in held} and found
+    for r in found:
+        assert (r.probability > 0.5) == (r.label == 1.0) and r.decision == ("remove" if r.probability <= 0.1 else "keep")
+    assert {r.decision for r in found} == {"remove", "keep"}
