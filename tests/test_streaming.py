@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.streaming import queue
+from quillwork.streaming import queue, worker
 
 
 @pytest.fixture()
@@ -93,3 +93,35 @@ def test_steps_of_a_job():
     last = ("running", queue.MOST_ATTEMPTS, 10, 0.0)
     assert queue.step(last, "error", 10, 0)[0] == "failed"
     assert queue.step(last, "view", queue.LEASE_S + 1, 0)[0] == "failed"
+
+
+def test_a_worker_goes_on_where_it_stood_and_counts_a_batch_once(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("jobs", "out", "checkpoint"))
+    add = lambda ids: spark.createDataFrame([(i, f"job {i}") for i in ids], "job long, text string").coalesce(1).write.mode("append").parquet(folder)
+    tries = []
+
+    def work(rows):
+        tries.append(sorted(r.job for r in rows.collect()))
+        if len(tries) == 2:
+            raise RuntimeError("lost")
+        return rows.select("job", F.upper("text").alias("done"), F.lit(len(tries)).alias("try"))
+
+    def go(fails: bool = False) -> None:
+        stream = spark.readStream.schema("job long, text string").option("maxFilesPerTrigger", 1).parquet(folder)
+        query = worker.start_worker(stream, work, out, checkpoint, once=True)
+        if fails:
+            with pytest.raises(Exception, match="lost"):
+                query.awaitTermination(120)
+        else:
+            assert query.awaitTermination(120)
+
+    add(range(3))
+    go()
+    add(range(3, 5))
+    go(fails=True)
+    go()
+    add([0])  # a job that is queued again
+    go()
+    assert tries == [[0, 1, 2], [3, 4], [3, 4], [0]]
+    found = {r.job: (r.done, r["try"]) for r in worker.results(spark, out, "job").collect()}
+    assert found == {0: ("JOB 0", 4), 1: ("JOB 1", 1), 2: ("JOB 2", 1), 3: ("JOB 3", 3), 4: ("JOB 4", 3)}
