@@ -26,6 +26,8 @@ INF = np.int32(2**31 - 1)
 LONG_WORD = 192
 #: Words in the cache; one of this size takes about 150 MB.
 CACHE_WORDS = 600_000
+#: Characters of its words, as some sources have words of many thousands of characters.
+CACHE_CHARS = 32 << 20
 #: Characters of a text that are handed to the word splitter at once, at a safe boundary.
 SEGMENT_CHARS = 1 << 18
 
@@ -291,10 +293,12 @@ class Bpe:
         """An empty cache: key to its place, and each place's run of ids in one array."""
         self._places: defaultdict[str, int] = defaultdict()
         self._places.default_factory = self._places.__len__
+        self._chars = 0
         self._ids, self._starts, self._sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
         """Adds the ids of these keys, which have the next places."""
+        self._chars += sum(map(len, new))
         plain = [key.isalpha() if self.lower else False for key in new]
         words = [[key] if p else [] if key[0] == "\2" else self._words_of(key) for key, p in zip(new, plain, strict=True)]
         several = list(dict.fromkeys(chain.from_iterable(words)))
@@ -307,7 +311,7 @@ class Bpe:
 
     def _looked_up(self, texts: list[str]) -> list[np.ndarray]:
         """The places of each text's keys in the cache, which holds the ids of all of them."""
-        if len(self._places) > CACHE_WORDS:
+        if len(self._places) > CACHE_WORDS or self._chars > CACHE_CHARS:
             self._forget()
         place, known = self._places.__getitem__, len(self._places)
         found = []

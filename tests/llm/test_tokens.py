@@ -250,6 +250,15 @@ def test_counts_of_texts_longer_than_a_segment(monkeypatch):
     assert bpe.load(BYTE).count_batch(texts) == [len(ids_of(t, BYTE)) for t in texts]
 
 
+def test_the_cache_is_bounded_by_words_and_by_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 500)
+    coder = bpe.Bpe(WORD)
+    for texts in (["a b c d e f g h i j k l m n o p q r s t u v"], ["w x y"], ["z" * 600, "a"], ["again a b"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_batch(texts)] == [ids_of(t) for t in texts]
+    assert len(coder._places) <= 23 and coder._chars < 1200
+
+
 def test_empty_tables(empty):
     assert op3_bpe.round_trip_digests(empty, WORD).collect() == []
     assert op4_counts.token_counts(empty, BYTE, 5).collect() == []
