@@ -13,7 +13,7 @@ from quillwork.operators.components import gone_at_exit
 from quillwork.operators.components import shared_folder as shared_dir
 from quillwork.shipping import ship
 
-__all__ = ["documents", "free", "gone_at_exit", "mapped", "rows_kept", "salted", "shared_dir", "slices", "within", "written"]
+__all__ = ["documents", "free", "gone_at_exit", "mapped", "rows_kept", "salted", "shared_dir", "slices", "with_groups", "within", "written"]
 
 #: Text handed to a Python helper at once; a single longer text is handed over alone.
 BATCH_BYTES = 4 << 20
@@ -54,6 +54,19 @@ def salted(many: DataFrame, few: DataFrame, spread_by: Column, salts: int) -> tu
     return many.withColumn(name, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")), few.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), name
 
 
+def with_groups(rows: DataFrame, row_key: str, groups: DataFrame, group_key: str, size: str, by: str, large: int = 1024, salts: int = 16) -> DataFrame:
+    """``rows`` left-joined to ``groups``, a written table of one row a key and the ``size`` of its group. The
+    rows of a large group are dealt to ``salts`` tasks by ``by``; the large ones, of which there is one for
+    ``large`` rows at most, are marked by a join of their own."""
+    key, mark, part, at = free(rows, *free(groups, "large_key", "is_large", "row_part", "group_part"))
+    large_ones = written(groups.filter(F.col(size) > large).select(F.col(group_key).alias(key), F.lit(True).alias(mark)), "large")
+    marked = rows.join(within(large_ones, 8 << 20), F.col(row_key) == F.col(key), "left")
+    dealt = marked.withColumn(part, F.when(F.col(mark), F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0).cast("int")).drop(key, mark)
+    parts = F.when(F.col(size) > large, salts - 1).otherwise(0)
+    told = groups.withColumn(at, F.explode(F.sequence(F.lit(0), parts)))
+    return dealt.join(told, (F.col(row_key) == F.col(group_key)) & (F.col(part) == F.col(at)), "left").drop(part, at)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it one that ``df`` lacks."""
     taken = {c.lower() for c in df.columns}

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import documents, mapped, salted, slices, written
+from quillwork.llm.common import documents, mapped, salted, slices, with_groups, written
 from quillwork.llm.textscan import Words, mix
 
 COORDINATES = 64
@@ -281,8 +281,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = sigs.select("row", "doc_id", "h", "n_shingles").join(member, F.col("row") == F.col("r2"), "left").withColumn("root", F.coalesce("root", "row"))
     rows = written(rows.select("row", "doc_id", "h", "n_shingles", "root"), "members")
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.count(F.lit(1)).alias("n"))
-    several = least.filter("n > 1").withColumnRenamed("root", "r2")
-    joined = rows.join(several, F.col("root") == F.col("r2"), "left")
+    several = written(least.filter("n > 1").withColumnRenamed("root", "r2"), "groups")
+    joined = with_groups(rows, "root", several, "r2", "n", "row", GROUP, SALTS)
     component = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return joined.select("row", "doc_id", "h", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), (F.col("n").isNull() | (F.col("row") == F.col("least.row"))).alias("kept_row"))
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwork.llm import op2_minhash, op6_exact
-from quillwork.llm.common import rows_kept
+from quillwork.llm.common import rows_kept, with_groups, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -148,3 +148,12 @@ def test_empty_tables_and_rows_kept(docs, empty, groups, by, rows):
     kept = rows_kept(docs, decided, by)
     assert kept.columns == docs.columns
     assert kept.count() == decided.filter(by).count()
+
+
+def test_rows_of_large_groups_join_their_group(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"g{i % 7}", i) for i in range(300)], "row long, g string, is_large long")
+    groups = written(rows.groupBy(F.col("g").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).filter("of <> 'g3'"), "groups")
+    out = with_groups(rows, "g", groups, "of", "n", "row", large=50)
+    assert out.columns == ["row", "g", "is_large", "of", "n", "first"]
+    want = rows.join(groups, F.col("g") == F.col("of"), "left")
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
