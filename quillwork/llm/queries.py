@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillwork.llm import op6_exact
+from quillwork.llm import op6_exact, op11_middle, op13_centroids
 from quillwork.llm.op1_shards import op1_training_order
 from quillwork.llm.op2_minhash import op2_minhash_near_dedup
 from quillwork.llm.op3_bpe import op3_bpe_round_trip
@@ -12,6 +12,7 @@ from quillwork.llm.op7_langid import op7_language_id
 from quillwork.llm.op8_quality import op8_quality_rules
 from quillwork.llm.op9_lm import op9_lm_scores
 from quillwork.llm.op10_packing import op10_packing
+from quillwork.llm.op12_suffixes import op12_suffix_dedup
 
 QUERIES = {
     "op1_training_order": op1_training_order,
@@ -24,5 +25,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_scores": op9_lm_scores,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_middle.op11_fill_in_middle,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_centroid_clusters": op13_centroids.op13_centroid_clusters,
 }
-ORACLE_SQL = {"op6_exact_dedup": op6_exact.ORACLE}
+ORACLE_SQL = {"op6_exact_dedup": op6_exact.ORACLE, "op11_fill_in_middle": op11_middle.ORACLE, "op13_centroid_clusters": op13_centroids.ORACLE}
