@@ -25,20 +25,27 @@ def pairs_sharing(rows: DataFrame, group: list[str], place: str, tokens: str) ->
     return e.join(other, [*group, "token"]).filter("a < b").groupBy(*group, "a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    used_a, used_b, keep = set(), set(), []
-    for i, a, b in pairs.sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples():
-        if a not in used_a and b not in used_b:
-            used_a.add(a)
-            used_b.add(b)
-            keep.append(i)
-    return pairs.loc[keep]
-
-
 def greedy_pairs(pairs: DataFrame, group: str) -> DataFrame:
-    """One-to-one matches of each group: best score first, ties by a then b, each side used once.
-    The fold is sequential, so a group is one task's; groups are conversations or reports."""
-    return pairs.groupBy(group).applyInPandas(_greedy, pairs.schema)
+    """One-to-one matches of each group: best score first, ties by a then b, each side used once. pairs: the group, a, b
+    and score.
+
+    By rounds of mutually best pairs: a pair that is the best of both its sides can't be lost to any other, so the
+    sequential choice takes it as well, and all such pairs are taken at once; pairs of a used side go. The best pair of
+    each group that is left is always one of them, so every round ends some. A group may be of any size: its rows
+    meet by side only, as minima that are combined before the shuffle. As many rounds are run as the longest
+    chain of pairs that wait for each other."""
+    order = F.struct((-F.col("score")).alias("low"), F.col("a"), F.col("b"))
+    left = written(pairs.withColumn("rank_of_pair", order))
+    taken = None
+    while True:
+        best_a = left.groupBy(group, "a").agg(F.min("rank_of_pair").alias("best_a"))
+        best_b = left.groupBy(group, "b").agg(F.min("rank_of_pair").alias("best_b"))
+        mutual = left.join(best_a, [group, "a"]).filter("rank_of_pair = best_a").join(best_b, [group, "b"]).filter("rank_of_pair = best_b")
+        won = written(mutual.select(*pairs.columns))
+        taken = won if taken is None else taken.unionByName(won)
+        left = written(left.join(won.select(group, "a"), [group, "a"], "left_anti").join(won.select(group, "b"), [group, "b"], "left_anti"))
+        if left.isEmpty():
+            return taken
 
 
 def allowed_edits(length: int) -> int:

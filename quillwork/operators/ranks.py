@@ -1,8 +1,10 @@
-"""Exact order statistics of groups of any size.
+"""Exact order statistics of groups of any size, by radix selection.
 
-A group's values are counted in ``BUCKETS`` equal ranges between its least and its greatest, so the
-range that holds a rank is known from as many numbers; only the values of that range are then sorted. A
-hot group's sort is that of a range's distinct values, never of all its rows.
+Each round splits the range that holds a rank and keeps the part with the rank in it: first by sign and
+exponent, so one far value doesn't put all others into one part, then into ``PARTS`` equal parts at a
+time, as ten more bits of the value. It ends when a range holds ``MOST`` rows or one value, after seven rounds
+at the most; only rows of that range are sorted. A round moves a count, a least and a greatest value for each
+group, rank and part, summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -12,31 +14,59 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from quillwork.operators.components import written
+
+PARTS = 1024
+#: Rows that one task may sort for a group's rank.
+MOST = 1 << 16
 
 
 def _same(left: list[str], right: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)))
+    return reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True)), F.lit(True))
+
 
+def _part(v: Column, low: Column, high: Column) -> Column:
+    """The part of a value within its range; a greater value never has a lesser part. A range that spans more than two
+    powers of two is split by sign and exponent, any other one into equal parts."""
+    x, a, b = (c.cast("double") for c in (v, low, high))
+    exponent = lambda c: F.when(c == 0, 0).otherwise(F.signum(c) * (F.floor(F.log2(F.abs(c))) + 1100)).cast("int")
+    wide = exponent(b) - exponent(a) > 1
+    return F.when(wide, exponent(x)).otherwise(F.least(F.lit(PARTS - 1), F.floor((x - a) / (b - a) * PARTS)).cast("int"))
 
-def ranked_values(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+
+def ranked_values(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], most: int = MOST) -> DataFrame:
     """keys and, by name, the value at each rank of each group: an expression over ``n``, the number of its
     values, from 1 to n. Null values don't count."""
+    return _ranges(rows, keys, value, ranks, most)[0]
+
+
+def _ranges(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], most: int) -> tuple[DataFrame, DataFrame, int]:
+    """The values at the ranks, the ranges that were sorted (their rows: ``c``), and the rounds it took."""
     known = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
     ours = [f"of_{k}" for k in keys]
-    ends = known.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, ours, strict=True)]).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n"))
-    width = F.col("most") - F.col("least")
-    bucket = F.when(width > 0, F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - F.col("least")) / width * BUCKETS))).otherwise(0).cast("int")
-    placed = known.join(ends, _same(keys, ours)).select(*keys, "v", "n", bucket.alias("bucket"))
-    counts = placed.groupBy(*keys, "bucket", "n").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("bucket"))
+    own = [F.col(k).alias(o) for k, o in zip(keys, ours, strict=True)]
+    ends = known.groupBy(*own).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])
-    at = counts.withColumn("upto", upto).withColumn("want", F.explode(wanted)).filter((F.col("want.rank") <= F.col("upto")) & (F.col("want.rank") > F.col("upto") - F.col("c")))
-    at = at.select(*[F.col(k).alias(o) for k, o in zip(keys, ours, strict=True)], F.col("bucket").alias("of_bucket"), "want.name", (F.col("want.rank") - F.col("upto") + F.col("c")).alias("left"))
-    inside = placed.join(at, _same([*keys, "bucket"], [*ours, "of_bucket"])).groupBy(*keys, "name", "left", "v").agg(F.count(F.lit(1)).alias("c"))
-    reached = F.sum("c").over(Window.partitionBy(*keys, "name").orderBy("v")) >= F.col("left")
-    found = inside.withColumn("reached", reached).filter("reached")
-    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    state = ends.withColumn("want", F.explode(wanted)).select(*ours, F.col("want.name").alias("name"), F.col("want.rank").alias("left"), "low", "high", F.col("n").alias("c"))
+    state, rounds = written(state), 0
+    open_ = (F.col("c") > most) & (F.col("low") < F.col("high"))
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        return known.join(ranges, _same(keys, ours) & F.col("v").between(F.col("low"), F.col("high")))
+
+    while not state.filter(open_).isEmpty():
+        parts = inside(state.filter(open_)).groupBy(*ours, "name", "left", _part(F.col("v"), F.col("low"), F.col("high")).alias("part"))
+        parts = parts.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy(*ours, "name").orderBy("part"))  # one row a part
+        at = parts.withColumn("before", upto - F.col("c")).filter((F.col("left") > F.col("before")) & (F.col("left") <= F.col("before") + F.col("c")))
+        state = written(state.filter(~open_).unionByName(at.select(*ours, "name", (F.col("left") - F.col("before")).alias("left"), "low", "high", "c")))
+        rounds += 1
+
+    values = inside(state).groupBy(*ours, "name", "left", "v").agg(F.count(F.lit(1)).alias("c"))
+    reached = F.sum("c").over(Window.partitionBy(*ours, "name").orderBy("v")) >= F.col("left")
+    found = values.withColumn("reached", reached).filter("reached")
+    named = found.groupBy(*[F.col(o).alias(k) for k, o in zip(keys, ours, strict=True)])
+    return named.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks]), state, rounds
 
 
 def nearest_rank(q: float) -> Column:

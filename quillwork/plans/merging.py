@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.fuzzy import partial_ratio
 from quillwork.functions.text import overlap, words
-from quillwork.operators.components import connected
+from quillwork.operators.candidates import best_sharing
+from quillwork.operators.components import connected, written
 from quillwork.operators.latest import ranked
 from quillwork.operators.matching import greedy_pairs, pairs_sharing
 from quillwork.operators.retrieval import rows_above
@@ -215,15 +216,14 @@ def answer_sources(t: Tables) -> DataFrame:
     """What an answer to each item would be given to read: the three documents with most of its words (twelve
     at most), the newest first among equals; without any, the newest three."""
     tokens = F.array_distinct(words(F.col("text"), 4))
-    asked = t.benchmark.select("item_id", F.explode(F.slice(F.sort_array(tokens), 1, 12)).alias("w"))
-    d = t.documents.select("doc_id", F.explode(tokens).alias("w"))
-    s = d.join(asked, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    three = ranked(s, ["item_id"], [F.desc("score"), F.desc("doc_id")]).filter("place <= 3")
-    one = F.struct("place", F.concat_ws(":", "doc_id", "score").alias("said"))
-    found = three.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["said"]), ",").alias("sources"))
-    newest = ",".join(str(r["doc_id"]) for r in t.documents.select("doc_id").orderBy(F.desc("doc_id")).limit(3).collect())
-    out = t.benchmark.select("item_id").join(found, "item_id", "left")
-    return out.select("item_id", F.coalesce("sources", F.lit(newest)).alias("sources"), F.when(F.col("sources").isNull(), "fallback").otherwise("keyword").alias("how"))
+    asked = written(t.benchmark.select(F.col("item_id").alias("item"), F.slice(F.sort_array(tokens), 1, 12).alias("words")))
+    three, _ = best_sharing(asked, t.documents.select(F.col("doc_id").alias("row"), tokens.alias("words")), 3, F.desc("row"))
+    one = F.struct("place", F.concat_ws(":", "row", "shared").alias("said"))
+    found = three.groupBy(F.col("item").alias("item_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["said"]), ",").alias("sources"))
+    top = t.documents.select("doc_id").orderBy(F.desc("doc_id")).limit(3)
+    newest = top.agg(F.array_join(F.sort_array(F.collect_list("doc_id"), asc=False).cast("array<string>"), ",").alias("newest"))  # one row
+    out = t.benchmark.select("item_id").join(found, "item_id", "left").join(F.broadcast(newest))
+    return out.select("item_id", F.coalesce("sources", "newest").alias("sources"), F.when(F.col("sources").isNull(), "fallback").otherwise("keyword").alias("how"))
 
 
 @queries("D16", """WITH q AS (SELECT vec_id AS q, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id, list_sum(list_transform(range(1, len(v) + 1), lambda i: CAST(v[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))) AS score FROM q, embeddings WHERE q <> vec_id) SELECT q, vec_id, round(score, 4) AS score FROM s WHERE round(score, 4) >= 0.3""")

@@ -74,21 +74,36 @@ def store_entries(t: Tables) -> DataFrame:
 
 _NAMES = {"user": "Ann O'Neill", "assistant": "Björn Lind", "system": "priya.raman"}
 _NAMED = "CASE role WHEN 'user' THEN 'Ann O''Neill' WHEN 'assistant' THEN 'Björn Lind' ELSE 'Unattributed' END"
-_SPACED = r"trim(regexp_replace(replace(text, ':', ''), '\s+', ' ', 'g'))"
+_SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+_STAMP = "'0:0' || (turn % 10)"
+_LINE = f"""CASE WHEN role = 'system' THEN 'priya.raman: ' || text WHEN conv_id % 4 = 2 THEN {_NAMED} || ': ' || text WHEN conv_id % 4 = 0 THEN {_NAMED} || '   ' || {_STAMP} || chr(10) || text
+  WHEN conv_id % 4 = 1 THEN {_NAMED} || '   ' || {_STAMP} || text ELSE '[' || {_STAMP} || '] ' || {_NAMED} || ': ' || text END"""
 
 
-@queries("J1 J2 J6", rf"""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS idx, {_NAMED} AS speaker, {_SPACED} AS said FROM conversations WHERE {_SPACED} <> ''""")
-def transcript_turns(t: Tables) -> DataFrame:
-    """Conversations as transcripts of four layouts, by number: names with a time and the words below, the
-    same glued, names with a colon, and the same behind a time; handles are no one's. Read back as turns."""
+def _transcripts(t: Tables) -> DataFrame:
+    """Conversations as transcripts of four layouts, by number: names with a time and the words below, the same glued,
+    names with a colon, and the same behind a time; a system's turns are under a handle. The texts are as they are."""
     name = F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv])[F.col("role")]
-    words, stamp = F.replace("text", F.lit(":"), F.lit("")), F.concat(F.lit("0:0"), F.col("turn") % 10)
+    stamp = F.concat(F.lit("0:0"), F.col("turn") % 10)
     handle, layout = F.col("role") == "system", F.col("conv_id") % 4
-    said = F.when(handle | (layout == 2), F.concat(name, F.lit(": "), words)).when(layout == 0, F.concat(name, F.lit("   "), stamp, F.lit("\n"), words)).when(layout == 1, F.concat(name, F.lit("   "), stamp, words))
-    said = said.otherwise(F.concat(F.lit("["), stamp, F.lit("] "), name, F.lit(": "), words))
+    said = F.when(handle | (layout == 2), F.concat(name, F.lit(": "), "text")).when(layout == 0, F.concat(name, F.lit("   "), stamp, F.lit("\n"), "text"))
+    said = said.when(layout == 1, F.concat(name, F.lit("   "), stamp, "text")).otherwise(F.concat(F.lit("["), stamp, F.lit("] "), name, F.lit(": "), "text"))
     lines = F.sort_array(F.collect_list(F.struct("turn", said.alias("said"))))
-    text = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["said"]), "\n").alias("text"))
-    return transcripts.turns_of(text, "conv_id", "text")
+    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["said"]), "\n").alias("text"))
+
+
+@queries("J1 J2 J6", rf"""SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS idx, {_NAMED} AS speaker, {_SPACED} AS said FROM conversations WHERE {_SPACED} <> ''""")
+def transcript_turns(t: Tables) -> DataFrame:
+    """Transcripts of four layouts read back as turns."""
+    return transcripts.turns_of(_transcripts(t), "conv_id", "text")
+
+
+@queries("J2", f"""WITH l AS (SELECT conv_id, turn, {_NAMED} AS speaker, length({_LINE}) AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS piece, 'turn' AS kind, speaker, n + CASE WHEN turn < last THEN 1 ELSE 0 END AS chars FROM l""")
+def transcript_pieces(t: Tables) -> DataFrame:
+    """Where each transcript is cut: turns and unread regions, which hold all its characters."""
+    found = transcripts.pieces_of(_transcripts(t), "conv_id", "text")
+    return found.select("conv_id", "piece", "kind", "speaker", (F.col("end") - F.col("begin")).alias("chars"))
 
 
 @queries("V19", f"""WITH {TURNS} SELECT conv_id, count(DISTINCT role) AS participants, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE commits = 1) AS actions, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE accepts = 1) AS decisions, string_agg(turn, ',' ORDER BY turn) FILTER (WHERE risky = 1) AS risks FROM turns GROUP BY conv_id""")

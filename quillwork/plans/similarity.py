@@ -115,10 +115,3 @@ def jaccard_best_match(t: Tables) -> DataFrame:
     tokens = t.conversations.select("conv_id", "turn", F.array_distinct(words(F.col("text"), 4)).alias("tokens"))
     p = pairs_sharing(tokens, ["conv_id"], "turn", "tokens").withColumn("score", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
     return ranked(p, ["conv_id", "a"], [F.desc("score"), F.col("b")]).filter("place = 1").select("conv_id", "a", "b", F.round("score", 4).alias("score"))
-
-
-@queries("L6", """SELECT doc_id, CAST(contains(lower(text), 'thing') AS INT) + CAST(contains(lower(text), 'keit') AS INT) + CAST(contains(lower(text), 'ment') AS INT) AS score FROM documents WHERE contains(lower(text), 'thing') OR contains(lower(text), 'keit') OR contains(lower(text), 'ment')""")
-def keyword_retrieval(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    hits = [F.contains(low, F.lit(w)) for w in ("thing", "keit", "ment")]
-    return t.documents.filter(hits[0] | hits[1] | hits[2]).select("doc_id", sum((h.cast("int") for h in hits), F.lit(0)).alias("score"))

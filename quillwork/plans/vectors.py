@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwork.functions.text import words
 from quillwork.functions.vectors import cosine, dot
+from quillwork.operators.candidates import best_sharing
+from quillwork.operators.components import written
 from quillwork.operators.latest import ranked
 from quillwork.operators.retrieval import best_rows, cells, centroids, scored_by_cell
 from quillwork.plans.book import Book
@@ -23,15 +26,10 @@ def neighbour_cosines(t: Tables) -> DataFrame:
     return pair.select("vec_id", F.round(dot(a, b), 4).alias("dot"), F.round(cosine(a, b), 4).alias("cosine"))
 
 
-@queries("L4", f"""SELECT q, vec_id, score FROM (SELECT q.vec_id AS q, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) DESC, e.vec_id) AS rn FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q) WHERE rn <= 8""")
-def vector_top_k(t: Tables) -> DataFrame:
-    """Five stated query vectors against all rows; each task keeps its own best before the shuffle."""
-    return best_rows(t.embeddings.filter("vec_id < 5"), t.embeddings, 8)
-
-
 @queries("L4", f"""SELECT q, vec_id, score FROM (SELECT q.vec_id AS q, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='q.embedding', b='e.embedding')}, 4) DESC, e.vec_id) AS rn FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rn <= 8""")
 def vector_top_k_all(t: Tables) -> DataFrame:
-    """The same search for every row whose id is divisible by 20."""
+    """The eight nearest rows of every row whose id is divisible by 20, against all rows; each task keeps its own
+    best before the shuffle."""
     return best_rows(t.embeddings.filter("vec_id % 20 = 0"), t.embeddings, 8)
 
 
@@ -67,31 +65,19 @@ def centroid_classes(t: Tables) -> DataFrame:
 s AS (SELECT x.item_id, d.doc_id, count(*) / x.n AS score FROM x JOIN d ON x.w = d.w GROUP BY x.item_id, d.doc_id, x.n), b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM s)
 SELECT e.item_id, coalesce(b.doc_id, -1) AS best_doc, round(coalesce(b.score, 0), 4) AS score, CASE WHEN coalesce(b.score, 0) >= 0.5 THEN 'covered' WHEN coalesce(b.score, 0) >= 0.3 THEN 'near' ELSE 'missed' END AS verdict FROM e LEFT JOIN b ON b.item_id = e.item_id AND b.rn = 1""")
 def best_candidate_per_expected(t: Tables) -> DataFrame:
-    tokens = lambda: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{4,}"), F.lit(0)))
-    e = t.benchmark.select("item_id", tokens().alias("t"))
-    x = e.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    d = t.documents.select("doc_id", F.explode(tokens()).alias("w"))
-    s = d.join(x, "w").groupBy("item_id", "n", "doc_id").agg(F.count(F.lit(1)).alias("c")).withColumn("score", F.col("c") / F.col("n"))
-    best = s.groupBy("item_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("low"))).alias("best"))
-    score = F.coalesce("best.score", F.lit(0.0))
+    """The document that holds most of the words of each item; pairs that can't win are never made."""
+    tokens = F.array_distinct(words(F.col("text"), 4))
+    e = written(t.benchmark.select("item_id", tokens.alias("words")))
+    best, _ = best_sharing(e.withColumnRenamed("item_id", "item"), t.documents.select(F.col("doc_id").alias("row"), tokens.alias("words")))
+    found = e.join(best.withColumnRenamed("item", "item_id"), "item_id", "left")
+    score = F.coalesce(F.col("shared") / F.size("words"), F.lit(0.0))
     verdict = F.when(score >= 0.5, "covered").when(score >= 0.3, "near").otherwise("missed")
-    return e.select("item_id").join(best, "item_id", "left").select("item_id", F.coalesce(-F.col("best.low"), F.lit(-1)).alias("best_doc"), F.round(score, 4).alias("score"), verdict.alias("verdict"))
-
-
-@queries("G7", f"""WITH s AS (SELECT e.vec_id, p.label, max({_DOT.format(a='e.embedding', b='p.embedding')}) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) p GROUP BY 1, 2)
-SELECT vec_id, label, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s WHERE score > 0) WHERE rank <= 3""")
-def top_k_prototypes(t: Tables) -> DataFrame:
-    prototypes = sorted((r["vec_id"], r["label"], r["embedding"]) for r in t.embeddings.filter("vec_id < 20").collect())  # a stated, fixed set
-    query = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(float(a)) for a in v]).alias("v")) for _, label, v in prototypes])
-    s = t.embeddings.select("vec_id", "embedding", F.explode(query).alias("p")).select("vec_id", F.col("p.label").alias("label"), dot(F.col("embedding"), F.col("p.v")).alias("score"))
-    best = s.groupBy("vec_id", "label").agg(F.max("score").alias("score")).filter("score > 0")
-    w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "label")
-    return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("vec_id", "label", "rank", F.round("score", 3).alias("score"))
+    return found.select("item_id", F.coalesce("row", F.lit(-1)).alias("best_doc"), F.round(score, 4).alias("score"), verdict.alias("verdict"))
 
 
 @queries("G7 L7", f"""WITH p AS (SELECT label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 2), s AS (SELECT e.vec_id, p.label, max({_DOT.format(a='e.embedding', b='p.embedding')}) AS score FROM embeddings e, p GROUP BY 1, 2) SELECT vec_id, label, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM s WHERE score > 0) WHERE rank <= 3""")
 def top_k_label_prototypes(t: Tables) -> DataFrame:
-    """The same with prototypes of every label of the table: its two rows of the least ids."""
+    """The three labels whose prototypes a row is nearest to; a label's prototypes are its two rows of the least ids."""
     first = ranked(t.embeddings, ["label"], [F.col("vec_id")]).filter("place <= 2").groupBy("label").agg(F.collect_list("embedding").alias("vectors"))
     # As many as there are labels, which are few: one array for all rows.
     prototypes = first.agg(F.collect_list(F.struct("label", "vectors")).alias("prototypes"))

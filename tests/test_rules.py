@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillwork.functions import wording
@@ -72,6 +74,43 @@ def test_every_layout_gives_the_same_turns(layout):
     assert transcripts.parse(LAYOUTS[layout]) == [("Ann O'Neill", "Good morning. How are you?"), ("Björn Lind", "Fine.")]
 
 
+SPEAKERS = {
+    "numbered": ("Speaker 1: hello there\nSpeaker 2: and you\nSpeaker 1: fine", [("Speaker 1", "hello there"), ("Speaker 2", "and you"), ("Speaker 1", "fine")]),
+    "one number": ("Speaker 1: hello", [("Speaker 1", "hello")]),
+    "labels": ("Ann Lee: hi\nReminder: bring it\nWhat I Think: no\nBob Ray: yes", [("Ann Lee", "hi Reminder: bring it What I Think: no"), ("Bob Ray", "yes")]),
+    "short names": ("Ann: hi\nBob: yes\nAnn: so\nBob: right", [("Ann", "hi"), ("Bob", "yes"), ("Ann", "so"), ("Bob", "right")]),
+    "first name": ("Ann Lee: hi\nAnn: again", [("Ann Lee", "hi"), ("Ann", "again")]),
+    "time within": ("Ann Lee: at 10:30: the call\nBob Ray   00:02:11\nWords: many", [("Ann Lee", "at 10:30: the call"), ("Bob Ray", "Words: many")]),
+    "mixed": (
+        "Claire Nolan 00:12\nWe opened.\n00:12:30 priya.raman: The audit.\n00:14:00 tom_oneill: The deadline.\nClaire Nolan 00:15\nRight.",
+        [("Claire Nolan", "We opened."), ("Unattributed", "The audit."), ("Unattributed", "The deadline."), ("Claire Nolan", "Right.")],
+    ),
+    "particles": ("Ludwig van Beek: yes\nO'Neill 0:05 no", [("Ludwig van Beek", "yes"), ("O'Neill", "no")]),
+}
+
+
+@pytest.mark.parametrize("case", SPEAKERS)
+def test_who_speaks_is_judged_by_the_whole_text(case):
+    text, want = SPEAKERS[case]
+    assert transcripts.parse(text) == want
+
+
+@given(st.lists(st.sampled_from(["Ann Lee", "Ann", "priya.raman", "Note", ":", " ", "\n", "0:12", "[00:01:02]", "Hello there.", "What", "Speaker 1", ": ", "x", "é", "\t"]), max_size=25).map("".join))
+def test_every_character_is_in_a_turn_or_a_region(text):
+    found = transcripts.pieces(text)
+    assert "".join(text[p.begin : p.end] for p in found) == text
+    assert all(p.begin <= p.words <= p.end for p in found) and [p.kind for p in found[1:]].count("region") == 0
+    # The plain version: each header found starts a turn, and nothing else does.
+    assert [p.begin for p in found if p.kind == "turn"] == [h.begin for h, _ in transcripts.headers(text)]
+    assert all(p.speaker == transcripts.NO_ONE or p.speaker.split(" ")[0].lower() not in transcripts.LABELS for p in found if p.kind == "turn")
+
+
+def test_regions_that_no_one_spoke(spark):
+    rows = [(1, "Opening words\nAnn Lee: hi"), (2, "no header at all"), (3, None), (4, "")]
+    got = transcripts.pieces_of(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert [(r["id"], r["kind"], r["begin"], r["end"]) for r in got] == [(1, "region", 0, 14), (1, "turn", 14, 25), (2, "region", 0, 16)]
+
+
 def test_handles_labels_and_long_turns():
     turns = transcripts.parse("Meeting of May\nAnn Lee: We start.\nNote: this is no speaker\npriya.raman: hello there\nSPEAKER_02: second\ntom: third\nAgenda: lunch")
     assert turns == [("Ann Lee", "We start. Note: this is no speaker"), ("Unattributed", "hello there"), ("Unattributed", "second"), ("Unattributed", "third Agenda: lunch")]
