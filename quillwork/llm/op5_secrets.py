@@ -8,7 +8,7 @@ ledger is a folder that every run appends to; the query itself takes the table i
 
 Spans are code points with the end exclusive, leftmost and without overlap per kind. Edge cases: a
 null text counts as empty and has no spans; equal texts share one scan; repeated rows each give a
-row; long texts are scanned whole; an empty table or ledger is fine; further columns are ignored. Letters
+row; long texts are scanned whole, and every rule takes time in proportion to the text; an empty table or ledger is fine; further columns are ignored. Letters
 are those of ASCII: the long s or the Kelvin sign is no letter of "secret" or "token".
 """
 
@@ -27,6 +27,8 @@ from quillwork.llm.common import documents, free, gone_at_exit, mapped, salted,
 BASE = ("assign", "access", "hex")
 LEDGER = "blob binary, kind string, version int, spans string"
 SALTS = 16
+#: Bytes of the names of unseen blobs up to which texts stay where they are.
+MOST_BROADCAST = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -47,18 +49,37 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", ("akia",), least=18),
     Rule("hex", 1, r"[0-9a-f]{16,}"),  # [0-9a-f]+ of 16 characters or more: runs are maximal either way
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", ("private key",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
+    Rule("jwt", 1, r"[A-Za-z0-9_.-]*", ("eyj",)),  # the runs that web_tokens looks into
     Rule("forge", 1, r"gh[opusr]_[A-Za-z0-9]{36,}", ("gh",)),
 )
 KIND_ORDER = {r.kind: i for i, r in enumerate(RULES)}
 
 
+def web_tokens(run: str) -> Iterator[tuple[int, int]]:
+    """Spans of three parts of letters, digits, _ and -, joined by dots, of 8 characters or more, the first one behind
+    ``eyJ``; leftmost, without overlap. Each part of the run is looked at once."""
+    parts = run.split(".")
+    begins = [0]
+    for p in parts:
+        begins.append(begins[-1] + len(p) + 1)
+    i = 0
+    while i + 2 < len(parts):
+        at = parts[i].find("eyJ")
+        if 0 <= at <= len(parts[i]) - 11 and len(parts[i + 1]) >= 8 and len(parts[i + 2]) >= 8:
+            yield begins[i] + at, begins[i + 2] + len(parts[i + 2])
+            i += 3
+        else:
+            i += 1
+
+
 def scanner(rule: Rule) -> Callable[[str, str], list[tuple[int, int]]]:
     pattern = re.compile(rule.pattern, rule.flags)
 
     def scan(text: str, lowered: str) -> list[tuple[int, int]]:
         if rule.hints and not any(h in lowered for h in rule.hints):
             return []
+        if rule.kind == "jwt":
+            return [(m.start() + a, m.start() + b) for m in pattern.finditer(text) if "eyJ" in m[0] for a, b in web_tokens(m[0])]
         return [m.span() for m in pattern.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
     return scan
@@ -101,11 +122,13 @@ def extend_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RU
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"))
     known = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     seen = read_ledger(spark, folder).select("blob", F.struct("kind", "version").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("pairs"))
+    # Names of unseen blobs alone are broadcast while they are few, so a run that adds little moves no text.
     lacking = F.transform(F.array_except(known, F.coalesce("pairs", F.array().cast("array<struct<kind:string,version:int>>"))), lambda p: p["kind"])
     todo = blobs.join(seen, "blob", "left").select(F.col("blob").alias("todo_blob"), "holder", lacking.alias("kinds")).filter(F.size("kinds") > 0)
+    todo = within(written(todo, "unseen"), MOST_BROADCAST)
     # A blob's text comes from one version that holds it; both keys, so a blob of many copies isn't one task.
     texts = versions.select("doc_id", "text", content_address().alias("blob"))
-    unseen = texts.join(todo.hint("shuffle_hash"), (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("holder")))
+    unseen = texts.join(todo, (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("holder")))
     # Repeated rows of a holder are scanned with it.
     scan_unseen(unseen, rules).dropDuplicates(["blob", "kind", "version"]).write.option("compression", "zstd").mode("append").parquet(folder)
     return paths

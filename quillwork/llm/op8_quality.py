@@ -4,14 +4,16 @@ One pass measures every whole text. For each (lang, source) and each ratio and s
 counts of logarithmic bins, so quantiles have a relative error of ``BIN - 1`` at most and two sketches
 merge by adding counts, in any order and with the same result each time.
 
-A group's limit of a ratio is its median plus the larger of ``FENCE`` spreads and its least step.
-The spread is twice the distance from the lower quartile to the median: junk raises a ratio and never
-lowers it, so a source of two fifths junk has the limit of its clean part and can't switch a rule
-off. The least step is what ``EVENTS`` symbols, repeated lines or repeated words are in a text of
-the group's median size; it stands for the spread where most texts have none of them. A group's limit
-is blended with its language's, which counts as ``PRIOR`` documents, and that one with the limit of
-all documents likewise, so there is no size at which a group's threshold is switched on. A text fails
-a rule beyond its group's limit, if it has as many as ``EVENTS`` of what the rule counts. Thresholds
+A group's limit of a ratio comes from its own sketch of that ratio, in one of two ways, whichever is more.
+Where texts usually have some of what it counts, it is the median plus ``FENCE`` spreads; the spread is
+twice the distance from the lower quartile to the median: junk raises a ratio and never lowers it, so a
+source of two fifths junk has the limit of its clean part and can't switch a rule off. Where most texts have
+none, median and spread are 0, and the upper part of the sketch tells what having some looks like: the limit
+is half of the tenth of the values above 0 (``LOW``, ``PART``). It is blended with the limit of its language,
+which counts as ``PRIOR`` values, and that one with the limit of all documents likewise, each weighted by the
+values that it rests on (all texts, or those above 0), so there is no size at which a group's threshold is
+switched on; that of all documents is blended with what ``EVENTS`` are in a text of the median size. A text
+fails a rule beyond its group's limit if it has as many as ``EVENTS``, the least that counts as evidence. Thresholds
 are joined back to the documents on (lang, source, salt): a hot source is spread over ``SALTS`` tasks.
 
 Edge cases: a null or empty text has no words, no lines and no ratios, and fails the base rule;
@@ -34,10 +36,12 @@ from quillwork.llm.textscan import LEAD, SPACE, Words, mix
 
 #: Ratio: what it counts, over which size, and the least count at which a text may fail.
 RATIOS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
-EVENTS = {"symbol_ratio": 8, "dup_line_ratio": 3, "repeat_ratio": 48, "word_length": 0}
+EVENTS = {"symbol_ratio": 8, "dup_line_ratio": 5, "repeat_ratio": 48, "word_length": 0}
 SIZES = ("word_chars", "n_lines", "n_words")
 BIN = 1.02
 FENCE = 8.0
+#: Of the values above 0, and the part of it that is the limit where most values are 0.
+LOW, PART = 0.1, 0.5
 PRIOR = 50
 SALTS = 16
 _SYMBOL = np.zeros(256, bool)
@@ -107,35 +111,47 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """n_docs, q25 and q50 of each group and measure of a sketch merged to ``keys``."""
+    """n_docs, n_above (values above 0), q25, q50 and low, the LOW quantile of the values above 0 (null without any),
+    of each group and measure of a sketch merged to ``keys``."""
     by = [*keys, "measure"]
     merged = sketch.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by)
     upto = group.orderBy(F.col("bin").asc_nulls_first())
-    ranked = merged.withColumns({"upto": F.sum("n").over(upto), "n_docs": F.sum("n").over(group), "value": F.coalesce(F.pow(F.lit(BIN), F.col("bin") - 0.5), F.lit(0.0))})
+    zeros = F.sum(F.when(F.col("bin").isNull(), F.col("n")).otherwise(0)).over(group)
+    ranked = merged.withColumns({"upto": F.sum("n").over(upto), "n_docs": F.sum("n").over(group), "zeros": zeros, "value": F.coalesce(F.pow(F.lit(BIN), F.col("bin") - 0.5), F.lit(0.0))})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("n_docs"), F.col("value"))).alias(f"q{int(q * 100)}")
-    return ranked.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), at(0.25), at(0.5))
+    low = F.min(F.when(F.col("bin").isNotNull() & (F.col("upto") - F.col("zeros") >= LOW * (F.col("n_docs") - F.col("zeros"))), F.col("value")))
+    return ranked.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), F.max(F.col("n_docs") - F.col("zeros")).alias("n_above"), at(0.25), at(0.5), low.alias("low"))
 
 
 def _levels(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """A row per group: its number of documents and each ratio's median, spread and least step."""
+    """A row per group: its number of documents and, for each ratio, its median, spread, low value, how many are
+    above 0, and what EVENTS are in a text of the median size."""
     found = quantiles(sketch, keys)
     of = lambda measure, q: F.max(F.when(F.col("measure") == measure, F.col(q)))
     columns = [F.max("n_docs").alias(f"{name}_n")]
     for r, (_, size) in RATIOS.items():
         columns += [of(r, "q50").alias(f"{name}_mid_{r}"), (2 * (of(r, "q50") - of(r, "q25"))).alias(f"{name}_spread_{r}")]
-        columns += [(F.lit(float(EVENTS[r])) / of(size, "q50")).alias(f"{name}_step_{r}")]
+        columns += [of(r, "low").alias(f"{name}_low_{r}"), of(r, "n_above").alias(f"{name}_above_{r}"), (F.lit(float(EVENTS[r])) / of(size, "q50")).alias(f"{name}_step_{r}")]
     return found.groupBy(*[F.col(k).alias(f"{name}_{k}") for k in keys]).agg(*columns)
 
 
-def _limit(r: str, name: str, spread: Column, wider: Column | None = None) -> Column:
+def _own(r: str, name: str, spread: Column) -> tuple[Column, Column]:
+    """(what a group's own sketch says, on how many values): null without any above 0."""
+    fence = F.col(f"{name}_mid_{r}") + FENCE * spread
+    low = PART * F.col(f"{name}_low_{r}")
+    return F.nullif(F.greatest(fence, low), F.lit(0.0)), F.when(fence >= F.coalesce(low, F.lit(0.0)), F.col(f"{name}_n")).otherwise(F.col(f"{name}_above_{r}"))
+
+
+def _limit(r: str, name: str, spread: Column, wider: Column) -> Column:
     """A group's limit, blended with the limit of the wider group that it's part of."""
-    own = F.col(f"{name}_mid_{r}") + F.greatest(FENCE * spread, F.col(f"{name}_step_{r}"))
-    return own if wider is None else (F.col(f"{name}_n") * own + PRIOR * wider) / (F.col(f"{name}_n") + PRIOR)
+    own, n = _own(r, name, spread)
+    return F.coalesce((n * own + PRIOR * wider) / (n + PRIOR), wider)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and a column of each ratio: the value beyond which a text of that group fails."""
+    """lang, source and two columns of each ratio: max_, the value beyond which a text of that group fails, and own_, what
+    the group's own sketch says, null where it has no value above 0."""
     groups, langs = _levels(sketch, ["lang", "source"], "s"), _levels(sketch, ["lang"], "l")
     out = groups.join(langs, F.col("s_lang").eqNullSafe(F.col("l_lang")))
     # Of all documents there is one row of numbers.
@@ -147,7 +163,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         spread_a = F.col(f"a_spread_{r}")
         spread_l = F.greatest(F.col(f"l_spread_{r}"), spread_a / 2)
         spread_s = F.greatest(F.col(f"s_spread_{r}"), spread_l / 2)
-        limits.append(_limit(r, "s", spread_s, _limit(r, "l", spread_l, _limit(r, "a", spread_a))).alias(f"max_{r}"))
+        limits.append(_limit(r, "s", spread_s, _limit(r, "l", spread_l, _limit(r, "a", spread_a, F.col(f"a_step_{r}")))).alias(f"max_{r}"))
+        limits.append(_own(r, "s", spread_s)[0].alias(f"own_{r}"))
     return out.select(F.col("s_lang").alias("lang"), F.col("s_source").alias("source"), *limits)
 
 
