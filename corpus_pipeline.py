@@ -14,6 +14,10 @@ from quillwork.llm import bpe, op2_minhash, op5_secrets, op6_exact, op7_langid,
 from quillwork.llm.common import documents, rows_kept, shared_dir, written
 
 
+#: Setting of the session: the folder of a ledger of scans that lasts.
+LEDGER = "quillwork.secrets.ledger"
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language: null, empty, without a letter, or far from every language learned."""
     return op7_langid.accepted(docs, op7_langid.train(docs, ~op7_langid.held_out()))
@@ -30,8 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every row, with secrets replaced by their kind."""
-    folder = f"{shared_dir(spark)}/ledger"
+    """Keeps every row, with secrets replaced by their kind. Where the session names a folder in LEDGER, the ledger
+    there is extended, and only what it lacks is scanned."""
+    folder = spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}/ledger"
     paths = op5_secrets.extend_ledger(docs, folder)
     return op5_secrets.redacted(docs, op5_secrets.report(op5_secrets.findings(paths, op5_secrets.read_ledger(spark, folder))))
 
