@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 def sentences(text: Column) -> Column:
     """Sentences ending in a mark before white space, or at a line's end; blanks go."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_turns(text: Column) -> Column:

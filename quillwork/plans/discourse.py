@@ -1,6 +1,6 @@
-"""Scores of sentences, and patterns over neighbouring turns.
+"""Scores of turns, and patterns over neighbouring turns, read from their text.
 
-As in ``wording``, each turn is given one sentence of ``SAID`` beside its own invented text.
+As in ``wording``, the sample texts hit few cues; tests run the queries over a table of sentences as well.
 """
 
 from __future__ import annotations
@@ -13,15 +13,6 @@ from quillwork.sources.tables import Tables
 
 queries = Book()
 
-SAID = (
-    "Could you send the budget by Friday?", "No, we cannot do that", "I'll send it tomorrow", "Agreed, sounds good", "Quick recap of the actions",
-    "Maria, you are on the report", "Jonas, you are calling the client", "Yes, I am doing the audit", "Yes, agreed", "Thanks everyone, see you",
-    "There is a problem with the release", "We will finish the report and close the issue", "Maybe, it is unclear to me", "What do you mean by that?",
-    "I prefer the first option", "Rather take the other approach", "Fine", "Right, anything else?", "The risk is the dependency on the client team", "Let's release the new option before Monday",
-    "Please call the board and ask for the budget", "We agreed on the approach", "Not sure", "Next topic: the audit of the budget and the team",
-)
-_LIST = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SAID) + "]"
-
 CUES = {
     "question": r"\?$", "asks": "^(?:can|could|would|please) ", "commits": r"\b(?:i'll|we will|i am doing)\b", "accepts": r"\b(?:agreed|agree|sounds good|fine)\b",
     "rejects": r"\b(?:no|cannot|won't)\b", "unsure": r"\b(?:maybe|not sure|unclear)\b", "proposes": r"\b(?:prefer|rather|option|approach|release)\b", "leads": "^(?:we will|let's|the team) ",
@@ -32,12 +23,11 @@ VERBS = r"\b(?:send|call|ask|finish|close|release|take)\b"
 
 
 def cued_turns(t: Tables) -> DataFrame:
-    """Turns with their sentence, its lower case, a 0 or 1 for each of ``CUES``, and its counts of words,
+    """Turns with their text, its lower case, a 0 or 1 for each of ``CUES``, and its counts of words,
     distinct words and verbs of action."""
-    at = ((F.col("conv_id") * 5 + F.col("turn")) % len(SAID)).cast("int")
     low = F.lower(F.col("said"))
     tokens = F.regexp_extract_all("low", F.lit("[a-z0-9']+"), F.lit(0))
-    rows = t.conversations.select("conv_id", "turn", "role", F.get(F.array(*map(F.lit, SAID)), at).alias("said")).withColumn("low", low)
+    rows = t.conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("said")).withColumn("low", low)
     rows = rows.withColumns({name: F.col("low").rlike(p).cast("int") for name, p in CUES.items()})
     return rows.withColumns({"n": F.size(tokens), "kinds": F.size(F.array_distinct(tokens)), "verbs": F.regexp_count("low", F.lit(VERBS))})
 
@@ -45,11 +35,11 @@ def cued_turns(t: Tables) -> DataFrame:
 _quote = lambda p: "'" + p.replace("'", "''") + "'"
 #: The same rows, as two tables of a WITH clause.
 TURNS = (
-    f"t0 AS (SELECT conv_id, turn, role, said, lower(said) AS low FROM (SELECT conv_id, turn, role, ({_LIST})[1 + (conv_id * 5 + turn) % {len(SAID)}] AS said FROM conversations)), "
+    "t0 AS (SELECT conv_id, turn, role, coalesce(text, '') AS said, lower(coalesce(text, '')) AS low FROM conversations), "
     f"turns AS (SELECT *, {', '.join(f'CAST(regexp_matches(low, {_quote(p)}) AS INT) AS {name}' for name, p in CUES.items())}, len(regexp_extract_all(low, '[a-z0-9'']+')) AS n, len(list_distinct(regexp_extract_all(low, '[a-z0-9'']+'))) AS kinds, len(regexp_extract_all(low, {_quote(VERBS)})) AS verbs FROM t0)"
 )
 
-#: Scores of a sentence, each an expression over the cues and the scores before it.
+#: The coefficients. Scores of a turn, each an expression over the cues and the scores before it.
 SCORES = (
     ("request", "0.4 * question + 0.45 * asks"), ("commitment", "0.45 * commits"), ("acceptance", "0.42 * accepts"), ("rejection", "0.62 * rejects"), ("uncertainty", "0.6 * unsure"),
     ("proposal", "0.4 * proposes + 0.2 * leads"), ("risk", "0.55 * risky"), ("deadline", "0.75 * dated"), ("owner", "CASE WHEN role = 'user' THEN 0.45 ELSE 0.0 END"),
@@ -188,7 +178,7 @@ w AS (SELECT *, len(string_split_regex(unit, '\s+')) AS n, coalesce(lag(unit) OV
 def identified_units(t: Tables) -> DataFrame:
     """Sentences with ids of turn, line and unit. Units of less than three words go, but for the answer to a question."""
     lines = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    units = F.filter(F.transform(F.split(F.regexp_replace(F.trim("line"), r"([.!?])\s+", "$1\u0001"), "\u0001"), F.trim), lambda x: x != "")
+    units = F.filter(F.transform(F.split(F.regexp_replace(F.trim("line"), r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
     u = lines.select("conv_id", "turn", "line_no", F.posexplode(units).alias("unit_no", "unit"))
     before = F.lag("unit").over(Window.partitionBy("conv_id").orderBy("turn", "line_no", "unit_no"))
     u = u.withColumns({"n": F.size(F.split("unit", r"\s+")), "before": F.coalesce(before, F.lit(""))})

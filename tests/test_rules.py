@@ -53,7 +53,7 @@ def test_weekdays_against_dates(spark):
 
 def test_usefulness_and_trend(spark):
     label, reason = wording.usefulness(F.col("s"))
-    cases = {"Yes.": ("remove", "backchannel"), "the report [inaudible] was late": ("remove", "transcription marker"), "too short here": ("remove", "very short"), "we think that there is a risk of delay here": ("retain", "risk, rationale or impact"), "all of the people here are glad about their work": ("uncertain", "needs a reader")}
+    cases = {"Yes.": ("remove", "reply"), "the report [inaudible] was late": ("remove", "mark"), "too short here": ("remove", "few words"), "we think that there is a risk of delay here": ("retain", "stakes"), "all of the people here are glad about their work": ("uncertain", "open")}
     assert said(spark, list(cases), label, reason) == list(cases.values())
     status = F.lit("complete")
     assert said(spark, ["we are slipping", "ahead of time", "all fine"], wording.trend(F.col("s"), status)) == [("deteriorating",), ("improving",), ("resolved",)]
