@@ -1,49 +1,115 @@
 """Calls out of the engine: services, scripts and posts, as operators of a partition.
 
 A call is a function of one text and the number of its attempt. Calls of a batch run a bounded number
-at a time and answer in the order of their rows; each has so many attempts and, as a process, a time
-limit after which it is killed. A row is never lost: its error stands in place of its answer. Answers
-are kept by text, up to a bound, so that a repeated text costs one call a worker.
+at a time and answer in the order of their rows. Each attempt has a time limit: an answer that comes later is
+dropped, the call is told to stop, and its place is given to the next one, so a call that hangs holds neither
+its row nor its task; a process is killed. A row is never lost: its error stands in place of its answer.
+Answers are kept by text, up to a bound, so that a repeated text costs one call a worker.
+
+``fanned_out`` asks several calls about each row at once and keeps what arrived: a row has every call's answer or
+error, in the order of the calls, and whether all answered.
 """
 
 from __future__ import annotations
 
 import json
+import queue
 import subprocess
 import sys
+import threading
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Answers that a worker remembers.
 REMEMBERED = 10_000
 
 
-def answered(rows: DataFrame, column: str, call: Callable[[str, int], str], in_flight: int = 8, attempts: int = 3) -> DataFrame:
-    """``rows`` with answer, error and attempts of a call on each text of ``column``."""
-    schema = StructType([*rows.schema.fields, StructField("answer", StringType()), StructField("error", StringType()), StructField("attempts", IntegerType())])
+class Stopped(threading.local):
+    """Within a call: ``stopped()`` tells whether its time is over, for calls that can end early."""
+
+    event: threading.Event | None = None
+
+    def __call__(self) -> bool:
+        return self.event is not None and self.event.is_set()
+
+
+stopped = Stopped()
+
+
+class Calls:
+    """Runs calls in threads of their own, ``in_flight`` at a time, each attempt within ``seconds``.
+
+    A thread can't be killed, so one whose time is over is left to itself and no longer counted. Should as many as
+    ``hanging`` be left at once, further calls get an error without being made until some have ended."""
+
+    def __init__(self, in_flight: int, attempts: int, seconds: float, hanging: int = 64):
+        self.attempts, self.seconds, self.hanging = attempts, seconds, hanging
+        self.pool = ThreadPoolExecutor(in_flight)
+        self.left, self.lock = 0, threading.Lock()
+
+    def __enter__(self) -> Calls:
+        return self
 
-    def one(text: str | None) -> tuple[str | None, str | None, int]:
+    def __exit__(self, *_: object) -> None:
+        self.pool.shutdown(wait=True)  # its threads only wait for calls, each no longer than its time
+
+    def submit(self, call: Callable[[str, int], str], text: str | None) -> Future:
+        return self.pool.submit(self._tried, call, text or "")
+
+    def _tried(self, call: Callable[[str, int], str], text: str) -> tuple[str | None, str | None, int]:
         said = None
-        for attempt in range(1, attempts + 1):
+        for attempt in range(1, self.attempts + 1):
+            answer, said = self._once(call, text, attempt)
+            if said is None:
+                return answer, None, attempt
+        return None, said, self.attempts
+
+    def _once(self, call: Callable[[str, int], str], text: str, attempt: int) -> tuple[str | None, str | None]:
+        with self.lock:
+            if self.left >= self.hanging:
+                return None, "Unavailable: too many calls hang"
+        got: queue.SimpleQueue = queue.SimpleQueue()
+        event = threading.Event()
+
+        def run() -> None:
+            stopped.event = event
             try:
-                return call(text or "", attempt), None, attempt
+                out = (call(text, attempt), None)
             except Exception as e:  # whatever a service raises is its answer to that attempt
-                said = f"{type(e).__name__}: {e}"
-        return None, said, attempts
+                out = (None, f"{type(e).__name__}: {e}")
+            with self.lock:
+                got.put(out)
+                self.left -= event.is_set()
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            return got.get(timeout=self.seconds)
+        except queue.Empty:
+            with self.lock:
+                if not got.empty():
+                    return got.get()
+                event.set()
+                self.left += 1
+            return None, f"Timeout: no answer in {self.seconds:g} s"
+
+
+def answered(rows: DataFrame, column: str, call: Callable[[str, int], str], in_flight: int = 8, attempts: int = 3, seconds: float = 60.0) -> DataFrame:
+    """``rows`` with answer, error and attempts of a call on each text of ``column``."""
+    schema = StructType([*rows.schema.fields, StructField("answer", StringType()), StructField("error", StringType()), StructField("attempts", IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: OrderedDict[str | None, tuple] = OrderedDict()
-        with ThreadPoolExecutor(in_flight) as pool:
+        with Calls(in_flight, attempts, seconds) as calls:
             for b in batches:
                 texts = [None if pd.isna(x) else x for x in b[column]]
-                new = [x for x in dict.fromkeys(texts) if x not in known]
-                known.update(zip(new, pool.map(one, new), strict=True))  # map answers in order
+                new = {x: calls.submit(call, x) for x in dict.fromkeys(texts) if x not in known}
+                known.update((x, f.result()) for x, f in new.items())
                 answers = list(zip(*map(known.__getitem__, texts), strict=True)) or [[], [], []]
                 yield b.assign(answer=answers[0], error=answers[1], attempts=answers[2])
                 while len(known) > REMEMBERED:
@@ -52,6 +118,22 @@ def answered(rows: DataFrame, column: str, call: Callable[[str, int], str], in_f
     return rows.mapInPandas(run, schema)
 
 
+def fanned_out(rows: DataFrame, column: str, asked: dict[str, Callable[[str, int], str]], in_flight: int = 8, attempts: int = 1, seconds: float = 60.0) -> DataFrame:
+    """``rows`` with ``answers``, an array of (call, answer, error, attempts) in the order of ``asked``, and ``complete``: all
+    calls on a row's text are made at once, none waits for another, and what fails or is late leaves the others as they are."""
+    one = StructType([StructField("call", StringType()), StructField("answer", StringType()), StructField("error", StringType()), StructField("attempts", IntegerType())])
+    schema = StructType([*rows.schema.fields, StructField("answers", ArrayType(one)), StructField("complete", BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Calls(in_flight, attempts, seconds) as calls:
+            for b in batches:
+                sent = [{name: calls.submit(call, None if pd.isna(x) else x) for name, call in asked.items()} for x in b[column]]
+                got = [[{"call": name, **dict(zip(("answer", "error", "attempts"), f.result(), strict=True))} for name, f in row.items()] for row in sent]
+                yield b.assign(answers=got, complete=[all(x["error"] is None for x in row) for row in got])
+
+    return rows.mapInPandas(run, schema)
+
+
 def first_error(answers: DataFrame, order: str) -> DataFrame:
     """The error of the least ``order``, whatever finished first: one row, or none."""
     failed = answers.filter("error is not null")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import words
+from quillwork.operators import latest
+from quillwork.operators.components import connected, gone_at_exit, shared_folder, written
 from quillwork.operators.latest import ranked
 from quillwork.operators.matching import pairs_sharing
+from quillwork.operators.versions import Transaction, Versioned
 from quillwork.plans.book import Book
-from quillwork.plans.discourse import TURNS, cued_turns
+from quillwork.plans.discourse import CUES, TURNS, cued_turns
 from quillwork.plans.merging import groups_of, like_turns, LIKE_TURNS, TOKENS
 from quillwork.sources.tables import Tables
 
@@ -74,6 +77,51 @@ def decision_topics(t: Tables) -> DataFrame:
     return whole.select("user_id", "topic", "winner", (F.col("all") - F.col("equal")).alias("by_stronger"), (F.col("equal") - 1).alias("by_later"), (F.col("kinds") > 1).alias("contested"))
 
 
+#: Words that two decisions must share to be of one topic, of those that at most 4 % of all turns have.
+ANCHORS = 2
+
+
+@queries("M17", rf"""WITH RECURSIVE d AS (SELECT conv_id, turn, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS t, list_distinct(regexp_extract_all(text, '[0-9]+')) AS figures FROM conversations),
+n AS (SELECT conv_id, turn, regexp_matches(low, '{_NEG}') AS neg, CAST(regexp_matches(low, '{CUES['accepts']}') AS INT) AS firm, figures FROM d),
+w AS (SELECT conv_id, turn, unnest(t) AS tok FROM d), df AS (SELECT tok, count(*) AS df FROM w GROUP BY 1), a AS (SELECT w.* FROM w JOIN df USING (tok) WHERE df BETWEEN 2 AND (SELECT greatest(3, ceil(0.04 * count(*))) FROM conversations)),
+p AS (SELECT x.conv_id, x.turn AS a, y.turn AS b FROM a x JOIN a y ON x.conv_id = y.conv_id AND x.tok = y.tok AND x.turn < y.turn GROUP BY 1, 2, 3 HAVING count(*) >= {ANCHORS}),
+e AS (SELECT p.*, x.neg <> y.neg OR (len(x.figures) > 0 AND len(y.figures) > 0 AND len(list_intersect(x.figures, y.figures)) = 0) AS conflict FROM p JOIN n x ON x.conv_id = p.conv_id AND x.turn = a JOIN n y ON y.conv_id = p.conv_id AND y.turn = b),
+l AS (SELECT conv_id, a, b, conflict FROM e UNION ALL SELECT conv_id, b, a, conflict FROM e), r AS (SELECT DISTINCT conv_id, a AS turn, a AS root FROM l UNION SELECT l.conv_id, l.b, r.root FROM r JOIN l ON l.conv_id = r.conv_id AND l.a = r.turn),
+c AS (SELECT conv_id, turn, min(root) AS topic FROM r GROUP BY 1, 2), s AS (SELECT c.*, n.firm, (SELECT count(*) FROM l WHERE l.conv_id = c.conv_id AND l.a = c.turn AND NOT conflict) AS support FROM c JOIN n USING (conv_id, turn)),
+k AS (SELECT *, first_value(turn) OVER v AS winner, first_value(firm) OVER v AS best_firm, first_value(support) OVER v AS best_support FROM s WINDOW v AS (PARTITION BY conv_id, topic ORDER BY firm DESC, support DESC, turn DESC))
+SELECT k.conv_id, k.turn, k.topic, k.winner, CASE WHEN k.turn = winner THEN 'stands' WHEN l.conflict AND k.turn < winner THEN 'superseded' WHEN l.conflict THEN 'overruled' WHEN firm < best_firm THEN 'not agreed' WHEN support < best_support THEN 'less support' ELSE 'earlier' END AS reason
+FROM k LEFT JOIN l ON l.conv_id = k.conv_id AND l.a = k.turn AND l.b = k.winner""")
+def decision_graph(t: Tables) -> DataFrame:
+    """Turns of one topic, by rare words that they share, as a graph of support and conflict: a pair conflicts where one
+    denies or names other figures. Of each connected topic the turn stands that is agreed to, has most support and is the
+    latest, in this order; each other one has the reason for which it gives way."""
+    low = F.lower("text")
+    d = t.conversations.select(
+        "conv_id", "turn", low.rlike(_NEG).alias("neg"), low.rlike(CUES["accepts"]).cast("int").alias("firm"), F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("figures"),
+        F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{4,}"), F.lit(0))).alias("t"),
+    )
+    w = d.select("conv_id", "turn", F.explode("t").alias("tok"))
+    most = d.agg(F.greatest(F.lit(3), F.ceil(0.04 * F.count(F.lit(1)))).alias("most"))  # one row
+    few = w.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(most), F.col("df").between(2, F.col("most"))).select("tok")
+    anchors = w.join(few, "tok").groupBy("conv_id", "turn").agg(F.collect_list("tok").alias("anchors"))
+    pairs = pairs_sharing(anchors, ["conv_id"], "turn", "anchors").filter(F.col("shared") >= ANCHORS).select("conv_id", "a", "b")
+    side = lambda s: d.select("conv_id", F.col("turn").alias(s), F.col("neg").alias(f"neg_{s}"), F.col("figures").alias(f"figures_{s}"))
+    other_figures = (F.size("figures_a") > 0) & (F.size("figures_b") > 0) & ~F.arrays_overlap("figures_a", "figures_b")
+    e = pairs.join(side("a"), ["conv_id", "a"]).join(side("b"), ["conv_id", "b"]).select("conv_id", "a", "b", ((F.col("neg_a") != F.col("neg_b")) | other_figures).alias("conflict"))
+    links = written(e.union(e.select("conv_id", F.col("b").alias("a"), F.col("a").alias("b"), "conflict")))
+    found = connected(links.filter("a < b").select(F.struct("conv_id", F.col("a").alias("turn")).alias("a"), F.struct("conv_id", F.col("b").alias("turn")).alias("b")))
+    c = found.select("node.conv_id", "node.turn", F.col("root.turn").alias("topic"))
+    support = links.groupBy("conv_id", F.col("a").alias("turn")).agg(F.count(F.when(~F.col("conflict"), True)).alias("support"))
+    s = written(c.join(d.select("conv_id", "turn", "firm"), ["conv_id", "turn"]).join(support, ["conv_id", "turn"]))
+    best = s.groupBy("conv_id", "topic").agg(F.max(F.struct("firm", "support", "turn")).alias("best"))
+    k = s.join(best, ["conv_id", "topic"]).withColumn("winner", F.col("best.turn"))
+    with_winner = links.select("conv_id", F.col("a").alias("turn"), F.col("b").alias("winner"), "conflict")
+    k = k.join(with_winner, ["conv_id", "turn", "winner"], "left")
+    reason = F.when(F.col("turn") == F.col("winner"), "stands").when(F.col("conflict") & (F.col("turn") < F.col("winner")), "superseded").when(F.col("conflict"), "overruled")
+    reason = reason.when(F.col("firm") < F.col("best.firm"), "not agreed").when(F.col("support") < F.col("best.support"), "less support").otherwise("earlier")
+    return k.select("conv_id", "turn", "topic", "winner", reason.alias("reason"))
+
+
 _ROWS = "r AS (SELECT o_orderkey, o_orderkey % 14900 AS id, CASE WHEN o_orderkey % 30 = 0 THEN '' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 50 = 0 THEN -1 ELSE o_custkey END AS cust, CASE WHEN o_orderkey % 40 = 0 THEN '1998-02-30' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day FROM orders)"
 
 
@@ -269,6 +317,33 @@ def claimed_jobs(t: Tables) -> DataFrame:
     return out.select("event_id", F.when(F.col("claimed"), "running").otherwise(F.col("state")).alias("state"), (F.col("attempts") + F.when(F.col("claimed"), 1).otherwise(0)).alias("attempts"))
 
 
+@queries("B6 B8 R1", """WITH q AS (SELECT event_id, user_id, ts, CASE WHEN event_type IN ('click', 'view') THEN 'queued' ELSE 'done' END AS state FROM events), n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM q WHERE state = 'queued')
+SELECT q.event_id, CASE WHEN rn <= 2 THEN 'running' ELSE state END AS state, CASE rn WHEN 1 THEN 'first' WHEN 2 THEN 'second' END AS worker FROM q LEFT JOIN n USING (event_id)""")
+def claims_of_two_workers(t: Tables) -> DataFrame:
+    """Two workers that claim each user's next job on the same version of the queue: one is first, the other
+    finds its keys touched and claims anew on the newer version, so every job has one worker."""
+    q = t.events.select("event_id", "user_id", "ts", F.when(F.col("event_type").isin("click", "view"), "queued").otherwise("done").alias("state"), F.lit(None).cast("string").alias("worker"))
+    tables = Versioned(t.spark, shared_folder(t.spark), {"queue": "event_id"})
+    tables.change(lambda tx: tx.write("queue", q))
+
+    def claim(name: str, tx: Transaction) -> None:
+        free = tx.read("queue").filter("state = 'queued'")
+        next_ = latest.first_per(free, ["user_id"], ["ts", "event_id"], ["event_id", "ts"])
+        tx.write("queue", next_.select("event_id", "user_id", "ts", F.lit("running").alias("state"), F.lit(name).alias("worker")))
+
+    ahead = tables.begin()
+    claim("first", ahead)
+
+    def second(tx: Transaction) -> None:
+        claim("second", tx)
+        if tx.base == ahead.base:  # the other worker commits while this one has made its claims
+            ahead.commit()
+
+    tables.change(second)
+    gone_at_exit(t.spark, tables.folder)
+    return tables.read("queue").select("event_id", "state", "worker")
+
+
 @queries("B11", """SELECT 'milestones' AS tbl, count(*) FILTER (WHERE l_linenumber <> 1) AS changed, count(*) AS rows FROM lineitem UNION ALL SELECT 'reports', count(*) FILTER (WHERE o_orderstatus <> 'F'), count(*) FROM orders UNION ALL SELECT 'snapshots', count(*), count(*) FROM events UNION ALL SELECT 'knowledge', count(*) FILTER (WHERE source <> 'src0'), count(*) FROM documents""")
 def reset_to_baseline(t: Tables) -> DataFrame:
     """A reset of several tables: unofficial lines go inactive, reports are archived, snapshots are deleted, knowledge of other sources goes inactive; how many rows of each change."""

@@ -9,6 +9,7 @@ from quillwork.functions.text import words
 from quillwork.operators import folding
 from quillwork.operators.components import connected
 from quillwork.operators.matching import pairs_sharing
+from quillwork.operators.summaries import merged_clusters
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
 
@@ -103,3 +104,10 @@ def superseding_decisions(t: Tables) -> DataFrame:
     strong = (F.col("value") > 50).cast("int")
     confidence = F.greatest(F.lit(0.25), F.round(0.95 - 0.07 * (F.countDistinct("event_type") - 1), 2))
     return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct(strong.alias("strong"), "event_id")).alias("winner"), confidence.alias("confidence"))
+
+
+@queries("M4")
+def mergeable_clusters(t: Tables) -> DataFrame:
+    """Clusters of each label's vectors from summaries of ranges of ids, merged in a tree; a label is many tasks'."""
+    v = t.embeddings.select(F.col("label").cast("string").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return merged_clusters(v, 0.5).select(F.col("grp").cast("int").alias("label"), F.col("id").alias("vec_id"), "cluster")

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.encoders import hashed
 from quillwork.operators import external, publishing, transcripts
 from quillwork.operators.components import shared_folder
 from quillwork.plans.book import Book
-from quillwork.plans.discourse import TURNS, cued_turns
+from quillwork.plans.discourse import CUES, TURNS, cued_turns
 from quillwork.sources import files
 from quillwork.sources.tables import Tables
+from quillwork.streaming import drafts
 
 queries = Book()
 
@@ -123,38 +127,57 @@ def script_results(t: Tables) -> DataFrame:
     return done.filter("error is null").select("conv_id", "turn", F.col("answer").cast("int").alias("parts"))
 
 
-def _extract(text: str, attempt: int) -> str:
-    """Stands in for a model: the first attempt fails for some texts, all attempts for some others."""
-    n = len(text)
-    if n % 5 == 0 or (n % 3 == 0 and attempt == 1):
-        raise ValueError(f"no answer for {n}")
-    return f'{{"size": {n}, "asks": {"true" if "?" in text else "false"}}}'
+#: Characters that the reader takes; a longer text is refused, as a service refuses one beyond its context.
+MOST_CHARS = 400
 
 
-_ATTEMPTS = "CASE WHEN length(text) % 5 = 0 THEN 3 WHEN length(text) % 3 = 0 THEN 2 ELSE 1 END"
+def _extract(text: str, attempt: int) -> str:
+    """A reader of texts in place of a model: how many words, and whether it asks."""
+    if len(text) > MOST_CHARS:
+        raise ValueError(f"{len(text)} characters")
+    return json.dumps({"words": len(re.findall("[a-z0-9]+", text.lower())), "asks": "?" in text})
 
 
-@queries("U2 U3 L1", f"""SELECT conv_id, turn, CASE WHEN length(text) % 5 <> 0 THEN length(text) END AS size, CASE WHEN length(text) % 5 <> 0 THEN contains(text, '?') END AS asks, {_ATTEMPTS} AS attempts, CASE WHEN length(text) % 5 = 0 THEN 'fallback' ELSE 'model' END AS how FROM conversations""")
+@queries("U2 U3 L1", f"""SELECT conv_id, turn, CASE WHEN f THEN len(regexp_extract_all(lower(text), '[a-z0-9]+')) END AS words, CASE WHEN f THEN contains(text, '?') END AS asks, CASE WHEN f THEN 1 ELSE 3 END AS attempts,
+  CASE WHEN f THEN 'model' ELSE 'fallback' END AS how FROM (SELECT *, length(text) <= {MOST_CHARS} AS f FROM conversations)""")
 def extracted_records(t: Tables) -> DataFrame:
     """Typed records from calls on texts: three attempts, eight in flight, and a row without an answer where all fail."""
     done = external.answered(t.conversations.select("conv_id", "turn", "text"), "text", _extract)
-    record = F.from_json("answer", "size int, asks boolean")
-    return done.select("conv_id", "turn", record["size"].alias("size"), record["asks"].alias("asks"), "attempts", F.when(F.col("error").isNull(), "model").otherwise("fallback").alias("how"))
+    record = F.from_json("answer", "words int, asks boolean")
+    return done.select("conv_id", "turn", record["words"].alias("words"), record["asks"].alias("asks"), "attempts", F.when(F.col("error").isNull(), "model").otherwise("fallback").alias("how"))
 
 
-@queries("U5", "SELECT min(conv_id * 1000 + turn) AS at, 'ValueError: no answer for ' || arg_min(length(text), conv_id * 1000 + turn) AS error FROM conversations WHERE length(text) % 5 = 0")
+@queries("U5", f"SELECT min(conv_id * 1000 + turn) AS at, 'ValueError: ' || arg_min(length(text), conv_id * 1000 + turn) || ' characters' AS error FROM conversations WHERE length(text) > {MOST_CHARS}")
 def first_failed_call(t: Tables) -> DataFrame:
     """Calls run side by side, and the error told is that of the first row, not of the first to fail."""
     rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "text")
     return external.first_error(external.answered(rows, "text", _extract), "at")
 
 
-@queries("U4", f"""WITH {TURNS} SELECT conv_id, turn, 'actions' AS specialist, said FROM turns WHERE commits = 1 UNION ALL SELECT conv_id, turn, 'decisions', said FROM turns WHERE accepts = 1 UNION ALL SELECT conv_id, turn, 'risks', said FROM turns WHERE risky = 1""")
+#: Readers of one turn each: name and the cue of what it looks for.
+SPECIALISTS = {"actions": "commits", "decisions": "accepts", "risks": "risky"}
+
+
+def _specialist(cue: str) -> Callable[[str, int], str]:
+    pattern = CUES[cue]
+
+    def read(text: str, attempt: int) -> str:
+        if len(text) > MOST_CHARS:
+            raise ValueError(f"{len(text)} characters")
+        return json.dumps(re.search(pattern, text.lower()) is not None)
+
+    return read
+
+
+@queries("U4", f"""WITH {TURNS} SELECT conv_id, turn, specialist, CASE WHEN length(said) > {MOST_CHARS} THEN 'failed' WHEN hit = 1 THEN 'found' ELSE 'nothing' END AS outcome, length(said) <= {MOST_CHARS} AS complete
+  FROM turns, LATERAL (VALUES {', '.join(f"('{name}', {cue})" for name, cue in SPECIALISTS.items())}) AS v(specialist, hit)""")
 def specialists(t: Tables) -> DataFrame:
-    """Three readers of the same turns, independent of each other, as one table."""
-    turns = cued_turns(t)
-    part = lambda name, cue: turns.filter(F.col(cue) == 1).select("conv_id", "turn", F.lit(name).alias("specialist"), "said")
-    return part("actions", "commits").unionByName(part("decisions", "accepts")).unionByName(part("risks", "risky"))
+    """Three readers asked about each turn at once, none waiting for another; what one finds stays if another fails."""
+    turns = t.conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("said"))
+    asked = external.fanned_out(turns, "said", {name: _specialist(cue) for name, cue in SPECIALISTS.items()}, in_flight=12)
+    one = asked.select("conv_id", "turn", "complete", F.explode("answers").alias("a"))
+    outcome = F.when(F.col("a.error").isNotNull(), "failed").when(F.col("a.answer") == "true", "found").otherwise("nothing")
+    return one.select("conv_id", "turn", F.col("a.call").alias("specialist"), outcome.alias("outcome"), "complete")
 
 
 @queries("B14", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 422 ELSE 200 END AS status FROM orders")
@@ -176,19 +199,19 @@ def published_tables(t: Tables) -> DataFrame:
     return read("customers").join(read("counts"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@queries("R3", "SELECT doc_id, CASE WHEN n % 7 = 0 THEN 3 WHEN n % 4 = 0 THEN 2 ELSE 1 END AS attempts, CASE WHEN n % 7 = 0 THEN 'failed' ELSE 'done' END AS state FROM (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)")
+@queries("R3", r"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 'done' ELSE 'failed' END AS state, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1 ELSE 3 END AS attempts, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 16 END AS size FROM documents")
 def embedding_jobs(t: Tables) -> DataFrame:
-    """Jobs of an embedding worker: batches of twenty, three attempts each, then done or failed."""
+    """Jobs of an embedding worker: each text's vector, or failed after three attempts, as one without a word is."""
 
-    def embed(size: str, attempt: int) -> str:
-        n = int(size)
-        if n % 7 == 0 or (n % 4 == 0 and attempt == 1):
-            raise TimeoutError(size)
-        return size
+    def embed(text: str, attempt: int) -> str:
+        (v,) = hashed([text], 16)
+        if not text.split():
+            raise ValueError("no word")
+        return json.dumps(v)
 
-    sizes = t.documents.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("string").alias("size"))
-    done = external.answered(sizes, "size", embed, in_flight=20)
-    return done.select("doc_id", "attempts", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("state"))
+    done = external.answered(t.documents.select("doc_id", "text"), "text", embed, in_flight=20)
+    vector = F.from_json("answer", "array<double>")
+    return done.select("doc_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("state"), "attempts", F.when(F.col("error").isNull(), F.size(vector)).alias("size"))
 
 
 @queries("R8", """WITH e AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM e), f AS (SELECT user_id, CAST(sid AS BIGINT) AS sid, substr(sha256(string_agg(event_type, ',' ORDER BY ts, event_id)), 1, 16) AS print FROM s GROUP BY 1, 2)
@@ -205,6 +228,18 @@ def session_fingerprints(t: Tables) -> DataFrame:
     return f.select("user_id", "sid", "print", F.coalesce(F.col("print") != before, F.lit(True)).alias("stale"))
 
 
+@queries("R8 R10", f"""WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'write' WHEN 'view' THEN 'ahead' ELSE 'ask' END AS kind, value FROM events WHERE event_type IN ('purchase', 'view', 'click')),
+v AS (SELECT *, count(*) FILTER (WHERE kind = 'write') OVER w AS version, last_value(CASE WHEN kind = 'write' THEN value END IGNORE NULLS) OVER w AS held FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT *, last_value(CASE WHEN kind = 'ahead' THEN version END IGNORE NULLS) OVER w AS spec_version, last_value(CASE WHEN kind = 'ahead' THEN ts END IGNORE NULLS) OVER w AS spec_ts FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, version, round(held, 4) AS held, CASE WHEN kind <> 'ask' THEN kind WHEN spec_version IS NULL THEN 'fresh' WHEN spec_version <> version THEN 'stale' WHEN ts > spec_ts + INTERVAL {drafts.TTL_S} SECOND THEN 'expired' ELSE 'used' END AS outcome FROM a""")
+def drafts_replayed(t: Tables) -> DataFrame:
+    """Each draft's writes applied one by one, and whether an answer that was computed ahead may be used: not if a
+    write came since (stale) nor after its time (expired). The stream in ``streaming/drafts.py`` gives the same rows."""
+    kind = F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "view", "ahead").otherwise("ask")
+    e = t.events.filter("event_type in ('purchase', 'view', 'click')").select(F.col("user_id").alias("draft"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), "value")
+    return drafts.replayed(e).select(F.col("draft").alias("user_id"), F.col("seq").alias("event_id"), "version", F.round("held", 4).alias("held"), "outcome")
+
+
 @queries("R10", "SELECT user_id, event_type, count(*) AS writes, arg_max(event_id, (ts, event_id)) AS last_write, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")
 def serial_writes(t: Tables) -> DataFrame:
     """Writes of a key applied one after another: how many there were, and what the last one left."""
