@@ -192,9 +192,18 @@ def read_shards(spark: SparkSession, folder: str, layout: Layout) -> DataFrame:
     return mapped(files.select(shard, "content"), run, "slot long, n_tokens long, seq_crc32 long")
 
 
+def shards_from(first: int) -> str:
+    """A pattern of the names of shards of this number and greater ones: the number is written with five digits at
+    least. One alternative for each digit that is greater, so a few dozen, however many shards there are."""
+    digits = f"{first:05d}"
+    same_length = [digits, *(f"{digits[:i]}[{int(d) + 1}-9]{'[0-9]' * (len(digits) - i - 1)}" for i, d in enumerate(digits) if d != "9")]
+    longer = ["[1-9]" + "[0-9]" * n for n in range(len(digits), 12)]
+    return "part-{" + ",".join(same_length + longer) + "}-*"
+
+
 def read_from(spark: SparkSession, folder: str, layout: Layout, first_slot: int = 0) -> DataFrame:
     """slot and ids of the records from ``first_slot`` on, each shard in sequence. Shards before it
-    aren't opened, records before it in its shard aren't decoded."""
+    aren't opened; its own shard is read whole, and records before it there aren't decoded."""
     schema = pa.schema([("slot", pa.int64()), ("ids", pa.list_(pa.int32()))])
     first_shard, first_record = divmod(first_slot, layout.shard_records)
 
@@ -208,13 +217,9 @@ def read_from(spark: SparkSession, folder: str, layout: Layout, first_slot: int
                     ids = [layout.ids(bytes(data[k * layout.stride : (k + 1) * layout.stride])).astype(np.int32) for k in slots]
                     yield pa.RecordBatch.from_arrays([pa.array([shard * layout.shard_records + k for k in slots], pa.int64()), pa.array(ids, schema.field("ids").type)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int")
-    paths = [r["path"] for r in files.filter("length > 0").filter(shard >= first_shard).select("path").collect()]  # one a shard
-    if not paths:
-        return spark.createDataFrame([], "slot long, ids array<int>")
-    wanted = spark.read.format("binaryFile").load(paths).select(shard.alias("shard"), "content")
-    return mapped(wanted, run, "slot long, ids array<int>")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", shards_from(first_shard)).load(folder).filter("length > 0")
+    shard = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int").alias("shard")
+    return mapped(files.select(shard, "content"), run, "slot long, ids array<int>")
 
 
 def materialise(docs: DataFrame, vocab_path: str, layout: Layout | None = None, end_id: int = 1, folder: str | None = None) -> DataFrame:

@@ -264,3 +264,14 @@ def test_empty_tables(empty):
     assert op4_counts.token_counts(empty, BYTE, 5).collect() == []
     assert op10_packing.pack_documents(empty, WORD).collect() == []
     assert op1_shards.materialise(empty, WORD).collect() == []
+
+
+@pytest.mark.parametrize("first", [0, 9, 10, 123, 99_999, 100_000, 123_456, 909_090])
+def test_patterns_of_shards_take_all_from_a_number_on(first):
+    import fnmatch
+
+    alternatives = op1_shards.shards_from(first).removeprefix("part-{").removesuffix("}-*").split(",")
+    near = {n for base in (0, first, 10 * first, 99_990, 999_990) for n in range(max(0, base - 120), base + 120)}
+    for n in near:
+        assert any(fnmatch.fnmatchcase(f"{n:05d}", a) for a in alternatives) == (n >= first), n
+    assert len(alternatives) < 20
