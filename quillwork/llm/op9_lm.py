@@ -8,7 +8,8 @@ probability is the product over its words and its end.
 Texts are read once, in blocks: a block is the list of its distinct words and each text as places
 in that list. Words of all blocks are grouped to the corpus's word counts, each distinct word is
 scored once, and count and score go back to the blocks by joins on the word and on the block. A
-frequent word has one row a block, so no key is hot, and no text is shuffled.
+frequent word has one row a block; if its blocks are more than LARGE, they meet its score in SALTS tasks,
+and no text is shuffled.
 
 Tokens are the words and one end per text. Edge cases: a null or empty text is its end alone; with
 no training text all counts are 0 and the vocabulary's own scores are used; rows of null doc_id are
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import bpe
-from quillwork.llm.common import documents, mapped, ship, slices, written
+from quillwork.llm.common import documents, mapped, ship, slices, within, written
 from quillwork.llm.lattice import Lattice, pieces, prior
 
 BLOCK_BYTES = 8 << 20
@@ -38,6 +39,8 @@ END = b""
 SMOOTHING = 0.1
 #: Distinct words of a task: the work is the lattice's, which the bytes of a word don't show.
 TASK_WORDS = 1 << 16
+#: Blocks of a word beyond which its rows are dealt to so many tasks.
+LARGE, SALTS = 1024, 16
 
 
 def blocks(docs: DataFrame, training: Column) -> DataFrame:
@@ -142,11 +145,17 @@ def score_texts(docs: DataFrame, training: Column, vocab_path: str) -> DataFrame
     """A row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     found = written(blocks(docs, training), "blocks")
     in_block = found.filter("idx is not null").select("block", "idx", "word", "n")
-    words = written(in_block.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = written(in_block.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")), "words")
     total, kinds, every = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, True)), F.count(F.lit(1))).first()
-    dealt = words.repartition(max(1, -(-every // TASK_WORDS)), "word")
-    scored = score_words(dealt, vocab_path, piece_weights(dealt, vocab_path))
-    back = in_block.drop("n").join(scored, "word").select("block", "idx", "n", "logp")
+    even = words.repartition(max(1, -(-every // TASK_WORDS)), "word")
+    scored = score_words(even, vocab_path, piece_weights(even, vocab_path))
+    # A word of many blocks goes to several tasks, by block; such words are few: one for LARGE rows at most.
+    large = within(written(words.filter(F.col("blocks") > LARGE).select(F.col("word").alias("large_word"), F.lit(True).alias("is_large")), "large"), 8 << 20)
+    parts = F.explode(F.sequence(F.lit(0), F.when(F.col("is_large"), SALTS - 1).otherwise(0)))
+    told = scored.join(large, F.col("word") == F.col("large_word"), "left").select("word", "n", "logp", parts.alias("part"))
+    part = F.when(F.col("is_large"), F.pmod(F.xxhash64("block"), F.lit(SALTS))).otherwise(0).cast("int").alias("part")
+    dealt = in_block.join(large, F.col("word") == F.col("large_word"), "left").select("word", "block", "idx", part)
+    back = dealt.join(told, ["word", "part"]).select("block", "idx", "n", "logp")
     texts = found.filter("payload is not null").select(F.col("block").alias("of"), "payload")
     schema = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     floor = total + 0.5 * (kinds + 1)

@@ -491,3 +491,11 @@ def test_words_of_any_texts(texts):
     for w, h in zip(got, words.hashes.tolist(), strict=True):
         assert by_word.setdefault(w, h) == h
     assert len(set(by_word.values())) == len(by_word)
+
+
+def test_words_of_many_blocks_are_dealt_to_several_tasks(spark, docs, monkeypatch):
+    """Every word of more than one block counts as frequent here; the scores are the same."""
+    score = lambda: Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in op9_lm.score_texts(docs, ~op9_lm.held_out(), bpe.vocabulary("piece_bpe_32k.model")).collect())
+    want = score()
+    monkeypatch.setattr(op9_lm, "LARGE", 1)
+    assert docs.rdd.getNumPartitions() > 1 and score() == want
