@@ -11,7 +11,6 @@ The result isn't that of a fold over all rows in order: centres don't drift with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

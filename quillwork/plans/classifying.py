@@ -27,13 +27,6 @@ def sentence_bucket(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", bucket.otherwise("discussion").alias("bucket"))
 
 
-@queries("N2", r"""SELECT conv_id, turn, CASE WHEN n < 3 THEN 'remove' WHEN n >= 12 THEN 'retain' ELSE 'uncertain' END AS label, CASE WHEN n < 3 THEN 'too short' WHEN n >= 12 THEN 'substance' ELSE 'between' END AS reason FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS n FROM conversations)""")
-def bootstrap_labels(t: Tables) -> DataFrame:
-    n = F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9']+"), F.lit(0)))
-    pick = lambda a, b, c: F.when(n < 3, a).when(n >= 12, b).otherwise(c)
-    return t.conversations.select("conv_id", "turn", pick("remove", "retain", "uncertain").alias("label"), pick("too short", "substance", "between").alias("reason"))
-
-
 @queries("N3 N4")
 def usefulness_model(t: Tables) -> DataFrame:
     """Quality labels learned from words by weighted logistic regression; groups (sources) are split by

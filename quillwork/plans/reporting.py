@@ -132,15 +132,6 @@ def claim_compatibility(t: Tables) -> DataFrame:
     return here.filter("n0 is not null").select("conv_id", "turn", same.alias("compatible"))
 
 
-@queries("P5", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra")
-def semantic_lock(t: Tables) -> DataFrame:
-    """A stored snapshot and its rebuilt rows differ in nothing."""
-    expected = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last"))
-    rebuilt = latest_per(t.orders, ["o_custkey"], ["o_orderkey"], ["o_orderkey"]).join(t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), "o_custkey").select("o_custkey", "n", F.col("o_orderkey").alias("last"))
-    missing = expected.exceptAll(rebuilt).agg(F.count(F.lit(1)).alias("missing")).withColumn("one", F.lit(1))
-    return missing.join(rebuilt.exceptAll(expected).agg(F.count(F.lit(1)).alias("extra")).withColumn("one", F.lit(1)), "one").drop("one")
-
-
 @queries("P6", """SELECT e.event_id FROM events e WHERE value >= 40 AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase')""")
 def missed_events(t: Tables) -> DataFrame:
     captured = t.events.filter("event_type = 'purchase'").select("user_id")
@@ -161,4 +152,3 @@ def candidate_ledger(t: Tables) -> DataFrame:
     rows = part(t.conversations.filter("role = 'user'"), "turn", "text", 1).union(part(t.benchmark, "item", "text", 2)).union(part(t.part, "line", "p_name", 3))
     key = F.substring(F.sha2(F.concat("kind", F.lit(":"), F.lower("text")), 256), 1, 16).alias("id")
     return rows.groupBy("kind", key, "priority").agg(F.count(F.lit(1)).alias("n"))
-

@@ -78,21 +78,6 @@ def day_ranges(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", start.alias("range_start"), end.alias("range_end"))
 
 
-@queries("I15", r"""SELECT event_id, CASE WHEN contains(w, 'every') OR contains(w, 'weekly') THEN 'recurrence' WHEN contains(w, 'between') THEN 'range' WHEN contains(w, 'by ') THEN 'bound' WHEN contains(w, 'next') OR contains(w, 'this') THEN 'period' WHEN regexp_matches(w, '\d{4}-\d{2}-\d{2}') THEN 'specific' ELSE 'none' END AS kind
-FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'every Friday' WHEN 1 THEN 'between May and June' WHEN 2 THEN 'by Monday' WHEN 3 THEN 'next quarter' WHEN 4 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE '' END AS w FROM events)""")
-def timing_kinds(t: Tables) -> DataFrame:
-    n = F.col("event_id") % 6
-    said = F.when(n == 0, "every Friday").when(n == 1, "between May and June").when(n == 2, "by Monday").when(n == 3, "next quarter").when(n == 4, F.to_date("ts").cast("string")).otherwise("")
-    return t.events.select("event_id", dates.timing_kind(said).alias("kind"))
-
-
-@queries("I16", """SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN d WHEN 1 THEN d + 1 WHEN 2 THEN d + 14 ELSE NULL END AS DATE) AS due FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
-def relative_dates(t: Tables) -> DataFrame:
-    n = F.col("o_orderkey") % 4
-    said = F.when(n == 0, "today").when(n == 1, "tomorrow").when(n == 2, "in 2 weeks").otherwise("some day")
-    return t.orders.select("o_orderkey", dates.resolve(said, F.to_date("o_orderdate")).alias("due"))
-
-
 @queries("I17 V22", r"""SELECT event_id, CASE WHEN event_id % 31 = 0 OR event_id % 31 > 29 THEN NULL ELSE make_date(2024, 2, CAST(event_id % 31 AS INT)) END AS d FROM events""")
 def valid_dates(t: Tables) -> DataFrame:
     said = F.format_string("2024-02-%02d", F.col("event_id") % 31)
@@ -112,14 +97,6 @@ def quarters(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", dates.quarter_label(d).alias("quarter_label"), dates.quarter_start(d).alias("starts"), dates.quarter_end(d).alias("ends"))
 
 
-@queries("I20", r"""SELECT event_id, coalesce(nullif(regexp_extract(w, 'by (\d{4}-\d{2}-\d{2})', 1), ''), nullif(regexp_extract(w, 'due (\w+)', 1), ''), 'Not stated') AS deadline
-FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'send it by ' || CAST(CAST(ts AS DATE) AS VARCHAR) WHEN 1 THEN 'report due Friday' ELSE 'no time' END AS w FROM events)""")
-def deadlines(t: Tables) -> DataFrame:
-    n = F.col("event_id") % 3
-    said = F.when(n == 0, F.concat(F.lit("send it by "), F.to_date("ts").cast("string"))).when(n == 1, "report due Friday").otherwise("no time")
-    return t.events.select("event_id", dates.deadline(said).alias("deadline"))
-
-
 @queries("I21", "SELECT l_orderkey, l_linenumber, greatest(0.0, least(1.0, coalesce(CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount * 12 END, 0.5))) AS confidence FROM lineitem")
 def clamped(t: Tables) -> DataFrame:
     raw = F.coalesce(F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 12), F.lit(0.5))

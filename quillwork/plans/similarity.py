@@ -40,15 +40,6 @@ def stemmed_overlap(t: Tables) -> DataFrame:
     return _next_turn(t).select("conv_id", "turn", F.round(overlap(stems("a"), stems("b")), 4).alias("score"))
 
 
-@queries("K6", r"""SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.n, b.n) AS distance FROM (SELECT p_partkey, p_brand, p_type, regexp_replace(p_name, '[^\x00-\x7F]', '', 'g') AS n FROM part) a JOIN (SELECT p_partkey, p_brand, p_type, regexp_replace(p_name, '[^\x00-\x7F]', '', 'g') AS n FROM part) b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE levenshtein(a.n, b.n) <= 4""")
-def close_names(t: Tables) -> DataFrame:
-    # Blocked by brand and type: only parts that share both are compared.
-    p = t.part.select("p_brand", "p_type", F.col("p_partkey").alias("a"), ascii_only(F.col("p_name")).alias("name_a"))
-    q = p.withColumnsRenamed({"a": "b", "name_a": "name_b"})
-    near = p.join(q, ["p_brand", "p_type"]).filter("a < b").withColumn("distance", F.levenshtein("name_a", "name_b", 4))
-    return near.filter("distance >= 0").select("a", "b", "distance")
-
-
 @queries("K6", r"""WITH n AS (SELECT regexp_replace(p_name, '[^\x00-\x7F]', '', 'g') AS name, count(*) AS parts FROM part GROUP BY 1) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance, a.parts * b.parts AS pairs FROM n a JOIN n b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= 2""")
 def close_distinct_names(t: Tables) -> DataFrame:
     """All pairs of distinct names within two edits: both have a variant with up to two letters left out in

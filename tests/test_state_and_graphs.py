@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillwork.operators import vector_index
+from quillwork.operators.retrieval import best_rows
 from quillwork.operators.summaries import merged_clusters
 from quillwork.streaming import drafts
 
@@ -100,3 +102,29 @@ def test_clusters_of_ranges_agree_with_those_of_all_rows(spark, small, ranges):
     ids = sorted(a)
     same = sum((a[i] == a[j]) == (b[i] == b[j]) for k, i in enumerate(ids) for j in ids[:k])
     assert set(a) == set(b) and same >= 0.9 * len(ids) * (len(ids) - 1) / 2
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_growing_index_finds_nine_of_ten_and_scores_a_tenth(spark, sf):
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    asked = v.filter("vec_id % 20 = 0")
+    index = vector_index.build(v)
+    found, scored = vector_index.search(index, asked, v, 10)
+    true = {(r["q"], r["vec_id"]) for r in best_rows(asked, v, 10).collect()}
+    got = {(r["q"], r["vec_id"]) for r in found.collect()}
+    rows, queries = v.count(), asked.count()
+    assert len(true & got) >= 0.9 * len(true)
+    assert scored.count() <= 0.1 * rows * queries
+    # Every row is in one list, and cells grow with the square root of rows.
+    ids = [i for r in index.lists.collect() for i in np.frombuffer(r["ids"], np.int64).tolist()]
+    assert sorted(ids) == sorted(r["vec_id"] for r in v.select("vec_id").collect())
+    assert 0.5 * rows**0.5 <= index.fine.count() <= 2 * rows**0.5
+
+
+def test_an_index_of_odd_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (None, [1.0, 1.0]), (5, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, _ = vector_index.search(vector_index.build(v), v.filter("vec_id = 1"), v, 2, looked=1.0)
+    assert [tuple(r) for r in found.orderBy("vec_id").collect()] == [(1, 1, 1.0), (1, 2, 1.0)]
+    none = v.filter("vec_id > 99")
+    assert vector_index.search(vector_index.build(none), none, none, 2)[0].count() == 0
