@@ -46,9 +46,10 @@ def approved_version_join(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber").join(version, "l_orderkey")
 
 
-@queries("D8", """SELECT p_partkey, lower(p_name) AS name_key FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R')""")
+@queries("D8", """SELECT p_partkey, lower(p_name) AS name_key FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R' AND l.l_quantity >= 40)""")
 def unreturned_parts(t: Tables) -> DataFrame:
-    returned = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that never came back in a lot of forty or more."""
+    returned = t.lineitem.filter("l_returnflag = 'R' and l_quantity >= 40").select(F.col("l_partkey").alias("p_partkey"))
     return t.part.join(returned, "p_partkey", "left_anti").select("p_partkey", F.lower("p_name").alias("name_key"))
 
 
@@ -81,10 +82,10 @@ def change_report(t: Tables) -> DataFrame:
     return _diff(kind("ts < timestamp_ntz '2024-01-10 00:00:00'"), kind("ts >= timestamp_ntz '2024-01-20 00:00:00'"), ["user_id"], "v")
 
 
-@queries("D14", """WITH p AS (SELECT p_brand || p_type AS k, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1), s AS (SELECT p_brand || p_type AS k, p_partkey FROM part WHERE p_size > 10)
+@queries("D14", """WITH p AS (SELECT p_brand || p_type || p_size AS k, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY 1), s AS (SELECT p_brand || p_type || p_size AS k, p_partkey FROM part WHERE p_size > 10)
 SELECT s.p_partkey, p.id AS matched FROM s JOIN p ON s.k = p.k AND p.n = 1""")
 def unambiguous_matches(t: Tables) -> DataFrame:
-    k = F.concat("p_brand", "p_type").alias("k")
+    k = F.concat("p_brand", "p_type", "p_size").alias("k")
     # A key that several rows carry matches nothing.
     unique = t.part.groupBy(k).agg(F.min("p_partkey").alias("matched"), F.count(F.lit(1)).alias("n")).filter("n = 1")
     return t.part.filter("p_size > 10").select(k, "p_partkey").join(unique, "k").select("p_partkey", "matched")

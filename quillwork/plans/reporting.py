@@ -132,10 +132,12 @@ def claim_compatibility(t: Tables) -> DataFrame:
     return here.filter("n0 is not null").select("conv_id", "turn", same.alias("compatible"))
 
 
-@queries("P6", """SELECT e.event_id FROM events e WHERE value >= 40 AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase')""")
+@queries("P6", """SELECT e.event_id FROM events e WHERE value >= 40 AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND CAST(p.ts AS DATE) = CAST(e.ts AS DATE))""")
 def missed_events(t: Tables) -> DataFrame:
-    captured = t.events.filter("event_type = 'purchase'").select("user_id")
-    return t.events.filter("value >= 40").join(captured, "user_id", "left_anti").select("event_id")
+    """Events of value that no purchase of their user's day accounts for."""
+    day = F.to_date("ts").alias("day")
+    captured = t.events.filter("event_type = 'purchase'").select("user_id", day).distinct()
+    return t.events.filter("value >= 40").select("event_id", "user_id", day).join(captured, ["user_id", "day"], "left_anti").select("event_id")
 
 
 @queries("P8", r"""WITH s AS (SELECT DISTINCT trim(regexp_replace(lower(l), '[^a-z0-9]+', ' ', 'g')) AS k FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)) SELECT item_id, EXISTS (SELECT 1 FROM s WHERE s.k = trim(regexp_replace(lower(b.text), '[^a-z0-9]+', ' ', 'g')) AND s.k <> '') AS verbatim FROM benchmark b""")
