@@ -18,6 +18,10 @@ from quillwork.sources.tables import Tables
 
 queries = Book()
 
+#: What the insights search for, and how many places they show of each kind and role.
+SEARCHED, FOUND = ("budget", "audit", "ment", "keit"), 3
+SEARCHED_SQL = f"regexp_matches(low, '{'|'.join(SEARCHED)}')"
+
 _NEG, _ASK = r"\b(?:no|not|never|cannot|nicht|pas)\b", r"\?"
 _OWNER = "CASE turn % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Ben' END"
 
@@ -277,14 +281,22 @@ def carried_rows(t: Tables) -> DataFrame:
     return known.unionByName(new.select(F.lit(None).cast("long").alias("k"), "taken", F.lit("new").alias("how")))
 
 
-@queries("O12", f"""WITH {TURNS}, e AS (SELECT conv_id, turn, role, said, CASE WHEN risky = 1 THEN 'risk' WHEN commits = 1 THEN 'action' WHEN accepts = 1 THEN 'decision' ELSE 'note' END AS kind, risky = 1 AND dated = 0 AS attention, contains(low, 'budget') AS hit FROM turns) SELECT kind, role, count(*) AS entries, count(DISTINCT conv_id) AS meetings, count(*) FILTER (WHERE attention) AS attention, count(*) FILTER (WHERE hit) AS hits, string_agg(DISTINCT CASE WHEN hit THEN said END, '|' ORDER BY CASE WHEN hit THEN said END) AS found FROM e GROUP BY kind, role""")
+@queries("O12", f"""WITH {TURNS}, e AS (SELECT conv_id, turn, role, CASE WHEN risky = 1 THEN 'risk' WHEN commits = 1 THEN 'action' WHEN accepts = 1 THEN 'decision' ELSE 'note' END AS kind, risky = 1 AND dated = 0 AS attention, {SEARCHED_SQL} AS hit FROM turns),
+f AS (SELECT kind, role, string_agg(conv_id || '.' || turn, '|' ORDER BY place) AS found FROM (SELECT *, row_number() OVER (PARTITION BY kind, role ORDER BY conv_id, turn) AS place FROM e WHERE hit) WHERE place <= {FOUND} GROUP BY 1, 2),
+n AS (SELECT kind, role, count(*) AS entries, count(DISTINCT conv_id) AS meetings, count(*) FILTER (WHERE attention) AS attention, count(*) FILTER (WHERE hit) AS hits FROM e GROUP BY 1, 2)
+SELECT n.*, f.found FROM n LEFT JOIN f ON f.kind = n.kind AND f.role = n.role""")
 def insight_facets(t: Tables) -> DataFrame:
-    """Entries of all conversations by kind and role, those that need attention, and what a search for a word finds."""
+    """Entries of all conversations by kind and role, those that need attention, and how many a search for words finds,
+    with the first of them."""
     kind = F.when(F.col("risky") == 1, "risk").when(F.col("commits") == 1, "action").when(F.col("accepts") == 1, "decision").otherwise("note")
-    hit = F.contains("low", F.lit("budget"))
-    n = lambda c, name: F.count(F.when(c, True)).alias(name)
-    found = F.nullif(F.array_join(F.sort_array(F.collect_set(F.when(hit, F.col("said")))), "|"), F.lit(""))
-    return cued_turns(t).groupBy(kind.alias("kind"), "role").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("conv_id").alias("meetings"), n((F.col("risky") == 1) & (F.col("dated") == 0), "attention"), n(hit, "hits"), found.alias("found"))
+    hit = F.col("low").rlike("|".join(SEARCHED))
+    e = cued_turns(t).select("conv_id", "turn", "role", kind.alias("kind"), ((F.col("risky") == 1) & (F.col("dated") == 0)).alias("attention"), hit.alias("hit"))
+    n = lambda c: F.count(F.when(F.col(c), True))
+    counts = e.groupBy("kind", "role").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("conv_id").alias("meetings"), n("attention").alias("attention"), n("hit").alias("hits"))
+    first = ranked(e.filter("hit"), ["kind", "role"], [F.col("conv_id"), F.col("turn")]).filter(F.col("place") <= FOUND)
+    said = F.struct("place", F.concat_ws(".", "conv_id", "turn").alias("at"))
+    found = first.groupBy("kind", "role").agg(F.array_join(F.transform(F.sort_array(F.collect_list(said)), lambda x: x["at"]), "|").alias("found"))
+    return counts.join(found, ["kind", "role"], "left")
 
 
 @queries("U7", f"""WITH {TURNS}, c AS (SELECT *, s.sample, CAST(floor((turn + s.sample) / 3) AS BIGINT) AS chunk FROM turns, (VALUES (0), (1), (2)) s(sample)), x AS (SELECT conv_id, sample, chunk, said, min(turn) AS turn, max(commits) AS committed FROM c WHERE (verbs > 0 OR commits = 1) AND (chunk + sample) % 4 <> 3 GROUP BY 1, 2, 3, 4), m AS (SELECT conv_id, said, count(DISTINCT sample) AS support, min(turn) AS first_turn, max(committed) AS committed FROM x GROUP BY 1, 2)
