@@ -47,7 +47,7 @@ from quillwork.shipping import ship
 
 WINDOW = 400
 #: Bytes of texts that are looked at together, bytes fingerprinted at once, and entries of a bucket.
-BLOCK, STRIP, BUCKET = 16 << 20, 1 << 18, 1 << 20
+BLOCK, STRIP, BUCKET = 16 << 20, 1 << 18, 1 << 18
 #: Bytes of keys and places that may be broadcast.
 SMALL = 32 << 20
 _BASE = 0x9E3779B97F4A7C15
