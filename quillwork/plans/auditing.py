@@ -356,15 +356,38 @@ def claims_of_two_workers(t: Tables) -> DataFrame:
     return tables.read("queue").select("event_id", "state", "worker")
 
 
-@queries("B11", """SELECT 'milestones' AS tbl, count(*) FILTER (WHERE l_linenumber <> 1) AS changed, count(*) AS rows FROM lineitem UNION ALL SELECT 'reports', count(*) FILTER (WHERE o_orderstatus <> 'F'), count(*) FROM orders UNION ALL SELECT 'snapshots', count(*), count(*) FROM events UNION ALL SELECT 'knowledge', count(*) FILTER (WHERE source <> 'src0'), count(*) FROM documents""")
+@queries("B11", """SELECT 'milestones' AS tbl, count(*) FILTER (WHERE l_linenumber <> 1) AS changed, count(*) AS rows FROM lineitem UNION ALL SELECT 'reports', count(*) FILTER (WHERE o_orderstatus <> 'F'), count(*) FROM orders
+UNION ALL SELECT 'snapshots', count(*), 0 FROM events UNION ALL SELECT 'knowledge', count(*) FILTER (WHERE source <> 'src0'), count(*) FROM documents""")
 def reset_to_baseline(t: Tables) -> DataFrame:
-    """A reset of several tables: unofficial lines go inactive, reports are archived, snapshots are deleted, knowledge of other sources goes inactive; how many rows of each change."""
-    lines = t.lineitem.select((F.col("l_linenumber") == 1).alias("stays"))
-    reports = t.orders.select((F.col("o_orderstatus") == "F").alias("stays"))
-    snapshots = t.events.select(F.lit(False).alias("stays"))
-    knowledge = t.documents.select((F.col("source") == "src0").alias("stays"))
-    done = [df.agg(F.count(F.when(~F.col("stays"), True)).alias("changed"), F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("tbl"), "changed", "rows") for name, df in (("milestones", lines), ("reports", reports), ("snapshots", snapshots), ("knowledge", knowledge))]
-    return done[0].union(done[1]).union(done[2]).union(done[3])
+    """A reset of several tables, all or none: unofficial lines go inactive, reports are archived, snapshots are deleted,
+    knowledge of other sources goes inactive. How many rows of each differ from the version before, and how many there are."""
+    active, inactive = F.lit("active").alias("state"), F.lit("inactive").alias("state")
+    before = {
+        "milestones": (t.lineitem.select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("id"), (F.col("l_linenumber") != 1).alias("changes")), inactive),
+        "reports": (t.orders.select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_orderstatus") != "F").alias("changes")), F.lit("archived").alias("state")),
+        "snapshots": (t.events.select(F.col("event_id").cast("string").alias("id"), F.lit(True).alias("changes")), inactive),
+        "knowledge": (t.documents.select(F.col("doc_id").cast("string").alias("id"), (F.col("source") != "src0").alias("changes")), inactive),
+    }
+    tables = Versioned(t.spark, shared_folder(t.spark), dict.fromkeys(before, "id"))
+
+    def filled(tx: Transaction) -> None:
+        for name, (rows, _) in before.items():
+            tx.write(name, rows.select("id", active))
+
+    def reset(tx: Transaction) -> None:
+        for name, (rows, state) in before.items():
+            tx.write(name, rows.filter("changes").select("id", state, F.lit(name == "snapshots").alias("gone")))
+
+    first, second = tables.change(filled), tables.change(reset)
+    gone_at_exit(t.spark, tables.folder)
+
+    def told(name: str) -> DataFrame:
+        old, new = tables.read(name, first).withColumnRenamed("state", "old"), tables.read(name, second).withColumnRenamed("state", "new")
+        both = old.join(new, "id", "left")
+        return both.agg(F.lit(name).alias("tbl"), F.count(F.when(~F.col("old").eqNullSafe(F.col("new")), True)).alias("changed"), F.count("new").alias("rows"))
+
+    parts = [told(name) for name in before]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 def british(text: Column) -> Column:

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.encoders import hashed
 from quillwork.operators import external, publishing, transcripts
-from quillwork.operators.components import shared_folder
+from quillwork.functions.text import words
+from quillwork.operators.candidates import best_sharing
+from quillwork.operators.components import gone_at_exit, shared_folder, written
+from quillwork.operators.vector_cache import cached_vectors
 from quillwork.plans.book import Book
 from quillwork.plans.discourse import CUES, TURNS, cued_turns
 from quillwork.sources import files
@@ -214,6 +217,37 @@ def embedding_jobs(t: Tables) -> DataFrame:
     return done.select("doc_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("state"), "attempts", F.when(F.col("error").isNull(), F.size(vector)).alias("size"))
 
 
+@queries("L1")
+def cached_embeddings(t: Tables) -> DataFrame:
+    """Vectors of all documents by a folder of vectors, in two runs: the second encodes only texts that the first hadn't."""
+    folder = f"{shared_folder(t.spark)}/vectors"
+    docs = t.documents.select("doc_id", "text")
+    first = cached_vectors(docs.filter("doc_id % 2 = 0"), "text", folder, 384)
+    second = cached_vectors(docs.filter("doc_id % 2 <> 0 or doc_id is null"), "text", folder, 384)
+    gone_at_exit(t.spark, folder)
+    return first.unionByName(second).select("doc_id", F.hex("content").alias("content"), "encoder", "vector")
+
+
+@queries("U6", """WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS t FROM benchmark), x AS (SELECT item_id, unnest(list_sort(t)[1:12]) AS w FROM q), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}'))) AS w FROM documents),
+s AS (SELECT item_id, doc_id, count(*) AS score FROM x JOIN d USING (w) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS place FROM s),
+l AS (SELECT r.item_id, r.place, r.doc_id, i - 1 AS line, ls[i] AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) k JOIN r ON r.doc_id = k.doc_id AND r.place <= 3, LATERAL (SELECT unnest(generate_series(1, len(ls))) AS i)),
+o AS (SELECT l.*, len(list_intersect(list_distinct(regexp_extract_all(lower(said), '[a-z0-9]{4,}')), q.t)) AS shared FROM l JOIN q USING (item_id)), b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, place, line) AS rn FROM o WHERE shared > 0)
+SELECT q.item_id, b.doc_id, CAST(b.line AS INT) AS line, CAST(b.shared AS INT) AS shared, sha256(trim(b.said)) AS answer_sha256 FROM q LEFT JOIN b ON b.item_id = q.item_id AND b.rn = 1""")
+def answers_with_sources(t: Tables) -> DataFrame:
+    """What is retrieved is read: of the three documents with most of an item's words, the line that holds most of them is its
+    answer, with its source."""
+    tokens = lambda c: F.array_distinct(words(F.col(c), 4))
+    asked = written(t.benchmark.select(F.col("item_id").alias("item"), tokens("text").alias("all_words")))
+    docs = t.documents.select(F.col("doc_id").alias("row"), tokens("text").alias("words"))
+    three, _ = best_sharing(asked.select("item", F.slice(F.sort_array("all_words"), 1, 12).alias("words")), docs, 3, F.desc("row"))
+    # Three documents an item: their names go to where the texts are, if they are few.
+    lines = t.documents.join(three, F.col("doc_id") == F.col("row")).select("item", "place", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    shared = F.size(F.array_intersect(tokens("said"), "all_words")).alias("shared")
+    o = lines.join(asked, "item").select("item", "place", "doc_id", "line", "said", shared).filter("shared > 0")
+    best = o.groupBy("item").agg(F.min(F.struct((-F.col("shared")).alias("low"), "place", "line", "doc_id", F.sha2(F.trim("said"), 256).alias("answer"))).alias("b"))
+    return asked.join(best, "item", "left").select(F.col("item").alias("item_id"), "b.doc_id", "b.line", (-F.col("b.low")).alias("shared"), F.col("b.answer").alias("answer_sha256"))
+
+
 @queries("R8", """WITH e AS (SELECT user_id, ts, event_id, event_type, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM e), f AS (SELECT user_id, CAST(sid AS BIGINT) AS sid, substr(sha256(string_agg(event_type, ',' ORDER BY ts, event_id)), 1, 16) AS print FROM s GROUP BY 1, 2)
 SELECT user_id, sid, print, coalesce(print <> lag(print) OVER (PARTITION BY user_id ORDER BY sid), true) AS stale FROM f""")
 def session_fingerprints(t: Tables) -> DataFrame:

@@ -132,3 +132,30 @@ def test_no_further_calls_while_too_many_hang():
         hang.set()
         time.sleep(0.3)
         assert calls.submit(lambda text, attempt: "y", "t").result() == ("y", None, 1)
+
+
+def test_vectors_are_encoded_once_for_each_text_and_model(spark, tmp_path):
+    from quillwork.operators.vector_cache import cached_vectors
+
+    folder, log = f"file://{tmp_path}/vectors", tmp_path / "calls"
+    log.mkdir()
+
+    def encoder(texts):
+        import os
+        import uuid
+
+        for x in texts:
+            with open(os.path.join(str(log), uuid.uuid4().hex), "w") as f:
+                f.write(x)
+        return None if "bad" in texts else [[float(len(x)), 0.0] for x in texts]
+
+    calls = lambda: sorted(p.read_text() for p in log.iterdir())
+    rows = lambda *texts: spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, s string").repartition(2, "s")
+    got = {r["i"]: (r["vector"], r["encoder"]) for r in cached_vectors(rows("a", "bb", "a", None), "s", folder, 2, encoder, "m").collect()}
+    assert got == {0: ([1.0, 0.0], "m"), 1: ([2.0, 0.0], "m"), 2: ([1.0, 0.0], "m"), 3: ([0.0, 0.0], "m")} and calls() == ["", "a", "bb"]
+    got = {r["i"]: r["vector"] for r in cached_vectors(rows("a", "ccc"), "s", folder, 2, encoder, "m").collect()}
+    assert got == {0: [1.0, 0.0], 1: [3.0, 0.0]} and calls() == ["", "a", "bb", "ccc"]
+    cached_vectors(rows("a"), "s", folder, 2, encoder, "other").collect()
+    assert calls().count("a") == 2  # another model has vectors of its own
+    bad = cached_vectors(rows("bad"), "s", folder, 2, encoder, "m", attempts=1).collect()
+    assert bad[0]["encoder"] == "hashed" and spark.read.parquet(folder).count() == 5  # asked again by the next run
