@@ -27,8 +27,8 @@ from quillwork.llm.common import documents, free, gone_at_exit, mapped, salted,
 BASE = ("assign", "access", "hex")
 LEDGER = "blob binary, kind string, version int, spans string"
 SALTS = 16
-#: Bytes of the names of unseen blobs up to which texts stay where they are.
-MOST_BROADCAST = 8 << 20
+#: Texts stay where they are if one in FEW rows at most is of an unseen blob, and their names are of so many bytes at most.
+FEW, MOST_BROADCAST = 8, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -122,10 +122,12 @@ def extend_ledger(versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RU
     blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("holder"))
     known = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     seen = read_ledger(spark, folder).select("blob", F.struct("kind", "version").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("pairs"))
-    # Names of unseen blobs alone are broadcast while they are few, so a run that adds little moves no text.
+    # A run that adds little moves no text: the names of the few unseen blobs go to where the texts are.
     lacking = F.transform(F.array_except(known, F.coalesce("pairs", F.array().cast("array<struct<kind:string,version:int>>"))), lambda p: p["kind"])
     todo = blobs.join(seen, "blob", "left").select(F.col("blob").alias("todo_blob"), "holder", lacking.alias("kinds")).filter(F.size("kinds") > 0)
-    todo = within(written(todo, "unseen"), MOST_BROADCAST)
+    todo = written(todo, "unseen")
+    adds_little = todo.count() * FEW <= paths.count()
+    todo = within(todo, MOST_BROADCAST) if adds_little else todo.hint("shuffle_hash")
     # A blob's text comes from one version that holds it; both keys, so a blob of many copies isn't one task.
     texts = versions.select("doc_id", "text", content_address().alias("blob"))
     unseen = texts.join(todo, (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("holder")))
