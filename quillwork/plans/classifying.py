@@ -8,23 +8,47 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.wording import ACKNOWLEDGING
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
 
 queries = Book()
 
-#: Buckets by cue, first that fits: our own cues, over the words of the test texts.
-BUCKETS = {"question": r"\?", "table": r"\|", "shout": r"[A-Z]{3,}", "figure": r"\d", "process": r"\b(to|zu|de)\b", "risk": r"\b(not|nicht|ne)\b", "evidence": r"\b(is|ist|es|est)\b", "action": r"\b(and|und|et|y)\b"}
-
-
-@queries("N1", r"""SELECT conv_id, turn, CASE WHEN contains(s, '?') THEN 'question' WHEN contains(s, '|') THEN 'table' WHEN regexp_matches(s, '[A-Z]{3,}') THEN 'shout' WHEN regexp_matches(s, '[0-9]') THEN 'figure' WHEN regexp_matches(s, '\b(to|zu|de)\b') THEN 'process' WHEN regexp_matches(s, '\b(not|nicht|ne)\b') THEN 'risk' WHEN regexp_matches(s, '\b(is|ist|es|est)\b') THEN 'evidence' WHEN regexp_matches(s, '\b(and|und|et|y)\b') THEN 'action' ELSE 'discussion' END AS bucket
-FROM (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') AS s FROM conversations)""")
+#: Words that tell a sentence's bucket. The buckets and the order in which they are tried.
+ASKING = "who what when where why how which can could would should do does did is are".split()
+BUCKETS = {
+    "responsibility": "assigned lead leads own owner owns responsible".split(),
+    "decision": "agreed agree approved confirmed decided decision".split(),
+    "process": "first process step steps then workflow".split(),
+    "risk": "blocked delay dependency issue problem risk slipped".split(),
+    "evidence": "because data figures measured report shows".split(),
+    "action": "call close finish i'll please release send take will".split(),
+}
+
+
+def _bucket(text: Column) -> Column:
+    """noise without a word of weight, a question by its mark or first word, then the first bucket one of whose words is
+    there; figures count as evidence; else discussion."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    w = F.regexp_extract_all(low, F.lit("[a-z0-9']+"), F.lit(0))
+    among = lambda own: F.arrays_overlap(w, F.array(*map(F.lit, own)))
+    found = F.when((F.size(w) == 0) | ((F.size(w) <= 2) & F.forall(w, lambda x: x.isin(sorted(ACKNOWLEDGING)))), "noise")
+    found = found.when(F.endswith(F.trim(low), F.lit("?")) | F.get(w, 0).isin(ASKING), "question")
+    for name, own in BUCKETS.items():
+        found = found.when(among(own) | low.rlike("[0-9]") if name == "evidence" else among(own), name)
+    return found.otherwise("discussion")
+
+
+def _listed(own: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in own) + "]"
+
+
+@queries("N1", rf"""SELECT conv_id, turn, CASE WHEN len(w) = 0 OR (len(w) <= 2 AND len(list_filter(w, lambda x: NOT list_contains({_listed(sorted(ACKNOWLEDGING))}, x))) = 0) THEN 'noise'
+  WHEN ends_with(trim(low), '?') OR list_contains({_listed(ASKING)}, w[1]) THEN 'question' {' '.join(f"WHEN list_has_any(w, {_listed(own)}){' OR regexp_matches(low, ' + repr('[0-9]') + ')' if name == 'evidence' else ''} THEN '{name}'" for name, own in BUCKETS.items())} ELSE 'discussion' END AS bucket
+FROM (SELECT *, regexp_extract_all(low, '[a-z0-9'']+') AS w FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS low FROM conversations))""")
 def sentence_bucket(t: Tables) -> DataFrame:
-    s = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
-    bucket = F.when(F.lit(False), "")
-    for name, pattern in BUCKETS.items():
-        bucket = bucket.when(s.rlike(pattern), name)
-    return t.conversations.select("conv_id", "turn", bucket.otherwise("discussion").alias("bucket"))
+    """One of nine buckets for each turn."""
+    return t.conversations.select("conv_id", "turn", _bucket(F.col("text")).alias("bucket"))
 
 
 @queries("N3 N4")

@@ -195,11 +195,10 @@ def chunked_two_ways(t: Tables) -> DataFrame:
     return both.groupBy("conv_id", "how", "chunk").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sha2(text, 256).alias("said"))
 
 
-@queries("J15", r"""WITH x AS (SELECT conv_id, turn, unnest(['', upper(role) || ' 00:0' || turn, '[' || role || ' joined]', 'Meeting Title'] || string_split(text, chr(10))) AS line FROM conversations), r AS (SELECT conv_id, line, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\[.*\]$') THEN 'event' WHEN regexp_matches(line, '^[A-Z ]+ \d{1,2}:\d{2}$') THEN 'timestamp' WHEN regexp_matches(line, '^(Meeting Title|Attendees|Agenda)') THEN 'header' ELSE 'kept' END AS reason FROM x) SELECT conv_id, reason, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM r GROUP BY 1, 2""")
+@queries("J15", r"""WITH x AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations), r AS (SELECT conv_id, line, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\[.*\]$') THEN 'event' WHEN regexp_matches(line, '^[A-Z ]+ \d{1,2}:\d{2}$') THEN 'timestamp' WHEN regexp_matches(line, '^(Meeting Title|Attendees|Agenda)') THEN 'header' ELSE 'kept' END AS reason FROM x) SELECT conv_id, reason, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM r GROUP BY 1, 2""")
 def denoise_reasons(t: Tables) -> DataFrame:
     """Lines of a transcript by why they go: blank, event, timestamp or header; others are kept."""
-    furniture = F.array(F.lit(""), F.concat(F.upper("role"), F.lit(" 00:0"), "turn"), F.concat(F.lit("["), "role", F.lit(" joined]")), F.lit("Meeting Title"))
-    line = t.conversations.select("conv_id", F.explode(F.concat(furniture, F.split("text", "\n"))).alias("line"))
+    line = t.conversations.select("conv_id", F.explode(F.split("text", "\n")).alias("line"))
     c = F.col("line")
     reason = F.when(F.trim(c) == "", "blank").when(c.rlike(r"^\[.*\]$"), "event").when(c.rlike(r"^[A-Z ]+ \d{1,2}:\d{2}$"), "timestamp").when(c.rlike("^(Meeting Title|Attendees|Agenda)"), "header").otherwise("kept")
     return line.groupBy("conv_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"))

@@ -34,11 +34,12 @@ MORE = (
     "We were told about it last week", "This Wednesday", "Wednesday then", "in a week", "3 March", "May 4th, or later", "today or tomorrow", "each working day", "until Friday", "at the earliest on Monday",
     "not until May", "12:30 pm tomorrow", "the end of the day", "close of business", "The first week of the sprint", "the 2nd week of May", "for two days", "they met yesterday", "Ask Maria and tell Jonas to wait for Maria", "Jonas will call Maria",
     "Maria will help; Jonas can go", "The budget report of the audit team is ready and the release is planned now", "He said no", "ok", "Yes.", "The agenda item was agreed, and the team will decide on the action by then", "", "I am on mute", "2024-02-30 works", "v1.2.3 and 4/5/2024",
+    "Meeting Title\nANN LEE 00:12\n[Ann joined]\n\nWe own the release", "She is responsible for the data", "The first step of the process", "The figures shows 12", "Please send it",
 )
 #: Queries that read the wording of turns.
 NAMES = sorted(
     {name for m in (discourse, registry.wording) for name in m.queries.found}
-    | {"grounded_attributions", "claims_compared", "insight_facets", "sampled_actions", "evidence_ledger", "specialists", "status_from_text", "noise_turns", "trailing_questions", "turns_around_questions", "decision_topics"}
+    | {"grounded_attributions", "claims_compared", "insight_facets", "sampled_actions", "evidence_ledger", "specialists", "status_from_text", "sentence_bucket", "noise_turns", "trailing_questions", "turns_around_questions", "decision_topics"}
 )
 
 
@@ -55,9 +56,9 @@ def sentences(spark, small, tmp_path_factory) -> str:
     for c in range(80):
         for turn in range(2 + c % 6):
             i += 1
-            text = TURNS[2] if c % 10 == 5 and turn % 2 == 0 else every[i * 7 % len(every)]
+            text = TURNS[2] if c % 10 == 5 and turn % 2 == 0 else every[i * 11 % len(every)]
             rows.append((c, turn, roles[(c + turn) % 5], text if i > 1 else None))
-    assert len(every) % 7 and len(rows) > 2 * len(every)
+    assert len(every) % 11 and len(rows) > 2 * len(every)
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{folder}/made")
     (part,) = Path(folder, "made").glob("*.parquet")
     shutil.move(part, folder / "conversations.parquet")
@@ -85,7 +86,7 @@ def test_query_equals_its_sql_on_sentences(spark, con, sentences, name):
 
 @pytest.mark.parametrize(
     ("name", "column", "least"),
-    [("timing_wordings", "kind", 13), ("resolved_days", "day", 20), ("deadline_wordings", "deadline", 20), ("usefulness_labels", "reason", 7), ("trends_of_turns", "trend", 4), ("weekday_issues", "issue", 2), ("people_mentioned", "name", 2), ("tiers_of_actions", "tier", 2), ("status_from_text", "status", 3)],
+    [("timing_wordings", "kind", 13), ("resolved_days", "day", 20), ("deadline_wordings", "deadline", 20), ("usefulness_labels", "reason", 7), ("trends_of_turns", "trend", 4), ("weekday_issues", "issue", 2), ("people_mentioned", "name", 2), ("tiers_of_actions", "tier", 2), ("status_from_text", "status", 3), ("sentence_bucket", "bucket", 9), ("denoise_reasons", "reason", 5)],
 )
 def test_the_rules_are_hit(spark, sentences, name, column, least):
     assert registry.QUERIES[name](spark, sentences).select(column).distinct().count() >= least
