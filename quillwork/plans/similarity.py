@@ -60,10 +60,19 @@ def nearest_supplier_name(t: Tables) -> DataFrame:
     return nearest_names(t.supplier.select(F.col("s_suppkey").alias("asked"), swapped.alias("said")), t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
 
 
+#: Keys of a range in which the next part of a brand is looked for; across ranges it is the first of the next one.
+KEY_RANGE = 1 << 16
+
+
 @queries("K8 V4")
 def fuzzy_ratios(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", "p_name", F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("other")).filter("other is not null")
-    return p.select("p_partkey", token_set_ratio("p_name", "other").alias("token_set"), partial_ratio("p_name", "other").alias("partial"))
+    """Likeness of each part's name to the next one's of its brand; a brand is as many tasks as it has ranges of keys."""
+    p = t.part.select("p_brand", "p_partkey", "p_name", F.floor(F.col("p_partkey") / KEY_RANGE).alias("range"))
+    firsts = p.groupBy("p_brand", "range").agg(F.min_by("p_name", "p_partkey").alias("first"))
+    after = firsts.select("p_brand", "range", F.lead("first").over(Window.partitionBy("p_brand").orderBy("range")).alias("first_after"))  # one row a range
+    inside = F.lead("p_name").over(Window.partitionBy("p_brand", "range").orderBy("p_partkey"))
+    both = p.withColumn("inside", inside).join(after, ["p_brand", "range"]).withColumn("other", F.coalesce("inside", "first_after")).filter("other is not null")
+    return both.select("p_partkey", token_set_ratio("p_name", "other").alias("token_set"), partial_ratio("p_name", "other").alias("partial"))
 
 
 @queries("K9", """WITH f AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM conversations), tf AS (SELECT conv_id, turn, tok, count(*) AS n FROM f GROUP BY 1, 2, 3), nm AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS norm FROM tf GROUP BY 1, 2)

@@ -210,6 +210,14 @@ def test_fuzzy_ratios(spark, small, run):
         assert abs(r.partial - best) < 0.01
 
 
+def test_fuzzy_ratios_don_t_depend_on_the_ranges(run, monkeypatch):
+    from quillwork.plans import similarity
+
+    want = sorted(map(tuple, run("fuzzy_ratios")))
+    monkeypatch.setattr(similarity, "KEY_RANGE", 7)
+    assert sorted(map(tuple, run("fuzzy_ratios"))) == want
+
+
 def test_embedded_texts(spark, small, run):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
     for r in run("embedded_texts"):
