@@ -146,17 +146,23 @@ def contract_errors(t: Tables) -> DataFrame:
     return r.join(twice, "id", "left").join(known, "cust", "left").select("o_orderkey", errors.alias("errors")).filter("errors <> ''")
 
 
-@queries("P3", f"""WITH {TURNS}, x AS (SELECT *, (['Maria', 'Jonas', 'Ann'])[1 + (conv_id + turn) % 3] AS claimed, coalesce(lag(said) OVER w, '') || ' ' || said || ' ' || coalesce(lead(said) OVER w, '') AS evidence, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT conv_id, turn, CASE WHEN contains(evidence, claimed) THEN claimed ELSE '' END AS owner, regexp_extract(lower(evidence), '\\b(?:monday|friday|tomorrow)\\b') AS deadline, CASE WHEN turn + 3 <= last_turn THEN 2 ELSE 1 END AS refs FROM x WHERE verbs > 0 OR commits = 1""")
+#: Whom a turn gives its action to: a name it opens with, or one behind a verb of asking.
+_ADDRESSED, _ASKED = "^([A-Z][a-z]{2,15}), ", r"\b(?:[Aa]sk|[Tt]ell|[Cc]all) ([A-Z][a-z]{2,15})\b"
+_DUE = r"\b(?:monday|tuesday|wednesday|thursday|friday|today|tomorrow)\b"
+
+
+@queries("P3", rf"""WITH {TURNS}, x AS (SELECT *, coalesce(nullif(regexp_extract(said, '{_ADDRESSED}', 1), ''), regexp_extract(said, '{_ASKED}', 1)) AS claimed, coalesce(lag(said) OVER w, '') || ' ' || coalesce(lead(said) OVER w, '') AS around, max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, claimed, CASE WHEN claimed <> '' AND contains(around, claimed) THEN claimed ELSE '' END AS owner, regexp_extract(lower(said || ' ' || around), '{_DUE}') AS deadline, CASE WHEN turn + 3 <= last_turn THEN 2 ELSE 1 END AS refs FROM x WHERE verbs > 0 OR commits = 1""")
 def grounded_attributions(t: Tables) -> DataFrame:
-    """Owner and deadline of an action stay where the turns around it name them; references to turns that
-    don't exist go."""
+    """Whom an action is given to stays its owner where a turn beside it names that person too, and its deadline where one
+    of the three turns has it; references to turns that don't exist go."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    evidence = F.concat_ws(" ", F.coalesce(F.lag("said").over(w), F.lit("")), "said", F.coalesce(F.lead("said").over(w), F.lit("")))
-    claimed = F.get(F.array(*map(F.lit, ("Maria", "Jonas", "Ann"))), ((F.col("conv_id") + F.col("turn")) % 3).cast("int"))
-    x = cued_turns(t).withColumns({"claimed": claimed, "evidence": evidence, "last_turn": F.max("turn").over(Window.partitionBy("conv_id"))}).filter("verbs > 0 or commits = 1")
-    owner = F.when(F.contains("evidence", "claimed"), F.col("claimed")).otherwise("")
-    return x.select("conv_id", "turn", owner.alias("owner"), F.regexp_extract(F.lower("evidence"), r"\b(?:monday|friday|tomorrow)\b", 0).alias("deadline"), F.when(F.col("turn") + 3 <= F.col("last_turn"), 2).otherwise(1).alias("refs"))
+    around = F.concat_ws(" ", F.coalesce(F.lag("said").over(w), F.lit("")), F.coalesce(F.lead("said").over(w), F.lit("")))
+    claimed = F.coalesce(F.nullif(F.regexp_extract("said", _ADDRESSED, 1), F.lit("")), F.regexp_extract("said", _ASKED, 1))
+    x = cued_turns(t).withColumns({"claimed": claimed, "around": around, "last_turn": F.max("turn").over(Window.partitionBy("conv_id"))}).filter("verbs > 0 or commits = 1")
+    owner = F.when((F.col("claimed") != "") & F.contains("around", "claimed"), F.col("claimed")).otherwise("")
+    deadline = F.regexp_extract(F.lower(F.concat_ws(" ", "said", "around")), _DUE, 0)
+    return x.select("conv_id", "turn", "claimed", owner.alias("owner"), deadline.alias("deadline"), F.when(F.col("turn") + 3 <= F.col("last_turn"), 2).otherwise(1).alias("refs"))
 
 
 #: What two claims must agree in: its name and a pattern of lower-cased text.

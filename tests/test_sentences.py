@@ -57,6 +57,7 @@ def sentences(spark, small, tmp_path_factory) -> str:
         for turn in range(2 + c % 6):
             i += 1
             text = TURNS[2] if c % 10 == 5 and turn % 2 == 0 else every[i * 11 % len(every)]
+            text = ("Ask Maria to send the report", "Maria will send it by Friday", "Jonas, please call them")[turn % 3] if c % 10 == 7 else text
             rows.append((c, turn, roles[(c + turn) % 5], text if i > 1 else None))
     assert len(every) % 11 and len(rows) > 2 * len(every)
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{folder}/made")
@@ -86,7 +87,7 @@ def test_query_equals_its_sql_on_sentences(spark, con, sentences, name):
 
 @pytest.mark.parametrize(
     ("name", "column", "least"),
-    [("timing_wordings", "kind", 13), ("resolved_days", "day", 20), ("deadline_wordings", "deadline", 20), ("usefulness_labels", "reason", 7), ("trends_of_turns", "trend", 4), ("weekday_issues", "issue", 2), ("people_mentioned", "name", 2), ("tiers_of_actions", "tier", 2), ("status_from_text", "status", 3), ("sentence_bucket", "bucket", 9), ("denoise_reasons", "reason", 5)],
+    [("timing_wordings", "kind", 13), ("resolved_days", "day", 20), ("deadline_wordings", "deadline", 20), ("usefulness_labels", "reason", 7), ("trends_of_turns", "trend", 4), ("weekday_issues", "issue", 2), ("people_mentioned", "name", 2), ("tiers_of_actions", "tier", 2), ("status_from_text", "status", 3), ("grounded_attributions", "owner", 2), ("grounded_attributions", "claimed", 3), ("sentence_bucket", "bucket", 9), ("denoise_reasons", "reason", 5)],
 )
 def test_the_rules_are_hit(spark, sentences, name, column, least):
     assert registry.QUERIES[name](spark, sentences).select(column).distinct().count() >= least
