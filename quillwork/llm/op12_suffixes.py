@@ -144,16 +144,16 @@ def sent(block: int, prints: np.ndarray, note: bytes, bits: int, kind: str) -> p
     repeats = flagged_repeats(prints)
     alone, several = prints[~repeats], np.unique(prints[repeats])
     buckets = bucket_of(alone)
-    order, names = np.argsort(buckets, kind="stable"), np.arange((1 << bits) + 1)
-    a, b = np.searchsorted(buckets[order], names), np.searchsorted(bucket_of(several), names)
+    order, buckets_of_several = np.argsort(buckets, kind="stable"), bucket_of(several)
+    full = np.union1d(buckets, buckets_of_several)  # of the buckets only those that the block has entries of
+    a, b = (list(zip(np.searchsorted(x, full, "left").tolist(), np.searchsorted(x, full, "right").tolist(), strict=True)) for x in (buckets[order], buckets_of_several))
     alone, several = alone[order].astype(kind), several.astype(kind)
-    full = [k for k in range(1 << bits) if a[k] < a[k + 1] or b[k] < b[k + 1]]
     whole = packed(np.packbits(repeats), buckets, np.array([len(prints), bits], "<i8"))
     columns = (
-        [*full, -1 - block],
+        [*full.tolist(), -1 - block],
         [block] * (len(full) + 1),
-        [*(alone[a[k] : a[k + 1]].tobytes() for k in full), None],
-        [*(several[b[k] : b[k + 1]].tobytes() for k in full), None],
+        [*(alone[i:j].tobytes() for i, j in a), None],
+        [*(several[i:j].tobytes() for i, j in b), None],
         [*(None for _ in full), packed(np.frombuffer(whole, np.uint8), np.frombuffer(note, np.uint8))],
     )
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SENT, strict=True)], schema=SENT)
@@ -198,8 +198,8 @@ def read_back(finish: Callable[[bytes, np.ndarray], pa.Table]) -> Callable[[pa.T
         repeats, buckets, _ = unpacked(whole.tobytes(), "u1", "<u4" if width > 16 else "<u2", "<i8")
         tied = np.unpackbits(repeats, count=n).astype(bool)
         alone = np.flatnonzero(~tied)
-        counts = np.bincount(buckets, minlength=1 << width)
-        answers = [np.unpackbits(np.frombuffer(bits[k], np.uint8), count=int(counts[k])) for k in np.flatnonzero(counts).tolist()]
+        full, counts = np.unique(buckets, return_counts=True)
+        answers = [np.unpackbits(np.frombuffer(bits[k], np.uint8), count=c) for k, c in zip(full.tolist(), counts.tolist(), strict=True)]
         if answers:
             tied[alone[np.argsort(buckets, kind="stable")]] = np.concatenate(answers).astype(bool)
         return finish(own.tobytes(), tied)
