@@ -18,24 +18,39 @@ from quillwork.llm.common import documents, rows_kept, shared_dir, written
 LEDGER = "quillwork.secrets.ledger"
 
 
+#: Rows that go to a Python worker at once: some MB of text in place of tens, in the worker and in the executor.
+ROWS_AT_ONCE = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Has this session hand rows to Python workers ROWS_AT_ONCE at a time at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) not in range(1, ROWS_AT_ONCE + 1):
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language: null, empty, without a letter, or far from every language learned."""
+    bounded_batches(spark)
     return op7_langid.accepted(docs, op7_langid.train(docs, ~op7_langid.held_out()))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of texts that are equal but for white space."""
+    bounded_batches(spark)
     return rows_kept(docs, op6_exact.exact_groups(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest doc_id of each component of near copies."""
+    bounded_batches(spark)
     return rows_kept(docs, op2_minhash.near_groups(docs), "kept_row")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every row, with secrets replaced by their kind. Where the session names a folder in LEDGER, the ledger
     there is extended, and only what it lacks is scanned."""
+    bounded_batches(spark)
     folder = spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}/ledger"
     paths = op5_secrets.extend_ledger(docs, folder)
     return op5_secrets.redacted(docs, op5_secrets.report(op5_secrets.findings(paths, op5_secrets.read_ledger(spark, folder))))
@@ -43,6 +58,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all rows into sequences: a row per piece."""
+    bounded_batches(spark)
     return op10_packing.pack_documents(docs, bpe.vocabulary("word_bpe_49k.json"))
 
 
