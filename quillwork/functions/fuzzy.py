@@ -10,7 +10,15 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 
 def osa(a: str, b: str) -> int:
-    """Edit distance with swaps of neighbours, no substring edited twice."""
+    """Edit distance with swaps of neighbours, no substring edited twice. What both begin or end with costs nothing."""
+    start, n = 0, min(len(a), len(b))
+    while start < n and a[start] == b[start]:
+        start += 1
+    a, b, n = a[start:], b[start:], n - start
+    end = 0
+    while end < n and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[: len(a) - end], b[: len(b) - end]
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [i]
