@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.text import bounded
 from quillwork.functions.wording import ACKNOWLEDGING
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
@@ -69,8 +70,8 @@ def usefulness_model(t: Tables) -> DataFrame:
 def status_of(text: Column) -> Column:
     """Blocked, complete, awaiting, in progress or not started; a negated or future cue doesn't count."""
     said = F.lower(F.coalesce(text, F.lit("")))
-    cue = lambda words: said.rlike(rf"(?<!not )(?<!never )(?<!will be )\b({words})\b")
-    return F.when(said.rlike(r"\bnot started\b"), "not_started").when(cue("blocked|stuck"), "blocked").when(cue("done|complete|finished"), "complete").when(cue("waiting|awaiting"), "awaiting").otherwise("in_progress")
+    cue = lambda words: said.rlike(bounded(rf"(?<!not )(?<!never )(?<!will be )\b({words})\b"))
+    return F.when(said.rlike(bounded(r"\bnot started\b")), "not_started").when(cue("blocked|stuck"), "blocked").when(cue("done|complete|finished"), "complete").when(cue("waiting|awaiting"), "awaiting").otherwise("in_progress")
 
 
 _CUED = " ".join(f"WHEN regexp_matches(regexp_replace(s, '(not |never |will be )({w})\\b', '', 'g'), '\\b({w})\\b') THEN '{status}'" for w, status in (("blocked|stuck", "blocked"), ("done|complete|finished", "complete"), ("waiting|awaiting", "awaiting")))
