@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions.text import bounded
 from quillwork.operators.latest import latest_per, ranked
 from quillwork.plans.book import Book
 from quillwork.sources.tables import Tables
@@ -125,7 +126,7 @@ def grounded_owners(t: Tables) -> DataFrame:
 def claim_compatibility(t: Tables) -> DataFrame:
     """Two neighbouring turns claim the same only if polarity, question form and figures agree."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    negated, asks = F.col("text").rlike(r"(?i)\b(not|never|no|nicht|pas)\b"), F.contains("text", F.lit("?"))
+    negated, asks = F.col("text").rlike(bounded(r"(?i)\b(not|never|no|nicht|pas)\b")), F.contains("text", F.lit("?"))
     figures = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))))
     here = t.conversations.select("conv_id", "turn", negated.alias("n"), asks.alias("q"), figures.alias("f"), F.lag(negated).over(w).alias("n0"), F.lag(asks).over(w).alias("q0"), F.lag(figures).over(w).alias("f0"))
     same = (F.col("n") == F.col("n0")) & (F.col("q") == F.col("q0")) & (F.col("f") == F.col("f0"))
