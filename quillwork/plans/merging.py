@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions.fuzzy import partial_ratio
-from quillwork.functions.text import overlap, words
+from quillwork.functions.text import bounded, overlap, words
 from quillwork.operators.candidates import best_sharing
 from quillwork.operators.components import connected, written
 from quillwork.operators.latest import ranked
@@ -182,10 +182,10 @@ def claim_support(t: Tables) -> DataFrame:
     claim, evidence = F.col("claim"), F.col("evidence")
     a, b, m = words(claim, 3), F.array_distinct(words(evidence, 3)), F.array_distinct(words(claim, 6))
     material = F.when(F.size(m) > 0, F.size(F.array_intersect(m, b)) / F.size(m)).otherwise(0.0)
-    penalty = F.when(F.lower(claim).rlike(_NEGATIVE) & ~F.lower(evidence).rlike(_NEGATIVE), 0.35).otherwise(0.0)
+    penalty = F.when(F.lower(claim).rlike(bounded(_NEGATIVE)) & ~F.lower(evidence).rlike(bounded(_NEGATIVE)), 0.35).otherwise(0.0)
     missing = F.exists(found(claim, "[0-9]+"), lambda f: ~F.contains(evidence, f))
     score = F.greatest(F.lit(0.0), F.round(0.55 * overlap(F.array_distinct(a), b) + 0.45 * material - penalty + 1e-9, 4))
-    anchors = r"\b[A-Z][a-z]{2,}|\b[0-9]+"
+    anchors = bounded(r"\b[A-Z][a-z]{2,}|\b[0-9]+")
     return c.select("conv_id", "turn", F.when(missing, 0.0).otherwise(score).alias("support"), F.arrays_overlap(found(claim, anchors), found(evidence, anchors)).alias("anchored"))
 
 
