@@ -252,12 +252,13 @@ def best_phrases(t: Tables) -> DataFrame:
     in the label, none where no word is shared, else the best window's ratio; below 85 no name."""
     label = F.lower(F.concat_ws(" ", F.substring("p_type", 1, 4), "p_name"))
     parts = t.part.select("p_partkey", F.concat_ws("/", "p_brand", "p_size").alias("grp"), label.alias("label"), F.lower("p_name").alias("name"))
-    asked = parts.filter("p_partkey % 2 = 0").select("p_partkey", "grp", "label", F.explode(F.array_distinct(words(F.col("label")))).alias("tok"))
+    # Parts of one label have one answer: a label of a group is compared once.
+    asked = parts.filter("p_partkey % 2 = 0").select("grp", "label").distinct().select("grp", "label", F.explode(F.array_distinct(words(F.col("label")))).alias("tok"))
     names = parts.filter("p_partkey % 2 = 1").select("grp", "name").distinct().withColumn("tok", F.explode(F.array_distinct(words(F.col("name")))))
-    pairs = asked.join(names, ["grp", "tok"]).select("p_partkey", "label", "name").distinct()
-    scored = pairs.select("p_partkey", "name", F.when(F.contains("label", "name"), 100.0).otherwise(partial_ratio("label", "name")).alias("score")).filter("score >= 85")
-    best = scored.groupBy("p_partkey").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("b"))
-    return best.select("p_partkey", F.col("b.name").alias("name"), (-F.col("b.low")).alias("score"))
+    pairs = asked.join(names, ["grp", "tok"]).select("grp", "label", "name").distinct()
+    scored = pairs.select("grp", "label", "name", F.when(F.contains("label", "name"), 100.0).otherwise(partial_ratio("label", "name")).alias("score")).filter("score >= 85")
+    best = scored.groupBy("grp", "label").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("b"))
+    return parts.filter("p_partkey % 2 = 0").join(best, ["grp", "label"]).select("p_partkey", F.col("b.name").alias("name"), (-F.col("b.low")).alias("score"))
 
 
 def _tallied(pdf: pd.DataFrame) -> pd.DataFrame:
