@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 from zlib import crc32
 
+#: Rows whose vectors a task holds at once, however many Spark hands it.
+ENCODED_ROWS = 256
+
 Encoder = Callable[[list[str]], "list[list[float]] | None"]
 
 
@@ -31,7 +34,7 @@ def encode(df: DataFrame, column: str, size: int, encoder: Encoder | None = None
     schema = StructType([*df.schema.fields, StructField("vector", ArrayType(DoubleType())), StructField("encoder", StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (whole.iloc[i : i + ENCODED_ROWS] for whole in batches for i in range(0, len(whole), ENCODED_ROWS)):
             texts, vectors = b[column].tolist(), None
             for _ in range(attempts if encoder else 0):
                 try:
