@@ -118,6 +118,10 @@ def answered(rows: DataFrame, column: str, call: Callable[[str, int], str], in_f
     return rows.mapInPandas(run, schema)
 
 
+#: Rows whose calls and answers a task holds at once.
+ASKED_ROWS = 256
+
+
 def fanned_out(rows: DataFrame, column: str, asked: dict[str, Callable[[str, int], str]], in_flight: int = 8, attempts: int = 1, seconds: float = 60.0) -> DataFrame:
     """``rows`` with ``answers``, an array of (call, answer, error, attempts) in the order of ``asked``, and ``complete``: all
     calls on a row's text are made at once, none waits for another, and what fails or is late leaves the others as they are."""
@@ -126,7 +130,7 @@ def fanned_out(rows: DataFrame, column: str, asked: dict[str, Callable[[str, int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with Calls(in_flight, attempts, seconds) as calls:
-            for b in batches:
+            for b in (whole.iloc[i : i + ASKED_ROWS] for whole in batches for i in range(0, len(whole), ASKED_ROWS)):
                 sent = [{name: calls.submit(call, None if pd.isna(x) else x) for name, call in asked.items()} for x in b[column]]
                 got = [[{"call": name, **dict(zip(("answer", "error", "attempts"), f.result(), strict=True))} for name, f in row.items()] for row in sent]
                 yield b.assign(answers=got, complete=[all(x["error"] is None for x in row) for row in got])
