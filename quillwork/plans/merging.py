@@ -11,7 +11,7 @@ from quillwork.functions.text import bounded, overlap, words
 from quillwork.operators.candidates import best_sharing
 from quillwork.operators.components import connected, written
 from quillwork.operators.latest import ranked
-from quillwork.operators.matching import greedy_pairs, pairs_sharing
+from quillwork.operators.matching import SALTS, greedy_pairs, pairs_sharing
 from quillwork.operators.retrieval import rows_above
 from quillwork.plans.book import Book
 from quillwork.plans.discourse import cued_turns
@@ -143,25 +143,30 @@ SELECT n.asked, said, CASE WHEN exact.n = 1 THEN exact.id WHEN exact.n IS NULL A
 def people_resolved(t: Tables) -> DataFrame:
     """Names as said, resolved to the one person they can mean: exactly, else by first name, long surname,
     initial or one edit in either part. Candidates share a word with one letter left out, so no pair of
-    names is compared that can't match."""
+    names is compared that can't match. Each wording is compared once with each distinct name, however many
+    people say or bear either; the bearers are counted."""
     people = _people(t)
     said = F.lower("said")
     w = F.split(F.when(F.contains(said, F.lit(", ")), F.regexp_replace(said, "^(.*), (.*)$", "$2 $1")).otherwise(said), " ")
     asked = people.select(F.col("id").alias("asked"), "said", w.alias("w"))
-    names = people.select("id", "first", "last")
-    tally = lambda found, name: found.groupBy("asked").agg(F.countDistinct("id").alias(f"n_{name}"), F.min("id").alias(name))
-    two = asked.filter(F.size("w") == 2).withColumns({"w1": F.col("w")[0], "w2": F.col("w")[1]})
+    names = written(people.groupBy("first", "last").agg(F.countDistinct("id").alias("bearers"), F.min("id").alias("id")))
+    worded = written(asked.select("w").distinct())
+    tally = lambda found, name: found.groupBy("w").agg(F.sum("bearers").alias(f"n_{name}"), F.min("id").alias(name))
+    two = worded.filter(F.size("w") == 2).withColumns({"w1": F.col("w")[0], "w2": F.col("w")[1]})
     exact = tally(two.join(names, (F.col("w1") == F.col("first")) & (F.col("w2") == F.col("last"))), "exact")
-    one = asked.filter(F.size("w") == 1).withColumn("w1", F.col("w")[0]).withColumn("key", F.explode(_shorter(F.col("w1"))))
+    one = worded.filter(F.size("w") == 1).withColumn("w1", F.col("w")[0]).withColumn("key", F.explode(_shorter(F.col("w1"))))
     by = lambda c: names.withColumn("key", F.explode(_shorter(F.col(c))))
-    near = one.join(by("first"), "key").filter(F.levenshtein("w1", "first") <= 1).select("asked", "id")
-    near = near.union(one.filter(F.length("w1") >= 7).join(by("last"), "key").filter(F.levenshtein("w1", "last") <= 1).select("asked", "id"))
+    met = lambda pairs: pairs.select("w", "first", "last", "bearers", "id")
+    near = met(one.join(by("first"), "key").filter(F.levenshtein("w1", "first") <= 1))
+    near = near.union(met(one.filter(F.length("w1") >= 7).join(by("last"), "key").filter(F.levenshtein("w1", "last") <= 1)))
     pairs = lambda df, a, b: df.withColumn("key_a", F.explode(_shorter(F.col(a)))).withColumn("key_b", F.explode(b))
     initial = F.substring("last", 1, 1)
     full = pairs(two, "w1", _shorter(F.col("w2"))).join(pairs(names, "first", _shorter(F.col("last"))), ["key_a", "key_b"]).filter((F.levenshtein("w1", "first") <= 1) & (F.levenshtein("w2", "last") <= 1))
     short = pairs(two.filter(F.length("w2") == 1), "w1", F.array("w2")).join(pairs(names, "first", F.array(initial)), ["key_a", "key_b"]).filter(F.levenshtein("w1", "first") <= 1)
-    near = tally(near.union(full.select("asked", "id")).union(short.select("asked", "id")), "near")
-    out = asked.join(exact, "asked", "left").join(near, "asked", "left")
+    near = tally(near.union(met(full)).union(met(short)).distinct(), "near")
+    answers = worded.join(exact, "w", "left").join(near, "w", "left")
+    # An answer goes to all who say the wording, dealt to SALTS tasks where those are many.
+    out = asked.withColumn("salt", (F.pmod(F.xxhash64("asked"), F.lit(SALTS))).cast("int")).join(written(answers).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["w", "salt"])
     resolved = F.when(F.col("n_exact") == 1, F.col("exact")).when(F.col("n_exact").isNull() & (F.col("n_near") == 1), F.col("near"))
     how = F.when(F.col("n_exact") == 1, "exact").when((F.col("n_exact") > 1) | (F.col("n_near") > 1), "ambiguous").when(F.col("n_near") == 1, "near").otherwise("unknown")
     return out.select("asked", "said", resolved.alias("resolved"), how.alias("how"))

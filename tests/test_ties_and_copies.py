@@ -7,7 +7,7 @@ import datetime
 import duckdb
 import pytest
 
-from quillwork.plans import registry
+from quillwork.plans import merging, registry
 from tests.test_oracles import lines
 
 
@@ -48,3 +48,21 @@ def test_copies_of_a_wording_are_compared_once(spark, tmp_path, copies, monkeypa
     want = con.sql("select " + ", ".join(columns) + f" from ({registry.ORACLE_SQL['carried_rows']}) as q").fetchall()
     assert lines(df.select(*columns).collect()) == lines(want)
     assert "least" in df._jdf.queryExecution().optimizedPlan().toString()  # pairs are of wordings
+
+
+@pytest.mark.parametrize("people", [590, 3 * 576])
+def test_people_of_one_name_are_compared_once(spark, tmp_path, people, monkeypatch):
+    con, sizes, kept = duckdb.connect(), [], merging.written
+
+    def counted(df):
+        sizes.append(df.count())
+        return kept(df)
+
+    monkeypatch.setattr(merging, "written", counted)
+    con.sql(f"copy (SELECT range AS s_suppkey FROM range({people})) to '{tmp_path}/supplier.parquet'")
+    con.sql(f"create view supplier as select * from read_parquet('{tmp_path}/supplier.parquet')")
+    df = registry.QUERIES["people_resolved"](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    want = con.sql("select " + ", ".join(columns) + f" from ({registry.ORACLE_SQL['people_resolved']}) as q").fetchall()
+    assert lines(df.select(*columns).collect()) == lines(want)
+    assert sizes and max(sizes) <= 576  # names and wordings repeat after so many people
