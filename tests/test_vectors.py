@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pytest
 
@@ -46,3 +48,21 @@ def test_every_label_has_prototypes(spark, table):
     found = registry.QUERIES["top_k_label_prototypes"](spark, path).collect()
     assert {r.label for r in found} == set(range(10))
     assert {(r.vec_id, r.label, r.rank) for r in found} == {w[:3] for w in want} and len(found) == len(want)
+
+
+@pytest.mark.parametrize("rows", [1, 1 << 20])
+def test_best_rows_of_cells_however_they_are_dealt(spark, table, monkeypatch, rows):
+    """Against all pairs of a cell, scored component by component; copies tie in the order of their ids."""
+    for name, most in {"CELL_ROWS": 1 << 18, "TURN_ROWS": 1 << 19, "SCORES": 900, "EXACT": 7}.items():
+        monkeypatch.setattr(retrieval, name, most)
+    path, x, _ = table
+    v = spark.read.parquet(f"{path}/embeddings.parquet").selectExpr("vec_id", "embedding")
+    found = retrieval.best_in_cells(v.filter("vec_id % 20 = 0").selectExpr("*", "explode(array(0, 1)) as cell"), v.selectExpr("*", "cast(vec_id % 3 as int) as cell"), rows, 10)
+    assert dict(found.dtypes)["score"] == "double" and "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.q, []).append((-r.score, r.vec_id))
+    for q in range(0, N, 20):
+        each = [(-reduce(float.__add__, (x[q] * x[i]).tolist(), 0.0), i) for i in range(N) if i % 3 < 2]
+        assert sorted(got[q])[:10] == sorted(each)[:10]
+        assert len(got[q]) <= 2 * 10 * max(1, rows >> 18)
