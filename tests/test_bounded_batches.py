@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillwork.functions import encoders
-from quillwork.operators import external
+from quillwork.operators import external, retrieval
 
 
 class Handed:
@@ -23,3 +24,12 @@ class Handed:
 def test_a_large_batch_is_taken_in_parts(made):
     out = made(Handed())
     assert max(map(len, out)) <= 256 and pd.concat(out)["id"].tolist() == list(range(1000))
+
+
+def test_a_task_has_the_pairs_of_a_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROWS_BLOCK", 8)
+    monkeypatch.setattr(retrieval, "ASKED_BLOCK", 4)
+    v = spark.range(0, 1600, numPartitions=2).selectExpr("id as vec_id", "array(cast(id % 7 as float), 1f) as embedding")
+    pairs = retrieval.block_pairs(v.filter("vec_id % 20 = 0"), v)
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 200 * pairs.select("q_ids").distinct().count() and max(sizes) <= 4 * retrieval.TASK_BLOCKS**2
