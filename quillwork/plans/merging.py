@@ -11,7 +11,7 @@ from quillwork.functions.text import bounded, overlap, words
 from quillwork.operators.candidates import best_sharing
 from quillwork.operators.components import connected, written
 from quillwork.operators.latest import ranked
-from quillwork.operators.matching import SALTS, greedy_pairs, pairs_sharing
+from quillwork.operators.matching import SALTS, greedy_by_wording, pairs_sharing
 from quillwork.operators.retrieval import rows_above
 from quillwork.plans.book import Book
 from quillwork.plans.discourse import cued_turns
@@ -244,11 +244,14 @@ def jaccard_matches_used_once(t: Tables) -> DataFrame:
     """Parts of even keys matched to odd ones of their brand and size by words in common, best first, each used
     once; below 0.38 none."""
     tokens = F.array_distinct(F.concat(words(F.col("p_name")), words(F.col("p_type"))))
-    parts = t.part.select(F.concat_ws("/", "p_brand", "p_size").alias("grp"), "p_partkey", (F.col("p_partkey") % 2 == 0).alias("context"), tokens.alias("tokens"))
-    side = lambda own, key: parts.filter(F.col("context") == own).select("grp", F.col("p_partkey").alias(key), F.size("tokens").alias(f"n_{key}"), F.explode("tokens").alias("tok"))
-    p = side(True, "a").join(side(False, "b"), ["grp", "tok"]).groupBy("grp", "a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
-    p = p.select("grp", "a", "b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), 6).alias("score"))
-    return greedy_pairs(p.filter("score >= 0.38"), "grp")
+    wording = F.array_join(F.sort_array(tokens), " ")
+    parts = t.part.select(F.concat_ws("/", "p_brand", "p_size").alias("grp"), F.col("p_partkey").alias("id"), (F.col("p_partkey") % 2 == 0).alias("context"), wording.alias("wording")).filter("context is not null")
+    # Parts of one wording have one score: wordings of a group are compared, however many parts bear them.
+    each = written(parts.select("grp", "context", "wording").distinct()).withColumn("tokens", F.split("wording", " "))
+    side = lambda own, key: each.filter(F.col("context") == own).select("grp", F.col("wording").alias(f"wording_{key}"), F.size("tokens").alias(f"n_{key}"), F.explode("tokens").alias("tok")).filter("tok <> ''")
+    p = side(True, "a").join(side(False, "b"), ["grp", "tok"]).groupBy("grp", "wording_a", "wording_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    p = p.select("grp", "wording_a", "wording_b", F.round(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), 6).alias("score"))
+    return greedy_by_wording(parts, p.filter("score >= 0.38"), "grp")
 
 
 @queries("V4")

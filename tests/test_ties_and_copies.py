@@ -66,3 +66,21 @@ def test_people_of_one_name_are_compared_once(spark, tmp_path, people, monkeypat
     want = con.sql("select " + ", ".join(columns) + f" from ({registry.ORACLE_SQL['people_resolved']}) as q").fetchall()
     assert lines(df.select(*columns).collect()) == lines(want)
     assert sizes and max(sizes) <= 576  # names and wordings repeat after so many people
+
+
+def test_matches_of_wordings_are_those_of_their_rows(spark, tmp_path):
+    """Copies, ties over several wordings and words of their own, against the sequential choice over all pairs of rows."""
+    said = ["large ring", "large bolt", "hot bolt", "ring large", "small nut", "hot ring", "", "Ring ring"]
+    rows = [(i * 7919 % 2003, said[i * i % 8], f"Brand#{i % 3}", ("LARGE", "hot", "old tin")[i % 5 % 3], 1) for i in range(240)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    words, want = {r[0]: set(f"{r[1]} {r[3]}".lower().split()) for r in rows}, set()
+    for grp in {r[2] for r in rows}:
+        mine, used = [r[0] for r in rows if r[2] == grp], set()
+        pairs = [(-round(len(words[a] & words[b]) / len(words[a] | words[b]), 6), a, b) for a in mine if a % 2 == 0 for b in mine if b % 2]
+        for low, a, b in sorted(p for p in pairs if p[0] <= -0.38):
+            if a not in used and b not in used:
+                used |= {a, b}
+                want.add((f"{grp}/1", a, b, -low))
+    df = registry.QUERIES["jaccard_matches_used_once"](spark, str(tmp_path))
+    assert {tuple(r) for r in df.collect()} == want and len(want) > 80
+    assert "wording_a" in df._jdf.queryExecution().optimizedPlan().toString()  # pairs are of wordings
