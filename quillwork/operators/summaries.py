@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from quillwork.operators.components import written
 
-#: Rows of a range at most, and ranges whose summaries merge in one task.
-RANGE, FAN = 4096, 8
+#: Rows of a range at most, ranges whose summaries merge in one task, and ranges whose rows are given to centres in one task.
+RANGE, FAN, SPAN = 4096, 8, 16
 SUMMARY = "grp string, part long, first long, n long, total array<double>"
 
 
@@ -69,9 +69,10 @@ def merged_clusters(vectors: DataFrame, least: float, rows_of_range: int = RANGE
     while not found.groupBy("grp").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").isEmpty():
         found = written(found.withColumn("up", F.floor(F.col("part") / fan)).groupBy("grp", "up").applyInPandas(merged, SUMMARY))
 
-    # A group's centres go once to each of its ranges.
+    # A group's centres go once to each ``SPAN`` of its ranges: they are many, and their copies are what moves most.
     centres = found.groupBy(F.col("grp").alias("of")).agg(F.sort_array(F.collect_list(F.struct("first", "total"))).alias("centres"))
-    ranges = dealt.select("grp", "part").distinct().join(centres, F.col("grp") == F.col("of")).select("of", F.col("part").alias("at"), "centres")
+    spans = dealt.withColumn("span", F.floor(F.col("part") / SPAN))
+    ranges = spans.select("grp", "span").distinct().join(centres, F.col("grp") == F.col("of")).select("of", F.col("span").alias("at"), "centres")
 
     def nearest(rows: pd.DataFrame, ours: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(ours):
@@ -81,4 +82,4 @@ def merged_clusters(vectors: DataFrame, least: float, rows_of_range: int = RANGE
         at = (_unit(np.array(rows["v"].tolist(), np.float64)) @ c.T).argmax(axis=1)
         return pd.DataFrame({"grp": rows["grp"], "id": rows["id"], "cluster": names[at]})
 
-    return dealt.groupBy("grp", "part").cogroup(written(ranges).groupBy("of", "at")).applyInPandas(nearest, "grp string, id long, cluster long")
+    return spans.select("grp", "span", "id", "v").groupBy("grp", "span").cogroup(ranges.groupBy("of", "at")).applyInPandas(nearest, "grp string, id long, cluster long")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillwork.operators import vector_index
+from quillwork.operators import summaries, vector_index
 from quillwork.operators.retrieval import best_rows
 from quillwork.operators.summaries import merged_clusters
 from quillwork.streaming import drafts
@@ -128,3 +128,14 @@ def test_an_index_of_odd_rows(spark):
     assert [tuple(r) for r in found.orderBy("vec_id").collect()] == [(1, 1, 1.0), (1, 2, 1.0)]
     none = v.filter("vec_id > 99")
     assert vector_index.search(vector_index.build(none), none, none, 2)[0].count() == 0
+
+
+def test_centres_go_to_spans_of_ranges(spark, small, monkeypatch):
+    v = spark.read.parquet(f"{small}/embeddings.parquet").select(F.lit("all").alias("grp"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    found = []
+    for span in (1, 16):
+        monkeypatch.setattr(summaries, "SPAN", span)
+        df = merged_clusters(v, 0.5, rows_of_range=64)
+        assert "span" in df._jdf.queryExecution().optimizedPlan().toString()
+        found.append(sorted(map(tuple, df.collect())))
+    assert found[0] == found[1] and found[0]
