@@ -46,9 +46,10 @@ class Calls:
     """Runs calls in threads of their own, ``in_flight`` at a time, each attempt within ``seconds``.
 
     A thread can't be killed, so one whose time is over is left to itself and no longer counted. Should as many as
-    ``hanging`` be left at once, further calls get an error without being made until some have ended."""
+    ``hanging`` be left at once, further calls get an error without being made until some have ended; with none
+    given, every call is made."""
 
-    def __init__(self, in_flight: int, attempts: int, seconds: float, hanging: int = 64):
+    def __init__(self, in_flight: int, attempts: int, seconds: float, hanging: int | None = 64):
         self.attempts, self.seconds, self.hanging = attempts, seconds, hanging
         self.pool = ThreadPoolExecutor(in_flight)
         self.left, self.lock = 0, threading.Lock()
@@ -72,7 +73,7 @@ class Calls:
 
     def _once(self, call: Callable[[str, int], str], text: str, attempt: int) -> tuple[str | None, str | None]:
         with self.lock:
-            if self.left >= self.hanging:
+            if self.hanging is not None and self.left >= self.hanging:
                 return None, "Unavailable: too many calls hang"
         got: queue.SimpleQueue = queue.SimpleQueue()
         event = threading.Event()
@@ -124,12 +125,13 @@ ASKED_ROWS = 256
 
 def fanned_out(rows: DataFrame, column: str, asked: dict[str, Callable[[str, int], str]], in_flight: int = 8, attempts: int = 1, seconds: float = 60.0) -> DataFrame:
     """``rows`` with ``answers``, an array of (call, answer, error, attempts) in the order of ``asked``, and ``complete``: all
-    calls on a row's text are made at once, none waits for another, and what fails or is late leaves the others as they are."""
+    calls on a row's text are made at once, none waits for another, and what fails or is late leaves the others as they are.
+    Every call of every row is made, however many hang: these come up at most ``in_flight`` at a time, each after its time."""
     one = StructType([StructField("call", StringType()), StructField("answer", StringType()), StructField("error", StringType()), StructField("attempts", IntegerType())])
     schema = StructType([*rows.schema.fields, StructField("answers", ArrayType(one)), StructField("complete", BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with Calls(in_flight, attempts, seconds) as calls:
+        with Calls(in_flight, attempts, seconds, hanging=None) as calls:
             for b in (whole.iloc[i : i + ASKED_ROWS] for whole in batches for i in range(0, len(whole), ASKED_ROWS)):
                 sent = [{name: calls.submit(call, None if pd.isna(x) else x) for name, call in asked.items()} for x in b[column]]
                 got = [[{"call": name, **dict(zip(("answer", "error", "attempts"), f.result(), strict=True))} for name, f in row.items()] for row in sent]
